@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cipherlode.llm import urls, warc
+from cipherlode.llm import bpe, embed, langid, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_byte_bpe": bpe.op3_byte_bpe,
         "op4_url_filters": urls.op4_url_filters,
+        "op5_embedding_dedup": embed.op5_embedding_dedup,
+        "op6_language_id": langid.op6_language_id,
         "op8_warc_fixity": warc.op8_warc_fixity,
     }
 
