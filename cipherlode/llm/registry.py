@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cipherlode.llm import bpe, embed, langid, urls, warc
+from cipherlode.llm import bpe, decontam, embed, jaccard, langid, lm, suffix, toxic, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jaccard_join": jaccard.op1_jaccard_join,
+        "op2_suffix_dedup": suffix.op2_suffix_dedup,
         "op3_byte_bpe": bpe.op3_byte_bpe,
         "op4_url_filters": urls.op4_url_filters,
         "op5_embedding_dedup": embed.op5_embedding_dedup,
         "op6_language_id": langid.op6_language_id,
+        "op7_toxicity": toxic.op7_toxicity,
         "op8_warc_fixity": warc.op8_warc_fixity,
+        "op9_decontamination": decontam.op9_decontamination,
+        "op10_lm_scoring": lm.op10_lm_scoring,
     }
 
 
