@@ -60,9 +60,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of the multiplier and of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:
-        n = max(n, 1 << 16)
         for k, base in enumerate((int(_MULT), pow(int(_MULT), -1, 2**64))):
-            table = np.full(n, base, np.uint64)
+            table = np.full(max(n, 1 << 16), base, np.uint64)
             table[0] = 1
             _powers[k] = np.multiply.accumulate(table)
     return _powers[0][:n], _powers[1][:n]
