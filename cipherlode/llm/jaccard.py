@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -99,8 +100,8 @@ def _inspect(n_buckets: int, width: int, percent: int):
 
 def _shared(table: pa.Table) -> pa.Table:
     """Of one bucket: the documents' own rows, and how many of a document's hashes here another document has."""
-    sent = table.filter(pa.compute.is_valid(table.column("codes")))
-    own = table.filter(pa.compute.is_null(table.column("codes"))).drop_columns(["bucket", "codes"])
+    sent = table.filter(pc.is_valid(table.column("codes")))
+    own = table.filter(pc.is_null(table.column("codes"))).drop_columns(["bucket", "codes"])
     if not len(sent):
         return own
     codes = [np.frombuffer(b, np.uint64) for b in sent.column("codes").to_pylist()]
