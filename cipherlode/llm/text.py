@@ -17,6 +17,8 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -102,14 +104,18 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
-def words(texts: list[bytes]) -> Words:
-    """Runs of bytes other than blanks (0x20, 0x09-0x0D)."""
+def words(texts: list[bytes], trim: int = 0) -> Words:
+    """Runs of bytes other than blanks (0x20, 0x09-0x0D), less up to trim marks of ASCII punctuation at each end."""
     data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
     blank = _SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], blank))))
     start, end = edge[::2], edge[1::2]
     bounds = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-    return Words(data, start, end, span_hash(prefix_hash(data), start, end), np.searchsorted(start, bounds))
+    first = np.searchsorted(start, bounds)
+    for _ in range(trim):
+        start = start + (_MARK[data[start]] & (end - start > 1))
+        end = end - (_MARK[data[end - 1]] & (end - start > 1))
+    return Words(data, start, end, span_hash(prefix_hash(data), start, end), first)
 
 
 def shingles(found: Words, width: int) -> tuple[np.ndarray, np.ndarray]:

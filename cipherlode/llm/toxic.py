@@ -13,12 +13,14 @@ from pyspark.sql import window as W
 from cipherlode.llm.text import Words, chunks, mix, words
 
 #: The labelled sample: so many rows of each label, those whose key hashes lowest, with texts up to TRAIN_BYTES.
-TRAIN_ROWS, TRAIN_BYTES = {1: 800, 0: 1600}, 12_000
+TRAIN_ROWS, TRAIN_BYTES = {1: 1500, 0: 3000}, 12_000
 #: Words in a window, and from one window's start to the next: windows overlap.
 WINDOW, STRIDE = 32, 24
-#: Sizes: hidden state of a direction, word and character inputs, their hash tables.
-HIDDEN, WORD, CHAR, WORDS_HASHED, CHARS_HASHED = 8, 10, 6, 1 << 13, 1 << 12
-BATCH, STEPS, RATE = 128, 320, 0.01
+#: Sizes: hidden state of a direction, word and character inputs, the vocabulary, the table of character trigrams.
+HIDDEN, WORD, CHAR, VOCABULARY, TRIGRAMS = 8, 6, 6, 4096, 1 << 12
+#: Training texts that a word of the vocabulary is in, at least; standard deviations off chance from which a word's label counts.
+SEEN, CHANCE = 3, 2.0
+BATCH, STEPS, RATE, DECAY = 128, 240, 0.01, 0.02
 #: Windows that go through the network together.
 GROUP = 1 << 14
 
@@ -31,9 +33,8 @@ class Inputs:
     """Distinct words of some texts, what each is made of, and the texts' windows."""
 
     def __init__(self, texts: list[bytes]):
-        found: Words = words(texts)
-        _, at, self.of = np.unique(found.hashes, return_index=True, return_inverse=True)
-        self.word = (found.hashes[at] >> np.uint64(51)).astype(np.int64)
+        found: Words = words(texts, trim=3)
+        self.hash, at, self.of = np.unique(found.hashes, return_index=True, return_inverse=True)
         start, size = found.start[at], (found.end - found.start)[at]
         offset = np.cumsum(size) - size
         place = np.arange(size.sum()) - np.repeat(offset, size)
@@ -43,6 +44,8 @@ class Inputs:
         right = np.where(place < np.repeat(size, size) - 1, found.data[np.minimum(spot + 1, len(found.data) - 1)], 32).astype(np.uint64)
         self.char = (mix(left << np.uint64(16) | code << np.uint64(8) | right) >> np.uint64(52)).astype(np.int64)
         self.offset, self.size = offset, size
+        self.data, self.begin, self.finish = found.data, found.start, found.end
+        self.text_of = np.repeat(np.arange(len(texts)), np.diff(found.first))
         count = np.diff(found.first)
         windows = np.where(count > 0, 1 + np.maximum(0, -(-(count - WINDOW) // STRIDE)), 0)
         self.doc = np.repeat(np.arange(len(texts)), windows)
@@ -58,23 +61,49 @@ class Inputs:
 
 
 class Network:
-    """Parameters, and what goes forward and back through them. Arrays have a column for each window."""
+    """Parameters, and what goes forward and back through them. Arrays have a column for each window.
+
+    A word's inputs are a trained vector (one for all words outside the vocabulary), how far
+    it is from chance in the training texts of either label, and the mean
+    vector of its character trigrams.
+    """
 
     def __init__(self, weights: dict[str, np.ndarray] | None = None):
         r = np.random.default_rng(5)
         near = lambda *s: (r.normal(size=s) / np.sqrt(s[-1])).astype(np.float32)
-        size = WORD + CHAR
         self.w = weights or {
-            "word": near(WORDS_HASHED, WORD), "char": near(CHARS_HASHED, CHAR) * 2, "in": near(6 * HIDDEN, size), "bias": np.zeros((6 * HIDDEN, 1), np.float32),
+            "word": near(VOCABULARY + 1, WORD) / 2, "char": near(TRIGRAMS, CHAR), "in": near(6 * HIDDEN, WORD + 1 + CHAR), "bias": np.zeros((6 * HIDDEN, 1), np.float32),
             "f": near(3 * HIDDEN, HIDDEN), "b": near(3 * HIDDEN, HIDDEN), "look": near(2 * HIDDEN), "out": near(2 * HIDDEN), "base": np.full(1, -1, np.float32),
+            "known": np.zeros(0, np.uint64), "chance": np.zeros(0, np.float32),
         }
 
+    def look_up(self, texts: list[bytes], labels: np.ndarray) -> None:
+        """The vocabulary of the training texts, and each word's distance from chance."""
+        x = Inputs(texts)
+        pairs = np.unique(np.stack((x.of, x.text_of)), axis=1)
+        n, bad = np.bincount(pairs[0], minlength=len(x.hash)), np.bincount(pairs[0], labels[pairs[1]], len(x.hash))
+        keep = np.sort(np.argsort(-n, kind="stable")[:VOCABULARY])
+        keep = keep[n[keep] >= SEEN]
+        expected = n[keep] * labels.mean()
+        z = (bad[keep] - expected) / np.sqrt(expected + 1)
+        self.w["known"], self.w["chance"] = x.hash[keep], (np.sign(z) * np.log1p(np.maximum(0, np.abs(z) - CHANCE))).astype(np.float32)
+
+    def number(self, x: Inputs) -> np.ndarray:
+        """Vocabulary numbers of distinct words, from 1; 0 for others."""
+        known = self.w["known"]
+        if not len(known):
+            return np.zeros(len(x.hash), np.int64)
+        at = np.minimum(np.searchsorted(known, x.hash), len(known) - 1)
+        return np.where(known[at] == x.hash, at + 1, 0)
+
     def embed(self, x: Inputs) -> np.ndarray:
         """Word inputs: a row for each distinct word."""
-        if not len(x.word):
-            return np.zeros((1, WORD + CHAR), np.float32)
+        if not len(x.hash):
+            return np.zeros((1, WORD + 1 + CHAR), np.float32)
         chars = np.add.reduceat(self.w["char"][x.char], x.offset) / x.size[:, None]
-        return np.concatenate((self.w["word"][x.word], chars), axis=1).astype(np.float32)
+        number = self.number(x)
+        chance = np.concatenate((np.zeros(1, np.float32), self.w["chance"]))[number]
+        return np.concatenate((self.w["word"][number], chance[:, None], chars), axis=1).astype(np.float32)
 
     def project(self, inputs: np.ndarray) -> np.ndarray:
         return self.w["in"] @ inputs.T + self.w["bias"]
@@ -137,8 +166,8 @@ class Network:
             g[way] = d_u
         g["in"] = d_in
         g["word"], g["char"] = np.zeros_like(self.w["word"]), np.zeros_like(self.w["char"])
-        np.add.at(g["word"], x.word, d_inputs[:, :WORD])
-        np.add.at(g["char"], x.char, np.repeat(d_inputs[:, WORD:] / x.size[:, None], x.size, axis=0))
+        np.add.at(g["word"], self.number(x), d_inputs[:, :WORD])
+        np.add.at(g["char"], x.char, np.repeat(d_inputs[:, WORD + 1 :] / x.size[:, None], x.size, axis=0))
         return g
 
     def logits(self, x: Inputs) -> np.ndarray:
@@ -152,23 +181,27 @@ def train(texts: list[bytes], labels: list[int]) -> Network:
     """A text is as toxic as its worst window: each step looks for the batch's worst windows and learns from those (Adam)."""
     net, r = Network(), np.random.default_rng(11)
     y = np.array(labels)
-    sides = [np.flatnonzero(y == k) for k in (0, 1)]
+    some = np.array([bool(t.strip()) for t in texts], bool)
+    sides = [np.flatnonzero((y == k) & some) for k in (0, 1)]
     if not all(map(len, sides)):
         return net
-    first, second = ({k: np.zeros_like(v) for k, v in net.w.items()} for _ in range(2))
+    net.look_up(texts, y)
+    trained = [k for k in net.w if k not in ("known", "chance")]
+    first, second = ({k: np.zeros_like(net.w[k]) for k in trained} for _ in range(2))
     for step in range(1, STEPS + 1):
         picked = np.concatenate([r.choice(s, BATCH // 2) for s in sides])
         x = Inputs([texts[i] for i in picked])
-        if not len(x.doc):
-            continue
-        logit = net.logits(x)
-        order = np.lexsort((-logit, x.doc))
+        order = np.lexsort((-net.logits(x), x.doc))
         worst = order[np.concatenate(([True], np.diff(x.doc[order]) != 0))]
-        for k, g in net.gradients(x, worst, y[picked][x.doc[worst]]).items():
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.99 * second[k] + 0.01 * g * g
-            rate = RATE * min(1, 2 * (1 - step / (STEPS + 1)))
-            net.w[k] = (net.w[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        spans = [(x.begin[s], x.finish[s + n - 1]) for s, n in zip(x.start[worst], x.length[worst], strict=True)]
+        x = Inputs([x.data[a:z].tobytes() for a, z in spans])
+        grads = net.gradients(x, np.arange(len(worst)), y[picked])
+        rate = RATE * min(1, 2 * (1 - step / (STEPS + 1)))
+        for k in trained:
+            first[k] = 0.9 * first[k] + 0.1 * grads[k]
+            second[k] = 0.99 * second[k] + 0.01 * grads[k] ** 2
+            move = (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+            net.w[k] = (net.w[k] - rate * (move + DECAY * net.w[k] * (k not in ("base", "bias")))).astype(np.float32)
     return net
 
 
