@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,14 +17,15 @@ from cipherlode.llm.text import chunks, mix, settle, shingles, with_uid, words
 
 #: Words of a shingle; percent of the union that linked sets share.
 WIDTH, PERCENT = 5, 75
-#: Share of a set beyond its shortest sure prefix that is looked up: so many more elements must then be shared.
-EXTRA = 10
+#: Elements beyond a set's shortest sure prefix that are looked up, so that as many more must be shared: percent of a
+#: small set, up to a number, and percent of any set.
+EXTRA_SMALL, EXTRA_MOST, EXTRA = 35, 90, 10
 #: Bytes of text for one bucket of shingle hashes; hashes that a task holds before it sends them.
 BUCKET_BYTES, HELD = 16 << 20, 1 << 22
 #: The place of a shingle that several documents of one batch hold.
 SEVERAL = 0xFFFF
 #: Documents in one part of a region; new pivots of a region in a round.
-PART, PIVOTS = 4096, 64
+PART, PIVOTS = 4096, 128
 SLACK = 1e-9
 
 
@@ -33,14 +35,19 @@ def sure(n: Column | np.ndarray | int, percent: int) -> Column | np.ndarray | in
     return ceil(n * percent / 100)
 
 
+def extra(n: int) -> int:
+    return max(n * EXTRA // 100, min(n * EXTRA_SMALL // 100, EXTRA_MOST))
+
+
 def prefix_size(n: int, percent: int) -> int:
     """Elements, lowest hashes first, that are looked up."""
-    return min(n, n - int(np.ceil(n * percent / 100)) + 1 + n * EXTRA // 100)
+    return min(n, n - int(np.ceil(n * percent / 100)) + 1 + extra(n))
 
 
 def shared_at_least(n: Column, percent: int) -> Column:
-    """How many looked-up elements a set with any link shares with that set, at least, less one."""
-    return F.floor(sure(n, percent) * EXTRA / 100)
+    """How many looked-up elements a set shares with any that it links to, at least, less one: extra() of the smallest such set."""
+    low = sure(n, percent)
+    return F.greatest(F.floor(low * EXTRA / 100), F.least(F.floor(low * EXTRA_SMALL / 100), F.lit(EXTRA_MOST)))
 
 
 def _set(found: np.ndarray) -> np.ndarray:
@@ -143,6 +150,47 @@ def _distances(regions: DataFrame, sets: DataFrame) -> DataFrame:
     return settle(dealt.select("pivot", "first", "uid", "n", "elements").mapInArrow(_region_distances, "pivot long, uid long, n_pivot long, n long, both long"))
 
 
+def _new_links(percent: int):
+    """Rows come by region, its new pivots first: links between them and the members that the old pivot leaves possible. The pivots (PIVOTS at most) are held, members stream by."""
+    window = 1 - percent / 100 + SLACK
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        region, held, sets = None, [], []
+        for batch in batches:
+            a, b = [], []
+            for r, first, uid, n, both, d, c, blob in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                own = np.frombuffer(blob, np.uint64)
+                if r != region:
+                    region, held, sets, table = r, [], [], None
+                if first == 0:
+                    held.append((uid, n, both, d, c))
+                    sets.append(own)
+                    continue
+                if table is None:
+                    table = [np.array(x) for x in zip(*held, strict=True)]
+                uids, sizes, inside, away, part = table
+                most = np.minimum(inside, both) + np.minimum(sizes - inside, n - both)  # what two sets can share: in the old pivot, and outside it
+                for k in np.flatnonzero((np.abs(away - d) <= window) & (most * (100 + percent) >= (sizes + n) * percent) & (part != c)).tolist():
+                    shared = int((sets[k][np.minimum(np.searchsorted(sets[k], own), len(sets[k]) - 1)] == own).sum())
+                    if shared * 100 >= (len(sets[k]) + len(own) - shared) * percent:
+                        a.append(int(uids[k]))
+                        b.append(uid)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return find
+
+
+def _recur(at: DataFrame, chosen: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of regions (region, uid, n, both, d, c) with some of their members, chosen, as new pivots. Large regions are cut as before."""
+    columns = ["region", "part", "first", "uid", "n", "both", "d", "c", "elements"]
+    sized = at.join(chosen.select("region").distinct(), "region").groupBy("region").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    of = sets.select("uid", "elements")
+    members = at.join(sized, "region").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")).withColumn("first", F.lit(1)).join(of, "uid").select(*columns)
+    pivots = chosen.join(sized, "region").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("first", F.lit(0)).join(of, "uid").select(*columns)
+    dealt = members.union(pivots).repartition("region", "part").sortWithinPartitions("region", "part", "first")
+    return settle(dealt.select("region", "first", "uid", "n", "both", "d", "c", "elements").mapInArrow(_new_links(percent), "a long, b long"))
+
+
 def _sets(width: int, percent: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +218,8 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
 
     1. Each set looks up its lowest hashes. Any linked set shares a known number of
        them, so that a set with fewer shared hashes is done: it has no link.
-    2. Equal sets are one from here on. Each shared hash points to the most shared
+    2. Equal sets are one from here on. Linked sets are of like size, so sets meet
+       in two bands of sizes. There each shared hash points to the most shared
        set that holds it, a pivot. A set belongs to the pivots that most of its
        hashes point to, and is copied to further ones until what is left is too
        little for any link to be only there: regions with copied borders.
@@ -193,33 +242,33 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     whole = settle(chosen.select("uid", "weight", "text").mapInArrow(_sets(width, percent), "uid long, weight long, n long, elements binary, prefix array<long>"))
     sets = whole.select("uid", "n", "elements")
 
-    looked = whole.select("uid", "n", "weight", F.explode("prefix").alias("s"))
-    best = looked.groupBy("s").agg(F.count("*").alias("many"), F.max(F.struct("weight", "uid")).alias("top")).where("many > 1").select("s", F.col("top.uid").alias("pivot"))
-    pointed = looked.join(best, "s").groupBy("uid", "pivot", "n").agg(F.count("*").alias("c"))
-    so_far = F.sum("c").over(W.Window.partitionBy("uid").orderBy("c", "pivot"))
-    member = pointed.withColumn("so_far", so_far).where(F.col("so_far") > F.floor(shared_at_least(F.col("n"), percent) / 2)).select("pivot", "uid")
-    many = W.Window.partitionBy("pivot")
-    member = settle(member.withColumn("m", F.count("*").over(many)).where("m > 1").select("pivot", "uid"))
+    band = F.floor(F.log(F.col("n")) / math.log(100 / percent * 1.001)).cast("int")
+    looked = whole.select("uid", "n", "weight", F.explode(F.array(band, band + 1)).alias("band"), "prefix").select("uid", "n", "weight", "band", F.explode("prefix").alias("s"))
+    best = looked.groupBy("s", "band").agg(F.count("*").alias("many"), F.max(F.struct("weight", "uid")).alias("top")).where("many > 1").select("s", "band", F.col("top.uid").alias("pivot"))
+    pointed = looked.join(best, ["s", "band"]).groupBy("uid", "band", "pivot", "n").agg(F.count("*").alias("c"))
+    so_far = F.sum("c").over(W.Window.partitionBy("uid", "band").orderBy("c", "pivot"))
+    kept = pointed.withColumn("so_far", so_far).where(F.col("so_far") > F.floor(shared_at_least(F.col("n"), percent) / 2)).select("pivot", "uid").distinct()
+    several = kept.groupBy("pivot").agg(F.count("*").alias("m")).where("m > 1").select("pivot")
+    member = settle(kept.join(several, "pivot").select("pivot", "uid"))
 
     linked = F.col("both") * 100 >= (F.col("n_pivot") + F.col("n") - F.col("both")) * percent
     found = _distances(member, sets)
-    near = found.withColumn("d", 1 - F.col("both") / (F.col("n_pivot") + F.col("n") - F.col("both"))).select(F.col("pivot").alias("region"), "uid", "d", (F.col("uid") == F.col("pivot")).alias("used"))
+    near = found.withColumn("d", 1 - F.col("both") / (F.col("n_pivot") + F.col("n") - F.col("both"))).select(F.col("pivot").alias("region"), "uid", "d", "n", "both", (F.col("uid") == F.col("pivot")).alias("used"))
     near = settle(near)
     links = found.where(linked).select(F.col("pivot").alias("a"), F.col("uid").alias("b"))
     while True:
         parts = settle(components(links))
-        at = near.join(parts, near["uid"] == parts["node"], "left").select("region", "uid", "d", "used", F.coalesce("component", "uid").alias("c"))
+        at = near.join(parts, near["uid"] == parts["node"], "left").select("region", "uid", "d", "n", "both", "used", F.coalesce("component", "uid").alias("c"))
         home = parts.select(F.col("node").alias("region"), F.col("component").alias("home"))
         at = at.join(home, "region", "left").withColumn("home", F.coalesce("home", "region"))
         outside = at.where((F.col("c") != F.col("home")) & ~F.col("used"))
-        chosen = settle(outside.withColumn("r", F.row_number().over(W.Window.partitionBy("region").orderBy(F.xxhash64("uid"), "uid"))).where(F.col("r") <= PIVOTS).select("region", F.col("uid").alias("pivot"), F.col("d").alias("pivot_d"), F.col("c").alias("pivot_c")))
+        rank = F.row_number().over(W.Window.partitionBy("region").orderBy(F.xxhash64("uid"), "uid"))
+        chosen = settle(outside.withColumn("r", rank).where(F.col("r") <= PIVOTS).select("region", "uid", "n", "both", "d", "c"))
         if chosen.isEmpty():
             break
-        window = F.abs(F.col("d") - F.col("pivot_d")) <= 1 - percent / 100 + SLACK
-        again = settle(at.join(chosen, "region").where(window & (F.col("c") != F.col("pivot_c"))).select("pivot", "uid").distinct())
-        links = settle(links.union(_distances(again, sets).where(linked).select(F.col("pivot").alias("a"), F.col("uid").alias("b"))))
-        was = chosen.select("region", F.col("pivot").alias("uid"), F.lit(True).alias("now"))
-        near = settle(near.join(was, ["region", "uid"], "left").select("region", "uid", "d", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used")))
+        links = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_recur(at, chosen, sets, percent))
+        was = chosen.select("region", "uid", F.lit(True).alias("now"))
+        near = settle(near.join(was, ["region", "uid"], "left").select("region", "uid", "d", "n", "both", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used")))
 
     of = classes.join(parts, classes["uid"] == parts["node"], "left").select("n", "f1", "f2", "low", F.coalesce("component", "uid").alias("c"))
     lows = of.groupBy("c").agg(F.min("low").alias("component_id"))
