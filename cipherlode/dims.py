@@ -109,7 +109,7 @@ PACKAGES = {
     "otplib": ("n/a", "authenticator=HMAC|totp=HMAC|hotp=HMAC"), "speakeasy": ("n/a", "totp=HMAC|hotp=HMAC"),
     "cookie-signature": ("n/a", "sign=HMAC;hash=SHA-256|unsign=HMAC;hash=SHA-256"), "keygrip": ("n/a", "()=HMAC"), "express-session": ("n/a", ""), "cookie-session": ("n/a", ""),
     "@hpke/core": ("no", "DhkemX25519HkdfSha256=HPKE DHKEM;curve=X25519;name=HPKE DHKEM(X25519)|DhkemP256HkdfSha256=HPKE DHKEM;curve=P-256;name=HPKE DHKEM(P-256)|DhkemP384HkdfSha384=HPKE DHKEM;curve=P-384;name=HPKE DHKEM(P-384)|DhkemP521HkdfSha512=HPKE DHKEM;curve=P-521;name=HPKE DHKEM(P-521)|HkdfSha256=HKDF;hash=SHA-256|HkdfSha384=HKDF;hash=SHA-384|HkdfSha512=HKDF;hash=SHA-512|Aes128Gcm=AES;bits=128;mode=GCM|Aes256Gcm=AES;bits=256;mode=GCM"),
-    "@hpke/hybridkem-x-wing": ("yes", "XWing=Hybrid KEM;name=X-Wing"), "@microtoll/crypto-core": ("partial", ""),
+    "@hpke/hybridkem-x-wing": ("yes", "XWing=Hybrid KEM;name=X-Wing"),
     "passport-saml": ("no", f"Strategy{_SAML}"), "@node-saml/passport-saml": ("no", f"Strategy{_SAML}"), "@node-saml/node-saml": ("no", f"SAML{_SAML}"),
     "xml-crypto": ("no", "SignedXml=Signature;name=XML signature;note=key-decides"), "xml-encryption": ("no", "encrypt=RSA;name=RSA key transport (XML encryption)|decrypt=RSA;name=RSA key transport (XML encryption)"),
     "node-2fa": ("n/a", "generateToken=HMAC;hash=SHA-1|verifyToken=HMAC;hash=SHA-1"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,9 +41,14 @@ ARGUMENT = rf"(?:[^,(){{}}\[\]'\"`/]++|{_ATOM}|/|{PAREN}|{BRACE}|{BRACKET})++"
 DECLARED = rf"^\s+({IDENT}|\{{[^}}]*+\}})\s*(?::[^=;\n]{{1,80}})?=(?![=>])\s*((?:[^;,\n(){{}}\[\]'\"`/]++|{_ATOM}|/|{PAREN}|{BRACE}|{BRACKET}){{1,60}}+)"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def units(text: Column) -> Column:
     """Length in UTF-16 units, as columns of a line are counted."""
-    return F.length(text) + F.regexp_count(text, F.lit("[\\x{10000}-\\x{10FFFF}]"))
+    return let(text, lambda t: F.length(t) + F.regexp_count(t, F.lit("[\\x{10000}-\\x{10FFFF}]")))
 
 
 def trim(text: Column) -> Column:
@@ -52,35 +59,37 @@ def plain(text: Column) -> Column:
     """A value without comments, casts and outer parentheses."""
     bare = trim(F.regexp_replace(text, rf"({STRING}|{TEMPLATE})|{COMMENT}", "$1"))
     bare = trim(F.regexp_replace(bare, r"\s+(?:as|satisfies)\s+[\w$.<>\[\]| ]+$", ""))
-    return F.when(bare.rlike(rf"^{PAREN}$"), trim(F.regexp_replace(bare, r"^\(|\)$", ""))).otherwise(bare)
+    return let(bare, lambda b: F.when(b.rlike(rf"^{PAREN}$"), trim(F.regexp_replace(b, r"^\(|\)$", ""))).otherwise(b))
 
 
 def resolved(text: Column, names: Column) -> Column:
     """A value, or for a name what its constant is set to, four constants on at most."""
-    out = plain(text)
-    for _ in range(4):
-        out = F.coalesce(plain(F.try_element_at(names, F.when(out.rlike(rf"^{IDENT}$"), out))), out)
-    return out
+    step = lambda out, _: F.coalesce(plain(F.try_element_at(names, F.when(out.rlike(rf"^{IDENT}$"), out))), out)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(4)), plain(text), step)
 
 
 def string_of(value: Column) -> Column:
     """The text of a literal, or null."""
-    body = F.regexp_replace(F.substring(value, F.lit(2), F.length(value) - 2), r"\\(.)", "$1")
-    return F.when(value.rlike(rf"^{STRING}$") | (value.rlike(rf"^{TEMPLATE}$") & ~value.contains("${")), body)
+    body = lambda v: F.regexp_replace(F.substring(v, F.lit(2), F.length(v) - 2), r"\\(.)", "$1")
+    return let(value, lambda v: F.when(v.rlike(rf"^{STRING}$") | (v.rlike(rf"^{TEMPLATE}$") & ~v.contains("${")), body(v)))
 
 
 def number_of(value: Column) -> Column:
-    return F.when(value.rlike(r"^-?\d[\d_]*n?$"), F.regexp_replace(value, r"[_n]", "").try_cast("bigint"))
+    return let(value, lambda v: F.when(v.rlike(r"^-?\d[\d_]*n?$"), F.regexp_replace(v, r"[_n]", "").try_cast("bigint")))
 
 
 def field(value: Column, key: str, names: Column) -> Column:
     """What an object literal sets a field to, resolved; null where it is no object or has no such field. Inner objects don't count."""
-    flat = F.regexp_replace(F.substring(value, 2, 10_000), rf"\{{[^{{}}]*+\}}(?=[\s\S]*\}})", "{}")
-    deep = F.regexp_extract(value, rf"(?s)[{{,]\s*['\"]?{key}['\"]?\s*:\s*(\{{[^{{}}]*+\}})", 1)
-    given = F.regexp_extract(F.concat(F.lit(","), flat), rf"(?s),\s*['\"]?{key}['\"]?\s*:\s*({STRING}|{TEMPLATE}|\{{\}}|[^,{{}}]+)", 1)
-    short = F.when(F.concat(F.lit(","), flat).rlike(rf"(?s),\s*{key}\s*[,}}]"), F.lit(key))
-    found = F.coalesce(F.when(trim(given) == "{}", deep), F.nullif(trim(given), F.lit("")), short)
-    return F.when(value.startswith("{"), resolved(found, names))
+
+    def read(v: Column) -> Column:
+        flat = F.concat(F.lit(","), F.regexp_replace(F.substring(v, 2, 10_000), r"\{[^{}]*+\}(?=[\s\S]*\})", "{}"))
+        deep = F.regexp_extract(v, rf"(?s)[{{,]\s*['\"]?{key}['\"]?\s*:\s*(\{{[^{{}}]*+\}})", 1)
+        given = lambda f: F.nullif(trim(F.regexp_extract(f, rf"(?s),\s*['\"]?{key}['\"]?\s*:\s*({STRING}|{TEMPLATE}|\{{\}}|[^,{{}}]+)", 1)), F.lit(""))
+        short = lambda f: F.when(f.rlike(rf"(?s),\s*{key}\s*[,}}]"), F.lit(key))
+        found = let(flat, lambda f: F.coalesce(let(given(f), lambda g: F.when(g == "{}", deep).otherwise(g)), short(f)))
+        return F.when(v.startswith("{"), resolved(found, names))
+
+    return let(value, read)
 
 
 def words_near(before: Column, rest: Column, file: Column) -> Column:
@@ -88,10 +97,10 @@ def words_near(before: Column, rest: Column, file: Column) -> Column:
     from cipherlode.functions.words import split_words
 
     lines = F.split(F.concat(before, rest), BREAK)
-    near = F.reverse(F.slice(lines, F.greatest(F.size(lines) - 8, F.lit(1)), 9))
-    comment = rf"(//.*$|/\*.*?(?:\*/|$)|^\s*\*.*$)"
+    near = let(lines, lambda x: F.reverse(F.slice(x, F.greatest(F.size(x) - 8, F.lit(1)), 9)))
+    comment = r"(//.*$|/\*.*?(?:\*/|$)|^\s*\*.*$)"
     bare = lambda s: F.regexp_replace(s, rf"({COMMENT})|{STRING}", "$1 ")
-    of = lambda s: F.concat(split_words(F.regexp_replace(bare(s), comment, " ")), split_words(F.array_join(F.regexp_extract_all(bare(s), F.lit(comment), F.lit(1)), " ")))
+    of = lambda s: let(bare(s), lambda b: F.concat(split_words(F.regexp_replace(b, comment, " ")), split_words(F.array_join(F.regexp_extract_all(b, F.lit(comment), F.lit(1)), " "))))
     base = F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"\.[^.]*$", "")
     return F.concat(F.flatten(F.transform(near, of)), split_words(base))
 
@@ -99,4 +108,4 @@ def words_near(before: Column, rest: Column, file: Column) -> Column:
 def evidence(before: Column, rest: Column) -> Column:
     """The line of a use, trimmed, 200 characters at most."""
     line = trim(F.concat(F.element_at(F.split(before, BREAK), -1), F.element_at(F.split(rest, BREAK), 1)))
-    return F.when(F.length(line) > 200, F.concat(F.left(line, F.lit(199)), F.lit("…"))).otherwise(line)
+    return let(line, lambda x: F.when(F.length(x) > 200, F.concat(F.left(x, F.lit(199)), F.lit("…"))).otherwise(x))

@@ -11,7 +11,6 @@ from cipherlode.functions import code as C
 from cipherlode.functions import names as N
 
 FOUND = ["path", "line", "col", "detector", "ord", "interface", "operation", "spec", "extra", "before", "after", "raw"]
-NONE = F.array().cast("array<string>") if False else None
 
 
 def _codes(*pairs: tuple[Column, str]) -> Column:
@@ -23,13 +22,21 @@ def _codes(*pairs: tuple[Column, str]) -> Column:
 
 def _arg(i: int) -> Column:
     """Argument i of a call, resolved, or null."""
-    return C.resolved(F.try_element_at("args", F.lit(i + 1)), F.col("names"))
+    return F.try_element_at("argv", F.lit(i + 1))
+
+
+def _text(i: int) -> Column:
+    return F.try_element_at("texts", F.lit(i + 1))
+
+
+def _number(i: int) -> Column:
+    return F.try_element_at("numbers", F.lit(i + 1))
 
 
 def _held(i: int, what: str) -> Column:
     """The use of a value that isn't written at the call."""
-    text = C.plain(F.try_element_at("args", F.lit(i + 1)))
-    return N.dynamic(F.when(text.isNotNull() & ~text.rlike(r"^[\d{\['\"]") & (text != "null"), F.concat(F.lit(f"{what} held in "), text)).otherwise(F.lit(f"{what} not written here")))
+    said = C.let(C.plain(F.try_element_at("args", F.lit(i + 1))), lambda t: F.when(t.isNotNull() & ~t.rlike(r"^[\d{\['\"]") & (t != "null"), F.concat(F.lit(f"{what} held in "), t)).otherwise(F.lit(f"{what} not written here")))
+    return N.dynamic(said)
 
 
 def _result(calls: DataFrame, detector: int, interface: Column | str, spec: Column, extra: Column | None = None, operation: Column | str = "operation") -> DataFrame:
@@ -44,6 +51,14 @@ def with_names(rows: DataFrame, constants: DataFrame) -> DataFrame:
     return rows.join(constants, "path", "left").withColumn("names", F.coalesce("names", F.create_map().cast("map<string,string>")))
 
 
+def with_values(calls: DataFrame, constants: DataFrame) -> DataFrame:
+    """Calls that a detector may ask for, with constants and their arguments resolved: argv as code, texts and numbers as literals."""
+    method = F.element_at("chain", -1)
+    asked = calls.where(F.col("module").isNotNull() | method.isin(*dims.SUBTLE, "getRandomValues", "randomUUID"))
+    out = with_names(asked, constants).withColumn("argv", F.transform("args", lambda a: C.resolved(a, F.col("names"))))
+    return out.withColumn("texts", F.transform("argv", C.string_of)).withColumn("numbers", F.transform("argv", C.number_of))
+
+
 def subtle_aliases(declared: DataFrame, fact: DataFrame) -> DataFrame:
     """(path, alias): names that are set to a SubtleCrypto object."""
     whole = declared.where(~F.col("name").startswith("{") & F.col("value").rlike(r"(?i)crypto[\w$]*\)?\s*\??\.\s*subtle\s*$")).select("path", F.col("name").alias("alias"))
@@ -52,7 +67,7 @@ def subtle_aliases(declared: DataFrame, fact: DataFrame) -> DataFrame:
     return whole.union(taken).distinct()
 
 
-def web_crypto(calls: DataFrame, aliases: DataFrame, constants: DataFrame) -> DataFrame:
+def web_crypto(calls: DataFrame, aliases: DataFrame) -> DataFrame:
     """SubtleCrypto methods, a finding for each algorithm argument, and the global random functions."""
     method = F.element_at("chain", -1)
     size = F.size("chain")
@@ -62,12 +77,12 @@ def web_crypto(calls: DataFrame, aliases: DataFrame, constants: DataFrame) -> Da
     found = _result(random.withColumn("operation", method), 0, "web-crypto", N.spec("CSPRNG"))
 
     named = calls.where(method.isin(*dims.SUBTLE)).withColumn("operation", method)
-    direct = (before_last == "subtle") & F.coalesce(F.when(size >= 3, F.try_element_at("chain", F.lit(-3)).rlike("(?i)crypto")), F.col("module").rlike("(?i)crypto") & (F.element_at("members", -2) == "subtle"), F.lit(False))
+    direct = (before_last == "subtle") & F.coalesce(F.when(size >= 3, F.try_element_at("chain", F.lit(-3)).rlike("(?i)crypto")), F.col("module").rlike("(?i)crypto") & (F.try_element_at("members", F.lit(-2)) == "subtle"), F.lit(False))
     bound = (size == 2) & (F.col("module") == "crypto") & (F.try_element_at("members", F.lit(-2)) == "subtle")
     aliased = named.where(size == 2).join(aliases, (named["path"] == aliases["path"]) & (F.element_at("chain", 1) == F.col("alias")), "left_semi")
     used = named.where(direct | F.coalesce(bound, F.lit(False))).unionByName(aliased).dropDuplicates(["path", "ord"])
     places = F.create_map(*(x for m, at in dims.SUBTLE.items() for x in (F.lit(m), F.array(*map(F.lit, at)))))
-    each = with_names(used, constants).withColumn("place", F.explode(F.element_at(places, F.col("operation"))))
+    each = used.withColumn("place", F.explode(F.element_at(places, F.col("operation"))))
     given = F.try_element_at("args", F.col("place") + 1)
     each = each.withColumn("given", given)
     # the argument's own place: what stands before it, over lines
@@ -77,71 +92,71 @@ def web_crypto(calls: DataFrame, aliases: DataFrame, constants: DataFrame) -> Da
     each = each.withColumn("lead", F.when(F.col("given").isNotNull(), rows))
     each = each.withColumn("at_line", F.col("line") + F.coalesce(F.size("lead") - 1, F.lit(0)))
     each = each.withColumn("at_col", F.when(F.size("lead") > 1, C.units(F.element_at("lead", -1)) + 1).when(F.size("lead") == 1, F.col("col") + C.units(F.col("raw")) + C.units(F.element_at("lead", 1))).otherwise(F.col("col")))
-    value = C.resolved(F.col("given"), F.col("names"))
-    each = each.withColumn("v", value)
-    v, names = F.col("v"), F.col("names")
-    field = lambda k: C.field(v, k, names)
-    hash_field = field("hash")
-    hash_name = F.coalesce(C.string_of(hash_field), C.string_of(C.field(hash_field, "name", names)))
+    at = F.col("place") + 1
+    each = each.withColumn("v", F.try_element_at("argv", at)).withColumn("t", F.try_element_at("texts", at))
+    names = F.col("names")
+    fields = ("name", "namedCurve", "hash", "length", "modulusLength", "iterations")
+    each = each.withColumns({f"f_{k}": C.field(F.col("v"), k, names) for k in fields})
+    each = each.withColumns({"s_name": C.string_of(F.col("f_name")), "s_curve": C.string_of(F.col("f_namedCurve")), "s_hash": F.coalesce(C.string_of(F.col("f_hash")), C.string_of(C.field(F.col("f_hash"), "name", names))), **{f"n_{k}": C.number_of(F.col(f"f_{k}")) for k in fields[3:]}})
     both = F.array_distinct(F.regexp_extract_all("v", F.lit(r"\bname\s*:\s*(['\"])([^'\"]+)\1"), F.lit(2)))
-    choice = F.when(~v.rlike(r"^['\"`{]") & v.contains("?") & (F.size(both) == 1), F.element_at(both, 1))
-    name = C.string_of(field("name"))
+    v = F.col("v")
+    each = each.withColumn("choice", F.when(~v.rlike(r"^['\"`{]") & v.contains("?"), both)).withColumn("choice", F.when(F.size("choice") == 1, F.element_at("choice", 1)))
+    literal = F.coalesce("t", "choice")
     spec = (
         F.when(F.col("given").isNull(), N.dynamic(F.concat("operation", F.lit(": no algorithm argument"))))
-        .when(C.string_of(v).isNotNull(), N.webcrypto(C.string_of(v)))
-        .when(choice.isNotNull(), N.webcrypto(choice))
-        .when(v.startswith("{") & name.isNotNull(), N.webcrypto(name, C.string_of(field("namedCurve")), hash_name, C.number_of(field("length")), C.number_of(field("modulusLength")), C.number_of(field("iterations"))))
-        .when(v.startswith("{"), N.dynamic(F.concat(F.lit("algorithm name held in "), F.coalesce(field("name"), F.lit("an expression")))))
+        .when(literal.isNotNull(), N.webcrypto(F.col("literal")))
+        .when(v.startswith("{") & F.col("s_name").isNotNull(), N.webcrypto(F.col("s_name"), F.col("s_curve"), F.col("s_hash"), F.col("n_length"), F.col("n_modulusLength"), F.col("n_iterations")))
+        .when(v.startswith("{"), N.dynamic(F.concat(F.lit("algorithm name held in "), F.coalesce("f_name", F.lit("an expression")))))
         .otherwise(N.dynamic(F.concat(F.lit("algorithm held in "), C.plain(F.col("given")))))
     )
-    unread = [field(k).isNotNull() & C.string_of(field(k)).isNull() for k in ("namedCurve",)] + [field(k).isNotNull() & C.number_of(field(k)).isNull() for k in ("length", "modulusLength", "iterations")] + [hash_field.isNotNull() & hash_name.isNull()]
-    some = unread[0]
-    for test in unread[1:]:
-        some = some | test
+    each = each.withColumn("literal", literal)
+    some = F.lit(False)
+    for given_as, known_as in (("f_namedCurve", "s_curve"), ("f_hash", "s_hash"), *((f"f_{k}", f"n_{k}") for k in fields[3:])):
+        some = some | (F.col(given_as).isNotNull() & F.col(known_as).isNull())
     placed = each.withColumn("spec_", spec).withColumn("extra_", _codes((some, "parameter-not-literal"))).withColumn("ord", F.concat_ws(".", "ord", F.col("place").cast("string")))
     placed = placed.withColumn("after", F.when(F.col("at_line") > F.col("line"), F.concat(F.col("raw"), F.substring("after", 1, 600))).otherwise(F.col("after")))
     subtle = placed.select("path", F.col("at_line").alias("line"), F.col("at_col").alias("col"), F.lit(0).alias("detector"), "ord", F.lit("web-crypto").alias("interface"), "operation", F.col("spec_").alias("spec"), F.col("extra_").alias("extra"), "before", "after", "raw")
     return found.unionByName(subtle.where("spec IS NOT NULL"))
 
 
-def node_crypto(calls: DataFrame, constants: DataFrame) -> DataFrame:
+def node_crypto(calls: DataFrame) -> DataFrame:
     """Calls bound to node:crypto, by method and literal arguments."""
-    path = F.when(F.element_at("members", 1) == "webcrypto", F.slice("members", 2, 100)).otherwise(F.col("members"))
+    path = F.when(F.try_element_at("members", F.lit(1)) == "webcrypto", F.slice("members", 2, 100)).otherwise(F.col("members"))
     used = calls.where((F.col("module") == "crypto") & ~F.array_contains("members", "subtle")).withColumn("operation", F.array_join(path, ".")).where("operation <> ''")
-    used = with_names(used, constants)
     m, names = F.col("operation"), F.col("names")
-    text = lambda i: C.string_of(_arg(i))
-    option = lambda i, k: C.field(_arg(i), k, names)
-    hashed = lambda v: F.coalesce(N.normalise_hash(v), v)
+    asked = {"o1_modulus": (1, "modulusLength"), "o1_curve": (1, "namedCurve"), "o1_prime": (1, "primeLength"), "o1_group": (1, "group"), "o1_length": (1, "length"), "o3_n": (3, "N"), "o3_cost": (3, "cost"), "o0_key": (0, "key")}
+    used = used.withColumns({c: C.field(_arg(i), k, names) for c, (i, k) in asked.items()})
+    key = F.coalesce(F.when(F.col("o0_key").startswith("{"), F.col("o0_key")), F.when(_arg(0).startswith("{"), _arg(0)))
+    used = used.withColumns({"t0": _text(0), "jwk": key, "modulus": C.number_of(F.col("o1_modulus")), "curve": C.string_of(F.col("o1_curve")), "prime": C.number_of(F.col("o1_prime")), "modp": C.string_of(F.col("o1_group")), "length": C.number_of(F.col("o1_length")), "cost": F.coalesce(C.number_of(F.col("o3_n")), C.number_of(F.col("o3_cost")))})
+    used = used.withColumns({"kty": C.string_of(C.field(F.col("jwk"), "kty", names)), "crv": C.string_of(C.field(F.col("jwk"), "crv", names)), "h0": N.normalise_hash(F.col("t0")), "h4": F.coalesce(N.normalise_hash(_text(4)), _text(4))})
+    t0, h0 = F.col("t0"), F.col("h0")
     counted = lambda key, n: F.map_filter(F.create_map(F.lit(key), n.cast("string")), lambda _, v: v.isNotNull())
-    key = F.coalesce(F.when(option(0, "key").startswith("{"), option(0, "key")), F.when(_arg(0).startswith("{"), _arg(0)))
     padded = F.col("inside").contains("RSA_PKCS1_PADDING")
-    iterations, cost = C.number_of(_arg(2)), F.coalesce(C.number_of(option(3, "N")), C.number_of(option(3, "cost")))
-    length = C.number_of(option(1, "length"))
+    iterations = _number(2)
     spec = (
         F.when(m.isin(*dims.RANDOM_METHODS), N.spec("CSPRNG"))
-        .when(m.isin("createHash", "hash"), F.when(text(0).isNull(), _held(0, "hash")).when(N.normalise_hash(text(0)).isNotNull(), N.spec("Hash", hash=N.normalise_hash(text(0)))).otherwise(N.unknown_literal(text(0))))
-        .when(m == "createHmac", F.when(text(0).isNull(), _held(0, "HMAC hash")).otherwise(N.spec("HMAC", hash=hashed(text(0)))))
-        .when(m.isin("createCipheriv", "createDecipheriv", "createCipher", "createDecipher"), F.when(text(0).isNull(), _held(0, "cipher")).otherwise(N.cipher(text(0))))
-        .when(m.isin("generateKeyPair", "generateKeyPairSync"), F.when(text(0).isNull(), _held(0, "key type")).otherwise(N.key_type(text(0), C.number_of(option(1, "modulusLength")), C.string_of(option(1, "namedCurve")), C.number_of(option(1, "primeLength")), C.string_of(option(1, "group")))))
-        .when(m.isin("generateKey", "generateKeySync"), F.when(text(0) == "aes", N.spec("AES", key_size=length)).when(text(0) == "hmac", N.spec("HMAC", key_size=length)).when(text(0).isNull(), _held(0, "key type")).otherwise(N.unknown_literal(text(0))))
+        .when(m.isin("createHash", "hash"), F.when(t0.isNull(), _held(0, "hash")).when(h0.isNotNull(), N.spec("Hash", hash=h0)).otherwise(N.unknown_literal(t0)))
+        .when(m == "createHmac", F.when(t0.isNull(), _held(0, "HMAC hash")).otherwise(N.spec("HMAC", hash=F.coalesce(h0, t0))))
+        .when(m.isin("createCipheriv", "createDecipheriv", "createCipher", "createDecipher"), F.when(t0.isNull(), _held(0, "cipher")).otherwise(N.cipher(t0)))
+        .when(m.isin("generateKeyPair", "generateKeyPairSync"), F.when(t0.isNull(), _held(0, "key type")).otherwise(N.key_type(t0, F.col("modulus"), F.col("curve"), F.col("prime"), F.col("modp"))))
+        .when(m.isin("generateKey", "generateKeySync"), F.when(t0 == "aes", N.spec("AES", key_size=F.col("length"))).when(t0 == "hmac", N.spec("HMAC", key_size=F.col("length"))).when(t0.isNull(), _held(0, "key type")).otherwise(N.unknown_literal(t0)))
         .when(m.isin("sign", "verify") & (F.coalesce(_arg(0), F.lit("null")) == "null"), N.dynamic(F.lit("signature algorithm set by the key")))
-        .when(m.isin("createSign", "createVerify", "sign", "verify"), F.when(text(0).isNull(), _held(0, "signature algorithm")).otherwise(N.signature(text(0))))
-        .when(m == "createECDH", N.spec("ECDH", curve=N.normalise_curve(text(0))))
-        .when(m == "createDiffieHellman", N.spec("DH", key_size=C.number_of(_arg(0))))
-        .when(m.isin("getDiffieHellman", "createDiffieHellmanGroup"), N.spec("DH", key_size=N.modp_bits(text(0))))
+        .when(m.isin("createSign", "createVerify", "sign", "verify"), F.when(t0.isNull(), _held(0, "signature algorithm")).otherwise(N.signature(t0)))
+        .when(m == "createECDH", N.spec("ECDH", curve=N.normalise_curve(t0)))
+        .when(m == "createDiffieHellman", N.spec("DH", key_size=_number(0)))
+        .when(m.isin("getDiffieHellman", "createDiffieHellmanGroup"), N.spec("DH", key_size=N.modp_bits(t0)))
         .when(m == "diffieHellman", N.spec("DH/ECDH", notes=["key-decides"]))
         .when(m.isin("publicEncrypt", "privateDecrypt"), F.when(padded, N.spec("RSAES-PKCS1-v1_5")).otherwise(N.spec("RSA-OAEP")))
         .when(m.isin("privateEncrypt", "publicDecrypt"), N.spec("RSA raw signature"))
-        .when(m.isin("pbkdf2", "pbkdf2Sync"), N.spec("PBKDF2", hash=hashed(text(4)), parameters=counted("iterations", iterations)))
-        .when(m.isin("scrypt", "scryptSync"), N.spec("scrypt", parameters=counted("N", cost)))
-        .when(m.isin("hkdf", "hkdfSync"), N.spec("HKDF", hash=hashed(text(0))))
-        .when(m.isin("createPublicKey", "createPrivateKey"), F.coalesce(N.jwk(C.string_of(C.field(key, "kty", names)), C.string_of(C.field(key, "crv", names))), N.dynamic(F.lit("key type set by the key material"))))
+        .when(m.isin("pbkdf2", "pbkdf2Sync"), N.spec("PBKDF2", hash=F.col("h4"), parameters=counted("iterations", iterations)))
+        .when(m.isin("scrypt", "scryptSync"), N.spec("scrypt", parameters=counted("N", F.col("cost"))))
+        .when(m.isin("hkdf", "hkdfSync"), N.spec("HKDF", hash=F.coalesce(h0, t0)))
+        .when(m.isin("createPublicKey", "createPrivateKey"), F.coalesce(N.jwk(F.col("kty"), F.col("crv")), N.dynamic(F.lit("key type set by the key material"))))
         .when(m == "KeyObject.from", N.dynamic(F.lit("key type set by the key")))
         .when(m == "X509Certificate", N.dynamic(F.lit("X.509 certificate: its algorithms are inside the certificate")))
         .when(m.isin("encapsulate", "decapsulate"), N.dynamic(F.lit("key encapsulation: the algorithm is set by the key")))
     )
-    extra = _codes((m.isin("pbkdf2", "pbkdf2Sync") & iterations.isNull(), "parameter-not-literal"), ((m == "createECDH") & text(0).isNull(), "parameter-not-literal"))
+    extra = _codes((m.isin("pbkdf2", "pbkdf2Sync") & iterations.isNull(), "parameter-not-literal"), ((m == "createECDH") & t0.isNull(), "parameter-not-literal"))
     return _result(used, 1, "node:crypto", spec, extra)
 
 
@@ -177,33 +192,33 @@ def longest_member(uses: DataFrame) -> DataFrame:
     return joined.withColumn("r", F.row_number().over(rank)).where("r = 1").drop("r")
 
 
-def library_calls(calls: DataFrame, constants: DataFrame) -> DataFrame:
+def library_calls(calls: DataFrame) -> DataFrame:
     """Calls of catalogued packages, with the literal arguments that their rows name; also the second algorithm of a call that has two."""
     p = package_of(F.col("module"))
     uses = calls.where("module IS NOT NULL").withColumn("package", p["name"]).withColumn("subpath", p["subpath"]).withColumn("key", F.coalesce(F.nullif(F.array_join("members", "."), F.lit("")), F.lit("()")))
-    found = with_names(longest_member(uses), constants).withColumn("operation", F.col("key"))
+    found = longest_member(uses).withColumn("operation", F.col("key"))
     names = F.col("names")
 
     def at(column: str) -> Column:
         place = F.element_at(F.split(column, r"\."), 1).cast("int")
         inner = F.try_element_at(F.split(column, r"\."), F.lit(2))
-        arg = C.resolved(F.try_element_at("args", place + 1), names)
+        arg = F.try_element_at("argv", place + 1)
         choices = F.coalesce(*(F.when(inner == k, C.field(arg, k, names)) for k in ("bits", "b", "iterations", "c")))
         return F.when(F.col(column).isNotNull(), F.when(inner.isNull(), arg).otherwise(choices))
 
-    kind = C.string_of(at("key_type_at"))
-    second = C.resolved(F.try_element_at("args", F.lit(2)), names)
-    cost_at = F.when(F.col("family") == "bcrypt", F.when(F.col("member").startswith("hash"), F.try_element_at("args", F.lit(2))).when(F.col("member").startswith("genSalt"), F.try_element_at("args", F.lit(1))))
-    rounds = F.when((F.col("package") == "@noble/hashes") & (F.col("family") == "PBKDF2"), C.field(C.resolved(F.try_element_at("args", F.lit(4)), names), "c", names)).otherwise(at("iterations_at"))
+    found = found.withColumns({c: at(c) for c in ("key_type_at", "iterations_at", "curve_at", "size_at")} | {"cipher_": at("cipher_at")})
+    noble = F.col("package") == "@noble/hashes"
+    cost_at = F.when(F.col("family") == "bcrypt", F.when(F.col("member").startswith("hash"), _number(1)).when(F.col("member").startswith("genSalt"), _number(0)))
+    rounds = F.when(noble & (F.col("family") == "PBKDF2"), C.field(_arg(3), "c", names)).otherwise(F.col("iterations_at"))
     first = C.plain(F.try_element_at("args", F.lit(1)))
-    named_hash = F.when((F.col("package") == "@noble/hashes") & F.col("family").isin("HMAC", "HKDF", "PBKDF2") & first.rlike(rf"^{C.IDENT}$"), N.normalise_hash(first))
-    params = F.map_filter(F.create_map(F.lit("cost"), C.number_of(C.resolved(cost_at, names)).cast("string"), F.lit("iterations"), C.number_of(rounds).cast("string")), lambda _, v: v.isNotNull())
-    curve = N.normalise_curve(F.coalesce(C.string_of(at("curve_at")), F.col("curve")))
+    named_hash = C.let(first, lambda f: F.when(noble & F.col("family").isin("HMAC", "HKDF", "PBKDF2") & f.rlike(rf"^{C.IDENT}$"), N.normalise_hash(f)))
+    found = found.withColumns({"kind_": F.upper(C.string_of(F.col("key_type_at"))), "cipher_": C.string_of(F.col("cipher_")), "rounds": C.number_of(rounds), "cost": cost_at, "hash": F.coalesce(named_hash, F.col("hash")), "curve_": N.normalise_curve(F.coalesce(C.string_of(F.col("curve_at")), F.col("curve"))), "bits": F.coalesce(C.number_of(F.col("size_at")), F.col("bits"))})
+    params = F.map_filter(F.create_map(F.lit("cost"), F.col("cost").cast("string"), F.lit("iterations"), F.col("rounds").cast("string")), lambda _, v: v.isNotNull())
     notes = F.when(F.col("note").isNotNull(), F.array("note")).otherwise(F.array().cast("array<string>"))
     spec = (
-        F.when(F.col("cipher_at").isNotNull(), F.coalesce(N.cipher(C.string_of(at("cipher_at"))), N.dynamic(F.lit("cipher name not written here"))))
-        .when(F.col("key_type_at").isNotNull(), F.when(F.upper(kind) == "EC", N.spec("EC", curve=N.normalise_curve(C.string_of(second)))).when(F.upper(kind) == "RSA", N.spec("RSA", key_size=C.number_of(second))).otherwise(N.dynamic(F.lit("key type not written here"))))
-        .otherwise(N.spec(F.col("family"), key_size=F.coalesce(C.number_of(at("size_at")), F.col("bits")), curve=curve, hash=F.coalesce(named_hash, F.col("hash")), mode=F.col("mode"), name=F.col("name"), parameters=params, notes=notes))
+        F.when(F.col("cipher_at").isNotNull(), F.coalesce(N.cipher(F.col("cipher_")), N.dynamic(F.lit("cipher name not written here"))))
+        .when(F.col("key_type_at").isNotNull(), F.when(F.col("kind_") == "EC", N.spec("EC", curve=N.normalise_curve(_text(1)))).when(F.col("kind_") == "RSA", N.spec("RSA", key_size=_number(1))).otherwise(N.dynamic(F.lit("key type not written here"))))
+        .otherwise(N.spec(F.col("family"), key_size=F.col("bits"), curve=F.col("curve_"), hash=F.col("hash"), mode=F.col("mode"), name=F.col("name"), parameters=params, notes=notes))
     )
     face = F.concat(F.lit("library:"), F.col("package"))
     also = found.where("also IS NOT NULL").withColumn("ord", F.concat("ord", F.lit("+")))
@@ -219,15 +234,15 @@ def plain_uses(calls: DataFrame) -> DataFrame:
     return uses.join(F.broadcast(dims.plain_members(calls.sparkSession)), "package").where(hit).select("path", "package").distinct()
 
 
-def jwt_default(calls: DataFrame, constants: DataFrame) -> DataFrame:
+def jwt_default(calls: DataFrame) -> DataFrame:
     """jsonwebtoken's sign without an algorithm: HS256; one in a variable is dynamic."""
-    used = with_names(calls.where((F.col("module") == "jsonwebtoken") & (F.array_join("members", ".") == "sign")), constants).withColumn("operation", F.lit("sign"))
+    used = calls.where((F.col("module") == "jsonwebtoken") & (F.array_join("members", ".") == "sign")).withColumn("operation", F.lit("sign"))
     given, options = F.try_element_at("args", F.lit(3)), _arg(2)
-    alg = C.field(options, "algorithm", F.col("names"))
+    used = used.withColumn("alg", C.field(options, "algorithm", F.col("names"))).withColumn("t_alg", C.string_of(F.col("alg")))
     default = N.spec("HMAC", hash="SHA-256", name="HS256", notes=["library-default"])
     spec = (
         F.when(given.isNull() | C.plain(given).rlike(r"^(function|async)\b|=>"), default)
-        .when(options.startswith("{"), F.when(alg.isNull(), default).when(C.string_of(alg).isNull(), N.dynamic(F.lit("JWT algorithm not written here"))))
+        .when(options.startswith("{"), F.when(F.col("alg").isNull(), default).when(F.col("t_alg").isNull(), N.dynamic(F.lit("JWT algorithm not written here"))))
         .otherwise(N.dynamic(F.concat(F.lit("JWT options held in "), C.plain(given))))
     )
     return _result(used, 3, "library:jsonwebtoken", spec)
@@ -262,15 +277,16 @@ def findings(found: DataFrame, in_test: Column | None = None) -> DataFrame:
 
     s = F.col("spec")
     rest = F.concat("raw", F.element_at(F.split("after", C.BREAK), 1))
-    described = found.select(
-        N.display_name(s).alias("algorithm"), s["family"].alias("family"), N.class_of(s["family"]).alias("class"), N.kind_of(s["family"]).alias("kind"), s["key_size"].alias("key_size"), s["curve"].alias("curve"), s["hash"].alias("hash"), s["parameters"].alias("parameters"),
-        "interface", "operation", F.col("path").alias("file"), "line", F.col("col").alias("column"), C.evidence(F.col("before"), rest).alias("evidence"), s["dynamic"].alias("dynamic"), F.array_distinct(F.concat(N.note_codes(s), "extra")).alias("notes"), C.words_near(F.col("before"), rest, F.col("path")).alias("words"), "detector", "ord",
+    staged = found.withColumns({"algorithm": N.display_name(s), "family": s["family"], "kind": N.kind_of(s["family"]), "rest": rest})
+    described = staged.select(
+        "algorithm", "family", N.class_of(F.col("family")).alias("class"), "kind", s["key_size"].alias("key_size"), s["curve"].alias("curve"), s["hash"].alias("hash"), s["parameters"].alias("parameters"),
+        "interface", "operation", F.col("path").alias("file"), "line", F.col("col").alias("column"), C.evidence(F.col("before"), F.col("rest")).alias("evidence"), s["dynamic"].alias("dynamic"), F.array_distinct(F.concat(N.note_codes(s, F.col("algorithm"), F.col("kind")), "extra")).alias("notes"), "before", "rest", "path", "detector", "ord",
     )
     first = W.Window.partitionBy("file", "line", "column", "algorithm", "operation", "interface").orderBy("detector", "ord")
     once = described.withColumn("r", F.row_number().over(first)).where("r = 1")
     vulnerable = F.col("class") == "public-key"
-    p = F.when(vulnerable, priority(F.col("kind"), F.col("words")))
-    out = once.withColumn("p", p).withColumn("quantum_vulnerable", vulnerable)
+    once = once.withColumn("quantum_vulnerable", vulnerable).withColumn("words", F.when(vulnerable, C.words_near(F.col("before"), F.col("rest"), F.col("path"))))
+    out = once.withColumn("p", F.when(vulnerable, priority(F.col("kind"), F.col("words"))))
     return out.select(
         "algorithm", "family", "class", "kind", "quantum_vulnerable", "key_size", "curve", "hash", "parameters", "interface", "operation", "file", "line", "column", "evidence", "dynamic",
         F.col("p.priority").alias("priority"), F.col("p.word").alias("priority_word"), F.col("p.reason").alias("priority_reason"), replacement(F.col("p.priority")).alias("replacement"), "notes", (in_test if in_test is not None else F.lit(False)).alias("in_test"),
@@ -284,16 +300,14 @@ def detect(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     fact = lexical.facts(files).persist()
     sites = lexical.import_sites(fact)
     bound = lexical.bindings(sites)
-    call = lexical.calls(fact, bound).persist()
     declared = lexical.declarations(fact)
     consts = lexical.constants(declared, sites)
+    call = with_values(lexical.calls(fact, bound), consts).persist()
     packages = imported_packages(sites)
-    libs = library_calls(call, consts)
-    jwt = jwt_default(call, consts)
-    jose = jose_literals(fact, packages)
+    libs, jwt, jose = library_calls(call), jwt_default(call), jose_literals(fact, packages)
     named = jose.select("path", F.explode(F.split(F.substring(F.col("interface"), 9, 1000), " or ")).alias("package"))
     used = libs.union(jwt).select("path", F.substring(F.col("interface"), 9, 1000).alias("package")).union(named).union(plain_uses(call))
-    found = web_crypto(call, subtle_aliases(declared, fact), consts)
-    for part in (node_crypto(call, consts), parameters(declared), libs, jwt, jose, unread_imports(packages, used)):
+    found = web_crypto(call, subtle_aliases(declared, fact))
+    for part in (node_crypto(call), parameters(declared), libs, jwt, jose, unread_imports(packages, used)):
         found = found.unionByName(part.select(*FOUND))
-    return found, packages, with_names(call, consts)
+    return found, packages, call
