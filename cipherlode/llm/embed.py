@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherlode.llm.graph import components
+from cipherlode.llm.graph import components, lowest
 from cipherlode.llm.text import settle
 
 THRESHOLD = 0.93
@@ -34,20 +34,6 @@ def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([d] * d * d, pa.int32()), pa.array(range(d * d), pa.int32()), pa.array(s.ravel())], ["d", "i", "v"])
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Lowest node reachable, for nodes 0..n-1 and edges a-b."""
-    low = np.arange(n)
-    while True:
-        new = low.copy()
-        m = np.minimum(low[a], low[b])
-        np.minimum.at(new, a, m)
-        np.minimum.at(new, b, m)
-        new = new[new]
-        if (new == low).all():
-            return low
-        low = new
-
-
 def near_duplicates(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """(key, n_links, component_id, kept) for every row: links to other rows of the same label by cosine >= threshold.
 
@@ -107,7 +93,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", embedding: str = "embedd
                     continue
                 links = [(ids, np.bincount(i, m[j], len(ids)))] + ([] if same else [(jds, np.bincount(j, n[i], len(jds)))])
                 nodes = np.concatenate((ids, jds))
-                low = _forest(i, j + len(ids), len(nodes)) if not same else _forest(i, j, len(ids))
+                low = lowest(i, j + len(ids), len(nodes)) if not same else lowest(i, j, len(ids))
                 nodes = nodes[: len(low)]
                 moved = np.flatnonzero(low != np.arange(len(low)))
                 some = [(q[k > 0], k[k > 0].astype(np.int64)) for q, k in links]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from cipherlode.llm.graph import components
-from cipherlode.llm.text import chunks, mix, settle, shingles, with_uid, words
+from cipherlode.llm.text import chunks, mix, settle, shingles, stored_by, with_uid, words
 
 #: Words of a shingle; percent of the union that linked sets share.
 WIDTH, PERCENT = 5, 75
@@ -22,6 +22,8 @@ WIDTH, PERCENT = 5, 75
 EXTRA_SMALL, EXTRA_MOST, EXTRA = 35, 90, 10
 #: Bytes of text for one bucket of shingle hashes; hashes that a task holds before it sends them.
 BUCKET_BYTES, HELD = 16 << 20, 1 << 22
+#: Bytes of looked-up elements for one bucket when sets meet.
+LOOK_BYTES = 8 << 20
 #: The place of a shingle that several documents of one batch hold.
 SEVERAL = 0xFFFF
 #: Documents in one part of a region; new pivots of a region in a round.
@@ -44,14 +46,31 @@ def prefix_size(n: int, percent: int) -> int:
     return min(n, n - int(np.ceil(n * percent / 100)) + 1 + extra(n))
 
 
-def shared_at_least(n: Column, percent: int) -> Column:
+def shared_at_least(n: np.ndarray, percent: int) -> np.ndarray:
     """How many looked-up elements a set shares with any that it links to, at least, less one: extra() of the smallest such set."""
-    low = sure(n, percent)
-    return F.greatest(F.floor(low * EXTRA / 100), F.least(F.floor(low * EXTRA_SMALL / 100), F.lit(EXTRA_MOST)))
+    low = sure(n, percent).astype(np.int64)
+    return np.maximum(low * EXTRA // 100, np.minimum(low * EXTRA_SMALL // 100, EXTRA_MOST))
 
 
-def _set(found: np.ndarray) -> np.ndarray:
-    return np.unique(found)
+def pack(hashes: np.ndarray) -> bytes:
+    """Sorted hashes by their upper 48 bits, six bytes each."""
+    return (hashes >> np.uint64(16)).astype(np.uint32).tobytes() + (hashes >> np.uint64(48)).astype(np.uint16).tobytes()
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    n = len(blob) // 6
+    return np.frombuffer(blob, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32) | np.frombuffer(blob, np.uint32, n)
+
+
+def _steps(sorted_codes: np.ndarray) -> bytes:
+    """Ascending numbers as differences, four bytes each where they fit, after a byte that says which."""
+    steps = np.diff(sorted_codes, prepend=np.uint64(0))
+    wide = len(steps) > 0 and int(steps.max()) >= 1 << 32
+    return (b"\1" if wide else b"\0") + steps.astype(np.uint64 if wide else np.uint32).tobytes()
+
+
+def _unstep(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(blob, np.uint64 if blob[:1] == b"\1" else np.uint32, offset=1).astype(np.uint64), dtype=np.uint64)
 
 
 def _inspect(n_buckets: int, width: int, percent: int):
@@ -64,7 +83,7 @@ def _inspect(n_buckets: int, width: int, percent: int):
             for first, texts in chunks(batch.column(2)):
                 hashes, at = shingles(words(texts), width)
                 for a, z in zip(at, at[1:], strict=False):
-                    own = _set(hashes[a:z])
+                    own = np.unique(hashes[a:z])
                     mixed = mix(own)
                     sizes.append(len(own))
                     prints.append((int(mixed.sum().astype(np.int64)), int(np.bitwise_xor.reduce(mix(mixed)).astype(np.int64)) if len(own) else 0))
@@ -79,50 +98,149 @@ def _inspect(n_buckets: int, width: int, percent: int):
     def flush(batch: pa.RecordBatch, uids: np.ndarray, start: int, done: int, sizes: list, prints: list, held: list) -> Iterator[pa.RecordBatch]:
         n = done - start
         place = np.repeat(np.arange(n), [len(h) for h in held])
-        hashes = np.concatenate(held)
+        hashes = np.concatenate(held) >> np.uint64(16)
         order = np.argsort(hashes, kind="stable")
         hashes, place = hashes[order], place[order]
         lead = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, np.int64)
         run = np.diff(np.append(lead, len(hashes)))
         several = np.repeat(run > 1, run)
         local = np.bincount(place[several], minlength=n)
-        code = (hashes[lead] >> np.uint64(16)) << np.uint64(16) | np.where(run > 1, SEVERAL, place[lead]).astype(np.uint64)
-        bucket = (hashes[lead] % np.uint64(n_buckets)).astype(np.int64)
+        code, who = hashes[lead], np.where(run > 1, SEVERAL, place[lead]).astype(np.uint16)
+        bucket = (code % np.uint64(n_buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
         some = np.flatnonzero(np.diff(cuts))
-        m = len(some)
-        mine = uids[start:done]
+        parts = [by[cuts[b] : cuts[b + 1]] for b in some]
+        m, mine, none = len(some), uids[start:done], [None] * len(some)
         columns = [
-            pa.concat_arrays([pa.array(mine % n_buckets), pa.array(some, pa.int64())]),
-            pa.concat_arrays([pa.array(mine), pa.array(np.full(m, mine[0]))]),
+            pa.concat_arrays([pa.array(mine % n_buckets), pa.array(some, pa.int64())]), pa.array(np.full(n + m, mine[0])), pa.concat_arrays([pa.array(mine), pa.nulls(m, pa.int64())]),
             pa.concat_arrays([batch.column(1).slice(start, n), pa.nulls(m, batch.column(1).type)]),
-            pa.array([*sizes, *[None] * m], pa.int32()), pa.array([*(p[0] for p in prints), *[None] * m], pa.int64()), pa.array([*(p[1] for p in prints), *[None] * m], pa.int64()),
-            pa.array([*local.tolist(), *[None] * m], pa.int64()), pa.array([*[None] * n, *(code[by[cuts[b] : cuts[b + 1]]].tobytes() for b in some)], pa.binary()),
+            pa.array([*sizes, *none], pa.int32()), pa.array([*(p[0] for p in prints), *none], pa.int64()), pa.array([*(p[1] for p in prints), *none], pa.int64()), pa.array([*local.tolist(), *none], pa.int64()),
+            pa.array([*[None] * n, *(_steps(code[p]) for p in parts)], pa.binary()), pa.array([*[None] * n, *(who[p].tobytes() for p in parts)], pa.binary()),
         ]
-        yield pa.RecordBatch.from_arrays(columns, ["bucket", "uid", "key", "n", "f1", "f2", "shared", "codes"])
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "base", "uid", "key", "n", "f1", "f2", "shared", "codes", "who"])
 
     return send
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Of one bucket: the documents' own rows, and how many of a document's hashes here another document has."""
+    """Of one bucket: the documents' own rows, and for each batch that sent hashes here one row with how many of each document's another one has."""
     sent = table.filter(pc.is_valid(table.column("codes")))
     own = table.filter(pc.is_null(table.column("codes"))).drop_columns(["bucket", "codes"])
     if not len(sent):
         return own
-    codes = [np.frombuffer(b, np.uint64) for b in sent.column("codes").to_pylist()]
-    base = np.repeat(np.asarray(sent.column("uid")), [len(c) for c in codes])
-    code = np.concatenate(codes)
-    order = np.argsort(code >> np.uint64(16), kind="stable")
-    code, base = code[order], base[order]
-    hashes, place = code >> np.uint64(16), (code & np.uint64(SEVERAL)).astype(np.int64)
-    lead = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
-    run = np.diff(np.append(lead, len(hashes)))
-    shared = (run > 1) | np.maximum.reduceat(place == SEVERAL, lead)
-    uids, n = np.unique((base + place)[np.repeat(shared, run) & (place != SEVERAL)], return_counts=True)
-    none = {c: pa.nulls(len(uids), own.schema.field(c).type) for c in ("key", "n", "f1", "f2")}
-    return pa.concat_tables([own, pa.table({"uid": uids, **none, "shared": n.astype(np.int64)}, own.schema)])
+    codes, who = [_unstep(b) for b in sent.column("codes").to_pylist()], [np.frombuffer(b, np.uint16) for b in sent.column("who").to_pylist()]
+    cuts = np.cumsum([0, *map(len, codes)])
+    code, place = np.concatenate(codes), np.concatenate(who).astype(np.int64)
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    lead = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    run = np.diff(np.append(lead, len(code)))
+    hit = np.zeros(len(code), bool)
+    hit[order] = np.repeat((run > 1) | np.maximum.reduceat(place[order] == SEVERAL, lead), run)
+    hit &= place != SEVERAL  # those are counted where they were sent
+    answers = []
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        docs, n = np.unique(place[a:z][hit[a:z]], return_counts=True)
+        answers.append(docs.astype(np.uint16).tobytes() + n.astype(np.uint32).tobytes())
+    none = {c: pa.nulls(len(sent), own.schema.field(c).type) for c in ("uid", "key", "n", "f1", "f2", "shared")}
+    return pa.concat_tables([own, pa.table({"base": sent.column("base"), **none, "who": pa.array(answers, pa.binary())}).select(own.schema.names).cast(own.schema)])
+
+
+def _total(table: pa.Table) -> pa.Table:
+    """Of one batch: its documents with the hashes that they share, over all buckets."""
+    own = table.filter(pc.is_valid(table.column("uid"))).sort_by("uid")
+    shared = own.column("shared").to_numpy().copy()
+    for blob in table.filter(pc.is_null(table.column("uid"))).column("who").to_pylist():
+        n = len(blob) // 6
+        shared[np.frombuffer(blob, np.uint16, n)] += np.frombuffer(blob, np.uint32, n, 2 * n)
+    return own.select(["uid", "key", "n", "f1", "f2"]).append_column("shared", pa.array(shared))
+
+
+def _bands(n: np.ndarray, percent: int) -> np.ndarray:
+    """Linked sets are in the same band or in neighbouring ones."""
+    return np.floor(np.log(n) / math.log(100 / percent * 1.001)).astype(np.int64)
+
+
+def _look_up(n_buckets: int, percent: int):
+    """Sends each set's looked-up elements by bucket, with a table of the sets that have some there."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, SEVERAL // 2):
+                yield part(batch.slice(k, SEVERAL // 2))
+
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        uids, ns, weights = (np.asarray(batch.column(c)).astype(np.int64) for c in (0, 1, 2))
+        held = [unpack(b.as_py())[: prefix_size(n, percent)] for b, n in zip(batch.column(3), ns.tolist(), strict=True)]
+        code, place = np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
+        bucket = (code % np.uint64(n_buckets)).astype(np.int64)
+        order = np.lexsort((code, bucket))
+        cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        rows = []
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            at = order[cuts[b] : cuts[b + 1]]
+            here, local = np.unique(place[at], return_inverse=True)
+            rows.append((b, int(uids[0]), _steps(code[at]), local.astype(np.uint16).tobytes(), here.astype(np.uint16).tobytes(), uids[here].tobytes(), ns[here].tobytes(), weights[here].tobytes()))
+        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 6)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "base", "codes", "local", "here", "uids", "ns", "weights"])
+
+    return send
+
+
+def _point(percent: int):
+    """Of one bucket: each element points to the most shared set of a band that has it, a pivot. Each batch gets (set, band, pivot, elements) of its own sets."""
+
+    def point(table: pa.Table) -> pa.Table:
+        get = lambda c, kind: [np.frombuffer(b, kind) for b in table.column(c).to_pylist()]
+        codes, local, here, uids, ns, weights = [_unstep(b) for b in table.column("codes").to_pylist()], get("local", np.uint16), get("here", np.uint16), get("uids", np.int64), get("ns", np.int64), get("weights", np.int64)
+        offset = np.cumsum([0, *(len(u) for u in uids)])
+        uid, n, weight = np.concatenate(uids), np.concatenate(ns), np.concatenate(weights)
+        rank = np.empty(len(uid), np.int64)
+        by_rank = np.lexsort((uid, weight))
+        rank[by_rank] = np.arange(len(uid))
+        doc, code = np.concatenate([o + x for o, x in zip(offset, local, strict=False)]).astype(np.int64), np.concatenate(codes)
+        band = _bands(n, percent)[doc]
+        key = np.concatenate([code << np.uint64(8) | (band + t & 0xFF).astype(np.uint64) for t in (0, 1)])
+        who = np.concatenate((doc * 2, doc * 2 + 1))
+        order = np.lexsort((rank[who >> 1], key))
+        key, who = key[order], who[order]
+        end = np.flatnonzero(np.append(key[1:] != key[:-1], True))
+        run = np.diff(np.concatenate(([-1], end)))
+        keep = np.repeat(run > 1, run)
+        pair, count = np.unique(np.stack((who[keep], rank[np.repeat(who[end] >> 1, run)[keep]])), axis=1, return_counts=True)
+        cuts = np.searchsorted(pair[0], 2 * offset)
+        rows = []
+        for k, base in enumerate(table.column("base").to_pylist()):
+            part = slice(cuts[k], cuts[k + 1])
+            mine = (pair[0, part] >> 1) - offset[k]
+            rows.append((base, *(x.tobytes() for x in (uids[k][mine], ns[k][mine], (pair[0, part] & 1).astype(np.uint8), uid[by_rank[pair[1, part]]], count[part].astype(np.uint32)))))
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 5), strict=True)], ["base", "uids", "ns", "bands", "pivots", "counts"])
+
+    return point
+
+
+def _choose(percent: int):
+    """Of one batch: the pivots of each set and band, but for minor ones that even together can't be all that a link shares."""
+
+    def choose(table: pa.Table) -> pa.Table:
+        uid, n, band, pivot, count = (np.concatenate([np.frombuffer(b, kind) for b in table.column(c).to_pylist()]) for c, kind in (("uids", np.int64), ("ns", np.int64), ("bands", np.uint8), ("pivots", np.int64), ("counts", np.uint32)))
+        order = np.lexsort((pivot, band, uid))
+        uid, n, band, pivot, count = uid[order], n[order], band[order], pivot[order], count[order].astype(np.int64)
+        if len(uid):
+            lead = np.flatnonzero(np.concatenate(([True], (np.diff(uid) != 0) | (np.diff(band) != 0) | (np.diff(pivot) != 0))))
+            uid, n, band, pivot, count = uid[lead], n[lead], band[lead], pivot[lead], np.add.reduceat(count, lead)
+            order = np.lexsort((pivot, count, band, uid))
+            uid, n, band, pivot, count = uid[order], n[order], band[order], pivot[order], count[order]
+            total = np.cumsum(count)
+            first = np.concatenate(([True], (np.diff(uid) != 0) | (np.diff(band) != 0)))
+            start = np.flatnonzero(first)
+            so_far = total - np.repeat((total - count)[start], np.diff(np.append(start, len(uid))))
+            keep = so_far > shared_at_least(n, percent) // 2
+            uid, pivot = np.unique(np.stack((uid[keep], pivot[keep])), axis=1)
+        return pa.table({"pivot": pa.array(pivot, pa.int64()), "uid": pa.array(uid, pa.int64())})
+
+    return choose
 
 
 def _region_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +249,7 @@ def _region_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         out: list[tuple[int, int, int, int, int]] = []
         for p, first, uid, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            own = np.frombuffer(blob, np.uint64)
+            own = unpack(blob)
             if first == 0:
                 region, pivot = p, own
             elif p == region:
@@ -140,14 +258,24 @@ def _region_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 5, ["pivot", "uid", "n_pivot", "n", "both"])
 
 
+def _with_pivots(members: DataFrame, pivots: DataFrame, sets: DataFrame, extra: list[str]) -> DataFrame:
+    """Members and pivots of regions with their elements, dealt by (region, part), pivots first. Regions over PART sets are cut, each part with a copy of the pivots.
+
+    One join with sets, which is stored by uid and stays where it is.
+    """
+    columns = ["region", "part", "first", "uid", *extra]
+    sized = members.groupBy("region").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = members.join(sized, "region").withColumn("part", part).withColumn("first", F.lit(1)).select(*columns).union(pivots.join(sized, "region").withColumn("part", each).withColumn("first", F.lit(0)).select(*columns))
+    return rows.join(sets, "uid").repartition("region", "part").sortWithinPartitions("region", "part", "first")
+
+
 def _distances(regions: DataFrame, sets: DataFrame) -> DataFrame:
-    """(pivot, uid, n_pivot, n, both) for (pivot, uid). Regions over PART documents are cut, each part with a copy of the pivot."""
-    sized = regions.groupBy("pivot").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int").alias("part")
-    members = regions.join(sized, "pivot").select("pivot", part, "uid").join(sets, "uid").select("pivot", "part", F.lit(1).alias("first"), "uid", "n", "elements")
-    pivots = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("uid", F.col("pivot")).join(sets, "uid").select("pivot", "part", F.lit(0).alias("first"), "uid", "n", "elements")
-    dealt = members.union(pivots).repartition("pivot", "part").sortWithinPartitions("pivot", "part", "first")
-    return settle(dealt.select("pivot", "first", "uid", "n", "elements").mapInArrow(_region_distances, "pivot long, uid long, n_pivot long, n long, both long"))
+    """(pivot, uid, n_pivot, n, both) for (region, uid), the region being its pivot."""
+    pivots = regions.select("region").distinct().withColumn("uid", F.col("region"))
+    dealt = _with_pivots(regions, pivots, sets, [])
+    return settle(dealt.select("region", "first", "uid", "n", "elements").mapInArrow(_region_distances, "pivot long, uid long, n_pivot long, n long, both long"))
 
 
 def _new_links(percent: int):
@@ -159,7 +287,7 @@ def _new_links(percent: int):
         for batch in batches:
             a, b = [], []
             for r, first, uid, n, both, d, c, blob in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                own = np.frombuffer(blob, np.uint64)
+                own = unpack(blob)
                 if r != region:
                     region, held, sets, table = r, [], [], None
                 if first == 0:
@@ -181,26 +309,19 @@ def _new_links(percent: int):
 
 
 def _recur(at: DataFrame, chosen: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of regions (region, uid, n, both, d, c) with some of their members, chosen, as new pivots. Large regions are cut as before."""
-    columns = ["region", "part", "first", "uid", "n", "both", "d", "c", "elements"]
-    sized = at.join(chosen.select("region").distinct(), "region").groupBy("region").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    of = sets.select("uid", "elements")
-    members = at.join(sized, "region").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")).withColumn("first", F.lit(1)).join(of, "uid").select(*columns)
-    pivots = chosen.join(sized, "region").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("first", F.lit(0)).join(of, "uid").select(*columns)
-    dealt = members.union(pivots).repartition("region", "part").sortWithinPartitions("region", "part", "first")
+    """Links (a, b) of regions (region, uid, n, both, d, c) with some of their members, chosen, as new pivots."""
+    members = at.join(chosen.select("region").distinct(), "region", "left_semi")
+    dealt = _with_pivots(members, chosen, sets.drop("n"), ["n", "both", "d", "c"])
     return settle(dealt.select("region", "first", "uid", "n", "both", "d", "c", "elements").mapInArrow(_new_links(percent), "a long, b long"))
 
 
-def _sets(width: int, percent: int):
+def _sets(width: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in chunks(batch.column(2)):
                 hashes, at = shingles(words(texts), width)
-                own = [_set(hashes[a:z]) for a, z in zip(at, at[1:], strict=False)]
-                pre = [o[: prefix_size(len(o), percent)].astype(np.int64) for o in own]
-                yield pa.RecordBatch.from_arrays([
-                    *(c.slice(first, len(texts)) for c in batch.columns[:2]), pa.array([len(o) for o in own], pa.int64()), pa.array([o.tobytes() for o in own], pa.binary()), pa.array(pre, pa.list_(pa.int64())),
-                ], ["uid", "weight", "n", "elements", "prefix"])
+                own = [np.unique(hashes[a:z]) for a, z in zip(at, at[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, len(texts)) for c in batch.columns[:2]), pa.array([len(o) for o in own], pa.int64()), pa.array([pack(o) for o in own], pa.binary())], ["uid", "weight", "n", "elements"])
 
     return make
 
@@ -228,28 +349,30 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
        the triangle inequality's window of distances to the old pivot. This recurs
        until every region is one component or all of its outsiders were pivots.
     """
-    kind = dict(docs.dtypes)[key]
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
     rows = with_uid(docs, key, text)
     size = docs.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0
     n_buckets = max(1, -(-size // BUCKET_BYTES))
-    sent = rows.mapInArrow(_inspect(n_buckets, width, percent), f"bucket long, uid long, key {kind}, n int, f1 long, f2 long, shared long, codes binary")
-    counted = sent.groupBy("bucket").applyInArrow(_shared, f"uid long, key {kind}, n int, f1 long, f2 long, shared long")
-    info = settle(counted.groupBy("uid").agg(F.max("key").alias("key"), F.max("n").cast("long").alias("n"), F.max("f1").alias("f1"), F.max("f2").alias("f2"), F.sum("shared").alias("shared")))
+    sent = rows.mapInArrow(_inspect(n_buckets, width, percent), f"bucket long, base long, uid long, key {kind}, n int, f1 long, f2 long, shared long, codes binary, who binary")
+    counted = sent.groupBy("bucket").applyInArrow(_shared, f"base long, uid long, key {kind}, n int, f1 long, f2 long, shared long, who binary")
+    info = settle(counted.groupBy("base").applyInArrow(_total, f"uid long, key {kind}, n int, f1 long, f2 long, shared long"))
 
-    able = info.where((F.col("n") > 0) & (F.col("shared") > shared_at_least(F.col("n"), percent)))
+    low = F.ceil(F.col("n") * percent / 100)
+    least = F.greatest(F.floor(low * EXTRA / 100), F.least(F.floor(low * EXTRA_SMALL / 100), F.lit(EXTRA_MOST)))
+    able = info.where((F.col("n") > 0) & (F.col("shared") > least))
     classes = settle(able.groupBy("n", "f1", "f2").agg(F.min("uid").alias("uid"), F.max("shared").alias("weight"), F.min("key").alias("low")))
-    chosen = classes.select("uid", "weight").join(rows.select("uid", "text"), "uid")
-    whole = settle(chosen.select("uid", "weight", "text").mapInArrow(_sets(width, percent), "uid long, weight long, n long, elements binary, prefix array<long>"))
+    # both sides dealt by uid as the stored sets are, so that each task writes one bucket
+    chosen = classes.select("uid", "weight").repartition(n_buckets, "uid").join(rows.select("uid", "text").repartition(n_buckets, "uid"), "uid")
+    whole, stored = stored_by(chosen.select("uid", "weight", "text").mapInArrow(_sets(width), "uid long, weight long, n long, elements binary"), "uid", n_buckets)
     sets = whole.select("uid", "n", "elements")
 
-    band = F.floor(F.log(F.col("n")) / math.log(100 / percent * 1.001)).cast("int")
-    looked = whole.select("uid", "n", "weight", F.explode(F.array(band, band + 1)).alias("band"), "prefix").select("uid", "n", "weight", "band", F.explode("prefix").alias("s"))
-    best = looked.groupBy("s", "band").agg(F.count("*").alias("many"), F.max(F.struct("weight", "uid")).alias("top")).where("many > 1").select("s", "band", F.col("top.uid").alias("pivot"))
-    pointed = looked.join(best, ["s", "band"]).groupBy("uid", "band", "pivot", "n").agg(F.count("*").alias("c"))
-    so_far = F.sum("c").over(W.Window.partitionBy("uid", "band").orderBy("c", "pivot"))
-    kept = pointed.withColumn("so_far", so_far).where(F.col("so_far") > F.floor(shared_at_least(F.col("n"), percent) / 2)).select("pivot", "uid").distinct()
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    n_look = max(1, -(-3 * total // LOOK_BYTES))
+    pointed = whole.select("uid", "n", "weight", "elements").mapInArrow(_look_up(n_look, percent), "bucket long, base long, codes binary, local binary, here binary, uids binary, ns binary, weights binary")
+    pointed = pointed.groupBy("bucket").applyInArrow(_point(percent), "base long, uids binary, ns binary, bands binary, pivots binary, counts binary")
+    kept = settle(pointed.groupBy("base").applyInArrow(_choose(percent), "pivot long, uid long"))
     several = kept.groupBy("pivot").agg(F.count("*").alias("m")).where("m > 1").select("pivot")
-    member = settle(kept.join(several, "pivot").select("pivot", "uid"))
+    member = settle(kept.join(several, "pivot").select(F.col("pivot").alias("region"), "uid"))
 
     linked = F.col("both") * 100 >= (F.col("n_pivot") + F.col("n") - F.col("both")) * percent
     found = _distances(member, sets)
@@ -257,7 +380,7 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     near = settle(near)
     links = found.where(linked).select(F.col("pivot").alias("a"), F.col("uid").alias("b"))
     while True:
-        parts = settle(components(links))
+        parts = components(links)
         at = near.join(parts, near["uid"] == parts["node"], "left").select("region", "uid", "d", "n", "both", "used", F.coalesce("component", "uid").alias("c"))
         home = parts.select(F.col("node").alias("region"), F.col("component").alias("home"))
         at = at.join(home, "region", "left").withColumn("home", F.coalesce("home", "region"))
@@ -270,6 +393,7 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
         was = chosen.select("region", "uid", F.lit(True).alias("now"))
         near = settle(near.join(was, ["region", "uid"], "left").select("region", "uid", "d", "n", "both", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used")))
 
+    spark.sql(f"DROP TABLE {stored}")
     of = classes.join(parts, classes["uid"] == parts["node"], "left").select("n", "f1", "f2", "low", F.coalesce("component", "uid").alias("c"))
     lows = of.groupBy("c").agg(F.min("low").alias("component_id"))
     mapped = of.join(lows, "c").select("n", "f1", "f2", "component_id")

@@ -42,6 +42,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, str]:
+    """df in the shared folder as a table bucketed by key, so that joins with it don't shuffle it; also its name, to be dropped when done."""
+    spark, name = df.sparkSession, f"kept_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name), name
+
+
 def with_uid(df: DataFrame, key: str, text: str) -> DataFrame:
     """(uid, key, text): a row number that every scan of the same table repeats.
 
