@@ -297,7 +297,7 @@ def detect(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(findings before they are described, imported packages, calls with constants) of files (path, text)."""
     from cipherlode.operators import lexical
 
-    fact = lexical.facts(files).persist()
+    fact = lexical.with_helpers(lexical.facts(files), files).persist()
     sites = lexical.import_sites(fact)
     bound = lexical.bindings(sites)
     declared = lexical.declarations(fact)

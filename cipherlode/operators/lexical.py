@@ -69,6 +69,19 @@ def facts(files: DataFrame) -> DataFrame:
     )
 
 
+def with_helpers(fact: DataFrame, files: DataFrame) -> DataFrame:
+    """fact with calls of a bundler's require helper as loads: one that is set to `typeof require ... ? require`, or __require."""
+    pattern = rf"(?:\b(?:var|let|const)\s+|,\s*)({C.IDENT})\s*=\s*(?:[()\s]|=>|{C.IDENT}){{0,12}}?\btypeof\s+require\b[^;?]{{0,60}}\?\s*require\b"
+    found = files.where(F.col("text").contains("require")).select("path", F.concat(F.array(F.lit("__require")), F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("helpers"))
+    rows = fact.join(found, "path", "left")
+    name = F.regexp_replace("raw", r"\s*\($", "")
+    asked = F.coalesce((F.col("kind") == "call") & F.array_contains("helpers", name) & F.col("after").rlike(rf"^\s*{C.STRING}\s*\)"), F.lit(False))
+    text = F.regexp_extract(F.concat(F.lit("require("), "after"), rf"^{C.LOAD}", 0)
+    rows = rows.withColumn("as_load", F.when(asked, text))
+    after = F.when(F.col("as_load").isNotNull(), F.expr("substring(after, length(as_load) - 7, 3000)")).otherwise(F.col("after"))
+    return rows.select("path", F.when(F.col("as_load").isNotNull(), "load").otherwise(F.col("kind")).alias("kind"), F.coalesce("as_load", "raw").alias("raw"), *(c for c in fact.columns if c not in ("path", "kind", "raw", "after")), after.alias("after"))
+
+
 def _module(text: Column) -> Column:
     return F.regexp_replace(text, "^node:", "")
 
@@ -103,7 +116,8 @@ def calls(fact: DataFrame, bound: DataFrame) -> DataFrame:
     own = fact.where("kind = 'call'").withColumn("chain", chain)
     arguments = F.regexp_extract("after", C.ARGUMENTS, 1)
     tail = F.expr("substring(after, length(inside) + 2, 120)")
-    defined = F.col("before").rlike(r"\bfunction\s*\*?\s*$") | ((F.size("chain") == 1) & tail.rlike(r"^\s*(?::[^={};]{1,60})?\{") & ~F.element_at("chain", 1).isin("if", "for", "while", "switch", "catch", "with"))
+    follows = F.col("before").rlike(r"[^\w$\x{80}-\x{FFFF}{};,)*\s'\"`]\s*$") | F.col("before").rlike(r"\b(?:return|typeof|await|yield|case|throw|new|void|in|of)\s*$")
+    defined = F.col("before").rlike(r"\bfunction\s*\*?\s*$") | ((F.size("chain") == 1) & ~follows & tail.rlike(r"^\s*(?::[^={};]{1,60})?\{") & ~F.element_at("chain", 1).isin("if", "for", "while", "switch", "catch", "with"))
     own = own.withColumn("inside", arguments).where(~defined)
     own = own.join(bound.withColumnRenamed("local", "root"), (own["path"] == bound["path"]) & (F.element_at("chain", 1) == F.col("root")), "left").select(own["*"], "module", F.when(F.col("module").isNotNull(), F.concat("members", F.slice("chain", 2, 100))).alias("members"))
     loaded = fact.where(F.col("kind") == "load").where(F.col("raw").endswith("("))
