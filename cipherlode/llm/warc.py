@@ -47,16 +47,16 @@ def _parents(level: DataFrame, over_files: bool) -> DataFrame:
 
 
 def tree(leaf: DataFrame) -> list[tuple[DataFrame, bool]]:
-    """Levels from the leaves to one root, each with whether its children are other files' nodes."""
+    """Levels from the leaves to one root, each with whether its children are other files' nodes. Each level, FAN times smaller than the last, is stored."""
     levels = [(leaf.select("file", "node", "hash"), False)]
     width = SLOTS
     while width > 1:
-        levels.append((_parents(levels[-1][0], False), False))
+        levels.append((settle(_parents(levels[-1][0], False)), False))
         width = -(-width // FAN)
     span = leaf.agg(F.min("file"), F.max("file")).first()
     low, high = span[0] or 0, span[1] or 0
     while low != high:
-        levels.append((_parents(levels[-1][0], True), True))
+        levels.append((settle(_parents(levels[-1][0], True)), True))
         low, high = low // FAN, high // FAN
         if (low, high) == (-1, 0):  # rows on both sides of zero never share a parent: the driver's two roots are compared
             break
@@ -76,7 +76,7 @@ def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
     tall = max(ours, theirs, key=len)
     for levels in (ours, theirs):
         while len(levels) < len(tall):
-            levels.append((_parents(levels[-1][0], True), True))
+            levels.append((settle(_parents(levels[-1][0], True)), True))
     spoiled: DataFrame | None = None
     for k in range(len(ours) - 1, -1, -1):
         a, b = (levels[k][0].select("file", "node", F.col("hash").alias(h)) for levels, h in ((ours, "a"), (theirs, "b")))
@@ -84,7 +84,7 @@ def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
             over = ours[k + 1][1]
             near = [F.floor(F.col("file") / FAN).cast("long").alias("up_file") if over else F.col("file").alias("up_file"), (F.lit(0) if over else F.floor(F.col("node") / FAN)).cast("long").alias("up_node")]
             a, b = (x.select("*", *near).join(spoiled, ["up_file", "up_node"], "left_semi").drop("up_file", "up_node") for x in (a, b))
-        spoiled = a.join(b, ["file", "node"], "full").where("NOT a <=> b").select(F.col("file").alias("up_file"), F.col("node").alias("up_node"))
+        spoiled = settle(a.join(b, ["file", "node"], "full").where("NOT a <=> b").select(F.col("file").alias("up_file"), F.col("node").alias("up_node")))
     both = spoiled.select(F.col("up_file").alias("file"), F.col("up_node").alias("node"))
     mine = both.join(left, ["file", "node"], "left").select("file", "node", F.struct("key", "byte_offset", "n_bytes").alias("l"), F.col("hash").alias("a"))
     found = mine.join(right.select("file", "node", F.struct("key", "byte_offset", "n_bytes").alias("r"), F.col("hash").alias("b")), ["file", "node"], "left")
