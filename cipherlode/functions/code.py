@@ -46,6 +46,11 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def aside(value: Column) -> Column:
+    """value, evaluated row by row instead of in generated code: for long case tables that would not fit into one method."""
+    return let(F.lit(True), lambda _: value)
+
+
 def units(text: Column) -> Column:
     """Length in UTF-16 units, as columns of a line are counted."""
     return let(text, lambda t: F.length(t) + F.regexp_count(t, F.lit("[\\x{10000}-\\x{10FFFF}]")))

@@ -42,7 +42,7 @@ def _held(i: int, what: str) -> Column:
 def _result(calls: DataFrame, detector: int, interface: Column | str, spec: Column, extra: Column | None = None, operation: Column | str = "operation") -> DataFrame:
     face = F.lit(interface) if isinstance(interface, str) else interface
     op = F.col(operation) if isinstance(operation, str) else operation
-    out = calls.select("path", "line", "col", F.lit(detector).alias("detector"), "ord", face.alias("interface"), op.alias("operation"), spec.alias("spec"), (extra if extra is not None else _codes()).alias("extra"), "before", "after", "raw")
+    out = calls.select("path", "line", "col", F.lit(detector).alias("detector"), "ord", face.alias("interface"), op.alias("operation"), C.aside(spec).alias("spec"), (extra if extra is not None else _codes()).alias("extra"), "before", "after", "raw")
     return out.where("spec IS NOT NULL")
 
 
@@ -113,7 +113,7 @@ def web_crypto(calls: DataFrame, aliases: DataFrame) -> DataFrame:
     some = F.lit(False)
     for given_as, known_as in (("f_namedCurve", "s_curve"), ("f_hash", "s_hash"), *((f"f_{k}", f"n_{k}") for k in fields[3:])):
         some = some | (F.col(given_as).isNotNull() & F.col(known_as).isNull())
-    placed = each.withColumn("spec_", spec).withColumn("extra_", _codes((some, "parameter-not-literal"))).withColumn("ord", F.concat_ws(".", "ord", F.col("place").cast("string")))
+    placed = each.withColumn("spec_", C.aside(spec)).withColumn("extra_", _codes((some, "parameter-not-literal"))).withColumn("ord", F.concat_ws(".", "ord", F.col("place").cast("string")))
     placed = placed.withColumn("after", F.when(F.col("at_line") > F.col("line"), F.concat(F.col("raw"), F.substring("after", 1, 600))).otherwise(F.col("after")))
     subtle = placed.select("path", F.col("at_line").alias("line"), F.col("at_col").alias("col"), F.lit(0).alias("detector"), "ord", F.lit("web-crypto").alias("interface"), "operation", F.col("spec_").alias("spec"), F.col("extra_").alias("extra"), "before", "after", "raw")
     return found.unionByName(subtle.where("spec IS NOT NULL"))
@@ -277,10 +277,10 @@ def findings(found: DataFrame, in_test: Column | None = None) -> DataFrame:
 
     s = F.col("spec")
     rest = F.concat("raw", F.element_at(F.split("after", C.BREAK), 1))
-    staged = found.withColumns({"algorithm": N.display_name(s), "family": s["family"], "kind": N.kind_of(s["family"]), "rest": rest})
+    staged = found.withColumns({"algorithm": C.aside(N.display_name(s)), "family": s["family"], "kind": C.aside(N.kind_of(s["family"])), "rest": rest})
     described = staged.select(
-        "algorithm", "family", N.class_of(F.col("family")).alias("class"), "kind", s["key_size"].alias("key_size"), s["curve"].alias("curve"), s["hash"].alias("hash"), s["parameters"].alias("parameters"),
-        "interface", "operation", F.col("path").alias("file"), "line", F.col("col").alias("column"), C.evidence(F.col("before"), F.col("rest")).alias("evidence"), s["dynamic"].alias("dynamic"), F.array_distinct(F.concat(N.note_codes(s, F.col("algorithm"), F.col("kind")), "extra")).alias("notes"), "before", "rest", "path", "detector", "ord",
+        "algorithm", "family", C.aside(N.class_of(F.col("family"))).alias("class"), "kind", s["key_size"].alias("key_size"), s["curve"].alias("curve"), s["hash"].alias("hash"), s["parameters"].alias("parameters"),
+        "interface", "operation", F.col("path").alias("file"), "line", F.col("col").alias("column"), C.evidence(F.col("before"), F.col("rest")).alias("evidence"), s["dynamic"].alias("dynamic"), C.aside(F.array_distinct(F.concat(N.note_codes(s, F.col("algorithm"), F.col("kind")), "extra"))).alias("notes"), "before", "rest", "path", "detector", "ord",
     )
     first = W.Window.partitionBy("file", "line", "column", "algorithm", "operation", "interface").orderBy("detector", "ord")
     once = described.withColumn("r", F.row_number().over(first)).where("r = 1")

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cipherlode.plans import queries as q
+
 FLAGSHIP = "summary_by_class"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(q.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(q.ORACLES)
