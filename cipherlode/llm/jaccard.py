@@ -26,8 +26,8 @@ BUCKET_BYTES, HELD = 16 << 20, 1 << 22
 LOOK_BYTES = 8 << 20
 #: The place of a shingle that several documents of one batch hold.
 SEVERAL = 0xFFFF
-#: Documents in one part of a region; new pivots of a region in a round.
-PART, PIVOTS = 4096, 128
+#: Documents in one part of a region; new pivots of a region in a round, and elements that they hold, about.
+PART, PIVOTS, PIVOT_ELEMENTS = 4096, 4096, 1 << 22
 SLACK = 1e-9
 
 
@@ -278,32 +278,55 @@ def _distances(regions: DataFrame, sets: DataFrame) -> DataFrame:
     return settle(dealt.select("region", "first", "uid", "n", "elements").mapInArrow(_region_distances, "pivot long, uid long, n_pivot long, n long, both long"))
 
 
+class _Pivots:
+    """New pivots of a region, with their elements as one sorted list, so that a member meets all of them in one look-up."""
+
+    def __init__(self, rows: list[tuple], sets: list[np.ndarray]):
+        self.uid, self.n, self.both, self.d, self.c = (np.array(x) for x in zip(*rows, strict=True))
+        elements, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(elements, kind="stable")
+        self.elements, self.owner = elements[order], owner[order]
+
+    def shared(self, own: np.ndarray) -> np.ndarray:
+        """How many elements each pivot shares with a set."""
+        low, high = (np.searchsorted(self.elements, own, side) for side in ("left", "right"))
+        n = high - low
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        return np.bincount(self.owner[at], minlength=len(self.n))
+
+
+    def join(self, found: np.ndarray, c: int) -> np.ndarray:
+        """One of the found pivots for each component, as places in found; with component c, all these are one from here on. So a group of any size gives a link or so for each member."""
+        parts, first = np.unique(self.c[found], return_index=True)
+        if len(parts):
+            self.c[np.isin(self.c, np.append(parts, c))] = min(int(parts[0]), c)
+        return first
+
+
 def _new_links(percent: int):
-    """Rows come by region, its new pivots first: links between them and the members that the old pivot leaves possible. The pivots (PIVOTS at most) are held, members stream by."""
+    """Rows come by region, its new pivots first: links between them and the members in the window of distances that the old pivot leaves. The pivots are held (PIVOT_ELEMENTS, about), members stream by."""
     window = 1 - percent / 100 + SLACK
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region, held, sets = None, [], []
+        region, held, sets, pivots = None, [], [], None
         for batch in batches:
-            a, b = [], []
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for r, first, uid, n, both, d, c, blob in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                own = unpack(blob)
                 if r != region:
-                    region, held, sets, table = r, [], [], None
+                    region, held, sets, pivots = r, [], [], None
                 if first == 0:
                     held.append((uid, n, both, d, c))
-                    sets.append(own)
+                    sets.append(unpack(blob))
                     continue
-                if table is None:
-                    table = [np.array(x) for x in zip(*held, strict=True)]
-                uids, sizes, inside, away, part = table
-                most = np.minimum(inside, both) + np.minimum(sizes - inside, n - both)  # what two sets can share: in the old pivot, and outside it
-                for k in np.flatnonzero((np.abs(away - d) <= window) & (most * (100 + percent) >= (sizes + n) * percent) & (part != c)).tolist():
-                    shared = int((sets[k][np.minimum(np.searchsorted(sets[k], own), len(sets[k]) - 1)] == own).sum())
-                    if shared * 100 >= (len(sets[k]) + len(own) - shared) * percent:
-                        a.append(int(uids[k]))
-                        b.append(uid)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                pivots = pivots or _Pivots(held, sets)
+                most = np.minimum(pivots.both, both) + np.minimum(pivots.n - pivots.both, n - both)  # what two sets can share: in the old pivot, and outside it
+                near = (np.abs(pivots.d - d) <= window) & (most * (100 + percent) >= (pivots.n + n) * percent) & (pivots.c != c)
+                if near.any():
+                    shared = pivots.shared(unpack(blob))
+                    found = np.flatnonzero(near & (shared * 100 >= (pivots.n + n - shared) * percent))
+                    a.append(pivots.uid[found[pivots.join(found, c)]])
+                    b.append(np.full(len(a[-1]), uid))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return find
 
@@ -385,8 +408,10 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
         home = parts.select(F.col("node").alias("region"), F.col("component").alias("home"))
         at = at.join(home, "region", "left").withColumn("home", F.coalesce("home", "region"))
         outside = at.where((F.col("c") != F.col("home")) & ~F.col("used"))
-        rank = F.row_number().over(W.Window.partitionBy("region").orderBy(F.xxhash64("uid"), "uid"))
-        chosen = settle(outside.withColumn("r", rank).where(F.col("r") <= PIVOTS).select("region", "uid", "n", "both", "d", "c"))
+        order = W.Window.partitionBy("region").orderBy(F.xxhash64("uid"), "uid")
+        ranked = outside.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS)
+        before = F.coalesce(F.sum("n").over(order.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+        chosen = settle(ranked.withColumn("before", before).where(F.col("before") < PIVOT_ELEMENTS).select("region", "uid", "n", "both", "d", "c"))
         if chosen.isEmpty():
             break
         links = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_recur(at, chosen, sets, percent))
