@@ -51,7 +51,7 @@ def main(argv: list[str] | None = None) -> int:
         print(f"not a directory: {args.folder}", file=sys.stderr)
         return 2
     now, root = args.now or stamp(), os.path.basename(os.path.abspath(args.folder))
-    found = scan.scan_folder(session(), os.path.abspath(args.folder), args.exclude, args.test_files)
+    found = scan.settled(scan.scan_folder(session(), os.path.abspath(args.folder), args.exclude, args.test_files))
     if args.json:
         Path(args.json).write_text(as_json(report.report(found, root, now)), encoding="utf-8")
     if args.cbom:

@@ -6,15 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from cipherlode.dims import PACKAGES
 from cipherlode.functions import code as C
 
+#: A file without any of these has no use of cryptography; only its constants may matter to others.
+MENTIONS = "(?i)" + "|".join(["crypto", "subtle", "getRandomValues", "randomUUID", "https?", "tls", *sorted({p.rsplit("/", 1)[-1] for p in PACKAGES})])
+#: Longest literal that can name an algorithm, with its quotes.
+LITERAL = 26
 #: Characters of text around a fact that are looked at; beyond, a value is not read.
 BEFORE, AFTER = 4000, 3000
 
 
 def _tile(fragments: DataFrame, pattern: str) -> DataFrame:
     """Segments that make up each fragment, with line, column, offset (in characters) and brace depth of each."""
-    parts = fragments.select("path", "frag", "base_line", "base_col", "base_depth", F.posexplode(F.regexp_extract_all("code", F.lit(pattern), F.lit(0))).alias("i", "raw"))
+    parts = fragments.select("path", "frag", "base_line", "base_col", "base_depth", "asked", F.posexplode(F.regexp_extract_all("code", F.lit(pattern), F.lit(0))).alias("i", "raw"))
     pieces = F.split("raw", C.BREAK)
     lexical = F.col("raw").rlike(r"^['\"`/]")
     braces = F.when(~lexical, F.regexp_count("raw", F.lit(r"\{")) - F.regexp_count("raw", F.lit(r"\}"))).otherwise(0)
@@ -24,21 +29,21 @@ def _tile(fragments: DataFrame, pattern: str) -> DataFrame:
     placed = sized.select("*", total("n").alias("offset"), total("u").alias("at"), total("breaks").alias("rows"), total("braces").alias("deep"))
     last = F.max(F.when(F.col("breaks") > 0, F.col("at") + F.col("u") - F.col("tail"))).over(before)
     column = F.when(F.col("rows") == 0, F.col("base_col") + F.col("at")).otherwise(F.col("at") - last + 1)
-    return placed.select("path", "frag", "i", "raw", "offset", "n", (F.col("base_line") + F.col("rows")).alias("line"), column.alias("col"), (F.col("base_depth") + F.col("deep")).alias("depth"))
+    return placed.select("path", "frag", "asked", "i", "raw", "offset", "n", (F.col("base_line") + F.col("rows")).alias("line"), column.alias("col"), (F.col("base_depth") + F.col("deep")).alias("depth"))
 
 
 def fragments(files: DataFrame) -> DataFrame:
-    """(path, frag, base_line, base_col, base_depth, code): each file, without a byte-order mark and first #! line, is one fragment."""
+    """(path, frag, base_line, base_col, base_depth, asked, code): each file, without a byte-order mark and first #! line, is one fragment."""
     text = F.regexp_replace(F.regexp_replace("text", r"^\x{FEFF}", ""), r"^#![^\n\r]*", "")
-    return files.select("path", F.lit("").alias("frag"), F.lit(1).alias("base_line"), F.lit(1).alias("base_col"), F.lit(0).alias("base_depth"), text.alias("code"))
+    return files.select("path", F.lit("").alias("frag"), F.lit(1).alias("base_line"), F.lit(1).alias("base_col"), F.lit(0).alias("base_depth"), F.col("text").rlike(MENTIONS).alias("asked"), text.alias("code"))
 
 
 def holes(segments: DataFrame) -> DataFrame:
     """The code in ${...} of template literals, as fragments of their own."""
     templates = segments.where(F.col("raw").startswith("`") & F.col("raw").contains("${"))
-    inner = templates.select("path", F.concat_ws(".", "frag", F.col("i").cast("string")).alias("frag"), F.col("line").alias("base_line"), F.col("col").alias("base_col"), F.col("depth").alias("base_depth"), F.col("raw").alias("code"))
+    inner = templates.select("path", F.concat_ws(".", "frag", F.col("i").cast("string")).alias("frag"), F.col("line").alias("base_line"), F.col("col").alias("base_col"), F.col("depth").alias("base_depth"), "asked", F.col("raw").alias("code"))
     found = _tile(inner, rf"{C.HOLE}|[^$]++|\$").where(F.col("raw").startswith("${"))
-    return found.select("path", F.concat_ws(".", "frag", F.col("i").cast("string")).alias("frag"), F.col("line").alias("base_line"), (F.col("col") + 2).alias("base_col"), F.col("depth").alias("base_depth"), F.expr("substring(raw, 3, length(raw) - 3)").alias("code"))
+    return found.select("path", F.concat_ws(".", "frag", F.col("i").cast("string")).alias("frag"), F.col("line").alias("base_line"), (F.col("col") + 2).alias("base_col"), F.col("depth").alias("base_depth"), "asked", F.expr("substring(raw, 3, length(raw) - 3)").alias("code"))
 
 
 def facts(files: DataFrame) -> DataFrame:
@@ -60,7 +65,7 @@ def facts(files: DataFrame) -> DataFrame:
         .when(raw.rlike(rf"^{C.CHAIN}$") & raw.endswith("("), "call")
     )
     code = whole.select("path", "frag", "code").unionByName(inner.select("path", "frag", "code"))
-    kept = both.withColumn("kind", kind).where("kind IS NOT NULL")
+    kept = both.withColumn("kind", kind).where("kind IS NOT NULL AND (asked OR kind = 'declare')").where((F.col("kind") != "string") | (F.length("raw") <= LITERAL))
     start, end = F.col("offset") + 1, F.col("offset") + F.col("n") + 1
     low = F.greatest(start - BEFORE, F.lit(1))
     return kept.join(code, ["path", "frag"]).select(

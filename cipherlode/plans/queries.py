@@ -19,8 +19,9 @@ from cipherlode.functions.code import aside
 from cipherlode.functions.words import first_word, split_words
 from cipherlode.operators import dependencies, detect, lexical, tls
 from cipherlode.plans import cbom, report
-from cipherlode.plans.scan import Scan, scan_table
+from cipherlode.plans.scan import Scan, scan_table, settled
 from cipherlode.sources import packages, tree
+from cipherlode.store import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -374,7 +375,7 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, _, _ = node_calls(order_files(spark, sf_dir))
-    return detect.findings(detect.node_crypto(calls))
+    return settle(detect.findings(detect.node_crypto(calls)))
 
 
 def _no_tls(spark: SparkSession) -> DataFrame:
@@ -457,4 +458,4 @@ def cbom_tls_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report for people over the supplier configurations and lockfiles, as lines."""
     source = _tls_files(spark, sf_dir).union(_supplier_files(spark, sf_dir, "package.json", F.lit('{"dependencies": {"jose": "^5.0.0"}}')))
-    return report.markdown_lines(scan_table(source), "suppliers", "2026-01-01T00:00:00.000Z").select("section", "line")
+    return report.markdown_lines(settled(scan_table(source)), "suppliers", "2026-01-01T00:00:00.000Z").select("section", "line")

@@ -27,7 +27,7 @@ def call(spark: SparkSession, args: dict) -> dict:
         return {"content": [{"type": "text", "text": f"not a directory: {folder}"}], "isError": True}
     if detail not in ("summary", "full") or not all(isinstance(x, list) and all(isinstance(v, str) for v in x) for x in lists):
         return {"content": [{"type": "text", "text": "detail is summary or full; exclude and testFiles are lists of texts"}], "isError": True}
-    found = scan.scan_folder(spark, os.path.abspath(folder), *lists)
+    found = scan.settled(scan.scan_folder(spark, os.path.abspath(folder), *lists))
     make = report.report if detail == "full" else report.short_view
     return {"content": [{"type": "text", "text": json.dumps(make(found, os.path.basename(os.path.abspath(folder)), stamp()), ensure_ascii=False, separators=(",", ":"))}]}
 
