@@ -21,7 +21,7 @@ WIDTH, PERCENT = 5, 75
 #: small set, up to a number, and percent of any set.
 EXTRA_SMALL, EXTRA_MOST, EXTRA = 35, 90, 10
 #: Bytes of text for one bucket of shingle hashes; hashes that a task holds before it sends them.
-BUCKET_BYTES, HELD = 16 << 20, 1 << 22
+BUCKET_BYTES, HELD = 16 << 20, 1 << 20
 #: Bytes of looked-up elements for one bucket when sets meet.
 LOOK_BYTES = 8 << 20
 #: The place of a shingle that several documents of one batch hold.
@@ -208,7 +208,8 @@ def _point(percent: int):
         end = np.flatnonzero(np.append(key[1:] != key[:-1], True))
         run = np.diff(np.concatenate(([-1], end)))
         keep = np.repeat(run > 1, run)
-        pair, count = np.unique(np.stack((who[keep], rank[np.repeat(who[end] >> 1, run)[keep]])), axis=1, return_counts=True)
+        both, count = np.unique(who[keep] * len(uid) + rank[np.repeat(who[end] >> 1, run)[keep]], return_counts=True)
+        pair = np.stack(np.divmod(both, len(uid)))
         cuts = np.searchsorted(pair[0], 2 * offset)
         rows = []
         for k, base in enumerate(table.column("base").to_pylist()):
