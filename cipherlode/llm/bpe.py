@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cipherlode.llm.text import chunks
 
 #: Pieces that a worker remembers before it starts afresh; it only saves time.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: No pair. Above every rank.
 NONE = np.int32(2**31 - 1)
 #: Elements of one group of trees that are worked on together.
@@ -116,7 +116,7 @@ class Vocabulary:
         self.known.update((p, (",".join([self.digits[i] for i in ids]), len(ids), self.decode(ids))) for p, ids in done.items())
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def _vocabulary(file: bytes) -> Vocabulary:
     return Vocabulary(file)
 

@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cipherlode.llm import bpe, decontam, embed, jaccard, langid, lm, suffix, toxic, urls, warc
+from cipherlode.llm.text import lean_workers
+
+
+def _lean(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lean_workers(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "op1_jaccard_join": jaccard.op1_jaccard_join,
         "op2_suffix_dedup": suffix.op2_suffix_dedup,
         "op3_byte_bpe": bpe.op3_byte_bpe,
@@ -22,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": decontam.op9_decontamination,
         "op10_lm_scoring": lm.op10_lm_scoring,
     }
+    return {name: _lean(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

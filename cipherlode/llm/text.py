@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cipherlode.store import settle, shared_dir
+
 #: Bytes of text that one numpy step works on, so that a task's memory does not follow its input.
 CHUNK_BYTES = 1 << 21
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -24,22 +26,9 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where none is set (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read again: cuts the lineage and outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def lean_workers(spark: SparkSession) -> None:
+    """Python workers that give large arrays back to the system as soon as they are freed; a worker lives through many tasks."""
+    spark.sparkContext.environment.update({"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "16777216", "MALLOC_ARENA_MAX": "2"})
 
 
 def stored_by(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, str]:

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cipherlode.llm import bpe, decontam, jaccard, langid, suffix
-from cipherlode.llm.text import shared_dir
+from cipherlode.llm.text import lean_workers, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled rows know; those without letters go. lang becomes the prediction."""
+    lean_workers(spark)
     learned = langid.samples(docs, "lang", "doc_id", "text", F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     out = langid.predict(docs.select(*COLUMNS), learned, keep=("text", "source", "n_chars"))
     return out.where(F.col("lang_pred") != langid.UNKNOWN).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
