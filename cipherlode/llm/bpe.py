@@ -13,10 +13,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherlode.llm.text import chunks
+from cipherlode.llm.text import chunks, only
 
 #: Pieces that a worker remembers before it starts afresh; it only saves time.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: No pair. Above every rank.
 NONE = np.int32(2**31 - 1)
 #: Elements of one group of trees that are worked on together.
@@ -136,6 +136,7 @@ def tokens(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", te
     kind = dict(df.dtypes)[key]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("bpe", _vocabulary.cache_clear)
         voc, split = _vocabulary(file), regex.compile(pattern)
         for batch in batches:
             for first, texts in chunks(batch.column(1)):

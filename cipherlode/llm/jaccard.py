@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from cipherlode.llm.graph import components
-from cipherlode.llm.text import chunks, mix, settle, shingles, stored_by, with_uid, words
+from cipherlode.llm.text import chunks, mix, only, settle, shingles, stored_by, with_uid, words
 
 #: Words of a shingle; percent of the union that linked sets share.
 WIDTH, PERCENT = 5, 75
@@ -77,6 +77,7 @@ def _inspect(n_buckets: int, width: int, percent: int):
     """Sends each document's size and fingerprint, and its looked-up hashes by bucket; a hash that several documents of a batch hold goes once."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("jaccard")
         for batch in batches:
             uids, start, sizes, prints, held = np.asarray(batch.column(0)), 0, [], [], []
             done = 0

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from cipherlode.llm.text import chunks
+from cipherlode.llm.text import chunks, only
 
 #: Characters of reference text for a language, and documents that they may come from: the bound of the labelled sample.
 SAMPLE_CHARS, SAMPLE_DOCS = 24_000, 24
@@ -145,6 +145,7 @@ def predict(df: DataFrame, learned: tuple[tuple[str, str], ...], key: str = "doc
     kinds = {c: df.schema[c].dataType.simpleString() for c in (key, *keep)}
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("langid", _parser.cache_clear)
         letter = _characters()[1]
         parser = _parser(learned) if learned else None
         for batch in batches:

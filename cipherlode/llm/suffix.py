@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherlode.llm.text import chunks, mix, prefix_hash, settle, span_hash, with_uid
+from cipherlode.llm.text import chunks, mix, only, prefix_hash, settle, span_hash, with_uid
 
 #: Bytes of a string that counts when it occurs twice; bytes of the anchor that each such string holds.
 LENGTH, ANCHOR = 400, 100
@@ -93,6 +93,7 @@ def _find(length: int, anchor: int):
     """(h, f, uid, place, first, last) of every anchor; f is the hash of all bytes of its strings."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("suffix")
         for batch in batches:
             uids = np.asarray(batch.column(0))
             for first_row, texts in chunks(batch.column(1)):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -31,6 +32,18 @@ def lean_workers(spark: SparkSession) -> None:
     spark.sparkContext.environment.update({"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "16777216", "MALLOC_ARENA_MAX": "2"})
 
 
+_owner: list[tuple[str, Callable[[], None]]] = []
+
+
+def only(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """One operator's caches at a time: a worker that goes on to another operator drops what the last one kept."""
+    if _owner and _owner[0][0] != owner:
+        _owner.pop()[1]()
+        gc.collect()
+    if clear and not _owner:
+        _owner.append((owner, clear))
+
+
 def stored_by(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, str]:
     """df in the shared folder as a table bucketed by key, so that joins with it don't shuffle it; also its name, to be dropped when done."""
     spark, name = df.sparkSession, f"kept_{uuid.uuid4().hex}"
