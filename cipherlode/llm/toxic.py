@@ -21,6 +21,10 @@ HIDDEN, WORD, CHAR, VOCABULARY, TRIGRAMS = 8, 6, 6, 4096, 1 << 12
 #: Training texts that a word of the vocabulary is in, at least; standard deviations off chance from which a word's label counts.
 SEEN, CHANCE = 3, 2.0
 BATCH, STEPS, RATE, DECAY = 128, 240, 0.01, 0.02
+#: Share of words without their own vector and characters in a step, so that few texts aren't learned by heart; first steps that take the window with the most telling word.
+DROPPED, GUIDED = 0.5, 60
+#: Training takes as many texts of either label; logits are lowered by this, since toxic ones are fewer.
+CAUTION = np.float32(0.5)
 #: Windows that go through the network together.
 GROUP = 1 << 14
 
@@ -96,14 +100,23 @@ class Network:
         at = np.minimum(np.searchsorted(known, x.hash), len(known) - 1)
         return np.where(known[at] == x.hash, at + 1, 0)
 
-    def embed(self, x: Inputs) -> np.ndarray:
-        """Word inputs: a row for each distinct word."""
+    def embed(self, x: Inputs, kept: np.ndarray | None = None) -> np.ndarray:
+        """Word inputs: a row for each distinct word; with kept, only those have a vector and characters."""
         if not len(x.hash):
             return np.zeros((1, WORD + 1 + CHAR), np.float32)
         chars = np.add.reduceat(self.w["char"][x.char], x.offset) / x.size[:, None]
         number = self.number(x)
         chance = np.concatenate((np.zeros(1, np.float32), self.w["chance"]))[number]
-        return np.concatenate((self.w["word"][number], chance[:, None], chars), axis=1).astype(np.float32)
+        own = self.w["word"][number]
+        if kept is not None:
+            own, chars = own * kept[:, None], chars * kept[:, None]
+        return np.concatenate((own, chance[:, None], chars), axis=1).astype(np.float32)
+
+    def chances(self, x: Inputs) -> np.ndarray:
+        """The most telling word of every window."""
+        of = np.concatenate((np.zeros(1, np.float32), self.w["chance"]))[self.number(x)]
+        at, real = x.window(np.arange(len(x.doc)))
+        return np.where(real, of[at], -np.inf).max(axis=0)
 
     def project(self, inputs: np.ndarray) -> np.ndarray:
         return self.w["in"] @ inputs.T + self.w["bias"]
@@ -132,9 +145,9 @@ class Network:
         logit = self.w["out"] @ pooled + self.w["base"]
         return (logit, states, saved, weight, pooled) if keep else (logit,)
 
-    def gradients(self, x: Inputs, which: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean cross-entropy of these windows."""
-        inputs = self.embed(x)
+    def gradients(self, x: Inputs, which: np.ndarray, label: np.ndarray, kept: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy of these windows, with the vectors of kept words only."""
+        inputs = self.embed(x, kept)
         at, real = x.window(which)
         logit, states, saved, weight, pooled = self.run(self.project(inputs), at, real, keep=True)
         h = HIDDEN
@@ -165,6 +178,7 @@ class Network:
                 np.add.at(d_inputs, at[t], (self.w["in"][rows].T @ d_x).T)
             g[way] = d_u
         g["in"] = d_in
+        d_inputs *= np.concatenate((np.repeat(kept[:, None], WORD, 1), np.ones((len(kept), 1)), np.repeat(kept[:, None], CHAR, 1)), axis=1)
         g["word"], g["char"] = np.zeros_like(self.w["word"]), np.zeros_like(self.w["char"])
         np.add.at(g["word"], self.number(x), d_inputs[:, :WORD])
         np.add.at(g["char"], x.char, np.repeat(d_inputs[:, WORD + 1 :] / x.size[:, None], x.size, axis=0))
@@ -191,17 +205,18 @@ def train(texts: list[bytes], labels: list[int]) -> Network:
     for step in range(1, STEPS + 1):
         picked = np.concatenate([r.choice(s, BATCH // 2) for s in sides])
         x = Inputs([texts[i] for i in picked])
-        order = np.lexsort((-net.logits(x), x.doc))
+        order = np.lexsort((-(net.chances(x) if step <= GUIDED else net.logits(x)), x.doc))
         worst = order[np.concatenate(([True], np.diff(x.doc[order]) != 0))]
         spans = [(x.begin[s], x.finish[s + n - 1]) for s, n in zip(x.start[worst], x.length[worst], strict=True)]
         x = Inputs([x.data[a:z].tobytes() for a, z in spans])
-        grads = net.gradients(x, np.arange(len(worst)), y[picked])
+        grads = net.gradients(x, np.arange(len(worst)), y[picked], (r.random(len(x.hash)) >= DROPPED).astype(np.float32))
         rate = RATE * min(1, 2 * (1 - step / (STEPS + 1)))
         for k in trained:
             first[k] = 0.9 * first[k] + 0.1 * grads[k]
             second[k] = 0.99 * second[k] + 0.01 * grads[k] ** 2
             move = (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
             net.w[k] = (net.w[k] - rate * (move + DECAY * net.w[k] * (k not in ("base", "bias")))).astype(np.float32)
+    net.w["base"] -= CAUTION
     return net
 
 
