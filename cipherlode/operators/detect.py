@@ -9,6 +9,7 @@ from pyspark.sql import window as W
 from cipherlode import dims
 from cipherlode.functions import code as C
 from cipherlode.functions import names as N
+from cipherlode.store import settle
 
 FOUND = ["path", "line", "col", "detector", "ord", "interface", "operation", "spec", "extra", "before", "after", "raw"]
 
@@ -304,10 +305,11 @@ def detect(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     consts = lexical.constants(declared, sites)
     call = with_values(lexical.calls(fact, bound), consts).persist()
     packages = imported_packages(sites)
-    libs, jwt, jose = library_calls(call), jwt_default(call), jose_literals(fact, packages)
+    libs, jwt, jose = settle(library_calls(call).select(*FOUND)), settle(jwt_default(call).select(*FOUND)), settle(jose_literals(fact, packages).select(*FOUND))
     named = jose.select("path", F.explode(F.split(F.substring(F.col("interface"), 9, 1000), " or ")).alias("package"))
     used = libs.union(jwt).select("path", F.substring(F.col("interface"), 9, 1000).alias("package")).union(named).union(plain_uses(call))
-    found = web_crypto(call, subtle_aliases(declared, fact))
-    for part in (node_crypto(call), parameters(declared), libs, jwt, jose, unread_imports(packages, used)):
-        found = found.unionByName(part.select(*FOUND))
+    found = settle(web_crypto(call, subtle_aliases(declared, fact)).select(*FOUND))
+    found = found.unionByName(libs).unionByName(jwt).unionByName(jose)
+    for part in (node_crypto(call), parameters(declared), unread_imports(packages, used)):
+        found = found.unionByName(settle(part.select(*FOUND)))  # stored one by one: as one plan they take longer to plan than to run
     return found, packages, call

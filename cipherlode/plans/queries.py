@@ -313,10 +313,13 @@ def _supplier_files(spark: SparkSession, sf_dir: str, name: str, text: Column) -
     return files(table(spark, sf_dir, "supplier"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(f"/{name}")), text)
 
 
-_KEY = F.regexp_extract("path", r"\d+", 0).cast("bigint").alias("s_suppkey")
 _NUMBER = "s_suppkey % 90"
 
 
+def _key() -> Column:
+    return F.regexp_extract("path", r"\d+", 0).cast("bigint").alias("s_suppkey")
+
+
 def _version() -> Column:
     return (F.col("s_suppkey") % 90).cast("string")
 
@@ -326,13 +329,13 @@ def npm_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = F.concat(F.lit('{"lockfileVersion": 3, "packages": {"": {"name": "x"}, "node_modules/jws": {"version": "4.0.'), _version(), F.lit('", "dev": true}, "node_modules/a/node_modules/elliptic": {"version": "3.1.'), _version(), F.lit('"}}}'))
     nested = F.concat(F.lit('{"lockfileVersion": 1, "dependencies": {"jws": {"version": "4.0.'), _version(), F.lit('", "dependencies": {"elliptic": {"version": "3.1.'), _version(), F.lit('"}}}}}'))
     locks = _supplier_files(spark, sf_dir, "package-lock.json", F.when(F.col("s_suppkey") % 2 == 1, flat).otherwise(nested))
-    return packages.lock_packages(locks).select(_KEY, "package", "version", "dev")
+    return packages.lock_packages(locks).select(_key(), "package", "version", "dev")
 
 
 @query(f"SELECT s_suppkey, p.package, CASE p.package WHEN '@noble/hashes' THEN '1.4.' ELSE '6.5.' END || ({_NUMBER}) AS version FROM supplier, (VALUES ('@noble/hashes'), ('elliptic')) p(package)")
 def yarn_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit('# yarn\n\n__metadata:\n  version: 6\n\n"@noble/hashes@^1.0.0", "@noble/hashes@npm:^1.1.0":\n  version "1.4.'), _version(), F.lit('"\n  resolved "x"\n\nelliptic@^6.0.0:\n  version: 6.5.'), _version(), F.lit("\n"))
-    return packages.lock_packages(_supplier_files(spark, sf_dir, "yarn.lock", text)).select(_KEY, "package", "version")
+    return packages.lock_packages(_supplier_files(spark, sf_dir, "yarn.lock", text)).select(_key(), "package", "version")
 
 
 @query(f"SELECT s_suppkey, p.package, CASE p.package WHEN 'mlkem' THEN '2.3.' ELSE '1.9.' END || ({_NUMBER}) AS version, CASE WHEN s_suppkey % 3 < 2 AND p.package = 'mlkem' THEN true END AS dev FROM supplier, (VALUES ('mlkem'), ('@noble/curves')) p(package)")
@@ -340,7 +343,7 @@ def pnpm_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = [("5.4", "/mlkem/2.3.", "/@noble/curves/1.9."), ("'6.0'", "/mlkem@2.3.", "/@noble/curves@1.9."), ("'9.0'", "mlkem@2.3.", "'@noble/curves@1.9.")]
     made = [F.concat(F.lit(f"lockfileVersion: {v}\n\nsettings:\n  x: 1\n\npackages:\n\n  {a}"), _version(), F.lit(":\n    resolution: {integrity: y}\n" + ("    dev: true\n" if i < 2 else "") + f"\n  {b}"), _version(), F.lit(("'" if b.startswith("'") else "") + ":\n    resolution: {integrity: z}\n\nsnapshots:\n\n  other@1.0.0: {}\n")) for i, (v, a, b) in enumerate(heads)]
     locks = _supplier_files(spark, sf_dir, "pnpm-lock.yaml", F.element_at(F.array(*made), (F.col("s_suppkey") % 3 + 1).cast("int")))
-    return packages.lock_packages(locks).select(_KEY, "package", "version", "dev")
+    return packages.lock_packages(locks).select(_key(), "package", "version", "dev")
 
 
 def _dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,3 +34,12 @@ def test_against_sql(spark, sf_dir, tables, name):
 def test_every_query_is_registered():
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert registry.FLAGSHIP in registry.queries()
+
+
+def test_entry_needs_no_session():
+    """The driver reads the queries' names before it starts Spark."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=Path(__file__).parent.parent, check=True, timeout=120)
