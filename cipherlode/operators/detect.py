@@ -295,7 +295,7 @@ def findings(found: DataFrame, in_test: Column | None = None) -> DataFrame:
 
 
 def detect(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(findings before they are described, imported packages, calls with constants) of files (path, text)."""
+    """(findings before they are described, imported packages, calls with constants) of files (path, text). Each detector's rows are stored in the shared folder."""
     from cipherlode.operators import lexical
 
     fact = lexical.with_helpers(lexical.facts(files), files).persist()
