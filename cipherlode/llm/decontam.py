@@ -9,35 +9,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherlode.llm.text import chunks, shingles, words
+from cipherlode.llm.text import Words, chunks, mix, words
 
-#: Words in a seed; share of an item's seeds, the rarest in the corpus, that are looked up.
-SEED, RARE = 3, 0.5
 #: Scores of a word; an alignment counts from this share of the item's own score.
 MATCH, MISMATCH, GAP, THRESHOLD = 2, -1, -1, 0.5
-#: Words on each side of a seed's passage, for insertions.
-PAD = 8
 #: Benchmark items go to the tasks in blocks of so many bytes of text; each block is a pass over the corpus.
 BLOCK_BYTES = 8 << 20
 #: Cells of one group of alignment matrices.
 CELLS = 1 << 20
+#: Found seeds that are held at a time; a document with more has a group of its own.
+HITS = 1 << 20
 
 RESULT = "key {}, item long, score double, n_matched int, start_word int, end_word int"
 
 
+def seeds(found: Words, single: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places): each word with the next and with the one after that, of the same text; or each word alone. Ordered by place."""
+    at = np.arange(len(found.hashes))
+    if single:
+        return mix(found.hashes), at
+    last = np.repeat(found.first[1:], np.diff(found.first))
+    hashes = np.empty((len(at), 2), np.uint64)
+    inside = np.empty((len(at), 2), bool)
+    for k in (0, 1):
+        other = np.minimum(at + k + 1, max(0, len(at) - 1))
+        hashes[:, k], inside[:, k] = mix(found.hashes * np.uint64(3) + mix(found.hashes[other])), at + k + 1 < last
+    return hashes[inside], np.repeat(at, inside.sum(axis=1))
+
+
 class Items:
-    """A block of benchmark items and their seeds."""
+    """A block of benchmark items and their seeds.
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    An alignment of m matches that loses x on other columns reaches the least
+    score T if 2 m - x >= T. Of its m - 1 steps from a match to the next, at most
+    x / 2 lose 2 or more. So at least ceil(T / 2) - 1 steps lose 1 at most: they
+    go on by one or two words both in the item and in the text, and a seed that
+    starts at the step's first word is in both. An item's `bound` is that number
+    of words (of n - 1) whose seeds must be found; items where it is 0 are
+    looked up by single words, one of which must be found. `slack` is the most
+    that x can be, thus the most by which the found seeds' diagonals differ.
+    """
+
+    def __init__(self, ids: list[int], texts: list[str], threshold: float):
         found = words([t.encode("utf-8") for t in texts])
         self.ids = np.array(ids, np.int64)
         self.words = [found.hashes[a:b] for a, b in zip(found.first, found.first[1:], strict=False)]
-        hashes, first = shingles(found, SEED)
-        self.hash = hashes
-        self.item = np.repeat(np.arange(len(ids)), np.diff(first))
-        self.at = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))
+        self.size = np.diff(found.first)
+        least = np.maximum(1, np.ceil(2 * self.size * threshold - 1e-9).astype(np.int64))
+        self.bound, self.slack = (least + 1) // 2 - 1, np.maximum(0, MATCH * self.size - least)
+        owner = np.repeat(np.arange(len(ids)), self.size)
+        parts = []
+        for single in (False, True):
+            hashes, at = seeds(found, single)
+            mine = (self.bound[owner[at]] == 0) == single
+            parts.append((hashes[mine], at[mine]))
+        self.hash, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.item, self.at = owner[at], at - found.first[owner[at]]
+        self.needed = np.maximum(1, self.bound)
+        self.single = bool((self.bound == 0).any())
 
-    def keep(self, chosen: np.ndarray) -> Items:
+    def keep(self, frequency: np.ndarray) -> Items:
+        """The rarest words' seeds only. Of each item all but `bound` - c words that start seeds are kept, so c of those that must be found are among them."""
+        word = np.concatenate(([0], np.cumsum(self.size)))[self.item] + self.at
+        total = np.bincount(word, frequency, self.size.sum())
+        starts = np.unique(word)
+        item = np.repeat(np.arange(len(self.ids)), self.size)[starts]
+        order = starts[np.lexsort((starts, total[starts], item))]
+        item = np.repeat(np.arange(len(self.ids)), self.size)[order]
+        place = np.arange(len(order)) - np.searchsorted(item, item)
+        self.needed = np.maximum(1, -(-self.bound // 4))
+        dropped = np.maximum(0, self.bound - self.needed)
+        good = np.zeros(self.size.sum(), bool)
+        good[order[place < (np.bincount(item, minlength=len(self.ids)) - dropped)[item]]] = True
+        chosen = good[word] & (frequency > 0)  # what is nowhere in the corpus is not found either
         self.hash, self.item, self.at = self.hash[chosen], self.item[chosen], self.at[chosen]
         return self
 
@@ -51,11 +95,15 @@ class Lookup:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(hashes >> np.uint64(44)).astype(np.int64)] = True
 
-    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, known): every pair of a position and a known hash that are equal."""
+    def known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(positions, low, n): hashes that are known, each n times from low on."""
         at = np.flatnonzero(self.maybe[(hashes >> np.uint64(44)).astype(np.int64)])
         low, high = (np.searchsorted(self.sorted, hashes[at], side) for side in ("left", "right"))
-        n = high - low
+        some = np.flatnonzero(high > low)
+        return at[some], low[some], (high - low)[some]
+
+    def pairs(self, at: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, known): every pair of a position and a known hash that are equal."""
         which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
         return np.repeat(at, n), self.order[which]
 
@@ -111,7 +159,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     Every document's n-grams are looked up in a block of items that fits in a task
     (blocks by BLOCK_BYTES); the first pass counts each seed over the corpus, the second
-    aligns around each item's rarest ones. Only counts and found pairs are shuffled.
+    aligns around each item's rarest ones, as many as surely meet every alignment
+    that reaches the threshold (see Items), over all words that it can span. Only
+    counts and found pairs are shuffled.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[key]
@@ -123,7 +173,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).orderBy("item", "text").collect()  # BLOCK_BYTES on average
         if block:
-            out = out.union(_search(rows, kind, Items([r["item"] for r in block], [r["text"] for r in block]), threshold))
+            out = out.union(_search(rows, kind, Items([r["item"] for r in block], [r["text"] for r in block], threshold), threshold))
     best = out.groupBy("key", "item").agg(F.max(F.struct("score", "n_matched", (-F.col("start_word")).alias("s"), (-F.col("end_word")).alias("e"))).alias("b"))
     return best.select(F.col("key").alias(key), F.col("item").alias(item_key), "b.score", "b.n_matched", (-F.col("b.s")).alias("start_word"), (-F.col("b.e")).alias("end_word"))
 
@@ -131,55 +181,81 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 def _search(rows: DataFrame, kind: str, items: Items, threshold: float) -> DataFrame:
     distinct, which = np.unique(items.hash, return_inverse=True)
 
+    def of(found: Words) -> tuple[np.ndarray, np.ndarray]:
+        """A text's seeds, with single words where an item needs them."""
+        hashes, at = seeds(found)
+        if items.single:
+            more = seeds(found, single=True)
+            hashes, at = np.concatenate((hashes, more[0])), np.concatenate((at, more[1]))
+            order = np.argsort(at, kind="stable")
+            hashes, at = hashes[order], at[order]
+        return hashes, at
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, total = Lookup(distinct), np.zeros(len(distinct), np.int64)
         for batch in batches:
             for _, texts in chunks(batch.column(0)):
-                total += np.bincount(find(shingles(words(texts), SEED)[0])[1], minlength=len(distinct))
+                total += np.bincount(find.pairs(*find.known(of(words(texts))[0]))[1], minlength=len(distinct))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], ["seed", "n"])
 
     frequency = np.zeros(len(distinct), np.int64)
     for r in rows.select("text").mapInArrow(count, "seed int, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():  # a number a seed of the block
         frequency[r["seed"]] = r["n"]
-    order = np.lexsort((items.hash, frequency[which], items.item))
-    first = np.searchsorted(items.item[order], np.arange(len(items.ids)))
-    place = np.arange(len(order)) - first[items.item[order]]
-    many = np.bincount(items.item, minlength=len(items.ids))[items.item[order]]
-    items = items.keep(np.sort(order[place < np.ceil(many * RARE)]))
+    items = items.keep(frequency[which])
+
+    def hits(found: Words, find: Lookup) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(document, item, diagonal, word of the item) of found seeds, some whole documents at a time."""
+        hashes, place = of(found)
+        at, low, n = find.known(hashes)
+        at = place[at]
+        doc = np.searchsorted(found.first, at, side="right") - 1
+        lead = np.flatnonzero(np.diff(doc, prepend=-1))
+        many = np.add.reduceat(n, lead) if len(lead) else lead
+        a = 0
+        while a < len(lead):
+            z = max(a + 1, a + int(np.searchsorted(np.cumsum(many[a:]), HITS, side="right")))
+            part = slice(lead[a], lead[z] if z < len(lead) else len(at))
+            which, seed = find.pairs(np.arange(len(at))[part], low[part], n[part])
+            yield doc[which], items.item[seed], at[which] - found.first[doc[which]] - items.at[seed], items.at[seed]
+            a = z
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Lookup(items.hash)
         for batch in batches:
             for first_row, texts in chunks(batch.column(1)):
                 found = words(texts)
-                hashes, first = shingles(found, SEED)
-                at, seed = find(hashes)
-                if not len(at):
-                    continue
-                doc = np.searchsorted(first, at, side="right") - 1
-                start = at - first[doc] - items.at[seed]  # where the item would start
-                item = items.item[seed]
-                order = np.lexsort((start, item, doc))
-                doc, item, start = doc[order], item[order], start[order]
-                size = np.array([len(w) for w in items.words])[item]
-                new = np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(start) > PAD)))
-                lead = np.flatnonzero(new)
-                low = start[lead] - PAD
-                high = np.maximum.reduceat(start, lead) + size[lead] + PAD
-                doc, item = doc[lead], item[lead]
-                n_words = np.diff(found.first)
-                low, high = np.maximum(0, low), np.minimum(high, n_words[doc])
-                pairs = [(items.words[i], found.hashes[found.first[d] + a : found.first[d] + z]) for d, i, a, z in zip(doc, item, low, high, strict=True)]
-                score = aligned(pairs)
-                share = score[:, 0] / (MATCH * np.array([len(a) for a, _ in pairs]))
-                good = np.flatnonzero(share >= threshold)
-                if len(good):
-                    same = [int(np.isin(pairs[g][0], pairs[g][1][score[g, 1] : score[g, 2]]).sum()) for g in good]
-                    yield pa.RecordBatch.from_arrays([
-                        batch.column(0).take(pa.array(first_row + doc[good])), pa.array(items.ids[item[good]]), pa.array(share[good]), pa.array(same, pa.int32()),
-                        pa.array((low + score[:, 1])[good], pa.int32()), pa.array((low + score[:, 2])[good], pa.int32()),
-                    ], ["key", "item", "score", "n_matched", "start_word", "end_word"])
+                for doc, item, start, word in hits(found, find):
+                    order = np.lexsort((word, start, item, doc))
+                    doc, item, start, word = doc[order], item[order], start[order], word[order]
+                    once = np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(start) != 0) | (np.diff(word) != 0)))
+                    doc, item, start = doc[once], item[once], start[once]
+                    last = np.arange(len(doc)) + items.needed[item] - 1  # so many of them within the slack of diagonals
+                    end = np.minimum(last, len(doc) - 1)
+                    opens = np.flatnonzero((last < len(doc)) & (doc[end] == doc) & (item[end] == item) & (start[end] - start <= items.slack[item]))
+                    if not len(opens):
+                        continue
+                    edge = np.bincount(opens, minlength=len(doc) + 1) - np.bincount(last[opens] + 1, minlength=len(doc) + 1)
+                    kept = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+                    doc, item, start = doc[kept], item[kept], start[kept]
+                    slack = items.slack[item]
+                    new = np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(start) > slack[1:])))
+                    lead = np.flatnonzero(new)
+                    low = start[lead] - slack[lead]
+                    high = np.maximum.reduceat(start, lead) + items.size[item[lead]] + slack[lead]
+                    doc, item = doc[lead], item[lead]
+                    n_words = np.diff(found.first)
+                    low, high = np.maximum(0, low), np.minimum(high, n_words[doc])
+                    pairs = [(items.words[i], found.hashes[found.first[d] + a : found.first[d] + z]) for d, i, a, z in zip(doc, item, low, high, strict=True)]
+                    score = aligned(pairs)
+                    share = score[:, 0] / (MATCH * np.array([len(a) for a, _ in pairs]))
+                    good = np.flatnonzero(share >= threshold)
+                    if len(good):
+                        same = [int(np.isin(pairs[g][0], pairs[g][1][score[g, 1] : score[g, 2]]).sum()) for g in good]
+                        yield pa.RecordBatch.from_arrays([
+                            batch.column(0).take(pa.array(first_row + doc[good])), pa.array(items.ids[item[good]]), pa.array(share[good]), pa.array(same, pa.int32()),
+                            pa.array((low + score[:, 1])[good], pa.int32()), pa.array((low + score[:, 2])[good], pa.int32()),
+                        ], ["key", "item", "score", "n_matched", "start_word", "end_word"])
 
     return rows.mapInArrow(search, RESULT.format(kind))
 

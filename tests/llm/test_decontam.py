@@ -55,3 +55,28 @@ def test_planted_passages(spark, tmp_path):
     assert all(abs(x.score - expected[x.doc_id, x.item_id]) < 1e-9 for x in rows if (x.doc_id, x.item_id) in expected)
     assert decontam.contaminated(df.where("false"), bench).count() == 0
     assert decontam.contaminated(df, bench.where("false")).count() == 0
+
+
+def test_every_copy_that_reaches_the_threshold(spark):
+    """Replaced, left-out and inserted words and partial copies, each against plain alignment of every pair."""
+    r = random.Random(11)
+    new = lambda: f"n{r.randrange(10**6)}"
+    items = [[f"w{r.randrange(900)}" for _ in range(n)] for n in (1, 2, 3, 5, 8, 13, 20, 20, 31)] + [["z"] * 6]
+    copies = []
+    for item in items:
+        n = len(item)
+        for every in (3, 4, 5):
+            copies += [[new() if k % every == every - 1 else w for k, w in enumerate(item)], [w for k, w in enumerate(item) if k % every], [x for k, w in enumerate(item) for x in ([w, new()] if k % every == 0 else [w])]]
+        copies += [item[: -(-n * share // 20)] for share in (10, 11, 12)] + [item[-(-n * 9 // 20) :], [x for w in item for x in (w, new())]]
+        for share in (0.2, 0.25, 0.33):
+            copies += [[new() if r.random() < share else w for w in item] for _ in range(4)]
+    docs = [[new() for _ in range(40)] + copy + [f"w{r.randrange(900)}" for _ in range(40)] for copy in copies]
+    expected = {}
+    for d, text in enumerate(docs):
+        for i, item in enumerate(items):
+            share = plain_score(item, text) / (decontam.MATCH * len(item))
+            if share >= decontam.THRESHOLD:
+                expected[d, i] = share
+    rows = decontam.contaminated(spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id): x.score for x in rows} == expected
+    assert all(any(d // (len(copies) // len(items)) == i and (d, i) in expected for d in range(len(docs))) for i in range(len(items)))
