@@ -17,8 +17,12 @@ from cipherlode.llm.text import chunks, mix, settle, with_uid, words
 VOCABULARY, CLASS = 2048, 64
 OTHER, END = 0, 1
 HIDDEN, INPUT = 16, 16
-#: The sample that the network learns from: documents whose key hashes lowest, with texts up to TRAIN_BYTES.
-TRAIN_DOCS, TRAIN_BYTES = 2000, 12_000
+#: The sample that the network starts from: documents whose key hashes lowest, up to so many characters.
+TRAIN_DOCS, TRAIN_CHARS = 2000, 12_000
+#: Then it learns from every training row: each in one of so many rounds, after which the tasks' weights are averaged.
+ROUNDS = 4
+#: Lanes of a task, tokens that it gathers for them, its first rate, and pieces in which weights are averaged.
+TASK_LANES, TASK_TOKENS, TASK_RATE, PIECES = 256, 1 << 19, 0.003, 16
 #: Lanes and window of truncated backpropagation, and steps of training.
 LANES, WINDOW, STEPS, RATE = 64, 32, 500, 0.01
 #: Steps of a scoring window; the state goes on from one window to the next.
@@ -58,6 +62,21 @@ def _texts(column: pa.ChunkedArray) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
 
 
+class Adam:
+    """Running moments of the gradients of some weights, which each step changes in place."""
+
+    def __init__(self, weights: dict[str, np.ndarray]):
+        self.w, self.n = weights, 0
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
+
+    def step(self, grad: dict[str, np.ndarray], rate: float) -> None:
+        self.n += 1
+        for k, g in grad.items():
+            self.first[k] = 0.9 * self.first[k] + 0.1 * g
+            self.second[k] = 0.99 * self.second[k] + 0.01 * g * g
+            self.w[k] = (self.w[k] - rate * (self.first[k] / (1 - 0.9**self.n)) / (np.sqrt(self.second[k] / (1 - 0.99**self.n)) + 1e-8)).astype(np.float32)
+
+
 class Network:
     """A recurrent unit over word inputs; classes of words, then words of a class."""
 
@@ -132,44 +151,74 @@ class Network:
         logp, back = self.log_prob(flat, target.ravel(), g)
         back = back.reshape(len(ids), -1, h).transpose(0, 2, 1)
         d = np.zeros_like(state)
+        d_in, d_state = np.empty((len(ids), 3 * h, state.shape[1]), np.float32), np.empty((len(ids), 3 * h, state.shape[1]), np.float32)
         for t in range(len(ids) - 1, -1, -1):
             d = d + back[t]
             s, gates, z, r, c = saved[t]
             pre_c, pre_z = d * (1 - z) * (1 - c * c), d * (s - c) * z * (1 - z)
             pre_r = pre_c * gates[2 * h :] * r * (1 - r)
-            d_x, d_g = np.concatenate((pre_z, pre_r, pre_c)), np.concatenate((pre_z, pre_r, pre_c * r))
-            g["state"] += d_g @ s.T
-            g["in"] += d_x @ self.w["word"][ids[t]]
-            g["bias"] += d_x.sum(axis=1, keepdims=True)
-            np.add.at(g["word"], ids[t], (self.w["in"].T @ d_x).T)
-            d = np.where(fresh[t], 0, d * z + self.w["state"].T @ d_g)
+            d_x, d_g = d_in[t], d_state[t]
+            d_x[:h], d_x[h : 2 * h], d_x[2 * h :] = pre_z, pre_r, pre_c
+            d_g[: 2 * h], d_g[2 * h :] = d_x[: 2 * h], pre_c * r
+            d = np.where(fresh[t], np.float32(0), d * z + self.w["state"].T @ d_g)
+        wide = lambda x: x.transpose(1, 0, 2).reshape(x.shape[1], -1)
+        d_x, order = wide(d_in), np.argsort(ids, axis=None, kind="stable")
+        g["state"] += wide(d_state) @ wide(np.stack([x[0] for x in saved])).T
+        g["bias"] += d_x.sum(axis=1, keepdims=True)
+        lead = np.flatnonzero(np.diff(ids.ravel()[order], prepend=-1))
+        used, by_word = ids.ravel()[order][lead], np.add.reduceat(d_x.T[order], lead, axis=0)
+        g["in"] += by_word.T @ self.w["word"][used]
+        g["word"][used] = by_word @ self.w["in"]
         return g, last, -float(logp.mean())
 
-    def train(self, streams: list[np.ndarray]) -> None:
-        """Adam over windows of lanes; a lane is a run of documents, whose states start afresh."""
+    def train(self, streams: list[np.ndarray], frequency: np.ndarray) -> None:
+        """Adam over windows of lanes; a lane is a run of documents, whose states start afresh. Biases start from the corpus's counts."""
+        counts = frequency + 0.1
+        groups = counts.reshape(-1, CLASS).sum(axis=1)
+        self.w["class_bias"] = np.log(groups / groups.sum()).astype(np.float32)
+        self.w["out_bias"] = np.log(counts / counts.sum()).astype(np.float32)
         tokens = np.concatenate(streams) if streams else np.zeros(0, np.int64)
         if not len(tokens):
             return
-        counts = np.bincount(tokens, minlength=VOCABULARY) + 0.1
-        groups = counts.reshape(-1, CLASS).sum(axis=1)
-        self.w["class_bias"], self.w["out_bias"] = np.log(groups / groups.sum()).astype(np.float32), np.log(counts / counts.sum()).astype(np.float32)
         tokens = np.resize(tokens, max(len(tokens), LANES * (WINDOW + 1)))
         length = len(tokens) // LANES
         target = tokens[: length * LANES].reshape(LANES, length).T
         given = np.concatenate((np.full((1, LANES), END), target[:-1]))
         state, at = np.zeros((HIDDEN, LANES), np.float32), 0
-        first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
+        adam = Adam(self.w)
         for step in range(1, STEPS + 1):
             if at + WINDOW > length:
                 at, state = 0, np.zeros_like(state)
             part = slice(at, at + WINDOW)
             grad, state, _ = self.gradients(given[part], given[part] == END, target[part], state)
             at += WINDOW
-            rate = RATE * min(1, 2 * (1 - step / (STEPS + 1)))
-            for k, g in grad.items():
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.99 * second[k] + 0.01 * g * g
-                self.w[k] = (self.w[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            adam.step(grad, RATE * min(1, 2 * (1 - step / (STEPS + 1))))
+
+    def learn(self, streams: Iterator[np.ndarray], rate: float) -> int:
+        """One pass of Adam over every token of a run of streams, some at a time; how many there were. Documents go on from window to window of a lane."""
+        adam, held, size, seen = Adam(self.w), [], 0, 0
+
+        def pass_over(tokens: np.ndarray) -> None:
+            lanes = min(TASK_LANES, -(-len(tokens) // (WINDOW * 32)))
+            length = -(-len(tokens) // lanes)
+            target = np.resize(tokens, lanes * length).reshape(lanes, length).T  # what the last lane lacks comes from the start
+            given = np.concatenate((np.full((1, lanes), END), target[:-1]))
+            state = np.zeros((HIDDEN, lanes), np.float32)
+            for k in range(0, length, WINDOW):
+                part = slice(k, k + WINDOW)
+                grad, state, _ = self.gradients(given[part], given[part] == END, target[part], state)
+                adam.step(grad, rate)
+
+        for tokens in streams:
+            for k in range(0, len(tokens), TASK_TOKENS):
+                held.append(tokens[k : k + TASK_TOKENS])
+                size, seen = size + len(held[-1]), seen + len(held[-1])
+                if size >= TASK_TOKENS:
+                    pass_over(np.concatenate(held))
+                    held, size = [], 0
+        if size:
+            pass_over(np.concatenate(held))
+        return seen
 
     def score(self, target: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log-probability of every token of documents target[first[i]:first[i + 1]], each read from start to end.
@@ -264,6 +313,52 @@ def _count(rows: DataFrame, n_buckets: int) -> DataFrame:
     return settle(sent.groupBy("bucket").applyInArrow(add, "batch long, bucket long, n binary, a long, b long"))
 
 
+def _learn_all(rows: DataFrame, weights: dict[str, np.ndarray], counts: Counts) -> dict[str, np.ndarray]:
+    """Weights after every learned row, long or short, was passed over once.
+
+    A round takes the rows whose keys hash to it; each task goes on from the last
+    round's weights over its own rows, and the tasks' weights are averaged by their
+    tokens. A task sends its weights once a round, whatever its rows.
+    """
+    shapes = {k: v.shape for k, v in weights.items()}
+
+    def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
+        cuts = np.cumsum([int(np.prod(s)) for s in shapes.values()])[:-1]
+        return {k: x.reshape(s).astype(np.float32) for (k, s), x in zip(shapes.items(), np.split(flat, cuts), strict=True)}
+
+    def add(table: pa.Table) -> pa.Table:
+        order = np.argsort(np.asarray(table.column("task")))
+        n, blobs = np.asarray(table.column("n"))[order], table.column("weights").to_pylist()
+        total = sum(np.frombuffer(blobs[k], np.float32).astype(np.float64) * w for k, w in zip(order, n, strict=True))
+        return pa.table({"piece": table.column("piece")[:1], "weights": pa.array([total.tobytes()], pa.binary()), "n": pa.array([int(n.sum())])})
+
+    flat = np.concatenate([v.ravel() for v in weights.values()])
+    for r in range(ROUNDS):
+        start, rate = flat, TASK_RATE * (1 - r / ROUNDS)
+
+        def learn(batches: Iterator[pa.RecordBatch], start: np.ndarray = start, rate: float = rate) -> Iterator[pa.RecordBatch]:
+            task: list[int] = []
+
+            def streams() -> Iterator[np.ndarray]:
+                for batch in batches:
+                    if len(batch) and not task:
+                        task.append(batch.column(0)[0].as_py())
+                    for _, texts in chunks(batch.column(1)):
+                        yield _ids(_tokens(texts)[0], counts)
+
+            net = Network(unpack(start))
+            n = net.learn(streams(), rate)
+            if n:
+                parts = np.array_split(np.concatenate([net.w[k].ravel() for k in shapes]), PIECES)
+                yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(task * PIECES, pa.int64()), pa.array([n] * PIECES, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["piece", "task", "n", "weights"])
+
+        mine = rows.where(F.col("learned") & (F.pmod(F.xxhash64("key"), F.lit(ROUNDS)) == r)).select("uid", "text")
+        sums = mine.mapInArrow(learn, "piece int, task long, n long, weights binary").groupBy("piece").applyInArrow(add, "piece int, weights binary, n long").orderBy("piece").collect()  # PIECES rows
+        if sums:
+            flat = np.concatenate([np.frombuffer(x["weights"], np.float64) / x["n"] for x in sums]).astype(np.float32)
+    return unpack(flat)
+
+
 def score(docs: DataFrame, learn: Callable[[Column], Column], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, learned, n_tokens, n_known, train_tokens, base_score, score) for every row; learn says of the key which rows to learn from (null: no).
 
@@ -271,7 +366,7 @@ def score(docs: DataFrame, learn: Callable[[Column], Column], key: str = "doc_id
     end alone. base_score adds log10((c + 1) / (N + V + 1)) with counts over every
     learned row. score is the network's log10-probability of the whole text, its state carried
     from the first word to the last: the class, then the word of the class, for the
-    VOCABULARY most frequent words; for others the network's probability of any
+    VOCABULARY most frequent words, learned from every learned row; for others the network's probability of any
     other word times (c + 1) / (N' + V' + 1), the counts of those others. Repeated
     rows and null keys give a row each, an empty table none; other columns are left
     out. docs must be a table scan: batches are told by row number.
@@ -284,10 +379,15 @@ def score(docs: DataFrame, learn: Callable[[Column], Column], key: str = "doc_id
     tokens, distinct = (x or 0 for x in table.where("batch = -1").agg(F.sum("a"), F.sum("b")).first())
     top = table.where("batch = -2").orderBy(F.desc("b"), "a").limit(VOCABULARY - 2).select("a", "b").collect()
     counts = Counts(tokens, distinct, np.array([r[0] for r in top], np.int64).astype(np.uint64), np.array([r[1] for r in top], np.int64))
-    chosen = rows.where(F.col("learned") & (F.octet_length("text") <= TRAIN_BYTES)).orderBy(F.xxhash64("key", "text"), "key").limit(TRAIN_DOCS).select("text").collect()
+    sample = rows.where("learned AND text IS NOT NULL").select(F.xxhash64("key", "text").alias("h"), "key", F.left("text", F.lit(TRAIN_CHARS)).alias("text"))
+    chosen = sample.orderBy("h", "key").limit(TRAIN_DOCS).select("text").collect()
+    ends = rows.where("learned").count()
+    frequency = np.zeros(VOCABULARY)
+    frequency[[OTHER, END]] = max(0, tokens - ends - counts.top_counts.sum()), ends
+    frequency[2 : 2 + len(counts.top)] = counts.top_counts
     net = Network()
-    net.train([_ids(_tokens([r["text"].encode("utf-8")])[0], counts) for r in chosen])
-    weights = net.w
+    net.train([_ids(_tokens([r["text"].encode("utf-8")])[0], counts) for r in chosen], frequency)
+    weights = _learn_all(rows, net.w, counts)
     answers = table.where("batch >= 0").select("batch", "bucket", "n", "a")
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -72,3 +72,13 @@ def test_toxicity_odd_texts(odd, empty):
     rows = toxic.score(odd, net).collect()
     assert len(rows) == 9 and {r.score for r in rows if r.doc_id in (1, 2, 3)} == {0.0}
     assert toxic.score(empty, net).count() == 0
+
+
+def test_network_learns_from_all_of_long_texts(spark, tmp_path):
+    """Words in a fixed order, of which only the rest of long texts tells."""
+    early, late = ("".join(f"{c}{i} " for i in range(5)) for c in "xy")
+    rows = [(i, early * 900 + late * 2000 if i else late * 40) for i in range(41)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"file://{tmp_path}/t")
+    found = {r.doc_id: r for r in lm.score(spark.read.parquet(f"file://{tmp_path}/t"), lambda k: k > 0).collect()}
+    assert len(found) == 41 and not found[0].learned
+    assert found[0].score > found[0].base_score / 2
