@@ -360,7 +360,7 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     without words has none and links with nothing, as a null text. Repeated rows are
     rows of their own, linked with each other; a null key counts for no component
     and has none when alone. An empty table gives no rows; other columns are
-    left out. docs must be a table scan (see with_uid).
+    left out.
 
     1. Each set looks up its lowest hashes. Any linked set shares a known number of
        them, so that a set with fewer shared hashes is done: it has no link.

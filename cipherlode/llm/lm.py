@@ -253,7 +253,7 @@ class Network:
 
 
 def _batch(uid: str = "uid") -> Column:
-    """Rows of one partition of the scan, BATCH_ROWS at a time; every scan has the same."""
+    """Rows of one partition of the numbering, BATCH_ROWS at a time."""
     return (F.shiftright(uid, 33) * (1 << 22) + F.floor(F.col(uid).bitwiseAND(2**33 - 1) / BATCH_ROWS)).cast("long")
 
 
@@ -261,7 +261,7 @@ def _count(rows: DataFrame, n_buckets: int) -> DataFrame:
     """Corpus counts, in one exchange of each batch's distinct hashes.
 
     A bucket of hashes adds up all batches' counts and answers each batch with the
-    totals in the order in which that batch sent its hashes. A word, however
+    totals in the order of that batch's hashes. A word, however
     frequent, is one entry a batch. Rows: batch >= 0: an answer; -1: tokens and
     distinct words of a bucket; -2: its most frequent words.
     """
@@ -300,11 +300,14 @@ def _count(rows: DataFrame, n_buckets: int) -> DataFrame:
         sent = [np.frombuffer(b, np.uint64) for b in table.column("hashes").to_pylist()]
         hashes, at = np.unique(np.concatenate(sent), return_inverse=True)
         n = np.bincount(at, np.concatenate([np.frombuffer(b, np.uint32) for b in table.column("n").to_pylist()]), len(hashes)).astype(np.int64)
-        answers = np.split(n[at], np.cumsum([len(s) for s in sent])[:-1])
+        of: dict[int, list[np.ndarray]] = {}
+        for b, s in zip(batch, sent, strict=True):
+            of.setdefault(b, []).append(s)  # a batch that two tasks read comes in two parts
+        answers = [n[np.searchsorted(hashes, np.unique(np.concatenate(s)) if len(s) > 1 else s[0])] for s in of.values()]
         words_only = np.where(hashes == END_HASH, 0, n)
         top = np.argsort(-words_only, kind="stable")[:VOCABULARY]
         top = top[words_only[top] > 0]
-        rows = [(b, bucket, a.astype(np.uint32 if a.max() < 2**32 else np.uint64).tobytes(), len(a), 0) for b, a in zip(batch, answers, strict=True)]
+        rows = [(b, bucket, a.astype(np.uint32 if a.max() < 2**32 else np.uint64).tobytes(), len(a), 0) for b, a in zip(of, answers, strict=True)]
         rows.append((-1, bucket, b"", int(n.sum()), int((n > 0).sum())))
         rows += [(-2, bucket, b"", int(hashes[t].astype(np.int64)), int(n[t])) for t in top]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["batch", "bucket", "n", "a", "b"])
@@ -369,7 +372,7 @@ def score(docs: DataFrame, learn: Callable[[Column], Column], key: str = "doc_id
     VOCABULARY most frequent words, learned from every learned row; for others the network's probability of any
     other word times (c + 1) / (N' + V' + 1), the counts of those others. Repeated
     rows and null keys give a row each, an empty table none; other columns are left
-    out. docs must be a table scan: batches are told by row number.
+    out.
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
     rows = with_uid(docs, key, text).withColumn("learned", F.coalesce(learn(F.col("key")), F.lit(False)))

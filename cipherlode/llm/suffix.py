@@ -213,7 +213,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     lie in the same one and overlap. Null texts are empty, short ones stay. A row
     that is there twice is two documents, so both lose what they share. Null
     keys are rows as others. kept drops what is left of a cut character. An empty
-    table gives no rows; other columns are left out. docs must be a table scan (see with_uid).
+    table gives no rows; other columns are left out.
 
     1. Every string has one anchor, its lowest-hashed gram; equal strings have equal
        anchors. Consecutive strings share one, so that a text has few. Anchors

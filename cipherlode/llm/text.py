@@ -52,13 +52,11 @@ def stored_by(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, str]:
 
 
 def with_uid(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(uid, key, text): a row number that every scan of the same table repeats.
+    """(uid, key, text) in the shared folder: row numbers are given once, since another scan, on other cores, may split the table elsewhere.
 
-    df must be a table scan or another plan whose rows come in a repeatable
-    order; write other results first. Extra columns are left out, so their names
-    cannot clash.
+    Extra columns are left out, so their names cannot clash.
     """
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).select(F.monotonically_increasing_id().alias("uid"), "key", "text")
+    return settle(df.select(F.col(key).alias("key"), F.col(text).alias("text")).select(F.monotonically_increasing_id().alias("uid"), "key", "text"), "zstd")
 
 
 def mix(h: np.ndarray) -> np.ndarray:
