@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 BREAK = r"\r\n|\n|\r| | "
 IDENT = r"[A-Za-z_$\u0080-￿][\w$\u0080-￿]*+"
-STRING = r"(?:'(?:[^'\\\n\r]++|\\[\s\S]){0,900}+'?|\"(?:[^\"\\\n\r]++|\\[\s\S]){0,900}+\"?)"
+STRING = r"(?:'(?:[^'\\\n\r]++|\\[\s\S])*+'?|\"(?:[^\"\\\n\r]++|\\[\s\S])*+\"?)"
 COMMENT = r"(?://[^\n\r  ]*+|/\*(?s:.*?)(?:\*/|\z))"
 #: What stands in ${...}, two braces deep.
 HOLE = rf"\$\{{(?:[^{{}}`'\"]++|{STRING}|\{{(?:[^{{}}`'\"]++|{STRING}|\{{[^{{}}]*+\}})*+\}}|`[^`]*+`)*+\}}"
-TEMPLATE = rf"`(?:[^`\\$]++|\\[\s\S]|\$(?!\{{)|{HOLE}){{0,900}}+`?"
+TEMPLATE = rf"`(?:[^`\\$]++|\\[\s\S]|\$(?!\{{)|{HOLE})*+`?"
 #: A regular expression, told from a division by what stands before it.
 REGEX = r"(?<=(?:^|[=(,:;!&|?{}\[+\-*%<>~^\n]|\b(?:return|typeof|case|delete|void|throw|else|await|yield)\b)[ \t]{0,40})/(?![/*])(?:[^/\\\[\n\r]++|\\[^\n\r]|\[(?:[^\]\\\n\r]++|\\[^\n\r]){0,300}+\]){1,300}+/[A-Za-z]*+"
 MEMBER = rf"(?:\s*\??\.\s*#?{IDENT})"

@@ -1,0 +1,14 @@
+"""Literals of any length."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from cipherlode.functions import code as C
+
+
+@pytest.mark.parametrize("quote", ["'", '"', "`"])
+def test_long_literals_end_at_their_quote(spark, quote):
+    literal = quote + r"\xaa-" * 50_000 + quote
+    text = f"a({literal});b()"
+    row = spark.createDataFrame([(text,)], "code string").select(F.regexp_extract_all("code", F.lit(C.SEGMENT), F.lit(0)).alias("s")).first()
+    assert row.s == ["a(", literal, ");", "b(", ")"]
