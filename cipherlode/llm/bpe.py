@@ -5,7 +5,8 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +16,23 @@ from pyspark.sql import functions as F
 
 from cipherlode.llm.text import chunks, only
 
-#: Pieces that a worker remembers before it starts afresh; it only saves time.
-REMEMBERED = 400_000
+#: Pieces that a worker remembers before the older half goes; it only saves time. A task's end drops all.
+REMEMBERED = 240_000
 #: No pair. Above every rank.
 NONE = np.int32(2**31 - 1)
 #: Elements of one group of trees that are worked on together.
-GROUP = 1 << 20
+GROUP = 1 << 19
+#: Bytes of text that are taken apart at a time.
+CHUNK = 1 << 21
+
+
+def joined(items: pa.LargeBinaryArray, ends: np.ndarray, cut: int) -> list[memoryview]:
+    """The bytes of each run of items, less the last cut ones."""
+    _, offsets, data = items.buffers()
+    if data is None:
+        return [memoryview(b"")] * (len(ends) - 1)
+    at = np.frombuffer(offsets, np.int64)[ends].tolist()
+    return [memoryview(data)[a : max(a, z - cut)] for a, z in zip(at, at[1:], strict=False)]
 
 
 class Vocabulary:
@@ -28,18 +40,21 @@ class Vocabulary:
 
     def __init__(self, file: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, file.splitlines()))}
-        self.bytes_of = {i: t for t, i in self.ranks.items()}
-        self.digits = {i: str(i) for i in self.bytes_of}
+        bytes_of = {i: t for t, i in self.ranks.items()}
+        self.tokens = pa.array([bytes_of.get(i, b"") for i in range(max(bytes_of) + 1)], pa.large_binary())
+        self.digits = pa.array([f"{i}," for i in range(len(self.tokens))], pa.large_binary())
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        pairs = {}
+        keys, merged = array("q"), array("i")
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    pairs[left << 32 | right] = rank
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+                    keys.append(left << 32 | right)
+                    merged.append(rank)
+        order = np.argsort(np.array(keys))
+        self.keys, self.merged = np.array(keys)[order], np.array(merged, np.int32)[order]
+        self.known: dict[str, bytes] = {}  # a piece's ids, four bytes each
+        self.former: dict[str, bytes] = {}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids, NONE where the two don't merge."""
@@ -93,11 +108,29 @@ class Vocabulary:
         ids = np.split(sym[:, :width][live], np.cumsum(live.sum(axis=1))[:-1])
         return [x.tolist() for x in ids]
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join([self.bytes_of[i] for i in ids])
+    def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[memoryview], list[memoryview]]:
+        """Of texts, given as pieces: how many ids each has, all ids, and for each text its ids as decimals with commas and the bytes that they decode to."""
+        self.recall(set().union(*texts))
+        known = self.known
+        packed = [b"".join([known[p] for p in pieces]) for pieces in texts]
+        sizes = np.array([len(x) // 4 for x in packed], np.int64)
+        ids, ends = np.frombuffer(b"".join(packed), np.int32), np.concatenate(([0], np.cumsum(sizes)))
+        return sizes, ids, *(joined(table.take(pa.array(ids)), ends, cut) for table, cut in ((self.digits, 1), (self.tokens, 0)))
+
+    def recall(self, pieces: set[str]) -> None:
+        """Have all these pieces among the known; what was not asked for since the last turn but one is forgotten."""
+        if len(self.known) + len(pieces) > REMEMBERED:
+            self.former, self.known = self.known, {}
+        missing = pieces - self.known.keys()
+        again = missing & self.former.keys()
+        self.known.update((p, self.former[p]) for p in again)
+        self.learn(missing - again)
+
+    def forget(self) -> None:
+        self.known, self.former = {}, {}
 
     def learn(self, pieces: set[str]) -> None:
-        """Remember the ids of these pieces: their text, how many, and the bytes that they decode to."""
+        """Remember the ids of these pieces."""
         done: dict[str, list[int]] = {}
         by_width: dict[int, list[tuple[str, bytes]]] = {}
         for p in pieces:
@@ -111,9 +144,7 @@ class Vocabulary:
             for k in range(0, len(group), step):
                 part = group[k : k + step]
                 done.update(zip([p for p, _ in part], self.merge([raw for _, raw in part]), strict=True))
-        if len(self.known) + len(done) > REMEMBERED:
-            self.known.clear()
-        self.known.update((p, (",".join([self.digits[i] for i in ids]), len(ids), self.decode(ids))) for p, ids in done.items())
+        self.known.update((p, array("i", ids).tobytes()) for p, ids in done.items())
 
 
 @functools.lru_cache(1)
@@ -139,21 +170,15 @@ def tokens(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", te
         only("bpe", _vocabulary.cache_clear)
         voc, split = _vocabulary(file), regex.compile(pattern)
         for batch in batches:
-            for first, texts in chunks(batch.column(1)):
+            for first, texts in chunks(batch.column(1), CHUNK):
                 found = [split.findall(t.decode("utf-8", "replace")) for t in texts]
-                new = set().union(*found) - voc.known.keys()
-                if new:
-                    voc.learn(new)
-                    if not all(p in voc.known for x in found for p in x):  # memory was cleared
-                        voc.learn(set().union(*found))
-                rows = []
-                for pieces in found:
-                    got = [voc.known[p] for p in pieces]
-                    ids, back = ",".join([x[0] for x in got]), b"".join([x[2] for x in got])
-                    rows.append((sum([x[1] for x in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest(), *((list(map(int, ids.split(","))) if ids else [], back.decode("utf-8", "replace")) if with_ids else ())))
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *columns], ["key", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 4 + 2 * with_ids])
+                sizes, ids, digits, back = voc.encode(found)
+                sha = [pa.array([hashlib.sha256(x).hexdigest() for x in column], pa.string()) for column in (digits, back)]
+                columns = [batch.column(0).slice(first, len(texts)), pa.array(sizes), *sha]
+                if with_ids:
+                    columns += [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids)), pa.array([str(x, "utf-8", "replace") for x in back], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 4 + 2 * with_ids])
+        voc.forget()
 
     out = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(encode, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
     return out.withColumnRenamed("key", key)
