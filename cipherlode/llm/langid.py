@@ -15,7 +15,7 @@ from cipherlode.llm.text import chunks, only
 
 #: Characters of reference text for a language, and documents that they may come from: the bound of the labelled sample.
 SAMPLE_CHARS, SAMPLE_DOCS = 24_000, 24
-#: A text is parsed in blocks of so many characters, side by side; each block starts a new phrase.
+#: A text is parsed in blocks of so many characters, side by side; what that changes at a block's start is put right after.
 BLOCK = 1024
 UNKNOWN = "und"
 
@@ -66,7 +66,10 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
 
 
 class Parser:
-    """The automata of all languages in one table, so that a step for all blocks and languages is one lookup."""
+    """The transitions of all languages' automata in one hash table, so that a step for all blocks and languages is a few look-ups.
+
+    Its size follows the automata, not their alphabets.
+    """
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.langs = [lang for lang, _ in samples]
@@ -75,45 +78,110 @@ class Parser:
         self.symbol = np.zeros(0x110000, np.int32)
         self.symbol[letters] = np.arange(1, len(letters) + 1)
         self.width = len(letters) + 1
-        tables, self.start = [], []
+        keys, targets, start = [], [], 0
+        self.start, self.first = np.zeros(len(plain), np.int32), np.zeros((len(plain), self.width), np.int32)
         for k, text in enumerate(plain):
             step = suffix_automaton(self.symbol[text].tolist())
-            offset = sum(map(len, tables))
-            self.start.append(offset)
-            table = np.full((len(step), self.width), -1, np.int32)
-            for state, out in enumerate(step):
-                table[state, list(out)] = [offset + to for to in out.values()]
-            again = np.where(table[0] < 0, offset, table[0])  # a phrase ends; the next starts with this character
-            tables.append(np.where(table < 0, ~again, table))
-        self.table = np.concatenate(tables).ravel()
+            keys.append(np.array([(start + s) * self.width + c for s, out in enumerate(step) for c in out], np.int64))
+            targets.append(np.array([start + to for out in step for to in out.values()], np.int32))
+            self.start[k] = start
+            self.first[k] = start  # a phrase ends; the next starts with this character
+            self.first[k, list(step[0])] = start + np.array(list(step[0].values()), np.int64)
+            start += len(step)
+        self._store(np.concatenate(keys), np.concatenate(targets))
         #: bits to name a place in the reference text
         self.bits = np.log2([max(2, len(t)) for t in plain])
 
+    def _store(self, keys: np.ndarray, targets: np.ndarray) -> None:
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.targets = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        todo, slot = np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            self.keys[slot[free]] = keys[todo[free]]  # of several for one slot, one stays
+            self.targets[slot[free]] = targets[todo[free]]
+            out = self.keys[slot] != keys[todo]
+            todo, slot = todo[out], (slot[out] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def step(self, state: np.ndarray, lang: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next state of each parse, and whether a phrase ended before this symbol."""
+        key = state.astype(np.int64) * self.width + symbol
+        slot = self._slot(key)
+        there = self.keys[slot]
+        look = np.flatnonzero((there != key) & (there >= 0))
+        while len(look):
+            slot[look] = (slot[look] + 1) & self.mask
+            there[look] = self.keys[slot[look]]
+            look = look[(there[look] != key[look]) & (there[look] >= 0)]
+        ended = there != key
+        return np.where(ended, self.first[lang, symbol], self.targets[slot]), ended
+
     def phrases(self, texts: list[str]) -> np.ndarray:
-        """Phrases of each text for each language, times the bits to name one, by character."""
+        """Phrases of each text for each language, times the bits to name one, by character.
+
+        Blocks are parsed side by side, each as if a phrase started with it. Then every block is
+        parsed again from the state in which the one before it ended, until both parses end a phrase
+        at the same character: from there on they are the same. A block where that never
+        happens passes its new last state on to the next one. So the result is that of whole texts.
+        """
         plain = [_plain(t) for t in texts]
-        owner, parts = [], []
-        for k, codes in enumerate(plain):
-            for i in range(0, len(codes), BLOCK):
-                owner.append(k)
-                parts.append(self.symbol[codes[i : i + BLOCK]])
+        owner = np.repeat(np.arange(len(plain)), [-(-len(p) // BLOCK) for p in plain])
         out = np.zeros((len(texts), len(self.langs)))
-        if parts:
-            order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
-            sizes = np.array([len(parts[i]) for i in order])
-            lanes = np.zeros((sizes[0], len(parts)), np.int32)
-            for lane, i in enumerate(order):
-                lanes[: sizes[lane], lane] = parts[i]
-            state = np.repeat(np.array(self.start, np.int32)[:, None], len(parts), axis=1)
-            ended = np.ones(state.shape, np.int32)
-            alive = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
-            for k in range(sizes[0]):
-                n = alive[k]
-                to = self.table[state[:, :n] * np.int32(self.width) + lanes[k, :n]]
-                sign = to >> 31
-                ended[:, :n] -= sign
-                state[:, :n] = to ^ sign
-            np.add.at(out, np.array(owner)[order], ended.T)
+        if not len(owner):
+            return out
+        lead = np.flatnonzero(np.diff(owner, prepend=-1))
+        nth = np.arange(len(owner)) - np.repeat(lead, np.diff(np.append(lead, len(owner))))
+        size = np.minimum(BLOCK, np.array([len(p) for p in plain])[owner] - nth * BLOCK)
+        codes = np.zeros((int(size.max()), len(owner)), np.int32)
+        for b, (k, i) in enumerate(zip(owner.tolist(), nth.tolist(), strict=True)):
+            codes[: size[b], b] = self.symbol[plain[k][i * BLOCK : (i + 1) * BLOCK]]
+        lang, block = np.repeat(np.arange(len(self.langs)), len(owner)), np.tile(np.argsort(-size, kind="stable"), len(self.langs))
+        n, n_langs = len(owner), len(self.langs)
+        last = np.zeros((n_langs, n), np.int32)
+        ended = np.zeros((len(codes), n_langs, n), bool)
+        order = block[:n]
+        state = np.repeat(self.start[:, None], n, axis=1)
+        alive = np.searchsorted(-size[order], -np.arange(len(codes)), side="left")
+        for k in range(len(codes)):
+            m = alive[k]
+            symbol = np.broadcast_to(codes[k, order[:m]], (n_langs, m)).ravel()
+            to, end = self.step(state[:, :m].ravel(), np.repeat(np.arange(n_langs), m), symbol)
+            state[:, :m], ended[k, :, order[:m]] = to.reshape(n_langs, m), end.reshape(n_langs, m).T
+        last[:, order] = state
+        total = ended.sum(axis=0, dtype=np.int64)
+        lang, block = (x.ravel() for x in np.meshgrid(np.arange(n_langs), np.flatnonzero(nth > 0), indexing="ij"))
+        while len(block):
+            now, changed = last[lang, block - 1], []
+            for k in range(len(codes)):
+                full = size[block] == k
+                if full.any():  # never met: the state at the end is another
+                    new = full & (last[lang, block] != now)
+                    last[lang[new], block[new]] = now[new]
+                    changed.append((lang[new], block[new] + 1))
+                    lang, block, now = lang[~full], block[~full], now[~full]
+                if not len(block):
+                    break
+                now, end = self.step(now, lang, codes[k, block])
+                was = ended[k, lang, block]
+                np.add.at(total, (lang, block), end.astype(np.int64) - was)
+                ended[k, lang, block] = end
+                apart = ~(end & was)
+                lang, block, now = lang[apart], block[apart], now[apart]
+            if len(block):
+                new = last[lang, block] != now
+                last[lang[new], block[new]] = now[new]
+                changed.append((lang[new], block[new] + 1))
+            lang, block = (np.concatenate([c[i] for c in changed]) if changed else np.zeros(0, np.int64) for i in (0, 1))
+            within = block < n
+            lang, block = lang[within], block[within]
+            within = nth[block] > 0
+            lang, block = lang[within], block[within]
+        np.add.at(out, owner, total.T)
+        out[owner[lead]] += 1  # the first phrase
         return out * self.bits / np.maximum(1, [len(p) for p in plain])[:, None]
 
 

@@ -1,3 +1,6 @@
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from cipherlode.llm import langid
@@ -23,22 +26,37 @@ def test_automaton_reads_exactly_the_substrings():
 def test_phrases_against_plain_parse():
     samples = (("a", "the cat sat on the mat and the rat"), ("b", "el gato come la rata en la casa"))
     parser = langid.Parser(samples)
-    texts = ["the gato sat", "zzz", "", "la casa the mat 99 el", "x" * 2500]
+    texts = ["the gato sat", "zzz", "", "la casa the mat 99 el", "x" * 2500, "the rat sat on the casa " * 200, "the cat sat on the mat and the rat" * 150, "el" * 3000, "a" * 1024, "mat" * 400]
     got = parser.phrases(texts)
     for k, text in enumerate(texts):
         plain = "".join(map(chr, langid._plain(text)))
         for j, (_, sample) in enumerate(samples):
             reference, n = substrings("".join(map(chr, langid._plain(sample)))), 0
-            for b in range(0, len(plain), langid.BLOCK):
-                phrase, n = "", n + 1
-                for c in plain[b : b + langid.BLOCK]:
-                    if phrase + c in reference:
-                        phrase += c
-                    else:
-                        n, phrase = n + 1, c if c in reference else ""
+            n, phrase = int(len(plain) > 0), ""
+            for c in plain:
+                if phrase + c in reference:
+                    phrase += c
+                else:
+                    n, phrase = n + 1, c if c in reference else ""
             assert abs(got[k, j] - n * parser.bits[j] / max(1, len(plain))) < 1e-9
 
 
+def test_blocks_that_never_meet_pass_their_state_on(monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", 3)
+    test_phrases_against_plain_parse()
+
+
+def test_many_languages_with_large_alphabets_stay_small():
+    r = np.random.default_rng(2)
+    samples = tuple((str(k), "".join(map(chr, r.integers(0x4E00, 0x4E00 + 3000, 3000) + 3000 * (k % 5)))) for k in range(20))
+    tracemalloc.start()
+    parser = langid.Parser(samples)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200e6
+    assert [parser.langs[k] for k in np.argmin(parser.phrases([t for _, t in samples]), axis=1)] == [k for k, _ in samples]
+
+
 def test_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
     out = langid.op6_language_id(spark, sf_dir.replace("0.001", "0.01")).join(docs.select("doc_id", "lang"), "doc_id")
