@@ -16,8 +16,10 @@ from cipherlode.llm.text import chunks, mix, only, prefix_hash, settle, span_has
 LENGTH, ANCHOR = 400, 100
 #: Places of an anchor in a string that go into one collection: what such strings have in common is one symbol there.
 BLOCK = 25
-#: Strings of a collection, about; a group of more than BIG is split by whole strings instead.
+#: Strings of a collection, about; a group of more than BIG is cut again, so that its strings share a longer symbol.
 COLLECTION, BIG = 2000, 4096
+#: Places of the pieces of such groups; at one place a string is one symbol.
+FINER = (5, 1)
 #: Strings that are worked on together when anchors are chosen, so that a place takes 20 bits.
 SEGMENT = 1 << 19
 
@@ -127,7 +129,7 @@ def _cut(length: int):
                     for low in range((place - last) // BLOCK * BLOCK, place - first + 1, BLOCK):
                         high = low + BLOCK - 1
                         a, z = place - low, place - high + length
-                        core = int(mix(span_hash(prefix, np.array([a]), np.array([z])) + np.uint64(w["h"] & (2**64 - 1)) * np.uint64(2 * low + 1))[0].astype(np.int64))
+                        core = int(mix(span_hash(prefix, np.array([a]), np.array([z])) + np.array([w["h"]]).astype(np.uint64) * np.uint64(2 * low + 1 & 2**64 - 1))[0].astype(np.int64))
                         left = raw[max(first, place - high) : a]
                         rows.append((core, uid, a - len(left), len(left), left, raw[z : min(a, last) + length]))
                 if len(rows) > 20_000:
@@ -143,7 +145,31 @@ def _cut(length: int):
     return cut
 
 
-def _collect(length: int):
+def finer(pieces: DataFrame, block: int, places: int) -> DataFrame:
+    """Pieces of block places cut again into pieces of fewer places: what the strings of one share joins its symbol."""
+    left = F.col("a") * places
+    right = F.lit(block - places) - left
+    n = F.octet_length("l")
+    part = lambda c, a, z: F.substring(c, a + 1, F.greatest(z - a, F.lit(0)))
+    low = F.greatest(n - left - (places - 1), F.lit(0))
+    core = F.xxhash64("core", "a", part(F.col("l"), n - left, n), part(F.col("r"), F.lit(0), right))
+    cut = pieces.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(block // places - 1)))).where((n >= left) & (F.octet_length("r") >= right))
+    return cut.select(core.alias("core"), "uid", (F.col("start") + low).cast("int").alias("start"), part(F.col("l"), low, n - left).alias("l"), part(F.col("r"), right, right + places - 1).alias("r"))
+
+
+def repeats(pieces: DataFrame, length: int, block: int = BLOCK, then: tuple[int, ...] = FINER) -> DataFrame:
+    """(uid, a, z): spans of strings that two pieces hold, for stored pieces of block places."""
+    if block == 1:
+        twice = pieces.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+        return pieces.join(twice, "core").select("uid", F.col("start").alias("a"), (F.col("start") + length).cast("int").alias("z"))
+    big = settle(pieces.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > BIG).select("core"))
+    found = pieces.join(big, "core", "left_anti").repartition("core").sortWithinPartitions("core").mapInArrow(_collect(length, block), "uid long, a int, z int")
+    if big.isEmpty():
+        return found
+    return found.union(repeats(settle(finer(pieces.join(big, "core", "left_semi"), block, then[0])), length, then[0], then[1:]))
+
+
+def _collect(length: int, block: int):
     """Pieces come by core: whole groups go into collections, and repeated strings come out as spans."""
 
     def spans(groups: list[list[tuple[int, int, bytes, bytes]]]) -> pa.RecordBatch:
@@ -153,7 +179,7 @@ def _collect(length: int):
                 strings.append(np.concatenate((np.frombuffer(left, np.uint8), np.array([256 + k], np.uint16), np.frombuffer(right, np.uint8))).astype(np.uint16))
                 owner.append((uid, start, len(left)))
         out = []
-        for (uid, start, n_left), twice in zip(owner, collection_repeats(strings, BLOCK), strict=True):
+        for (uid, start, n_left), twice in zip(owner, collection_repeats(strings, block), strict=True):
             at = np.flatnonzero(twice[: n_left + 1])
             if len(at):
                 lead = np.flatnonzero(np.diff(at, prepend=-2) > 1)
@@ -221,7 +247,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     2. The other repeated anchors' strings are cut into pieces by the anchor's place; the part that all
        strings of a piece share is a symbol (its hash). Pieces with equal
        symbols are collections, sorted column by column; common prefixes of
-       the suffix array show the repeated strings.
+       the suffix array show the repeated strings. A symbol that very many pieces
+       have is one of fewer places for them, so that no collection is large.
+
+    Strings, anchors and symbols are equal where their 64-bit hashes are.
     """
     kind = dict(docs.dtypes)[key]
     rows = with_uid(docs, key, text)
@@ -234,20 +263,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 
     wanted = many.where("kinds > 1").select("one.uid", F.struct("h", "one.place", "one.first", "one.last").alias("w")).groupBy("uid").agg(F.collect_list("w").alias("w"))
     pieces = settle(texts.join(wanted, "uid").select("uid", "text", "w").mapInArrow(_cut(length), "core long, uid long, start int, l binary, r binary"))
-    big = settle(pieces.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > BIG).select("core"))
-    dealt = pieces.join(big, "core", "left_anti").repartition("core").sortWithinPartitions("core")
-    repeated = dealt.mapInArrow(_collect(length), "uid long, a int, z int")
-    if not big.isEmpty():
-        # strings of a large group, each by its own bytes: left from i on, and as much of right as makes up the length
-        strings = pieces.join(big, "core", "left_semi").withColumn("i", F.explode(F.sequence(F.lit(0), F.octet_length("l"))))
-        need = F.lit(BLOCK - 1) - (F.octet_length("l") - F.col("i"))
-        strings = strings.where((need >= 0) & (need <= F.octet_length("r"))).select("uid", (F.col("start") + F.col("i")).alias("a"), F.md5(F.concat(F.col("core").cast("string").cast("binary"), F.lit(b"|"), (F.octet_length("l") - F.col("i")).cast("string").cast("binary"), F.lit(b"|"), F.expr("substring(l, i + 1, 1000)"), F.substring(F.col("r"), F.lit(1), need))).alias("s"))
-        twice = strings.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s")
-        repeated = repeated.union(strings.join(twice, "s").select("uid", "a", (F.col("a") + length).cast("int").alias("z")))
-    spans = whole.union(repeated).distinct().groupBy("uid").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
+    spans = whole.union(repeats(pieces, length)).distinct().groupBy("uid").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
     out = rows.join(spans, "uid", "left").select("key", "text", "spans").mapInArrow(_rest(length, with_text), f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
     return out.withColumnRenamed("key", key)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
+    """The contract's columns, then what is left of each text and its characters."""
+    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long"))

@@ -55,9 +55,18 @@ def test_table(spark, sf_dir, tmp_path):
     assert check(spark, rows, suffix.LENGTH, suffix.ANCHOR, f"file://{tmp_path}/d") > 100
 
 
-@pytest.mark.parametrize("big", [4096, 3])
-def test_planted(spark, tmp_path, monkeypatch, big):
+def test_query(spark, sf_dir):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    out = suffix.op2_suffix_dedup(spark, sf_dir).collect()
+    assert {r.doc_id for r in out} == set(texts)
+    for r in out:
+        assert r.n_chars == len(r.text) and (r.text == texts[r.doc_id]) == (r.n_removed == 0)
+
+
+@pytest.mark.parametrize(("big", "then"), [(4096, (5, 1)), (3, (5, 1)), (3, (1,))])
+def test_planted(spark, tmp_path, monkeypatch, big, then):
     monkeypatch.setattr(suffix, "BIG", big)
+    monkeypatch.setattr(suffix.repeats, "__defaults__", (suffix.BLOCK, then))
     monkeypatch.setattr(suffix, "COLLECTION", 40)
     monkeypatch.setattr(suffix, "SEGMENT", 700)
     r = random.Random(big)
