@@ -28,6 +28,7 @@ def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, ends = np.asarray(batch.column(0).flatten(), np.float64), np.cumsum(size)
         for d in np.unique(size).tolist():
             x = values[np.concatenate([np.arange(e - d, e) for e in ends[size == d]])].reshape(-1, d)
+            x /= np.abs(x).max(axis=1)[:, None]  # first, as squares of tiny or huge numbers don't fit
             x /= np.linalg.norm(x, axis=1)[:, None]
             sums[d] = sums.get(d, 0) + x.T @ x
     for d, s in sums.items():

@@ -7,7 +7,7 @@ def brute(rows, t=0.93):
     unit = []
     for k, v, label in rows:
         ok = k is not None and label is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v)
-        x = np.array(v, float) if ok else None
+        x = np.array(v, float) / np.abs(v).max() if ok and np.any(v) else np.zeros(1) if ok else None
         unit.append(x / np.linalg.norm(x) if ok and x.any() else None)
     n = len(rows)
     link = [[j for j in range(n) if i != j and unit[i] is not None and unit[j] is not None and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= t - 1e-12] for i in range(n)]
@@ -43,8 +43,15 @@ def test_odd_vectors(spark, tmp_path, monkeypatch):
     base = r.normal(size=(6, 8))
     rows = [(i, (base[i % 6] + r.normal(size=8) * 0.25 * (i % 3)).tolist(), i % 2) for i in range(90)]
     rows += [(100, None, 0), (101, [0.0] * 8, 0), (102, [float("nan")] + [1.0] * 7, 0), (103, [None] + [1.0] * 7, 0), (104, [float("inf")] * 8, 0), (105, rows[0][1], None), (106, [1.0, 0.0], 0), (107, [2.0, 0.0], 0), (None, rows[0][1], 0), (0, rows[0][1], 0), (0, rows[0][1], 0), (108, [], 0), (109, [3.0], 1), (110, [-3.0], 1)]
+    rows += [(111, [1e-38, 2e-38], 1), (112, [1e-30, 2e-30], 1), (113, [1e38, 2e38], 1)]
     check(spark, rows, f"file://{tmp_path}/e")
 
 
+def test_tiny_and_huge_doubles(spark):
+    rows = [(1, [1e-200, 2e-200], 0), (2, [1e200, 2e200], 0), (3, [2e-308, 1e-320], 0), (4, [1e308, 1e-308], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3)}
+
+
 def test_empty(spark, tmp_path):
     check(spark, [], f"file://{tmp_path}/e")
