@@ -382,8 +382,8 @@ def score(docs: DataFrame, learn: Callable[[Column], Column], key: str = "doc_id
     tokens, distinct = (x or 0 for x in table.where("batch = -1").agg(F.sum("a"), F.sum("b")).first())
     top = table.where("batch = -2").orderBy(F.desc("b"), "a").limit(VOCABULARY - 2).select("a", "b").collect()
     counts = Counts(tokens, distinct, np.array([r[0] for r in top], np.int64).astype(np.uint64), np.array([r[1] for r in top], np.int64))
-    sample = rows.where("learned AND text IS NOT NULL").select(F.xxhash64("key", "text").alias("h"), "key", F.left("text", F.lit(TRAIN_CHARS)).alias("text"))
-    chosen = sample.orderBy("h", "key").limit(TRAIN_DOCS).select("text").collect()
+    few = rows.where("learned AND text IS NOT NULL").select(F.xxhash64("key", "text").alias("h"), "key", "uid").orderBy("h", "key", "uid").limit(TRAIN_DOCS)  # numbers first, then their texts
+    chosen = rows.join(F.broadcast(few.select("uid", "h")), "uid").select("h", "key", F.left("text", F.lit(TRAIN_CHARS)).alias("text")).orderBy("h", "key", "text").select("text").collect()
     ends = rows.where("learned").count()
     frequency = np.zeros(VOCABULARY)
     frequency[[OTHER, END]] = max(0, tokens - ends - counts.top_counts.sum()), ends
@@ -397,9 +397,9 @@ def score(docs: DataFrame, learn: Callable[[Column], Column], key: str = "doc_id
         hashes, first = _tokens(_texts(left.column("text")))
         distinct, at = np.unique(hashes, return_inverse=True)
         bucket = (distinct % np.uint64(n_buckets)).astype(np.int64)
-        c = np.zeros(len(distinct))
-        for b, blob, n in zip(right.column("bucket").to_pylist(), right.column("n").to_pylist(), right.column("a").to_pylist(), strict=True):
-            c[bucket == b] = np.frombuffer(blob, np.uint32 if len(blob) == 4 * n else np.uint64)
+        c, order = np.zeros(len(distinct)), np.argsort(bucket, kind="stable")
+        answered = sorted(zip(right.column("bucket").to_pylist(), right.column("n").to_pylist(), right.column("a").to_pylist(), strict=True))
+        c[order] = np.concatenate([np.frombuffer(blob, np.uint32 if len(blob) == 4 * n else np.uint64).astype(np.float64) for _, blob, n in answered])
         base = np.log10((c + 1) / (counts.tokens + counts.distinct + 1))
         ids = _ids(distinct, counts)
         ends = distinct == END_HASH

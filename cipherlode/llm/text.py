@@ -29,7 +29,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def lean_workers(spark: SparkSession) -> None:
     """Python workers that give large arrays back to the system as soon as they are freed; a worker lives through many tasks."""
-    spark.sparkContext.environment.update({"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "16777216", "MALLOC_ARENA_MAX": "2"})
+    spark.sparkContext.environment.update({"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "16777216", "MALLOC_ARENA_MAX": "2"})
 
 
 _owner: list[tuple[str, Callable[[], None]]] = []
