@@ -1,4 +1,4 @@
-"""Patterns and Column expressions over pieces of JavaScript and TypeScript text."""
+"""Column expressions that several modules share."""
 
 from __future__ import annotations
 
@@ -7,39 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BREAK = r"\r\n|\n|\r| | "
-IDENT = r"[A-Za-z_$\u0080-￿][\w$\u0080-￿]*+"
-STRING = r"(?:'(?:[^'\\\n\r]++|\\[\s\S])*+'?|\"(?:[^\"\\\n\r]++|\\[\s\S])*+\"?)"
-COMMENT = r"(?://[^\n\r  ]*+|/\*(?s:.*?)(?:\*/|\z))"
-#: What stands in ${...}, two braces deep.
-HOLE = rf"\$\{{(?:[^{{}}`'\"]++|{STRING}|\{{(?:[^{{}}`'\"]++|{STRING}|\{{[^{{}}]*+\}})*+\}}|`[^`]*+`)*+\}}"
-TEMPLATE = rf"`(?:[^`\\$]++|\\[\s\S]|\$(?!\{{)|{HOLE})*+`?"
-#: A regular expression, told from a division by what stands before it.
-REGEX = r"(?<=(?:^|[=(,:;!&|?{}\[+\-*%<>~^\n]|\b(?:return|typeof|case|delete|void|throw|else|await|yield)\b)[ \t]{0,40})/(?![/*])(?:[^/\\\[\n\r]++|\\[^\n\r]|\[(?:[^\]\\\n\r]++|\\[^\n\r]){0,300}+\]){1,300}+/[A-Za-z]*+"
-MEMBER = rf"(?:\s*\??\.\s*#?{IDENT})"
-#: require('m') or import('m'), with the members that follow.
-LOAD = rf"\b(?:require|import)\s*\(\s*{STRING}\s*\)\s*\)?{MEMBER}*+(?:\s*\()?"
-CHAIN = rf"(?:\??\.\s*#?)?{IDENT}{MEMBER}*+(?:\s*(?:\?\.)?\()?"
-SEGMENT = rf"{COMMENT}|{STRING}|{TEMPLATE}|{REGEX}|{LOAD}|{CHAIN}|\s++|\d[\w.]*+|[^\s\w$'\"`/.\u0080-￿]++|[\s\S]"
-
-_ATOM = rf"{STRING}|{TEMPLATE}|{COMMENT}"
-
-
-def _nest(opened: str, closed: str, depth: int) -> str:
-    inside = rf"[^\{opened}\{closed}'\"`/]++|{_ATOM}|/"
-    out = rf"\{opened}(?:{inside})*+\{closed}"
-    for _ in range(depth - 1):
-        out = rf"\{opened}(?:{inside}|{out})*+\{closed}"
-    return out
-
-
-PAREN, BRACE, BRACKET = _nest("(", ")", 3), _nest("{", "}", 3), _nest("[", "]", 2)
-#: Everything up to the closing parenthesis of a call, and one argument of it.
-ARGUMENTS = rf"^((?:[^()'\"`/]++|{_ATOM}|/|{PAREN}){{0,400}}+)\)"
-ARGUMENT = rf"(?:[^,(){{}}\[\]'\"`/]++|{_ATOM}|/|{PAREN}|{BRACE}|{BRACKET})++"
-#: A declaration after const, let or var: its name or pattern, and what it is set to.
-DECLARED = rf"^\s+({IDENT}|\{{[^}}]*+\}})\s*(?::[^=;\n]{{1,80}})?=(?![=>])\s*((?:[^;,\n(){{}}\[\]'\"`/]++|{_ATOM}|/|{PAREN}|{BRACE}|{BRACKET}){{1,60}}+)"
-
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value), with value worked out once however often it is used."""
@@ -51,66 +18,5 @@ def aside(value: Column) -> Column:
     return let(F.lit(True), lambda _: value)
 
 
-def units(text: Column) -> Column:
-    """Length in UTF-16 units, as columns of a line are counted."""
-    return let(text, lambda t: F.length(t) + F.regexp_count(t, F.lit("[\\x{10000}-\\x{10FFFF}]")))
-
-
 def trim(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s\x{FEFF}\x{A0}]+|[\s\x{FEFF}\x{A0}]+$", "")
-
-
-def plain(text: Column) -> Column:
-    """A value without comments, casts and outer parentheses."""
-    bare = trim(F.regexp_replace(text, rf"({STRING}|{TEMPLATE})|{COMMENT}", "$1"))
-    bare = trim(F.regexp_replace(bare, r"\s+(?:as|satisfies)\s+[\w$.<>\[\]| ]+$", ""))
-    return let(bare, lambda b: F.when(b.rlike(rf"^{PAREN}$"), trim(F.regexp_replace(b, r"^\(|\)$", ""))).otherwise(b))
-
-
-def resolved(text: Column, names: Column) -> Column:
-    """A value, or for a name what its constant is set to, four constants on at most."""
-    step = lambda out, _: F.coalesce(plain(F.try_element_at(names, F.when(out.rlike(rf"^{IDENT}$"), out))), out)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(4)), plain(text), step)
-
-
-def string_of(value: Column) -> Column:
-    """The text of a literal, or null."""
-    body = lambda v: F.regexp_replace(F.substring(v, F.lit(2), F.length(v) - 2), r"\\(.)", "$1")
-    return let(value, lambda v: F.when(v.rlike(rf"^{STRING}$") | (v.rlike(rf"^{TEMPLATE}$") & ~v.contains("${")), body(v)))
-
-
-def number_of(value: Column) -> Column:
-    return let(value, lambda v: F.when(v.rlike(r"^-?\d[\d_]*n?$"), F.regexp_replace(v, r"[_n]", "").try_cast("bigint")))
-
-
-def field(value: Column, key: str, names: Column) -> Column:
-    """What an object literal sets a field to, resolved; null where it is no object or has no such field. Inner objects don't count."""
-
-    def read(v: Column) -> Column:
-        flat = F.concat(F.lit(","), F.regexp_replace(F.substring(v, 2, 10_000), r"\{[^{}]*+\}(?=[\s\S]*\})", "{}"))
-        deep = F.regexp_extract(v, rf"(?s)[{{,]\s*['\"]?{key}['\"]?\s*:\s*(\{{[^{{}}]*+\}})", 1)
-        given = lambda f: F.nullif(trim(F.regexp_extract(f, rf"(?s),\s*['\"]?{key}['\"]?\s*:\s*({STRING}|{TEMPLATE}|\{{\}}|[^,{{}}]+)", 1)), F.lit(""))
-        short = lambda f: F.when(f.rlike(rf"(?s),\s*{key}\s*[,}}]"), F.lit(key))
-        found = let(flat, lambda f: F.coalesce(let(given(f), lambda g: F.when(g == "{}", deep).otherwise(g)), short(f)))
-        return F.when(v.startswith("{"), resolved(found, names))
-
-    return let(value, read)
-
-
-def words_near(before: Column, rest: Column, file: Column) -> Column:
-    """Words of a use's line, then of the eight above it, nearest first: of code, then of comments; the file's name last. Strings have none."""
-    from cipherlode.functions.words import split_words
-
-    lines = F.split(F.concat(before, rest), BREAK)
-    near = let(lines, lambda x: F.reverse(F.slice(x, F.greatest(F.size(x) - 8, F.lit(1)), 9)))
-    comment = r"(//.*$|/\*.*?(?:\*/|$)|^\s*\*.*$)"
-    bare = lambda s: F.regexp_replace(s, rf"({COMMENT})|{STRING}", "$1 ")
-    of = lambda s: let(bare(s), lambda b: F.concat(split_words(F.regexp_replace(b, comment, " ")), split_words(F.array_join(F.regexp_extract_all(b, F.lit(comment), F.lit(1)), " "))))
-    base = F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"\.[^.]*$", "")
-    return F.concat(F.flatten(F.transform(near, of)), split_words(base))
-
-
-def evidence(before: Column, rest: Column) -> Column:
-    """The line of a use, trimmed, 200 characters at most."""
-    line = trim(F.concat(F.element_at(F.split(before, BREAK), -1), F.element_at(F.split(rest, BREAK), 1)))
-    return let(line, lambda x: F.when(F.length(x) > 200, F.concat(F.left(x, F.lit(199)), F.lit("…"))).otherwise(x))

@@ -9,9 +9,10 @@ from pyspark.sql import window as W
 from cipherlode import dims
 from cipherlode.functions import code as C
 from cipherlode.functions import names as N
+from cipherlode.operators import lexical
 from cipherlode.store import settle
 
-FOUND = ["path", "line", "col", "detector", "ord", "interface", "operation", "spec", "extra", "before", "after", "raw"]
+FOUND = ["path", "line", "col", "detector", "ord", "part", "interface", "operation", "spec", "extra", "evidence", "words"]
 
 
 def _codes(*pairs: tuple[Column, str]) -> Column:
@@ -22,117 +23,81 @@ def _codes(*pairs: tuple[Column, str]) -> Column:
 
 
 def _arg(i: int) -> Column:
-    """Argument i of a call, resolved, or null."""
-    return F.try_element_at("argv", F.lit(i + 1))
+    """Argument i of a call as a value, or null."""
+    return F.try_element_at("args", F.lit(i + 1))
 
 
 def _text(i: int) -> Column:
-    return F.try_element_at("texts", F.lit(i + 1))
+    return _arg(i)["text"]
 
 
 def _number(i: int) -> Column:
-    return F.try_element_at("numbers", F.lit(i + 1))
+    return _arg(i)["number"]
+
+
+def _field(value: Column, key: str) -> Column:
+    """What an object sets a field to, a value; null where it is no object or has no such field. An object in it has fields of its own, as key.inner."""
+    return F.try_element_at(value["fields"], F.lit(key))
 
 
 def _held(i: int, what: str) -> Column:
     """The use of a value that isn't written at the call."""
-    said = C.let(C.plain(F.try_element_at("args", F.lit(i + 1))), lambda t: F.when(t.isNotNull() & ~t.rlike(r"^[\d{\['\"]") & (t != "null"), F.concat(F.lit(f"{what} held in "), t)).otherwise(F.lit(f"{what} not written here")))
-    return N.dynamic(said)
+    v = _arg(i)
+    return N.dynamic(F.when((v["given"] != "") & v["kind"].isin("name", "other"), F.concat(F.lit(f"{what} held in "), v["given"])).otherwise(F.lit(f"{what} not written here")))
 
 
-def _result(calls: DataFrame, detector: int, interface: Column | str, spec: Column, extra: Column | None = None, operation: Column | str = "operation") -> DataFrame:
+def _result(rows: DataFrame, detector: int, interface: Column | str, spec: Column, extra: Column | None = None, part: int = 0) -> DataFrame:
+    """Findings of rows with an operation; part tells findings of one call apart."""
     face = F.lit(interface) if isinstance(interface, str) else interface
-    op = F.col(operation) if isinstance(operation, str) else operation
-    out = calls.select("path", "line", "col", F.lit(detector).alias("detector"), "ord", face.alias("interface"), op.alias("operation"), C.aside(spec).alias("spec"), (extra if extra is not None else _codes()).alias("extra"), "before", "after", "raw")
+    words = F.col("words") if "words" in rows.columns else F.lit(None).cast("array<string>")
+    place = F.col("part") if "part" in rows.columns else F.lit(part)
+    out = rows.select("path", "line", "col", F.lit(detector).alias("detector"), "ord", place.alias("part"), face.alias("interface"), "operation", C.aside(spec).alias("spec"), (extra if extra is not None else _codes()).alias("extra"), "evidence", words.alias("words"))
     return out.where("spec IS NOT NULL")
 
 
-def with_names(rows: DataFrame, constants: DataFrame) -> DataFrame:
-    """rows with the map of constants of their file."""
-    return rows.join(constants, "path", "left").withColumn("names", F.coalesce("names", F.create_map().cast("map<string,string>")))
-
-
-def with_values(calls: DataFrame, constants: DataFrame) -> DataFrame:
-    """Calls that a detector may ask for, with constants and their arguments resolved: argv as code, texts and numbers as literals."""
-    method = F.element_at("chain", -1)
-    asked = calls.where(F.col("module").isNotNull() | method.isin(*dims.SUBTLE, "getRandomValues", "randomUUID"))
-    out = with_names(asked, constants).withColumn("argv", F.transform("args", lambda a: C.resolved(a, F.col("names"))))
-    return out.withColumn("texts", F.transform("argv", C.string_of)).withColumn("numbers", F.transform("argv", C.number_of))
-
-
-def subtle_aliases(declared: DataFrame, fact: DataFrame) -> DataFrame:
-    """(path, alias): names that are set to a SubtleCrypto object."""
-    whole = declared.where(~F.col("name").startswith("{") & F.col("value").rlike(r"(?i)crypto[\w$]*\)?\s*\??\.\s*subtle\s*$")).select("path", F.col("name").alias("alias"))
-    part = F.explode(F.split(F.regexp_replace("name", r"[{}\s]", ""), ",")).alias("e")
-    taken = declared.where(F.col("name").startswith("{") & F.col("value").rlike("(?i)crypto")).select("path", part).where(F.col("e").rlike("^subtle(:|$)")).select("path", F.element_at(F.split("e", ":"), -1).alias("alias"))
-    return whole.union(taken).distinct()
-
-
-def web_crypto(calls: DataFrame, aliases: DataFrame) -> DataFrame:
+def web_crypto(calls: DataFrame) -> DataFrame:
     """SubtleCrypto methods, a finding for each algorithm argument, and the global random functions."""
-    method = F.element_at("chain", -1)
-    size = F.size("chain")
-    before_last = F.try_element_at("chain", F.lit(-2))
-    root_is_crypto = F.coalesce(F.when(size >= 2, before_last.rlike("(?i)crypto")), F.lit(False))
-    random = calls.where(method.isin("getRandomValues", "randomUUID") & root_is_crypto & F.coalesce(F.col("module") != "crypto", F.lit(True)))
-    found = _result(random.withColumn("operation", method), 0, "web-crypto", N.spec("CSPRNG"))
-
-    named = calls.where(method.isin(*dims.SUBTLE)).withColumn("operation", method)
-    direct = (before_last == "subtle") & F.coalesce(F.when(size >= 3, F.try_element_at("chain", F.lit(-3)).rlike("(?i)crypto")), F.col("module").rlike("(?i)crypto") & (F.try_element_at("members", F.lit(-2)) == "subtle"), F.lit(False))
-    bound = (size == 2) & (F.col("module") == "crypto") & (F.try_element_at("members", F.lit(-2)) == "subtle")
-    aliased = named.where(size == 2).join(aliases, (named["path"] == aliases["path"]) & (F.element_at("chain", 1) == F.col("alias")), "left_semi")
-    used = named.where(direct | F.coalesce(bound, F.lit(False))).unionByName(aliased).dropDuplicates(["path", "ord"])
+    method, size = F.element_at("chain", -1), F.size("chain")
+    said = lambda c: F.coalesce(c.rlike("(?i)crypto"), F.lit(False))
+    on = lambda k: F.when(size > k, said(F.try_element_at("chain", F.lit(-1 - k)))).otherwise(F.when(F.size("members") == size, said(F.col("module"))).otherwise(F.col("crypto_root")))
+    in_node = (F.col("module") == "crypto") & (F.try_element_at("members", F.lit(-2)) == "subtle")
+    random = calls.where(method.isin("getRandomValues", "randomUUID") & on(1) & ~F.coalesce(F.col("module") == "crypto", F.lit(False))).withColumn("operation", method)
+
+    subtle = F.coalesce(F.try_element_at("chain", F.lit(-2)) == "subtle", F.lit(False))
+    named = (subtle & F.when(size > 2, on(2)).otherwise(F.when(F.size("members") == size, said(F.col("module"))).otherwise(F.col("crypto_root")))) | F.col("alias") | ((size == 2) & F.coalesce(in_node, F.lit(False)))
     places = F.create_map(*(x for m, at in dims.SUBTLE.items() for x in (F.lit(m), F.array(*map(F.lit, at)))))
-    each = used.withColumn("place", F.explode(F.element_at(places, F.col("operation"))))
-    given = F.try_element_at("args", F.col("place") + 1)
-    each = each.withColumn("given", given)
-    # the argument's own place: what stands before it, over lines
-    upto = F.filter(F.transform("pieces", lambda p, i: F.struct(p.alias("p"), i.alias("i"), F.size(F.filter(F.slice("pieces", F.lit(1), i), lambda q: q == ",")).alias("k"))), lambda s: (s["k"] < F.col("place")) | ((s["p"] == ",") & (s["k"] == F.col("place") - 1)))
-    lead = F.concat(F.array_join(F.transform(upto, lambda s: s["p"]), ""), F.regexp_extract("given", r"^\s*", 0))
-    rows = F.split(lead, C.BREAK)
-    each = each.withColumn("lead", F.when(F.col("given").isNotNull(), rows))
-    each = each.withColumn("at_line", F.col("line") + F.coalesce(F.size("lead") - 1, F.lit(0)))
-    each = each.withColumn("at_col", F.when(F.size("lead") > 1, C.units(F.element_at("lead", -1)) + 1).when(F.size("lead") == 1, F.col("col") + C.units(F.col("raw")) + C.units(F.element_at("lead", 1))).otherwise(F.col("col")))
-    at = F.col("place") + 1
-    each = each.withColumn("v", F.try_element_at("argv", at)).withColumn("t", F.try_element_at("texts", at))
-    names = F.col("names")
-    fields = ("name", "namedCurve", "hash", "length", "modulusLength", "iterations")
-    each = each.withColumns({f"f_{k}": C.field(F.col("v"), k, names) for k in fields})
-    each = each.withColumns({"s_name": C.string_of(F.col("f_name")), "s_curve": C.string_of(F.col("f_namedCurve")), "s_hash": F.coalesce(C.string_of(F.col("f_hash")), C.string_of(C.field(F.col("f_hash"), "name", names))), **{f"n_{k}": C.number_of(F.col(f"f_{k}")) for k in fields[3:]}})
-    both = F.array_distinct(F.regexp_extract_all("v", F.lit(r"\bname\s*:\s*(['\"])([^'\"]+)\1"), F.lit(2)))
+    used = calls.where(method.isin(*dims.SUBTLE)).where(named).withColumn("operation", method)
+    each = used.withColumn("part", F.explode(F.element_at(places, F.col("operation")))).withColumn("v", F.try_element_at("args", F.col("part") + 1))
+    # a finding's place is its argument's own
+    each = each.withColumns({c: F.when(F.col("v").isNotNull(), F.col("v")[c]).otherwise(F.col(c)) for c in ("line", "col", "evidence", "words")})
     v = F.col("v")
-    each = each.withColumn("choice", F.when(~v.rlike(r"^['\"`{]") & v.contains("?"), both)).withColumn("choice", F.when(F.size("choice") == 1, F.element_at("choice", 1)))
-    literal = F.coalesce("t", "choice")
+    text = lambda k: F.coalesce(_field(v, k)["text"], _field(v, f"{k}.name")["text"])
+    texts, numbers = ("namedCurve", "hash"), ("length", "modulusLength", "iterations")
+    each = each.withColumns({f"s_{k}": text(k) for k in ("name", *texts)} | {f"n_{k}": _field(v, k)["number"] for k in numbers})
     spec = (
-        F.when(F.col("given").isNull(), N.dynamic(F.concat("operation", F.lit(": no algorithm argument"))))
-        .when(literal.isNotNull(), N.webcrypto(F.col("literal")))
-        .when(v.startswith("{") & F.col("s_name").isNotNull(), N.webcrypto(F.col("s_name"), F.col("s_curve"), F.col("s_hash"), F.col("n_length"), F.col("n_modulusLength"), F.col("n_iterations")))
-        .when(v.startswith("{"), N.dynamic(F.concat(F.lit("algorithm name held in "), F.coalesce("f_name", F.lit("an expression")))))
-        .otherwise(N.dynamic(F.concat(F.lit("algorithm held in "), C.plain(F.col("given")))))
+        F.when(v.isNull(), N.dynamic(F.concat("operation", F.lit(": no algorithm argument"))))
+        .when(v["kind"] == "string", N.webcrypto(v["text"]))
+        .when((v["kind"] == "object") & F.col("s_name").isNotNull(), N.webcrypto(F.col("s_name"), F.col("s_namedCurve"), F.col("s_hash"), F.col("n_length"), F.col("n_modulusLength"), F.col("n_iterations")))
+        .when(v["kind"] == "object", N.dynamic(F.concat(F.lit("algorithm name held in "), F.coalesce(F.nullif(_field(v, "name")["code"], F.lit("")), F.lit("an expression")))))
+        .otherwise(N.dynamic(F.concat(F.lit("algorithm held in "), F.coalesce(F.nullif(v["code"], F.lit("")), F.lit("an expression")))))
     )
-    each = each.withColumn("literal", literal)
-    some = F.lit(False)
-    for given_as, known_as in (("f_namedCurve", "s_curve"), ("f_hash", "s_hash"), *((f"f_{k}", f"n_{k}") for k in fields[3:])):
-        some = some | (F.col(given_as).isNotNull() & F.col(known_as).isNull())
-    placed = each.withColumn("spec_", C.aside(spec)).withColumn("extra_", _codes((some, "parameter-not-literal"))).withColumn("ord", F.concat_ws(".", "ord", F.col("place").cast("string")))
-    placed = placed.withColumn("after", F.when(F.col("at_line") > F.col("line"), F.concat(F.col("raw"), F.substring("after", 1, 600))).otherwise(F.col("after")))
-    subtle = placed.select("path", F.col("at_line").alias("line"), F.col("at_col").alias("col"), F.lit(0).alias("detector"), "ord", F.lit("web-crypto").alias("interface"), "operation", F.col("spec_").alias("spec"), F.col("extra_").alias("extra"), "before", "after", "raw")
-    return found.unionByName(subtle.where("spec IS NOT NULL"))
+    unread = F.lit(False)
+    for k in (*texts, *numbers):
+        unread = unread | (_field(v, k).isNotNull() & F.col(f"{'s' if k in texts else 'n'}_{k}").isNull())
+    return _result(random, 0, "web-crypto", N.spec("CSPRNG")).unionByName(_result(each, 0, "web-crypto", spec, _codes((F.col("s_name").isNotNull() & unread, "parameter-not-literal"))))
 
 
 def node_crypto(calls: DataFrame) -> DataFrame:
     """Calls bound to node:crypto, by method and literal arguments."""
     path = F.when(F.try_element_at("members", F.lit(1)) == "webcrypto", F.slice("members", 2, 100)).otherwise(F.col("members"))
     used = calls.where((F.col("module") == "crypto") & ~F.array_contains("members", "subtle")).withColumn("operation", F.array_join(path, ".")).where("operation <> ''")
-    m, names = F.col("operation"), F.col("names")
-    asked = {"o1_modulus": (1, "modulusLength"), "o1_curve": (1, "namedCurve"), "o1_prime": (1, "primeLength"), "o1_group": (1, "group"), "o1_length": (1, "length"), "o3_n": (3, "N"), "o3_cost": (3, "cost"), "o0_key": (0, "key")}
-    used = used.withColumns({c: C.field(_arg(i), k, names) for c, (i, k) in asked.items()})
-    key = F.coalesce(F.when(F.col("o0_key").startswith("{"), F.col("o0_key")), F.when(_arg(0).startswith("{"), _arg(0)))
-    used = used.withColumns({"t0": _text(0), "jwk": key, "modulus": C.number_of(F.col("o1_modulus")), "curve": C.string_of(F.col("o1_curve")), "prime": C.number_of(F.col("o1_prime")), "modp": C.string_of(F.col("o1_group")), "length": C.number_of(F.col("o1_length")), "cost": F.coalesce(C.number_of(F.col("o3_n")), C.number_of(F.col("o3_cost")))})
-    used = used.withColumns({"kty": C.string_of(C.field(F.col("jwk"), "kty", names)), "crv": C.string_of(C.field(F.col("jwk"), "crv", names)), "h0": N.normalise_hash(F.col("t0")), "h4": F.coalesce(N.normalise_hash(_text(4)), _text(4))})
+    m = F.col("operation")
+    options = lambda i, *keys: F.coalesce(*(_field(_arg(i), k)["number"] for k in keys))
+    jwk = lambda k: F.coalesce(_field(_arg(0), f"key.{k}")["text"], _field(_arg(0), k)["text"])
+    used = used.withColumns({"t0": _text(0), "modulus": options(1, "modulusLength"), "curve": _field(_arg(1), "namedCurve")["text"], "prime": options(1, "primeLength"), "modp": _field(_arg(1), "group")["text"], "length": options(1, "length"), "cost": options(3, "N", "cost")})
+    used = used.withColumns({"kty": jwk("kty"), "crv": jwk("crv"), "h0": N.normalise_hash(F.col("t0")), "h4": F.coalesce(N.normalise_hash(_text(4)), _text(4))})
     t0, h0 = F.col("t0"), F.col("h0")
     counted = lambda key, n: F.map_filter(F.create_map(F.lit(key), n.cast("string")), lambda _, v: v.isNotNull())
-    padded = F.col("inside").contains("RSA_PKCS1_PADDING")
     iterations = _number(2)
     spec = (
         F.when(m.isin(*dims.RANDOM_METHODS), N.spec("CSPRNG"))
@@ -141,13 +106,13 @@ def node_crypto(calls: DataFrame) -> DataFrame:
         .when(m.isin("createCipheriv", "createDecipheriv", "createCipher", "createDecipher"), F.when(t0.isNull(), _held(0, "cipher")).otherwise(N.cipher(t0)))
         .when(m.isin("generateKeyPair", "generateKeyPairSync"), F.when(t0.isNull(), _held(0, "key type")).otherwise(N.key_type(t0, F.col("modulus"), F.col("curve"), F.col("prime"), F.col("modp"))))
         .when(m.isin("generateKey", "generateKeySync"), F.when(t0 == "aes", N.spec("AES", key_size=F.col("length"))).when(t0 == "hmac", N.spec("HMAC", key_size=F.col("length"))).when(t0.isNull(), _held(0, "key type")).otherwise(N.unknown_literal(t0)))
-        .when(m.isin("sign", "verify") & (F.coalesce(_arg(0), F.lit("null")) == "null"), N.dynamic(F.lit("signature algorithm set by the key")))
+        .when(m.isin("sign", "verify") & (F.coalesce(_arg(0)["kind"], F.lit("null")) == "null"), N.dynamic(F.lit("signature algorithm set by the key")))
         .when(m.isin("createSign", "createVerify", "sign", "verify"), F.when(t0.isNull(), _held(0, "signature algorithm")).otherwise(N.signature(t0)))
         .when(m == "createECDH", N.spec("ECDH", curve=N.normalise_curve(t0)))
         .when(m == "createDiffieHellman", N.spec("DH", key_size=_number(0)))
         .when(m.isin("getDiffieHellman", "createDiffieHellmanGroup"), N.spec("DH", key_size=N.modp_bits(t0)))
         .when(m == "diffieHellman", N.spec("DH/ECDH", notes=["key-decides"]))
-        .when(m.isin("publicEncrypt", "privateDecrypt"), F.when(padded, N.spec("RSAES-PKCS1-v1_5")).otherwise(N.spec("RSA-OAEP")))
+        .when(m.isin("publicEncrypt", "privateDecrypt"), F.when(F.col("padded"), N.spec("RSAES-PKCS1-v1_5")).otherwise(N.spec("RSA-OAEP")))
         .when(m.isin("privateEncrypt", "publicDecrypt"), N.spec("RSA raw signature"))
         .when(m.isin("pbkdf2", "pbkdf2Sync"), N.spec("PBKDF2", hash=F.col("h4"), parameters=counted("iterations", iterations)))
         .when(m.isin("scrypt", "scryptSync"), N.spec("scrypt", parameters=counted("N", F.col("cost"))))
@@ -161,12 +126,10 @@ def node_crypto(calls: DataFrame) -> DataFrame:
     return _result(used, 1, "node:crypto", spec, extra)
 
 
-def parameters(declared: DataFrame) -> DataFrame:
+def parameters(fact: DataFrame) -> DataFrame:
     """Module constants that by their name are a PBKDF2 iteration count."""
-    named = declared.where((F.col("kind") == "const") & (F.col("depth") == 0) & F.col("name").rlike("(?i)pbkdf2") & F.col("name").rlike("(?i)iter|rounds"))
-    n = C.number_of(C.plain(F.col("value")))
-    counted = named.where(n.isNotNull()).withColumn("operation", F.lit("iteration count")).withColumn("raw", F.lit("const"))
-    return _result(counted, 2, "constant", N.spec("PBKDF2", parameters=F.create_map(F.lit("iterations"), n.cast("string")), notes=["declared-here"]))
+    named = fact.where((F.col("kind") == "const") & F.col("name").rlike("(?i)pbkdf2") & F.col("name").rlike("(?i)iter|rounds") & F.col("value.number").isNotNull())
+    return _result(named.withColumn("operation", F.lit("iteration count")), 2, "constant", N.spec("PBKDF2", parameters=F.create_map(F.lit("iterations"), F.col("value.number").cast("string")), notes=["declared-here"]))
 
 
 def package_of(module: Column) -> Column:
@@ -177,10 +140,10 @@ def package_of(module: Column) -> Column:
 
 
 def imported_packages(sites: DataFrame) -> DataFrame:
-    """(path, package, subpath, line, col, ord, before) of imports of catalogued packages."""
+    """(path, package, subpath, line, col, ord, evidence) of imports of catalogued packages."""
     known = F.broadcast(dims.libraries(sites.sparkSession).select("package"))
     p = package_of(F.col("module"))
-    return sites.select("path", p["name"].alias("package"), p["subpath"].alias("subpath"), "line", "col", "ord", "before", "raw").join(known, "package", "left_semi")
+    return sites.select("path", p["name"].alias("package"), p["subpath"].alias("subpath"), "line", "col", "ord", "evidence").join(known, "package", "left_semi")
 
 
 def longest_member(uses: DataFrame) -> DataFrame:
@@ -198,22 +161,20 @@ def library_calls(calls: DataFrame) -> DataFrame:
     p = package_of(F.col("module"))
     uses = calls.where("module IS NOT NULL").withColumn("package", p["name"]).withColumn("subpath", p["subpath"]).withColumn("key", F.coalesce(F.nullif(F.array_join("members", "."), F.lit("")), F.lit("()")))
     found = longest_member(uses).withColumn("operation", F.col("key"))
-    names = F.col("names")
 
     def at(column: str) -> Column:
-        place = F.element_at(F.split(column, r"\."), 1).cast("int")
-        inner = F.try_element_at(F.split(column, r"\."), F.lit(2))
-        arg = F.try_element_at("argv", place + 1)
-        choices = F.coalesce(*(F.when(inner == k, C.field(arg, k, names)) for k in ("bits", "b", "iterations", "c")))
-        return F.when(F.col(column).isNotNull(), F.when(inner.isNull(), arg).otherwise(choices))
+        """The argument, or a field of it, whose place a catalogue's column names."""
+        place, inner = F.element_at(F.split(column, r"\."), 1).cast("int"), F.try_element_at(F.split(column, r"\."), F.lit(2))
+        arg = F.try_element_at("args", place + 1)
+        value = lambda x: F.struct(x["text"].alias("text"), x["number"].alias("number"))
+        return F.when(F.col(column).isNotNull(), F.when(inner.isNull(), value(arg)).otherwise(value(F.try_element_at(arg["fields"], inner))))
 
     found = found.withColumns({c: at(c) for c in ("key_type_at", "iterations_at", "curve_at", "size_at")} | {"cipher_": at("cipher_at")})
     noble = F.col("package") == "@noble/hashes"
     cost_at = F.when(F.col("family") == "bcrypt", F.when(F.col("member").startswith("hash"), _number(1)).when(F.col("member").startswith("genSalt"), _number(0)))
-    rounds = F.when(noble & (F.col("family") == "PBKDF2"), C.field(_arg(3), "c", names)).otherwise(F.col("iterations_at"))
-    first = C.plain(F.try_element_at("args", F.lit(1)))
-    named_hash = C.let(first, lambda f: F.when(noble & F.col("family").isin("HMAC", "HKDF", "PBKDF2") & f.rlike(rf"^{C.IDENT}$"), N.normalise_hash(f)))
-    found = found.withColumns({"kind_": F.upper(C.string_of(F.col("key_type_at"))), "cipher_": C.string_of(F.col("cipher_")), "rounds": C.number_of(rounds), "cost": cost_at, "hash": F.coalesce(named_hash, F.col("hash")), "curve_": N.normalise_curve(F.coalesce(C.string_of(F.col("curve_at")), F.col("curve"))), "bits": F.coalesce(C.number_of(F.col("size_at")), F.col("bits"))})
+    rounds = F.when(noble & (F.col("family") == "PBKDF2"), _field(_arg(3), "c")["number"]).otherwise(F.col("iterations_at.number"))
+    named_hash = F.when(noble & F.col("family").isin("HMAC", "HKDF", "PBKDF2") & (_arg(0)["kind"] == "name"), N.normalise_hash(_arg(0)["code"]))
+    found = found.withColumns({"kind_": F.upper("key_type_at.text"), "cipher_": F.col("cipher_.text"), "rounds": rounds, "cost": cost_at, "hash": F.coalesce(named_hash, F.col("hash")), "curve_": N.normalise_curve(F.coalesce("curve_at.text", "curve")), "bits": F.coalesce("size_at.number", "bits")})
     params = F.map_filter(F.create_map(F.lit("cost"), F.col("cost").cast("string"), F.lit("iterations"), F.col("rounds").cast("string")), lambda _, v: v.isNotNull())
     notes = F.when(F.col("note").isNotNull(), F.array("note")).otherwise(F.array().cast("array<string>"))
     spec = (
@@ -222,8 +183,7 @@ def library_calls(calls: DataFrame) -> DataFrame:
         .otherwise(N.spec(F.col("family"), key_size=F.col("bits"), curve=F.col("curve_"), hash=F.col("hash"), mode=F.col("mode"), name=F.col("name"), parameters=params, notes=notes))
     )
     face = F.concat(F.lit("library:"), F.col("package"))
-    also = found.where("also IS NOT NULL").withColumn("ord", F.concat("ord", F.lit("+")))
-    return _result(found, 3, face, spec).unionByName(_result(also, 3, face, N.spec(F.col("also"), curve=F.col("curve"), hash="SHA-256")))
+    return _result(found, 3, face, spec).unionByName(_result(found.where("also IS NOT NULL"), 3, face, N.spec(F.col("also"), curve=F.col("curve"), hash="SHA-256"), part=1))
 
 
 def plain_uses(calls: DataFrame) -> DataFrame:
@@ -238,34 +198,32 @@ def plain_uses(calls: DataFrame) -> DataFrame:
 def jwt_default(calls: DataFrame) -> DataFrame:
     """jsonwebtoken's sign without an algorithm: HS256; one in a variable is dynamic."""
     used = calls.where((F.col("module") == "jsonwebtoken") & (F.array_join("members", ".") == "sign")).withColumn("operation", F.lit("sign"))
-    given, options = F.try_element_at("args", F.lit(3)), _arg(2)
-    used = used.withColumn("alg", C.field(options, "algorithm", F.col("names"))).withColumn("t_alg", C.string_of(F.col("alg")))
+    options = _arg(2)
+    alg = _field(options, "algorithm")
     default = N.spec("HMAC", hash="SHA-256", name="HS256", notes=["library-default"])
     spec = (
-        F.when(given.isNull() | C.plain(given).rlike(r"^(function|async)\b|=>"), default)
-        .when(options.startswith("{"), F.when(F.col("alg").isNull(), default).when(F.col("t_alg").isNull(), N.dynamic(F.lit("JWT algorithm not written here"))))
-        .otherwise(N.dynamic(F.concat(F.lit("JWT options held in "), C.plain(given))))
+        F.when(options.isNull() | (options["kind"] == "function"), default)
+        .when(options["kind"] == "object", F.when(alg.isNull(), default).when(alg["text"].isNull(), N.dynamic(F.lit("JWT algorithm not written here"))))
+        .otherwise(N.dynamic(F.concat(F.lit("JWT options held in "), options["given"])))
     )
     return _result(used, 3, "library:jsonwebtoken", spec)
 
 
-def jose_literals(fact: DataFrame, packages: DataFrame) -> DataFrame:
+def jose_literals(fact: DataFrame) -> DataFrame:
     """JSON Web Algorithm names as literals, in files that import a package that takes them; several packages are all named."""
-    takes = F.broadcast(dims.libraries(fact.sparkSession).where("jose").select("package"))
-    files = packages.join(takes, "package", "left_semi").groupBy("path").agg(F.array_sort(F.collect_set("package")).alias("packages"))
-    literal = C.string_of(F.col("raw"))
-    strings = fact.where("kind = 'string'").withColumn("text", literal).where(F.length("text") <= 24).join(files, "path")
-    in_field = F.col("before").rlike(r"\b(?:alg|algorithm)\s*:\s*$") | F.col("before").rlike(r"\balgorithms\s*:\s*\[[^\]\[]{0,400}$")
-    spec = F.when(F.col("text") == "none", F.when(in_field, N.spec("Unknown", name='JWT alg "none"', notes=["unsigned"]))).otherwise(N.jose(F.col("text")))
-    return _result(strings.withColumn("operation", F.lit("algorithm literal")), 3, F.concat(F.lit("library:"), F.array_join("packages", " or ")), spec)
+    takes = [r["package"] for r in dims.libraries(fact.sparkSession).where("jose").select("package").collect()]  # of the catalogue
+    packages = F.array_sort(F.array_intersect("chain", F.array(*map(F.lit, takes))))
+    strings = fact.where("kind = 'string'").withColumn("packages", packages).where(F.size("packages") > 0).withColumn("operation", F.lit("algorithm literal"))
+    spec = F.when(F.col("name") == "none", F.when(F.col("alias"), N.spec("Unknown", name='JWT alg "none"', notes=["unsigned"]))).otherwise(N.jose(F.col("name")))
+    return _result(strings, 3, F.concat(F.lit("library:"), F.array_join("packages", " or ")), spec)
 
 
 def unread_imports(packages: DataFrame, used: DataFrame) -> DataFrame:
     """One pointer at the first import of a package whose uses the catalogue maps, where none was read; helper paths alone don't count."""
     helper = F.col("subpath").rlike(r"^(utils?|util/.*|utils/.*|types?)$")
     maps = F.broadcast(dims.libraries(packages.sparkSession).where("has_calls OR jose").select("package"))
-    first = packages.join(maps, "package", "left_semi").groupBy("path", "package").agg(F.min_by(F.struct("line", "col", "ord", "before", "raw"), "ord").alias("s"), F.bool_and(helper).alias("helpers")).where("NOT helpers")
-    left = first.join(used.select("path", "package").distinct(), ["path", "package"], "left_anti").select("path", "package", "s.*", F.lit("import").alias("operation"), F.lit("").alias("after"))
+    first = packages.join(maps, "package", "left_semi").groupBy("path", "package").agg(F.min_by(F.struct("line", "col", "ord", "evidence"), "ord").alias("s"), F.bool_and(helper).alias("helpers")).where("NOT helpers")
+    left = first.join(used.select("path", "package").distinct(), ["path", "package"], "left_anti").select("path", "package", "s.*", F.lit("import").alias("operation"))
     return _result(left, 3, F.concat(F.lit("library:"), F.col("package")), N.dynamic(F.concat("package", F.lit(" imported; its uses here could not be read"))))
 
 
@@ -277,39 +235,36 @@ def findings(found: DataFrame, in_test: Column | None = None) -> DataFrame:
     from cipherlode.functions.words import priority, replacement
 
     s = F.col("spec")
-    rest = F.concat("raw", F.element_at(F.split("after", C.BREAK), 1))
-    staged = found.withColumns({"algorithm": C.aside(N.display_name(s)), "family": s["family"], "kind": C.aside(N.kind_of(s["family"])), "rest": rest})
+    staged = found.withColumns({"algorithm": C.aside(N.display_name(s)), "family": s["family"], "kind": C.aside(N.kind_of(s["family"]))})
     described = staged.select(
         "algorithm", "family", C.aside(N.class_of(F.col("family"))).alias("class"), "kind", s["key_size"].alias("key_size"), s["curve"].alias("curve"), s["hash"].alias("hash"), s["parameters"].alias("parameters"),
-        "interface", "operation", F.col("path").alias("file"), "line", F.col("col").alias("column"), C.evidence(F.col("before"), F.col("rest")).alias("evidence"), s["dynamic"].alias("dynamic"), C.aside(F.array_distinct(F.concat(N.note_codes(s, F.col("algorithm"), F.col("kind")), "extra"))).alias("notes"), "before", "rest", "path", "detector", "ord",
+        "interface", "operation", F.col("path").alias("file"), "line", F.col("col").alias("column"), "evidence", s["dynamic"].alias("dynamic"), C.aside(F.array_distinct(F.concat(N.note_codes(s, F.col("algorithm"), F.col("kind")), "extra"))).alias("notes"), "words", "detector", "ord", "part",
     )
-    first = W.Window.partitionBy("file", "line", "column", "algorithm", "operation", "interface").orderBy("detector", "ord")
+    first = W.Window.partitionBy("file", "line", "column", "algorithm", "operation", "interface").orderBy("detector", "ord", "part")
     once = described.withColumn("r", F.row_number().over(first)).where("r = 1")
     vulnerable = F.col("class") == "public-key"
-    once = once.withColumn("quantum_vulnerable", vulnerable).withColumn("words", F.when(vulnerable, C.words_near(F.col("before"), F.col("rest"), F.col("path"))))
-    out = once.withColumn("p", F.when(vulnerable, priority(F.col("kind"), F.col("words"))))
+    once = once.withColumn("quantum_vulnerable", vulnerable)
+    out = once.withColumn("p", F.when(vulnerable, priority(F.col("kind"), F.coalesce("words", F.array().cast("array<string>")))))
     return out.select(
         "algorithm", "family", "class", "kind", "quantum_vulnerable", "key_size", "curve", "hash", "parameters", "interface", "operation", "file", "line", "column", "evidence", "dynamic",
         F.col("p.priority").alias("priority"), F.col("p.word").alias("priority_word"), F.col("p.reason").alias("priority_reason"), replacement(F.col("p.priority")).alias("replacement"), "notes", (in_test if in_test is not None else F.lit(False)).alias("in_test"),
     )
 
 
+def resolved_calls(fact: DataFrame) -> DataFrame:
+    return lexical.with_constants(lexical.calls(fact), lexical.constants(fact))
+
+
 def detect(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(findings before they are described, imported packages, calls with constants) of files (path, text). Each detector's rows are stored in the shared folder."""
-    from cipherlode.operators import lexical
-
-    fact = lexical.with_helpers(lexical.facts(files), files).persist()
-    sites = lexical.import_sites(fact)
-    bound = lexical.bindings(sites)
-    declared = lexical.declarations(fact)
-    consts = lexical.constants(declared, sites)
-    call = with_values(lexical.calls(fact, bound), consts).persist()
-    packages = imported_packages(sites)
-    libs, jwt, jose = settle(library_calls(call).select(*FOUND)), settle(jwt_default(call).select(*FOUND)), settle(jose_literals(fact, packages).select(*FOUND))
-    named = jose.select("path", F.explode(F.split(F.substring(F.col("interface"), 9, 1000), " or ")).alias("package"))
-    used = libs.union(jwt).select("path", F.substring(F.col("interface"), 9, 1000).alias("package")).union(named).union(plain_uses(call))
-    found = settle(web_crypto(call, subtle_aliases(declared, fact)).select(*FOUND))
-    found = found.unionByName(libs).unionByName(jwt).unionByName(jose)
-    for part in (node_crypto(call), parameters(declared), unread_imports(packages, used)):
-        found = found.unionByName(settle(part.select(*FOUND)))  # stored one by one: as one plan they take longer to plan than to run
-    return found, packages, call
+    """(findings before they are described, imported packages, calls) of files (path, text). The texts are read once: their facts are stored in the shared folder."""
+    fact = settle(lexical.facts(files), "zstd")
+    call = settle(resolved_calls(fact), "zstd")
+    packages = imported_packages(lexical.import_sites(fact))
+    named = library_calls(call).unionByName(jwt_default(call)).unionByName(jose_literals(fact))
+    named = settle(named.select(*FOUND))  # stored, since unread_imports asks for it too
+    each = named.select("path", F.explode(F.split(F.substring(F.col("interface"), 9, 1000), " or ")).alias("package"))
+    used = each.union(plain_uses(call))
+    found = named
+    for part in (web_crypto(call), node_crypto(call), parameters(fact), unread_imports(packages, used)):
+        found = found.unionByName(part.select(*FOUND))
+    return settle(found, "zstd"), packages, call

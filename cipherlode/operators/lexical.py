@@ -1,161 +1,166 @@
-"""Lexical facts of source files: one pass of a pattern over each text, places by window sums, the rest joins."""
+"""Lexical facts of source files: one pass over each text, without an exchange; what joins files comes after."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
-from cipherlode.dims import PACKAGES
-from cipherlode.functions import code as C
+from cipherlode.dims import PACKAGES, SUBTLE
 
 #: A file without any of these has no use of cryptography; only its constants may matter to others.
-MENTIONS = "(?i)" + "|".join(["crypto", "subtle", "getRandomValues", "randomUUID", "https?", "tls", *sorted({p.rsplit("/", 1)[-1] for p in PACKAGES})])
-#: Longest literal that can name an algorithm, with its quotes.
-LITERAL = 26
-#: Characters of text around a fact that are looked at; beyond, a value is not read.
-BEFORE, AFTER = 4000, 3000
-
-
-def _tile(fragments: DataFrame, pattern: str) -> DataFrame:
-    """Segments that make up each fragment, with line, column, offset (in characters) and brace depth of each."""
-    parts = fragments.select("path", "frag", "base_line", "base_col", "base_depth", "asked", F.posexplode(F.regexp_extract_all("code", F.lit(pattern), F.lit(0))).alias("i", "raw"))
-    pieces = F.split("raw", C.BREAK)
-    lexical = F.col("raw").rlike(r"^['\"`/]")
-    braces = F.when(~lexical, F.regexp_count("raw", F.lit(r"\{")) - F.regexp_count("raw", F.lit(r"\}"))).otherwise(0)
-    sized = parts.select("*", F.length("raw").alias("n"), C.units(F.col("raw")).alias("u"), (F.size(pieces) - 1).alias("breaks"), C.units(F.element_at(pieces, -1)).alias("tail"), braces.alias("braces"))
-    before = W.Window.partitionBy("path", "frag").orderBy("i").rowsBetween(W.Window.unboundedPreceding, -1)
-    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    placed = sized.select("*", total("n").alias("offset"), total("u").alias("at"), total("breaks").alias("rows"), total("braces").alias("deep"))
-    last = F.max(F.when(F.col("breaks") > 0, F.col("at") + F.col("u") - F.col("tail"))).over(before)
-    column = F.when(F.col("rows") == 0, F.col("base_col") + F.col("at")).otherwise(F.col("at") - last + 1)
-    return placed.select("path", "frag", "asked", "i", "raw", "offset", "n", (F.col("base_line") + F.col("rows")).alias("line"), column.alias("col"), (F.col("base_depth") + F.col("deep")).alias("depth"))
-
-
-def fragments(files: DataFrame) -> DataFrame:
-    """(path, frag, base_line, base_col, base_depth, asked, code): each file, without a byte-order mark and first #! line, is one fragment."""
-    text = F.regexp_replace(F.regexp_replace("text", r"^\x{FEFF}", ""), r"^#![^\n\r]*", "")
-    return files.select("path", F.lit("").alias("frag"), F.lit(1).alias("base_line"), F.lit(1).alias("base_col"), F.lit(0).alias("base_depth"), F.col("text").rlike(MENTIONS).alias("asked"), text.alias("code"))
-
-
-def holes(segments: DataFrame) -> DataFrame:
-    """The code in ${...} of template literals, as fragments of their own."""
-    templates = segments.where(F.col("raw").startswith("`") & F.col("raw").contains("${"))
-    inner = templates.select("path", F.concat_ws(".", "frag", F.col("i").cast("string")).alias("frag"), F.col("line").alias("base_line"), F.col("col").alias("base_col"), F.col("depth").alias("base_depth"), "asked", F.col("raw").alias("code"))
-    found = _tile(inner, rf"{C.HOLE}|[^$]++|\$").where(F.col("raw").startswith("${"))
-    return found.select("path", F.concat_ws(".", "frag", F.col("i").cast("string")).alias("frag"), F.col("line").alias("base_line"), (F.col("col") + 2).alias("base_col"), F.col("depth").alias("base_depth"), "asked", F.expr("substring(raw, 3, length(raw) - 3)").alias("code"))
+MENTIONS = re.compile("|".join(["crypto", "subtle", "getrandomvalues", "randomuuid", "https?", "tls", "pbkdf2", *sorted({re.escape(p.rsplit("/", 1)[-1]) for p in PACKAGES})]), re.I)
+#: Modules whose calls a detector asks for, besides catalogued packages.
+MODULES = ("crypto", "tls", "https", "http2")
+#: Longest name of a JSON Web Algorithm, about; other strings are no facts.
+LITERAL = 24
+#: Bytes of facts that a task holds before it sends them.
+HELD = 4 << 20
+
+_SCALAR = [("kind", pa.string()), ("code", pa.string()), ("text", pa.string()), ("number", pa.int64())]
+_VALUE = pa.struct([*_SCALAR, ("fields", pa.map_(pa.string(), pa.struct(_SCALAR)))])
+_ARGUMENT = pa.struct([*_VALUE, ("given", pa.string()), ("line", pa.int32()), ("col", pa.int32()), ("evidence", pa.string()), ("words", pa.list_(pa.string()))])
+_SCHEMA = pa.schema([
+    ("path", pa.string()), ("kind", pa.string()), ("ord", pa.int32()), ("line", pa.int32()), ("col", pa.int32()), ("name", pa.string()), ("module", pa.string()), ("members", pa.list_(pa.string())),
+    ("chain", pa.list_(pa.string())), ("crypto_root", pa.bool_()), ("alias", pa.bool_()), ("padded", pa.bool_()), ("args", pa.list_(_ARGUMENT)), ("value", _VALUE), ("evidence", pa.string()), ("words", pa.list_(pa.string())),
+])
+FACT = (
+    "path string, kind string, ord int, line int, col int, name string, module string, members array<string>, chain array<string>, crypto_root boolean, alias boolean, padded boolean, "
+    "args array<struct<kind:string,code:string,text:string,number:bigint,fields:map<string,struct<kind:string,code:string,text:string,number:bigint>>,given:string,line:int,col:int,evidence:string,words:array<string>>>, "
+    "value struct<kind:string,code:string,text:string,number:bigint,fields:map<string,struct<kind:string,code:string,text:string,number:bigint>>>, evidence string, words array<string>"
+)
+
+
+def package(module: str) -> str:
+    """The package of a specifier, without its subpath."""
+    return "/".join(module.split("/")[: 2 if module.startswith("@") else 1])
+
+
+def _plain(v) -> dict:
+    whole = int(v.number) if v.number is not None and v.number == int(v.number) and abs(v.number) < 2**63 else None
+    return {"kind": v.kind, "code": v.code, "text": v.text, "number": whole}
+
+
+def _read(path: str, text: str) -> Iterator[dict]:
+    """Facts of one file. kind: call, import, ask (a constant of another file), const (of the top level), string (in an import's reach)."""
+    from cipherlode.functions.source import Source
+
+    asked = bool(MENTIONS.search(text))
+    if not asked and not ("export" in text and "const" in text):
+        return
+    source = Source(path, text)
+    t = source.tokens
+
+    def at(i: int, words: bool = True) -> dict:
+        line, col = t.place(i)
+        return {"path": path, "ord": i, "line": line, "col": col, "evidence": source.evidence(line), "words": source.near(line) if words else None}
+
+    def fields(v) -> list[tuple[str, dict]]:
+        out = []
+        for name, x in source.fields(v):
+            out.append((name, _plain(x)))
+            out += [(f"{name}.{k}", _plain(y)) for k, y in source.fields(x)]
+        return out
+
+    for d, v in source.module_constants():
+        if "export" in text or "pbkdf2" in d.name.lower():
+            yield at(d.index, words=False) | {"kind": "const", "name": d.name, "value": _plain(v) | {"fields": []}}
+    if not asked:
+        return
+    sites, bound = source.imports
+    for i, module in sites:
+        yield at(i, words=False) | {"kind": "import", "module": module}
+    for name, (module, members) in bound.items():
+        if module.startswith(".") and len(members) == 1:
+            yield {"path": path, "kind": "ask", "ord": 0, "name": name, "module": module, "members": list(members)}
+    for i, opener, chain, root, group in source.calls():
+        module, members = (root, chain) if root else (None, None)
+        if not root and not group and chain[0] in bound:
+            module, path_ = bound[chain[0]]
+            members = [*path_, *chain[1:]]
+        subtle = chain[-1] in SUBTLE
+        if not (subtle or chain[-1] in ("getRandomValues", "randomUUID") or (module and (module in MODULES or package(module) in PACKAGES))):
+            continue
+        args = []
+        for s, e in t.split(opener + 1, t.partner.get(opener, opener + 1)):
+            if e > s:
+                v = source.value(s, e)
+                own = at(s) if subtle else {"line": None, "col": None, "evidence": None, "words": None}
+                args.append(_plain(v) | {"fields": fields(v), "given": t.code(s, e) if v.kind in ("name", "other") or (v.kind != "object" and e - s == 1) else "", **{k: own[k] for k in ("line", "col", "evidence", "words")}})
+        yield at(i) | {
+            "kind": "call", "chain": chain, "module": module, "members": members, "args": args, "alias": not root and not group and len(chain) == 2 and chain[0] in source.subtle,
+            "crypto_root": bool(group and source.mentions(*group)), "padded": any(t.word(k) == "RSA_PKCS1_PADDING" for k in range(opener, t.partner.get(opener, opener)) if source.letters[k] == "i"),
+        }
+    used = sorted({package(m) for _, m in sites} & PACKAGES.keys())
+    if used:
+        openers = [-1] * len(source.letters)
+        for a, z in t.partner.items():
+            if a < z and source.letters[a] == "[":
+                openers[a + 1 : z] = [a] * (z - a - 1)
+        for i, letter in enumerate(source.letters):
+            if letter in "st" and len(text_ := source.literal(i)) <= LITERAL:
+                field = i if source.letters[i - 1 : i] == ":" else openers[i]
+                named = field > 1 and source.letters[field - 1] == ":" and t.word(field - 2) in (("alg", "algorithm") if field == i else ("algorithms",))
+                yield at(i) | {"kind": "string", "name": text_, "alias": named, "chain": used}
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """Segments that a detector may ask for, each with the text before and after it.
+    """FACT rows of files (path, text): a narrow map of the scan, whatever a file's size or nesting.
 
-    kind: call, load (require or import of a literal), import (also export-from),
-    declare, string. Comments, regular expressions and the text of strings never give a call. files: (path, text).
+    A call has its chain of names, the module and members that it reaches through this file's imports,
+    and its arguments as values; crypto_root: a bracketed root that mentions crypto; alias: on a
+    name that is set to a SubtleCrypto object. Comments, regular expressions and the text of strings never give a call.
     """
-    whole = fragments(files)
-    segments = _tile(whole, C.SEGMENT)
-    inner = holes(segments)
-    both = segments.unionByName(_tile(inner, C.SEGMENT))
-    raw = F.col("raw")
-    kind = (
-        F.when(raw.rlike(rf"^(?:require|import)\s*\(\s*{C.STRING}"), "load")
-        .when(raw.isin("import", "export"), "import")
-        .when(raw.isin("const", "let", "var"), "declare")
-        .when(raw.rlike(r"^['\"]") | (raw.startswith("`") & ~raw.contains("${")), "string")
-        .when(raw.rlike(rf"^{C.CHAIN}$") & raw.endswith("("), "call")
-    )
-    code = whole.select("path", "frag", "code").unionByName(inner.select("path", "frag", "code"))
-    kept = both.withColumn("kind", kind).where("kind IS NOT NULL AND (asked OR kind = 'declare')").where((F.col("kind") != "string") | (F.length("raw") <= LITERAL))
-    start, end = F.col("offset") + 1, F.col("offset") + F.col("n") + 1
-    low = F.greatest(start - BEFORE, F.lit(1))
-    return kept.join(code, ["path", "frag"]).select(
-        "path", "kind", "raw", "line", "col", "depth", F.concat_ws(".", "frag", F.lpad(F.col("i").cast("string"), 9, "0")).alias("ord"),
-        F.substring("code", low, start - low).alias("before"), F.substring("code", end, F.lit(AFTER)).alias("after"),
-    )
-
-
-def with_helpers(fact: DataFrame, files: DataFrame) -> DataFrame:
-    """fact with calls of a bundler's require helper as loads: one that is set to `typeof require ... ? require`, or __require."""
-    pattern = rf"(?:\b(?:var|let|const)\s+|,\s*)({C.IDENT})\s*=\s*(?:[()\s]|=>|{C.IDENT}){{0,12}}?\btypeof\s+require\b[^;?]{{0,60}}\?\s*require\b"
-    found = files.where(F.col("text").contains("require")).select("path", F.concat(F.array(F.lit("__require")), F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("helpers"))
-    rows = fact.join(found, "path", "left")
-    name = F.regexp_replace("raw", r"\s*\($", "")
-    asked = F.coalesce((F.col("kind") == "call") & F.array_contains("helpers", name) & F.col("after").rlike(rf"^\s*{C.STRING}\s*\)"), F.lit(False))
-    text = F.regexp_extract(F.concat(F.lit("require("), "after"), rf"^{C.LOAD}", 0)
-    rows = rows.withColumn("as_load", F.when(asked, text))
-    after = F.when(F.col("as_load").isNotNull(), F.expr("substring(after, length(as_load) - 7, 3000)")).otherwise(F.col("after"))
-    return rows.select("path", F.when(F.col("as_load").isNotNull(), "load").otherwise(F.col("kind")).alias("kind"), F.coalesce("as_load", "raw").alias("raw"), *(c for c in fact.columns if c not in ("path", "kind", "raw", "after")), after.alias("after"))
-
-
-def _module(text: Column) -> Column:
-    return F.regexp_replace(text, "^node:", "")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for row in _read(path, text):
+                    rows.append(row)
+                    held += 400 + sum(200 + len(a["given"]) for a in row.get("args") or ())
+                    if held > HELD:
+                        yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+                        rows, held = [], 0
+        yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+
+    rows, cores = files.select("path", "text").where("text IS NOT NULL"), files.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # a small table in few parts: reading takes longer than dealing it out
+        rows = rows.repartition(cores)
+    return rows.mapInArrow(read, FACT)
 
 
 def import_sites(fact: DataFrame) -> DataFrame:
-    """(path, module, line, col, ord, clause, members, before): imports, re-exports and loads."""
-    clause = rf"^\s*(?:type\s+)?((?:{C.IDENT}|\*\s*(?:as\s+{C.IDENT})?|\{{[^}}]*+\}}|[\s,])*?)\s*(?:\bfrom\b)?\s*(['\"])([^'\"\n]+)\2"
-    named = fact.where("kind = 'import'").select("path", _module(F.regexp_extract("after", clause, 3)).alias("module"), "line", "col", "ord", F.regexp_extract("after", clause, 1).alias("clause"), F.array().cast("array<string>").alias("members"), F.lit("").alias("before"), "raw", (F.col("raw") == "import").alias("binds")).where("module <> '' AND (raw = 'import' OR after_from)".replace(" OR after_from", " OR clause <> ''"))
-    text = F.regexp_extract("raw", rf"^(?:require|import)\s*\(\s*({C.STRING})", 1)
-    rest = F.regexp_replace("raw", rf"^(?:require|import)\s*\(\s*{C.STRING}\s*\)\s*\)?|\($|[\s?]", "")
-    loads = fact.where("kind = 'load'").select("path", _module(F.substring(text, F.lit(2), F.length(text) - 2)).alias("module"), "line", "col", "ord", F.lit("").alias("clause"), F.filter(F.split(rest, r"\."), lambda m: m != "").alias("members"), "before", "raw", (~F.col("raw").endswith("(")).alias("binds"))
-    return named.unionByName(loads)
-
-
-def bindings(sites: DataFrame) -> DataFrame:
-    """(path, local, module, members): names bound to a module or a member of it; the last binding of a name counts."""
-    entries = lambda text, sep: F.transform(F.filter(F.split(F.regexp_replace(text, r"^\s*\{|\}\s*$", ""), ","), lambda e: F.trim(e) != ""), lambda e: F.split(C.trim(F.regexp_replace(e, r"^\s*type\s+|=[\s\S]*$", "")), sep))
-    named = sites.where("binds AND clause <> ''")
-    listed = named.select("path", "module", "ord", F.explode(entries(F.regexp_extract("clause", r"(\{[^}]*\})", 1), r"\s+as\s+")).alias("e")).select("path", F.element_at("e", -1).alias("local"), "module", F.array(F.element_at("e", 1)).alias("members"), "ord")
-    whole = named.select("path", F.explode(F.array(F.regexp_extract("clause", rf"^\s*({C.IDENT})", 1), F.regexp_extract("clause", rf"\*\s*as\s+({C.IDENT})", 1))).alias("local"), "module", F.array().cast("array<string>").alias("members"), "ord")
-    target = rf"(?:(?:const|let|var|import)\s+|[,(]\s*)({C.IDENT}|\{{[^}}]*+\}})\s*(?::[^=;\n]{{1,80}})?=\s*\(?\s*(?:await\s+)?\(?\s*$"
-    loaded = sites.where("binds AND clause = ''").withColumn("target", F.regexp_extract(F.substring(F.col("before"), F.lit(-400), F.lit(400)), target, 1)).where("target <> ''")
-    single = loaded.where(~F.col("target").startswith("{")).select("path", F.col("target").alias("local"), "module", "members", "ord")
-    taken = loaded.where(F.col("target").startswith("{")).select("path", "module", "members", "ord", F.explode(entries(F.col("target"), r"\s*:\s*")).alias("e")).select("path", F.element_at("e", -1).alias("local"), "module", F.concat("members", F.array(F.element_at("e", 1))).alias("members"), "ord")
-    every = listed.union(whole).union(single).union(taken).where("local <> ''")
-    return every.groupBy("path", "local").agg(F.max_by(F.struct("module", "members"), "ord").alias("b")).select("path", "local", "b.module", "b.members")
-
-
-def calls(fact: DataFrame, bound: DataFrame) -> DataFrame:
-    """Calls with their chain, the module and member path that they resolve to (null: none), and the text of their arguments. Definitions are no calls."""
-    chain = F.split(F.regexp_replace("raw", r"\($|[\s?#]", ""), r"\.")
-    own = fact.where("kind = 'call'").withColumn("chain", chain)
-    arguments = F.regexp_extract("after", C.ARGUMENTS, 1)
-    tail = F.expr("substring(after, length(inside) + 2, 120)")
-    follows = F.col("before").rlike(r"[^\w$\x{80}-\x{FFFF}{};,)*\s'\"`]\s*$") | F.col("before").rlike(r"\b(?:return|typeof|await|yield|case|throw|new|void|in|of)\s*$")
-    defined = F.col("before").rlike(r"\bfunction\s*\*?\s*$") | ((F.size("chain") == 1) & ~follows & tail.rlike(r"^\s*(?::[^={};]{1,60})?\{") & ~F.element_at("chain", 1).isin("if", "for", "while", "switch", "catch", "with"))
-    own = own.withColumn("inside", arguments).where(~defined)
-    own = own.join(bound.withColumnRenamed("local", "root"), (own["path"] == bound["path"]) & (F.element_at("chain", 1) == F.col("root")), "left").select(own["*"], "module", F.when(F.col("module").isNotNull(), F.concat("members", F.slice("chain", 2, 100))).alias("members"))
-    loaded = fact.where(F.col("kind") == "load").where(F.col("raw").endswith("("))
-    text = F.regexp_extract("raw", rf"^(?:require|import)\s*\(\s*({C.STRING})", 1)
-    rest = F.regexp_replace("raw", rf"^(?:require|import)\s*\(\s*{C.STRING}\s*\)\s*\)?|\($|[\s?]", "")
-    loaded = loaded.withColumn("chain", F.filter(F.split(rest, r"\."), lambda m: m != "")).withColumn("inside", arguments).withColumn("module", _module(F.substring(text, F.lit(2), F.length(text) - 2))).withColumn("members", F.col("chain"))
-    every = own.unionByName(loaded.select(*own.columns))
-    pieces = F.regexp_extract_all("inside", F.lit(rf"{C.ARGUMENT}|,"), F.lit(0))
-    return every.withColumn("pieces", F.when(F.trim("inside") == "", F.array().cast("array<string>")).otherwise(pieces)).withColumn("args", F.filter("pieces", lambda p: p != ","))
-
-
-def declarations(fact: DataFrame) -> DataFrame:
-    """(path, name, kind, depth, value, line, col, ord, before, after): what const, let and var set."""
-    out = fact.where("kind = 'declare'").select("path", F.regexp_extract("after", C.DECLARED, 1).alias("name"), F.col("raw").alias("kind"), "depth", C.trim(F.regexp_extract("after", C.DECLARED, 2)).alias("value"), "line", "col", "ord", "before", "after")
-    return out.where("name <> ''")
-
-
-def constants(declared: DataFrame, sites: DataFrame) -> DataFrame:
-    """(path, names): map of a file's constants to what they are set to, its own and, one step, those that it imports by relative path.
-
-    A name declared twice in a file is not resolved: it would be a guess.
-    """
-    literal = F.col("value").rlike(rf"^(?:{C.STRING}|`|-?\d|\{{|{C.IDENT}\s*(?:as\b.*)?$)") | F.col("value").contains("?")
-    own = declared.where((F.col("kind") == "const") & ~F.col("name").startswith("{") & literal & (F.length("value") <= 400)).groupBy("path", "name").agg(F.count("*").alias("n"), F.min("depth").alias("depth"), F.min("value").alias("value")).where("n = 1")
-    exported = own.where((F.col("depth") == 0) & F.col("value").rlike(rf"^(?:{C.STRING}|-?\d)")).select(F.col("path").alias("from_path"), F.col("name").alias("from_name"), "value")
-    paths = declared.select(F.col("path").alias("from_path")).distinct()
-    entry = F.explode(F.transform(F.split(F.regexp_replace(F.regexp_extract("clause", r"(\{[^}]*\})", 1), r"[{}]", ""), ","), lambda e: F.split(C.trim(e), r"\s+as\s+"))).alias("e")
-    asked = sites.where(F.col("module").startswith(".") & F.col("clause").contains("{")).select("path", "module", entry).select("path", F.element_at("e", -1).alias("name"), F.element_at("e", 1).alias("from_name"), F.posexplode(candidates(F.col("path"), F.col("module"))).alias("rank", "from_path"))
-    known = asked.join(paths, "from_path")
-    first = known.groupBy("path", "name", "from_name").agg(F.min_by("from_path", "rank").alias("from_path"))
-    imported = first.join(exported, ["from_path", "from_name"]).select("path", "name", "value")
-    every = own.select("path", "name", "value").union(imported.join(own.select("path", "name"), ["path", "name"], "left_anti"))
-    return every.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("names"))
+    """(path, module, line, col, ord, evidence): imports, re-exports and loads."""
+    return fact.where("kind = 'import'").select("path", "module", "line", "col", "ord", "evidence")
+
+
+def calls(fact: DataFrame) -> DataFrame:
+    return fact.where("kind = 'call'").select("path", "ord", "line", "col", "chain", "module", "members", "crypto_root", "alias", "padded", "args", "evidence", "words")
+
+
+def constants(fact: DataFrame) -> DataFrame:
+    """(path, names): what a file imports, by relative path, that is a constant of the other file's top level: one step."""
+    exported = fact.where("kind = 'const'").select(F.col("path").alias("from_path"), F.col("name").alias("from_name"), F.struct(F.col("value.kind").alias("kind"), F.col("value.text").alias("text"), F.col("value.number").alias("number")).alias("value"))
+    asked = fact.where("kind = 'ask'").select("path", "name", F.element_at("members", 1).alias("from_name"), F.posexplode(candidates(F.col("path"), F.col("module"))).alias("rank", "from_path"))
+    found = asked.join(exported.dropDuplicates(["from_path", "from_name"]), ["from_path", "from_name"]).groupBy("path", "name").agg(F.min_by("value", "rank").alias("value"))
+    return found.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("names"))
+
+
+def with_constants(calls: DataFrame, constants: DataFrame) -> DataFrame:
+    """calls whose arguments and fields that are names are what their file imports under them."""
+    joined = calls.join(constants, "path", "left")
+    known = lambda v: F.try_element_at("names", F.when(v["kind"] == "name", v["code"]))
+
+    def filled(v: Column) -> list[Column]:
+        k = known(v)
+        return [F.coalesce(k["kind"], v["kind"]).alias("kind"), v["code"].alias("code"), F.coalesce(k["text"], v["text"]).alias("text"), F.coalesce(k["number"], v["number"]).alias("number")]
+
+    arg = lambda a: F.struct(*filled(a), F.transform_values(a["fields"], lambda _, v: F.struct(*filled(v))).alias("fields"), *(a[c].alias(c) for c in ("given", "line", "col", "evidence", "words")))
+    return joined.withColumn("args", F.when(F.col("names").isNull(), F.col("args")).otherwise(F.transform("args", arg))).drop("names")
 
 
 #: Endings that a relative import may leave out, in order. Fixed values.

@@ -55,12 +55,10 @@ def files(rows: DataFrame, path: Column, text: Column) -> DataFrame:
     return rows.select(path.alias("path"), text.alias("text"))
 
 
-def node_calls(source: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(calls with values, declarations, facts) of files."""
-    fact = lexical.with_helpers(lexical.facts(source), source)
-    sites = lexical.import_sites(fact)
-    declared = lexical.declarations(fact)
-    return detect.with_values(lexical.calls(fact, lexical.bindings(sites)), lexical.constants(declared, sites)), declared, fact
+def node_calls(source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(calls, facts) of files."""
+    fact = settle(lexical.facts(source))
+    return detect.resolved_calls(fact), fact
 
 
 # Names
@@ -148,7 +146,7 @@ _HASHES = [("md5", "MD5"), ("sha1", "SHA-1"), ("sha256", "SHA-256"), ("sha3-512"
 @query(f"SELECT {pick_sql('p_partkey', [b for _, b in _HASHES])} AS algorithm, count(*) AS n_uses FROM part GROUP BY 1")
 def node_hash_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("const { createHash: h } = require('node:crypto');\n// h('md4')\nmodule.exports = (x) => h('"), pick("p_partkey", [a for a, _ in _HASHES]), F.lit("').update(x);\n"))
-    calls, _, _ = node_calls(files(table(spark, sf_dir, "part"), F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit(".js")), text))
+    calls, _ = node_calls(files(table(spark, sf_dir, "part"), F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit(".js")), text))
     return detect.node_crypto(calls).select(aside(N.display_name(F.col("spec"))).alias("algorithm")).groupBy("algorithm").agg(F.count("*").alias("n_uses"))
 
 
@@ -158,7 +156,7 @@ _PAIRS = [("'rsa', { modulusLength: 3072 }", "RSA 3072-bit"), ("'ec', { namedCur
 @query(f"SELECT s_suppkey, {pick_sql('s_suppkey', [b for _, b in _PAIRS])} AS algorithm, CAST(2 AS BIGINT) AS line FROM supplier")
 def node_key_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("import { generateKeyPairSync } from 'crypto';\nexport const k = (kind) => generateKeyPairSync("), pick("s_suppkey", [a for a, _ in _PAIRS]), F.lit(");\n"))
-    calls, _, _ = node_calls(files(table(spark, sf_dir, "supplier"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".mjs")), text))
+    calls, _ = node_calls(files(table(spark, sf_dir, "supplier"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".mjs")), text))
     return detect.node_crypto(calls).select(F.regexp_extract("path", r"\d+", 0).cast("bigint").alias("s_suppkey"), aside(N.display_name(F.col("spec"))).alias("algorithm"), F.col("line").cast("bigint").alias("line"))
 
 
@@ -166,17 +164,32 @@ def node_key_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def node_pbkdf2(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = (F.col("s_suppkey") % 300 * 1000 + 1).cast("string")
     text = F.concat(F.lit("const crypto = require('crypto');\nconst ROUNDS = "), n, F.lit(";\nexports.f = (p, s) => crypto.pbkdf2Sync(p, s, ROUNDS, 32, 'sha512');\n"))
-    calls, _, _ = node_calls(files(table(spark, sf_dir, "supplier"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".js")), text))
+    calls, _ = node_calls(files(table(spark, sf_dir, "supplier"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".js")), text))
     s = F.col("spec")
     found = detect.node_crypto(calls).where(s["family"] == "PBKDF2")
     return found.select(F.regexp_extract("path", r"\d+", 0).cast("bigint").alias("s_suppkey"), s["parameters"]["iterations"].cast("bigint").alias("iterations"), F.array_contains(N.note_codes(s, N.display_name(s), F.lit("kdf")), "pbkdf2-iterations").alias("few"))
 
 
+#: Values by scope and shape, and what a call of createHash with them is.
+_SCOPES = [
+    ("function a() { const algo = 'md5' } function b(algo) { createHash(algo) }", "dynamic (hash held in algo)"), ("const algo = 'sha256'; function b() { const algo = 'md5'; createHash(algo) }", "MD5"),
+    ("const a = 'md5', b = a, c = b, d = c, e = d, f = e; createHash(f)", "MD5"), ("createHash((((('sha1')))))", "SHA-1"), ("createHash(z ? 'md5' : 'md5')", "MD5"), ("createHash('md5', '" + "x" * 3500 + "')", "MD5"),
+    ("createHash(z ? 'md5' : 'sha1')", "dynamic (hash held in z?'md5':'sha1')"), ("let algo = 'md5'; createHash(algo)", "dynamic (hash held in algo)"), ("createHash(`sha256`); const s = `${ [{ a: `}` }] } createHash('md4')`", "SHA-256"),
+]
+
+
+@query(f"SELECT o_orderkey, {pick_sql('o_orderkey', [b for _, b in _SCOPES])} AS algorithm FROM orders")
+def scoped_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("import { createHash } from 'crypto';\n"), pick("o_orderkey", [a for a, _ in _SCOPES]))
+    calls, _ = node_calls(files(table(spark, sf_dir, "orders"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".ts")), text))
+    return detect.node_crypto(calls).select(F.regexp_extract("path", r"\d+", 0).cast("bigint").alias("o_orderkey"), aside(N.display_name(F.col("spec"))).alias("algorithm"))
+
+
 @query("SELECT CAST(0 AS BIGINT) AS n_findings, count(*) AS n_files FROM part")
 def traps_report_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     traps = ["// crypto.createHash('md5')\n", "/* crypto.createHash('md5')\n */\n", "const s = \"crypto.createHash('md5')\";\n", "const t = `crypto.createHash('md5')`;\n", "const r = /crypto.createHash('md5')/;\n", "class A { createHash(a) { return a; } }\n", "helper.createHash('md5');\n"]
     source = files(table(spark, sf_dir, "part"), F.concat(F.lit("t"), F.col("p_partkey").cast("string"), F.lit(".js")), F.concat(F.lit("import crypto from 'node:crypto';\n"), pick("p_partkey", traps)))
-    calls, _, _ = node_calls(source)
+    calls, _ = node_calls(source)
     return detect.node_crypto(calls).agg(F.count("*").alias("n_findings")).crossJoin(source.agg(F.count("*").alias("n_files")))  # one row each
 
 
@@ -192,8 +205,7 @@ def _subtle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _web(source: DataFrame) -> DataFrame:
-    calls, declared, fact = node_calls(source)
-    return detect.web_crypto(calls, detect.subtle_aliases(declared, fact))
+    return detect.web_crypto(node_calls(source)[0])
 
 
 @query(f"SELECT {pick_sql('o_orderkey', [b for _, b, _ in _SUBTLE])} AS algorithm, {pick_sql('o_orderkey', [c for _, _, c in _SUBTLE])} AS class, count(*) AS n_uses FROM orders GROUP BY 1, 2")
@@ -221,7 +233,7 @@ def imported_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'high' WHEN o_orderkey % 4 = 1 THEN 'low' WHEN o_orderkey % 4 = 2 THEN 'medium' ELSE 'high' END AS priority, CASE o_orderkey % 4 WHEN 0 THEN 'backup' WHEN 1 THEN 'session' WHEN 2 THEN 'jwt' END AS word, count(*) AS n_uses FROM orders GROUP BY 1, 2")
 def priority_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("const c = require('crypto');\n// for the "), pick("o_orderkey", ["backup", "session", "jwt", "thing"]), F.lit("\nexports.k = () => c.generateKeyPairSync('rsa', { modulusLength: 2048 });\n"))
-    calls, _, _ = node_calls(files(table(spark, sf_dir, "orders"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".js")), text))
+    calls, _ = node_calls(files(table(spark, sf_dir, "orders"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".js")), text))
     return detect.findings(detect.node_crypto(calls)).select("priority", F.col("priority_word").alias("word")).groupBy("priority", "word").agg(F.count("*").alias("n_uses"))
 
 
@@ -237,14 +249,14 @@ def _library_files(spark: SparkSession, sf_dir: str, texts: list[str]) -> DataFr
 
 @query(f"SELECT {pick_sql('c_custkey', [b for _, b, _ in _LIBRARY])} AS algorithm, {pick_sql('c_custkey', [c for _, _, c in _LIBRARY])} AS operation, count(*) AS n_uses FROM customer GROUP BY 1, 2")
 def library_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, _, _ = node_calls(_library_files(spark, sf_dir, [a for a, _, _ in _LIBRARY]))
+    calls, _ = node_calls(_library_files(spark, sf_dir, [a for a, _, _ in _LIBRARY]))
     return detect.library_calls(calls).select(aside(N.display_name(F.col("spec"))).alias("algorithm"), "operation").groupBy("algorithm", "operation").agg(F.count("*").alias("n_uses"))
 
 
 @query("SELECT c_custkey, CAST(1 AS BIGINT) AS line FROM customer WHERE c_custkey % 3 = 1")
 def library_unread_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = _library_files(spark, sf_dir, ["import nacl from 'tweetnacl';\nnacl.hash(x);\n", "import nacl from 'tweetnacl';\nnacl[name](x);\n", "import u from '@noble/hashes/utils';\nu.bytes(x);\n"])
-    calls, _, fact = node_calls(source)
+    calls, fact = node_calls(source)
     uses = detect.library_calls(calls).select("path", F.substring(F.col("interface"), 9, 1000).alias("package"))
     found = detect.unread_imports(detect.imported_packages(lexical.import_sites(fact)), uses)
     return found.select(F.regexp_extract("path", r"\d+", 0).cast("bigint").alias("c_custkey"), F.col("line").cast("bigint").alias("line"))
@@ -255,14 +267,14 @@ def jose_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("import { SignJWT } from 'jose';\nconst o = "), pick("o_orderkey", ["{ alg: 'ES256' }", "{ algorithms: ['none'] }", "{ display: 'none' }"]), F.lit(";\n"))
     source = files(table(spark, sf_dir, "orders"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".js")), text)
     fact = lexical.facts(source)
-    found = detect.jose_literals(fact, detect.imported_packages(lexical.import_sites(fact)))
+    found = detect.jose_literals(fact)
     return found.select(aside(N.display_name(F.col("spec"))).alias("algorithm")).groupBy("algorithm").agg(F.count("*").alias("n_uses"))
 
 
 @query("SELECT CASE o_orderkey % 3 WHEN 0 THEN 'HS256' WHEN 1 THEN 'dynamic (JWT options held in opts)' END AS algorithm, count(*) AS n_uses FROM orders WHERE o_orderkey % 3 < 2 GROUP BY 1")
 def jwt_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("const jwt = require('jsonwebtoken');\nexports.t = (p, k, opts) => jwt.sign(p, k"), pick("o_orderkey", ["", ", opts", ", { algorithm: 'RS256' }"]), F.lit(");\n"))
-    calls, _, _ = node_calls(files(table(spark, sf_dir, "orders"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".js")), text))
+    calls, _ = node_calls(files(table(spark, sf_dir, "orders"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".js")), text))
     return detect.jwt_default(calls).select(aside(N.display_name(F.col("spec"))).alias("algorithm")).groupBy("algorithm").agg(F.count("*").alias("n_uses"))
 
 
@@ -302,7 +314,7 @@ _NODE_TLS = [("https.createServer({ ecdhCurve: 'X25519MLKEM768', minVersion: 'TL
 @query(f"SELECT {pick_sql('c_custkey', [b for _, b in _NODE_TLS])} AS key_exchange, count(*) AS n_configurations FROM customer WHERE c_custkey % 4 < 3 GROUP BY 1")
 def node_tls_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("import https from 'node:https';\nconst CURVES = 'P-256:X25519';\nexport const s = (options) => "), pick("c_custkey", [a for a, _ in _NODE_TLS]), F.lit(";\n"))
-    calls, _, _ = node_calls(files(table(spark, sf_dir, "customer"), F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".mjs")), text))
+    calls, _ = node_calls(files(table(spark, sf_dir, "customer"), F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".mjs")), text))
     return tls.judge(tls.node_configurations(calls)).groupBy("key_exchange").agg(F.count("*").alias("n_configurations"))
 
 
@@ -377,7 +389,7 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, _, _ = node_calls(order_files(spark, sf_dir))
+    calls, _ = node_calls(order_files(spark, sf_dir))
     return settle(detect.findings(detect.node_crypto(calls)))
 
 
@@ -417,7 +429,7 @@ _TWICE = "SELECT DISTINCT l_orderkey, l_linenumber, l_partkey % 8 AS k FROM line
 @query(f"SELECT {pick_sql('k', [a for _, a, _, _ in _LINES])} AS algorithm, count(*) AS n_uses FROM ({_TWICE}) GROUP BY 1")
 def dedupe_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uses at the same place count once: rows of an order with the same line number and call are repeats."""
-    calls, _, _ = node_calls(files(spark.range(8).withColumnRenamed("id", "k"), F.concat(F.lit("k"), F.col("k").cast("string"), F.lit(".js")), F.concat(F.lit("const c = require('crypto');\n"), pick("k", [a for a, _, _, _ in _LINES]))))
+    calls, _ = node_calls(files(spark.range(8).withColumnRenamed("id", "k"), F.concat(F.lit("k"), F.col("k").cast("string"), F.lit(".js")), F.concat(F.lit("const c = require('crypto');\n"), pick("k", [a for a, _, _, _ in _LINES]))))
     kinds = detect.node_crypto(calls).withColumn("k", F.regexp_extract("path", r"\d+", 0).cast("bigint"))
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 8).alias("k"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string"), F.lit(".js")).alias("file_"), "l_linenumber")
     found = rows.join(F.broadcast(kinds), "k").withColumn("path", F.col("file_")).withColumn("line", F.col("l_linenumber")).drop("k", "file_", "l_linenumber")  # eight kinds
