@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from cipherlode.llm.text import Words, chunks, mix, words
+from cipherlode.llm.text import Words, chunks, mix, settle, with_uid, words
 
 #: Scores of a word; an alignment counts from this share of the item's own score.
 MATCH, MISMATCH, GAP, THRESHOLD = 2, -1, -1, 0.5
-#: Benchmark items go to the tasks in blocks of so many bytes of text; each block is a pass over the corpus.
-BLOCK_BYTES = 8 << 20
+#: Bits of the filter of seeds that goes to every task: 16 a seed between these powers of two. It only spares rows; beyond it more pass.
+FILTER_BITS = (20, 27)
+#: Bytes of passages' places that are broadcast; more are joined by an exchange of the texts.
+BROADCAST_BYTES = 32 << 20
 #: Cells of one group of alignment matrices.
 CELLS = 1 << 20
-#: Found seeds that are held at a time; a document with more has a group of its own.
-HITS = 1 << 20
-
-RESULT = "key {}, item long, score double, n_matched int, start_word int, end_word int"
+#: Distinct seeds that a counting task holds.
+HELD = 1 << 20
 
 
 def seeds(found: Words, single: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -37,75 +40,160 @@ def seeds(found: Words, single: bool = False) -> tuple[np.ndarray, np.ndarray]:
     return hashes[inside], np.repeat(at, inside.sum(axis=1))
 
 
-class Items:
-    """A block of benchmark items and their seeds.
+def bounds(size: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(needed, dropped, slack, single) of items with so many words.
 
     An alignment of m matches that loses x on other columns reaches the least
     score T if 2 m - x >= T. Of its m - 1 steps from a match to the next, at most
     x / 2 lose 2 or more. So at least ceil(T / 2) - 1 steps lose 1 at most: they
     go on by one or two words both in the item and in the text, and a seed that
-    starts at the step's first word is in both. An item's `bound` is that number
-    of words (of n - 1) whose seeds must be found; items where it is 0 are
-    looked up by single words, one of which must be found. `slack` is the most
-    that x can be, thus the most by which the found seeds' diagonals differ.
+    starts at the step's first word is in both. Where that number is 0 (single), items are
+    looked up by single words, one of which must be found. Of the words that start seeds
+    the `dropped` most common may go unasked, since `needed` of those that must be found are among
+    the rest. `slack` is the most that x can be, thus the most by which the found seeds' diagonals differ.
     """
+    least = np.maximum(1, np.ceil(MATCH * size * threshold - 1e-9).astype(np.int64))
+    bound = (least + 1) // 2 - 1
+    needed = np.maximum(1, -(-bound // 4))
+    return needed, np.maximum(0, bound - needed), np.maximum(0, MATCH * size - least), bound == 0
+
+
+def _of(hashes: np.ndarray) -> Words:
+    return Words(hashes, hashes, hashes, hashes, np.array([0, len(hashes)]))
+
+
+def _prepare(threshold: float):
+    """Benchmark items as hashes of their words; those without words go."""
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in chunks(batch.column(1)):
+                found = words(texts)
+                size = np.diff(found.first)
+                needed, dropped, slack, single = bounds(size, threshold)
+                some = np.flatnonzero(size)
+                packed = [found.hashes[found.first[k] : found.first[k + 1]].tobytes() for k in some]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + some)), pa.array(packed, pa.binary()), *(pa.array(x[some].astype(np.int32)) for x in (size, needed, dropped, slack)), pa.array(single[some])], ["iid", "words", "n", "needed", "dropped", "slack", "single"])
+
+    return prepare
+
+
+def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for iid, packed, single in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            hashes, at = seeds(_of(np.frombuffer(packed, np.uint64)), single)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(np.full(len(at), iid)), pa.array(at.astype(np.int32))], ["hash", "iid", "at"])
 
-    def __init__(self, ids: list[int], texts: list[str], threshold: float):
-        found = words([t.encode("utf-8") for t in texts])
-        self.ids = np.array(ids, np.int64)
-        self.words = [found.hashes[a:b] for a, b in zip(found.first, found.first[1:], strict=False)]
-        self.size = np.diff(found.first)
-        least = np.maximum(1, np.ceil(2 * self.size * threshold - 1e-9).astype(np.int64))
-        self.bound, self.slack = (least + 1) // 2 - 1, np.maximum(0, MATCH * self.size - least)
-        owner = np.repeat(np.arange(len(ids)), self.size)
-        parts = []
-        for single in (False, True):
-            hashes, at = seeds(found, single)
-            mine = (self.bound[owner[at]] == 0) == single
-            parts.append((hashes[mine], at[mine]))
-        self.hash, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        self.item, self.at = owner[at], at - found.first[owner[at]]
-        self.needed = np.maximum(1, self.bound)
-        self.single = bool((self.bound == 0).any())
-
-    def keep(self, frequency: np.ndarray) -> Items:
-        """The rarest words' seeds only. Of each item all but `bound` - c words that start seeds are kept, so c of those that must be found are among them."""
-        word = np.concatenate(([0], np.cumsum(self.size)))[self.item] + self.at
-        total = np.bincount(word, frequency, self.size.sum())
-        starts = np.unique(word)
-        item = np.repeat(np.arange(len(self.ids)), self.size)[starts]
-        order = starts[np.lexsort((starts, total[starts], item))]
-        item = np.repeat(np.arange(len(self.ids)), self.size)[order]
-        place = np.arange(len(order)) - np.searchsorted(item, item)
-        self.needed = np.maximum(1, -(-self.bound // 4))
-        dropped = np.maximum(0, self.bound - self.needed)
-        good = np.zeros(self.size.sum(), bool)
-        good[order[place < (np.bincount(item, minlength=len(self.ids)) - dropped)[item]]] = True
-        chosen = good[word] & (frequency > 0)  # what is nowhere in the corpus is not found either
-        self.hash, self.item, self.at = self.hash[chosen], self.item[chosen], self.at[chosen]
-        return self
-
-
-class Lookup:
-    """Positions of known hashes in a long array."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.order = np.argsort(hashes, kind="stable")
-        self.sorted = hashes[self.order]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(hashes >> np.uint64(44)).astype(np.int64)] = True
-
-    def known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(positions, low, n): hashes that are known, each n times from low on."""
-        at = np.flatnonzero(self.maybe[(hashes >> np.uint64(44)).astype(np.int64)])
-        low, high = (np.searchsorted(self.sorted, hashes[at], side) for side in ("left", "right"))
-        some = np.flatnonzero(high > low)
-        return at[some], low[some], (high - low)[some]
-
-    def pairs(self, at: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, known): every pair of a position and a known hash that are equal."""
-        which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-        return np.repeat(at, n), self.order[which]
+
+class Filter(NamedTuple):
+    """Bits that are set for known seeds; a few others may pass."""
+
+    shift: int
+    words: np.ndarray
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        bit = hashes >> np.uint64(self.shift)
+        return np.flatnonzero((self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
+
+
+def _filter(known: DataFrame) -> Filter:
+    """From a stored table of seeds; 2**FILTER_BITS[1] bits at most come to the driver."""
+    bits = min(max(math.ceil(math.log2(16 * known.count() + 1)), FILTER_BITS[0]), FILTER_BITS[1])
+    bit = known.select(F.expr(f"shiftrightunsigned(hash, {64 - bits})").alias("b"))
+    packed = bit.groupBy(F.expr("shiftright(b, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("m")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[np.asarray(packed.column("w"))] = np.asarray(packed.column("m")).astype(np.uint64)
+    return Filter(64 - bits, out)
+
+
+def _asked(found: Words, single: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A text's seeds, with single words where an item needs them."""
+    hashes, at = seeds(found)
+    if single:
+        more = seeds(found, single=True)
+        hashes, at = np.concatenate((hashes, more[0])), np.concatenate((at, more[1]))
+    return hashes, at
+
+
+def _count(known: Filter, single: bool):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], []
+
+        def flush() -> pa.RecordBatch:
+            hashes, at = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_inverse=True)
+            total = np.bincount(at, np.concatenate([*n, np.zeros(0)]), len(hashes)).astype(np.int64)
+            held.clear()
+            n.clear()
+            return pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(total)], ["hash", "n"])
+
+        for batch in batches:
+            for _, texts in chunks(batch.column(0)):
+                hashes, _ = _asked(words(texts), single)
+                distinct, times = np.unique(hashes[known.passes(hashes)], return_counts=True)
+                held.append(distinct)
+                n.append(times)
+                if sum(map(len, held)) > HELD:
+                    yield flush()
+        yield flush()
+
+    return count
+
+
+def _find(known: Filter, single: bool):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uids = np.asarray(batch.column(0))
+            for first, texts in chunks(batch.column(1)):
+                found = words(texts)
+                hashes, at = _asked(found, single)
+                some = known.passes(hashes)
+                hashes, at = hashes[some], at[some]
+                doc = np.searchsorted(found.first, at, side="right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(uids[first + doc]), pa.array(hashes.astype(np.int64)), pa.array((at - found.first[doc]).astype(np.int32))], ["uid", "hash", "place"])
+
+    return find
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of texts where enough of an item's seeds lie on diagonals within its slack. Seeds come by text, item and diagonal."""
+
+    def passages(uid: np.ndarray, iid: np.ndarray, start: np.ndarray, at: np.ndarray, n: np.ndarray, needed: np.ndarray, slack: np.ndarray) -> pa.RecordBatch:
+        apart = lambda *cols: np.concatenate(([True] * (len(cols[0]) > 0), np.logical_or.reduce([np.diff(c) != 0 for c in cols])))
+        once = np.flatnonzero(apart(uid, iid, start, at))
+        uid, iid, start, n, needed, slack = (c[once] for c in (uid, iid, start, n, needed, slack))
+        last = np.arange(len(uid)) + needed - 1  # so many of them within the slack of diagonals
+        end = np.minimum(last, max(0, len(uid) - 1))
+        opens = np.flatnonzero((last < len(uid)) & (uid[end] == uid) & (iid[end] == iid) & (start[end] - start <= slack))
+        edge = np.bincount(opens, minlength=len(uid) + 1) - np.bincount(last[opens] + 1, minlength=len(uid) + 1)
+        kept = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+        uid, iid, start, n, slack = (c[kept] for c in (uid, iid, start, n, slack))
+        lead = np.flatnonzero(apart(uid, iid) | np.concatenate(([True] * (len(uid) > 0), np.diff(start) > slack[1:])))
+        high = np.maximum.reduceat(start, lead) if len(lead) else start
+        return pa.RecordBatch.from_arrays([pa.array(uid[lead]), pa.array(iid[lead]), pa.array((start[lead] - slack[lead]).astype(np.int32)), pa.array((high + n[lead] + slack[lead]).astype(np.int32))], ["uid", "iid", "low", "high"])
+
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        now = [np.asarray(c).astype(np.int64) for c in batch.columns]
+        now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+        new = np.flatnonzero((np.diff(now[0]) != 0) | (np.diff(now[1]) != 0))
+        cut = new[-1] + 1 if len(new) else 0
+        yield passages(*(c[:cut] for c in now))
+        held = [c[cut:] for c in now]
+    if held:
+        yield passages(*held)
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the words of each stretch."""
+    for batch in batches:
+        asked = batch.column(2).to_pylist()
+        for first, texts in chunks(batch.column(1)):
+            found, out = words(texts), []
+            for k in range(len(texts)):
+                own = found.hashes[found.first[k] : found.first[k + 1]]
+                out += [(first + k, w["iid"], max(0, w["low"]), own[max(0, w["low"]) : max(0, w["high"])].tobytes()) for w in asked[first + k]]
+            row, *rest = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(rest, (pa.int64(), pa.int32(), pa.binary()), strict=True))], ["key", "iid", "low", "passage"])
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,116 +236,55 @@ def aligned(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return out
 
 
+def _score(threshold: float):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            found = aligned(pairs)
+            share = found[:, 0] / (MATCH * np.array([len(a) for a, _ in pairs]))
+            good = np.flatnonzero(share >= threshold)
+            same = [int(np.isin(pairs[g][0], pairs[g][1][found[g, 1] : found[g, 2]]).sum()) for g in good]
+            low = np.asarray(batch.column(2))[good]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good)), pa.array(share[good]), pa.array(same, pa.int32()), *(pa.array((low + found[good, k]).astype(np.int32)) for k in (1, 2))], ["key", "iid", "score", "n_matched", "start_word", "end_word"])
+
+    return score
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(key, item_key, score, n_matched, start_word, end_word): the best alignment of an item in each document that reaches the threshold.
 
     The score is the alignment's share of the item's full score; words are
     lower-cased A-Z runs without blanks; the span is in words of the document.
-    A pair shows once; repeated rows, and rows with the same key, give the best one. Null or empty
-    texts and items match nothing; null keys stay. Long texts are searched whole.
+    A pair shows once; repeated rows, and rows or items with the same key, give the best one. Null or empty
+    texts and items match nothing; null keys stay, and keys may have any type. Long texts are searched whole.
     An empty table gives no rows; other columns are left out.
 
-    Every document's n-grams are looked up in a block of items that fits in a task
-    (blocks by BLOCK_BYTES); the first pass counts each seed over the corpus, the second
-    aligns around each item's rarest ones, as many as surely meet every alignment
-    that reaches the threshold (see Items), over all words that it can span. Only
-    counts and found pairs are shuffled.
+    Seeds of the items are a table. A first pass counts them in the corpus, a second one
+    finds the rarer ones in it, as many as surely meet every alignment that reaches the threshold
+    (see bounds); both only send on what passes a filter of bounded size. Found seeds are joined to
+    items by hash, stretches with enough of them to their texts, and those to the items' words, and aligned.
     """
-    spark = docs.sparkSession
-    kind = dict(docs.dtypes)[key]
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    asked = benchmark.where(F.length(F.trim(item_text)) > 0).select(F.col(item_key).cast("long").alias("item"), F.col(item_text).alias("text"))
-    size = asked.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = -(-size // BLOCK_BYTES)
-    out = spark.createDataFrame([], RESULT.format(kind))
-    for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).orderBy("item", "text").collect()  # BLOCK_BYTES on average
-        if block:
-            out = out.union(_search(rows, kind, Items([r["item"] for r in block], [r["text"] for r in block], threshold), threshold))
-    best = out.groupBy("key", "item").agg(F.max(F.struct("score", "n_matched", (-F.col("start_word")).alias("s"), (-F.col("end_word")).alias("e"))).alias("b"))
-    return best.select(F.col("key").alias(key), F.col("item").alias(item_key), "b.score", "b.n_matched", (-F.col("b.s")).alias("start_word"), (-F.col("b.e")).alias("end_word"))
-
-
-def _search(rows: DataFrame, kind: str, items: Items, threshold: float) -> DataFrame:
-    distinct, which = np.unique(items.hash, return_inverse=True)
-
-    def of(found: Words) -> tuple[np.ndarray, np.ndarray]:
-        """A text's seeds, with single words where an item needs them."""
-        hashes, at = seeds(found)
-        if items.single:
-            more = seeds(found, single=True)
-            hashes, at = np.concatenate((hashes, more[0])), np.concatenate((at, more[1]))
-            order = np.argsort(at, kind="stable")
-            hashes, at = hashes[order], at[order]
-        return hashes, at
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, total = Lookup(distinct), np.zeros(len(distinct), np.int64)
-        for batch in batches:
-            for _, texts in chunks(batch.column(0)):
-                total += np.bincount(find.pairs(*find.known(of(words(texts))[0]))[1], minlength=len(distinct))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], ["seed", "n"])
-
-    frequency = np.zeros(len(distinct), np.int64)
-    for r in rows.select("text").mapInArrow(count, "seed int, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():  # a number a seed of the block
-        frequency[r["seed"]] = r["n"]
-    items = items.keep(frequency[which])
-
-    def hits(found: Words, find: Lookup) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(document, item, diagonal, word of the item) of found seeds, some whole documents at a time."""
-        hashes, place = of(found)
-        at, low, n = find.known(hashes)
-        at = place[at]
-        doc = np.searchsorted(found.first, at, side="right") - 1
-        lead = np.flatnonzero(np.diff(doc, prepend=-1))
-        many = np.add.reduceat(n, lead) if len(lead) else lead
-        a = 0
-        while a < len(lead):
-            z = max(a + 1, a + int(np.searchsorted(np.cumsum(many[a:]), HITS, side="right")))
-            part = slice(lead[a], lead[z] if z < len(lead) else len(at))
-            which, seed = find.pairs(np.arange(len(at))[part], low[part], n[part])
-            yield doc[which], items.item[seed], at[which] - found.first[doc[which]] - items.at[seed], items.at[seed]
-            a = z
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Lookup(items.hash)
-        for batch in batches:
-            for first_row, texts in chunks(batch.column(1)):
-                found = words(texts)
-                for doc, item, start, word in hits(found, find):
-                    order = np.lexsort((word, start, item, doc))
-                    doc, item, start, word = doc[order], item[order], start[order], word[order]
-                    once = np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(start) != 0) | (np.diff(word) != 0)))
-                    doc, item, start = doc[once], item[once], start[once]
-                    last = np.arange(len(doc)) + items.needed[item] - 1  # so many of them within the slack of diagonals
-                    end = np.minimum(last, len(doc) - 1)
-                    opens = np.flatnonzero((last < len(doc)) & (doc[end] == doc) & (item[end] == item) & (start[end] - start <= items.slack[item]))
-                    if not len(opens):
-                        continue
-                    edge = np.bincount(opens, minlength=len(doc) + 1) - np.bincount(last[opens] + 1, minlength=len(doc) + 1)
-                    kept = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
-                    doc, item, start = doc[kept], item[kept], start[kept]
-                    slack = items.slack[item]
-                    new = np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(start) > slack[1:])))
-                    lead = np.flatnonzero(new)
-                    low = start[lead] - slack[lead]
-                    high = np.maximum.reduceat(start, lead) + items.size[item[lead]] + slack[lead]
-                    doc, item = doc[lead], item[lead]
-                    n_words = np.diff(found.first)
-                    low, high = np.maximum(0, low), np.minimum(high, n_words[doc])
-                    pairs = [(items.words[i], found.hashes[found.first[d] + a : found.first[d] + z]) for d, i, a, z in zip(doc, item, low, high, strict=True)]
-                    score = aligned(pairs)
-                    share = score[:, 0] / (MATCH * np.array([len(a) for a, _ in pairs]))
-                    good = np.flatnonzero(share >= threshold)
-                    if len(good):
-                        same = [int(np.isin(pairs[g][0], pairs[g][1][score[g, 1] : score[g, 2]]).sum()) for g in good]
-                        yield pa.RecordBatch.from_arrays([
-                            batch.column(0).take(pa.array(first_row + doc[good])), pa.array(items.ids[item[good]]), pa.array(share[good]), pa.array(same, pa.int32()),
-                            pa.array((low + score[:, 1])[good], pa.int32()), pa.array((low + score[:, 2])[good], pa.int32()),
-                        ], ["key", "item", "score", "n_matched", "start_word", "end_word"])
-
-    return rows.mapInArrow(search, RESULT.format(kind))
+    kind, item_kind = dict(docs.dtypes)[key], dict(benchmark.dtypes)[item_key]
+    rows, items = with_uid(docs, key, text), with_uid(benchmark, item_key, item_text)
+    known = settle(items.select("uid", "text").mapInArrow(_prepare(threshold), "iid long, words binary, n int, needed int, dropped int, slack int, single boolean"))
+    all_seeds = settle(known.select("iid", "words", "single").mapInArrow(_seed_rows, "hash long, iid long, at int"))
+    single = bool(known.agg(F.bool_or("single")).first()[0])
+    counts = settle(rows.select("text").mapInArrow(_count(_filter(all_seeds), single), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).join(all_seeds.select("hash").distinct(), "hash", "left_semi"))
+    # a word that starts seeds goes with the sum of their counts; an item's words are few
+    totals = all_seeds.join(counts, "hash").groupBy("iid", "at").agg(F.sum("n").alias("total"))
+    order = W.Window.partitionBy("iid").orderBy(F.desc("total"), F.desc("at"))
+    asked = totals.withColumn("r", F.row_number().over(order)).join(known.select("iid", "n", "needed", "dropped", "slack"), "iid").where(F.col("r") > F.col("dropped"))
+    chosen = settle(all_seeds.join(asked, ["iid", "at"]).select("hash", "iid", "at", "n", "needed", "slack"))
+    hits = rows.select("uid", "text").mapInArrow(_find(_filter(chosen), single), "uid long, hash long, place int").join(chosen, "hash")
+    lines = hits.select("uid", "iid", (F.col("place") - F.col("at")).alias("start"), "at", "n", "needed", "slack").repartition("uid", "iid").sortWithinPartitions("uid", "iid", "start", "at")
+    windows = settle(lines.mapInArrow(_windows, "uid long, iid long, low int, high int"))
+    asked_of = windows.groupBy("uid").agg(F.collect_list(F.struct("iid", "low", "high")).alias("w"))
+    few = F.broadcast(asked_of) if windows.count() * 64 <= BROADCAST_BYTES else asked_of
+    passages = rows.join(few, "uid").select("key", "text", "w").mapInArrow(_passages, f"key {kind}, iid long, low int, passage binary")
+    scored = passages.join(known.select("iid", "words"), "iid").select("key", "iid", "low", "passage", "words").mapInArrow(_score(threshold), f"key {kind}, iid long, score double, n_matched int, start_word int, end_word int")
+    named = scored.join(items.select(F.col("uid").alias("iid"), F.col("key").alias("item")), "iid")
+    best = named.groupBy("key", "item").agg(F.max(F.struct("score", "n_matched", (-F.col("start_word")).alias("s"), (-F.col("end_word")).alias("e"))).alias("b"))
+    return best.select(F.col("key").alias(key), F.col("item").cast(item_kind).alias(item_key), "b.score", "b.n_matched", (-F.col("b.s")).alias("start_word"), (-F.col("b.e")).alias("end_word"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,3 +80,27 @@ def test_every_copy_that_reaches_the_threshold(spark):
     rows = decontam.contaminated(spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()
     assert {(x.doc_id, x.item_id): x.score for x in rows} == expected
     assert all(any(d // (len(copies) // len(items)) == i and (d, i) in expected for d in range(len(docs))) for i in range(len(items)))
+
+
+def test_keys_of_any_type(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([("a", f"x y {text} z"), (None, text), ("b", "nothing of it")], "doc_id string, text string")
+    bench = spark.createDataFrame([(None, text), ("t", "other words than those"), ("u", "\t\n")], "item_id string, text string")
+    assert {(r.doc_id, r.item_id, r.score) for r in decontam.contaminated(docs, bench).collect()} == {("a", None, 1.0), (None, None, 1.0)}
+
+
+def test_a_whole_table_against_every_alignment(spark, sf_dir):
+    """Recall is 1: every pair of the smallest tables that plain alignment finds is found."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    split = lambda t: [hash(w) & (2**63 - 1) for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())]
+    texts, asked = {d: split(t) for d, t in docs}, {i: split(t) for i, t in items}
+    expected = set()
+    for i, item in asked.items():
+        known = set(item)
+        for d, text in texts.items():
+            if 2 * sum(w in known for w in text) >= len(item) * decontam.MATCH * decontam.THRESHOLD:
+                (score,) = decontam.align([(np.array(item, np.uint64), np.array(text, np.uint64))])[0].tolist()
+                if score >= decontam.MATCH * len(item) * decontam.THRESHOLD:
+                    expected.add((d, i))
+    assert {(r.doc_id, r.item_id) for r in decontam.op9_decontamination(spark, sf_dir).collect()} == expected and expected
