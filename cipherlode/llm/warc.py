@@ -33,6 +33,7 @@ def leaves(records: DataFrame) -> DataFrame:
     sha = F.sha2("record", 256)
     parts = [F.sum(F.conv(F.substring(sha, 16 * k + 1, 15), 16, 10).cast("decimal(20,0)")).alias(f"s{k}") for k in range(4)]
     file = F.coalesce(F.floor(F.col("key") / SLOTS), F.lit(NO_FILE)).cast("long")
+    records = records.withColumn("key", F.col("key").try_cast("bigint"))
     by_key = records.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("record").cast("long")).alias("n_bytes"), *parts)
     slots = by_key.select(file.alias("file"), (F.coalesce("key", F.lit(0)) - F.floor(F.coalesce("key", F.lit(0)) / SLOTS) * SLOTS).cast("long").alias("node"), "key", "n_bytes", F.sha2(F.concat_ws("|", "n", "s0", "s1", "s2", "s3"), 256).alias("hash"))
     before = W.Window.partitionBy("file").orderBy("node").rowsBetween(W.Window.unboundedPreceding, -1)
@@ -69,7 +70,7 @@ def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
     status: changed, missing (in the replica) or extra (only there); the place is
     the original's, for extra records the replica's. Roots are compared first and
     only children of mismatching nodes are joined further down. Repeated keys are
-    one leaf; null keys have a file of their own; equal or empty replicas give no rows.
+    one leaf; null keys, and text that is no number, have a leaf in a file of their own; equal or empty replicas give no rows.
     """
     left, right = settle(leaves(original)), settle(leaves(replica))
     ours, theirs = tree(left), tree(right)
