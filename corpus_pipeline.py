@@ -40,9 +40,11 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    leaked = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents without a passage of the benchmark. A row is told by its id and its text, so null and repeated ids are judged by their own texts."""
+    row = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    rows = docs.withColumn("row", row)
+    leaked = decontam.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="row").select("row").distinct()
+    return rows.join(leaked, "row", "left_anti").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
