@@ -158,7 +158,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches of texts where enough of an item's seeds lie on diagonals within its slack. Seeds come by text, item and diagonal."""
 
     def passages(uid: np.ndarray, iid: np.ndarray, start: np.ndarray, at: np.ndarray, n: np.ndarray, needed: np.ndarray, slack: np.ndarray) -> pa.RecordBatch:
-        apart = lambda *cols: np.concatenate(([True] * (len(cols[0]) > 0), np.logical_or.reduce([np.diff(c) != 0 for c in cols])))
+        first = lambda c: np.ones(min(1, len(c)), bool)
+        apart = lambda *cols: np.concatenate((first(cols[0]), np.logical_or.reduce([np.diff(c) != 0 for c in cols])))
         once = np.flatnonzero(apart(uid, iid, start, at))
         uid, iid, start, n, needed, slack = (c[once] for c in (uid, iid, start, n, needed, slack))
         last = np.arange(len(uid)) + needed - 1  # so many of them within the slack of diagonals
@@ -167,7 +168,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = np.bincount(opens, minlength=len(uid) + 1) - np.bincount(last[opens] + 1, minlength=len(uid) + 1)
         kept = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
         uid, iid, start, n, slack = (c[kept] for c in (uid, iid, start, n, slack))
-        lead = np.flatnonzero(apart(uid, iid) | np.concatenate(([True] * (len(uid) > 0), np.diff(start) > slack[1:])))
+        lead = np.flatnonzero(apart(uid, iid) | np.concatenate((first(uid), np.diff(start) > slack[1:])))
         high = np.maximum.reduceat(start, lead) if len(lead) else start
         return pa.RecordBatch.from_arrays([pa.array(uid[lead]), pa.array(iid[lead]), pa.array((start[lead] - slack[lead]).astype(np.int32)), pa.array((high + n[lead] + slack[lead]).astype(np.int32))], ["uid", "iid", "low", "high"])
 

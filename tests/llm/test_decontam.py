@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from cipherlode.llm import decontam
 
@@ -104,3 +105,12 @@ def test_a_whole_table_against_every_alignment(spark, sf_dir):
                 if score >= decontam.MATCH * len(item) * decontam.THRESHOLD:
                     expected.add((d, i))
     assert {(r.doc_id, r.item_id) for r in decontam.op9_decontamination(spark, sf_dir).collect()} == expected and expected
+
+
+def test_seeds_without_a_stretch():
+    """Too few seeds for an alignment, over batches that end inside a group."""
+    columns = ["uid", "iid", "start", "at", "n", "needed", "slack"]
+    rows = [[1, 1, k, 0, 9, 2, 3] for k in (0, 9)] + [[2, 1, 5, 1, 9, 2, 3], [2, 1, 6, 4, 9, 2, 3]]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(columns, r, strict=True)) for r in part], pa.schema([(c, pa.int64()) for c in columns])) for part in (rows[:1], rows[1:3], rows[3:])]
+    assert [tuple(r.values()) for b in decontam._windows(iter(batches)) for r in b.to_pylist()] == [(2, 1, 2, 18)]
+    assert sum(b.num_rows for b in decontam._windows(iter(batches[:2]))) == 0
