@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from cipherlode.llm.text import Words, chunks, mix, settle, with_uid, words
+from cipherlode.llm.text import Words, alone, chunks, mix, settle, with_uid, words
 
 #: Scores of a word; an alignment counts from this share of the item's own score.
 MATCH, MISMATCH, GAP, THRESHOLD = 2, -1, -1, 0.5
@@ -265,6 +265,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     (see bounds); both only send on what passes a filter of bounded size. Found seeds are joined to
     items by hash, stretches with enough of them to their texts, and those to the items' words, and aligned.
     """
+    return alone(docs.sparkSession, lambda: _contaminated(docs, benchmark, key, text, item_key, item_text, threshold))
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item_key: str, item_text: str, threshold: float) -> DataFrame:
     kind, item_kind = dict(docs.dtypes)[key], dict(benchmark.dtypes)[item_key]
     rows, items = with_uid(docs, key, text), with_uid(benchmark, item_key, item_text)
     known = settle(items.select("uid", "text").mapInArrow(_prepare(threshold), "iid long, words binary, n int, needed int, dropped int, slack int, single boolean"))

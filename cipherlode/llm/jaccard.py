@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from cipherlode.llm.graph import components
-from cipherlode.llm.text import chunks, mix, only, settle, shingles, stored_by, with_uid, words
+from cipherlode.llm.text import alone, chunks, mix, only, settle, shingles, stored_by, with_uid, words
 
 #: Words of a shingle; percent of the union that linked sets share.
 WIDTH, PERCENT = 5, 75
@@ -374,6 +374,10 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
        the triangle inequality's window of distances to the old pivot. This recurs
        until every region is one component or all of its outsiders were pivots.
     """
+    return alone(docs.sparkSession, lambda: _clusters(docs, key, text, width, percent))
+
+
+def _clusters(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
     rows = with_uid(docs, key, text)
     size = docs.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0

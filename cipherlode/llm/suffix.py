@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherlode.llm.text import chunks, mix, only, prefix_hash, settle, span_hash, with_uid
+from cipherlode.llm.text import alone, chunks, mix, only, prefix_hash, settle, span_hash, with_uid
 
 #: Bytes of a string that counts when it occurs twice; bytes of the anchor that each such string holds.
 LENGTH, ANCHOR = 400, 100
@@ -254,7 +254,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     """
     kind = dict(docs.dtypes)[key]
     rows = with_uid(docs, key, text)
-    texts = rows.select("uid", "text")
+    spans = alone(docs.sparkSession, lambda: _spans(rows.select("uid", "text"), length, anchor))
+    out = rows.join(spans, "uid", "left").select("key", "text", "spans").mapInArrow(_rest(length, with_text), f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+    return out.withColumnRenamed("key", key)
+
+
+def _spans(texts: DataFrame, length: int, anchor: int) -> DataFrame:
+    """(uid, spans) of texts that share strings."""
     found = settle(texts.mapInArrow(_find(length, anchor), "h long, f long, uid long, place int, first int, last int"))
     same = found.groupBy("h", "f").agg(F.count("*").alias("c"), F.min(F.struct("uid", "place", "first", "last")).alias("one"))
     kinds = same.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("c").alias("n")).where("n > 1")
@@ -263,9 +269,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 
     wanted = many.where("kinds > 1").select("one.uid", F.struct("h", "one.place", "one.first", "one.last").alias("w")).groupBy("uid").agg(F.collect_list("w").alias("w"))
     pieces = settle(texts.join(wanted, "uid").select("uid", "text", "w").mapInArrow(_cut(length), "core long, uid long, start int, l binary, r binary"))
-    spans = whole.union(repeats(pieces, length)).distinct().groupBy("uid").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
-    out = rows.join(spans, "uid", "left").select("key", "text", "spans").mapInArrow(_rest(length, with_text), f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
-    return out.withColumnRenamed("key", key)
+    return whole.union(repeats(pieces, length)).distinct().groupBy("uid").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

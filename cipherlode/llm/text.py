@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherlode.store import settle, shared_dir
+from cipherlode.store import alone, new_path, settle, shared_dir  # noqa: F401
 
 #: Bytes of text that one numpy step works on, so that a task's memory does not follow its input.
 CHUNK_BYTES = 1 << 21
@@ -47,7 +47,7 @@ def only(owner: str, clear: Callable[[], None] | None = None) -> None:
 def stored_by(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, str]:
     """df in the shared folder as a table bucketed by key, so that joins with it don't shuffle it; also its name, to be dropped when done."""
     spark, name = df.sparkSession, f"kept_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    df.write.bucketBy(buckets, key).option("path", new_path(spark, "kept")).saveAsTable(name)
     return spark.table(name), name
 
 
