@@ -31,12 +31,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings that occur elsewhere too; documents of which nothing is left go. Rows without an id stay as they are."""
-    rest = suffix.dedup(docs).where((F.col("n_removed") == 0) | (F.length(F.trim("kept")) > 0))
-    cut = rest.where("n_removed > 0").select("doc_id", "kept")
-    whole = docs.join(rest.select("doc_id").distinct(), "doc_id", "left_semi")
-    changed = whole.join(cut, "doc_id", "left")
-    return changed.select("doc_id", F.coalesce("kept", "text").alias("text"), "lang", "source", F.coalesce(F.length("kept").cast("long"), "n_chars").alias("n_chars")).union(docs.where("doc_id IS NULL").select(*COLUMNS))
+    """Texts without the strings that occur elsewhere too; documents of which nothing is left go. Rows without an id are rows as others."""
+    rest = suffix.dedup(docs.select(F.struct("doc_id", "lang", "source", "n_chars", F.col("text").isNull().alias("no_text")).alias("row"), "text"), key="row")
+    kept = rest.where((F.col("n_removed") == 0) | (F.length(F.trim("kept")) > 0))
+    text = F.when(~F.col("row.no_text"), F.col("kept"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))
+    return kept.select("row.doc_id", text.alias("text"), "row.lang", "row.source", n_chars.alias("n_chars"))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
