@@ -50,6 +50,39 @@ def test_probabilities_add_up_and_state_is_carried():
     assert np.allclose(alone, together[:700], atol=1e-4) and np.allclose(alone, together[705:], atol=1e-4)
 
 
+def test_gradients_are_slopes_of_the_loss():
+    """Backpropagation of a window against differences of its loss."""
+    r = np.random.default_rng(3)
+    ids, target, fresh = r.integers(0, 300, (6, 5)), r.integers(0, 300, (6, 5)), r.random((6, 5)) < 0.2
+    state = r.normal(size=(lm.HIDDEN, 5)).astype(np.float32) * np.float32(0.3)
+    net = lm.Network()
+    grad, _, _ = net.gradients(ids, fresh, target, state)
+    for name, g in grad.items():
+        for at in np.argsort(-np.abs(g), axis=None)[:3]:
+            losses = []
+            for way in (0.01, -0.01):
+                w = {k: v.copy() for k, v in net.w.items()}
+                w[name].flat[at] += way
+                losses.append(lm.Network(w).gradients(ids, fresh, target, state)[2])
+            assert math.isclose((losses[0] - losses[1]) / 0.02, g.flat[at], rel_tol=0.02, abs_tol=1e-4), name
+
+
+def test_forward_pass_against_plain_numbers():
+    """A gated unit written out for one lane, a class and then a word of it."""
+    net, text, e = lm.Network(), [7, 300, 2, 1999, lm.END], lambda v: 1 / (1 + np.exp(-v))
+    w = {k: v.astype(float) for k, v in net.w.items()}
+    h, k, last, expected = lm.HIDDEN, np.zeros(lm.HIDDEN), lm.END, []
+    for t in text:
+        x, g = w["in"] @ w["word"][last] + w["bias"][:, 0], w["state"] @ k
+        z, reset = e(x[:h] + g[:h]), e(x[h : 2 * h] + g[h : 2 * h])
+        c = np.tanh(x[2 * h :] + reset * g[2 * h :])
+        k, part = z * k + (1 - z) * c, slice(t // lm.CLASS * lm.CLASS, (t // lm.CLASS + 1) * lm.CLASS)
+        p, q = np.exp(w["class"] @ k + w["class_bias"]), np.exp(w["out"][part] @ k + w["out_bias"][part])
+        expected.append(np.log(p[t // lm.CLASS] / p.sum() * q[t % lm.CLASS] / q.sum()))
+        last = t
+    assert np.allclose(net.score(np.array(text), np.array([0, len(text)])), expected, atol=1e-4)
+
+
 def test_lm_odd_texts(odd, empty):
     rows = lm.score(odd, lambda k: k >= 0).collect()
     assert len(rows) == 9 and all(math.isfinite(r.score) for r in rows)
