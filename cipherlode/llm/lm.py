@@ -25,6 +25,8 @@ ROUNDS = 4
 TASK_LANES, TASK_TOKENS, TASK_RATE, PIECES = 256, 1 << 19, 0.003, 16
 #: Lanes and window of truncated backpropagation, and steps of training.
 LANES, WINDOW, STEPS, RATE = 64, 32, 500, 0.01
+#: States whose probabilities are worked out at once.
+COLUMNS = 1024
 #: Steps of a scoring window; the state goes on from one window to the next.
 SCORED = 256
 #: Documents of one batch, and bytes of text for one bucket of word hashes.
@@ -88,85 +90,99 @@ class Network:
             "class": near(VOCABULARY // CLASS, HIDDEN), "class_bias": np.zeros(VOCABULARY // CLASS, np.float32), "out": near(VOCABULARY, HIDDEN), "out_bias": np.zeros(VOCABULARY, np.float32),
         }
 
-    def run(self, ids: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
+    def run(self, ids: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
         """States after each step of (steps, lanes) inputs, the last one, and what the way back needs."""
-        h, saved = HIDDEN, []
-        table = self.w["in"] @ self.w["word"].T + self.w["bias"]
-        used, ids = np.unique(ids, return_inverse=True)
-        table = table[:, used]
-        states = np.empty((len(ids), h, state.shape[1]), np.float32)
-        for t in range(len(ids)):
-            if fresh[t].any():
-                state = np.where(fresh[t], np.float32(0), state)
-            x, g = table.take(ids[t], axis=1), self.w["state"] @ state
-            zr = 1 / (1 + np.exp(-(x[: 2 * h] + g[: 2 * h])))
-            c = np.tanh(x[2 * h :] + zr[h:] * g[2 * h :])
+        h, steps = HIDDEN, len(ids)
+        table = np.ascontiguousarray((self.w["in"] @ self.w["word"].T + self.w["bias"]).T)
+        states = np.empty((steps, h, state.shape[1]), np.float32)
+        saved = {k: np.empty((steps, n, state.shape[1]), np.float32) for k, n in (("state", h), ("gates", 2 * h), ("given", h), ("c", h))} if keep else {}
+        some = fresh.any(axis=1)
+        for t in range(steps):
+            if some[t]:
+                state = state * ~fresh[t]
+            x, g = np.ascontiguousarray(table.take(ids[t], axis=0).T), self.w["state"] @ state
+            zr = x[: 2 * h] + g[: 2 * h]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            c = zr[h:] * g[2 * h :]
+            c += x[2 * h :]
+            np.tanh(c, out=c)
             if keep:
-                saved.append((state, g, zr[:h], zr[h:], c))
+                saved["state"][t], saved["gates"][t], saved["given"][t], saved["c"][t] = state, zr, g[2 * h :], c
             state = states[t] = c + zr[:h] * (state - c)
         return states, state, saved
 
     def log_prob(self, flat: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probability of each target after its state (rows of flat); with grad, adds gradients of the negative mean and returns the states'."""
-        rows, scale = np.arange(len(flat)), np.float32(1 / max(1, len(flat)))
-        back = np.zeros_like(flat) if grad is not None else None
-        group = target // CLASS
-        logit = flat @ self.w["class"].T + self.w["class_bias"]
-        logit -= logit.max(axis=1, keepdims=True)
-        p = np.exp(logit)
-        total = p.sum(axis=1, keepdims=True)
-        out = (logit[rows, group] - np.log(total[:, 0])).astype(np.float64)
-        if grad is not None:
-            p /= total
-            p[rows, group] -= 1
-            p *= scale
-            grad["class"] += p.T @ flat
-            grad["class_bias"] += p.sum(axis=0)
-            back += p @ self.w["class"]
+        """Natural log-probability of each target after its state (columns of flat); with grad, adds gradients of the negative mean and returns the states'."""
+        scale, group = np.float32(1 / max(1, len(target))), (target // CLASS).astype(np.uint8)
         order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(VOCABULARY // CLASS + 1))
-        for c in np.flatnonzero(np.diff(cuts)):
-            mine, part = order[cuts[c] : cuts[c + 1]], slice(c * CLASS, (c + 1) * CLASS)
-            x, t = flat[mine], target[mine] - c * CLASS
-            logit = x @ self.w["out"][part].T + self.w["out_bias"][part]
-            logit -= logit.max(axis=1, keepdims=True)
-            p = np.exp(logit)
-            total = p.sum(axis=1, keepdims=True)
-            k = np.arange(len(mine))
-            out[mine] += logit[k, t] - np.log(total[:, 0])
+        x, target, group = flat.take(order, axis=1), target[order], group[order]
+        cuts = np.searchsorted(group, np.arange(VOCABULARY // CLASS + 1))
+        log_p, back = np.zeros(len(target)), np.zeros_like(x) if grad is not None else None
+
+        def choose(kind: str, part: slice, here: slice, chosen: np.ndarray) -> None:
+            """Adds the log-probability of one of the rows of some weights, at the columns here."""
+            own, w = x[:, here], self.w[kind][part]
+            p = w @ own
+            p += self.w[f"{kind}_bias"][part][:, None]
+            p -= p.max(axis=0)
+            picked, k = p[chosen, np.arange(len(chosen))], np.arange(len(chosen))
+            np.exp(p, out=p)
+            total = p.sum(axis=0)
+            log_p[here] += picked - np.log(total)
             if grad is not None:
-                p /= total
-                p[k, t] -= 1
-                p *= scale
-                grad["out"][part] += p.T @ x
-                grad["out_bias"][part] += p.sum(axis=0)
-                back[mine] += p @ self.w["out"][part]
+                p *= scale / total
+                p[chosen, k] -= scale
+                grad[kind][part] += p @ own.T
+                grad[f"{kind}_bias"][part] += p.sum(axis=1)
+                back[:, here] += w.T @ p
+
+        for a in range(0, len(target), COLUMNS):
+            choose("class", slice(None), slice(a, a + COLUMNS), group[a : a + COLUMNS])
+        for c in np.flatnonzero(np.diff(cuts)):
+            for a in range(cuts[c], cuts[c + 1], COLUMNS):
+                z = min(a + COLUMNS, cuts[c + 1])
+                choose("out", slice(c * CLASS, (c + 1) * CLASS), slice(a, z), target[a:z] - c * CLASS)
+        out = np.empty_like(log_p)
+        out[order] = log_p
+        if back is not None:
+            given = np.empty_like(back)
+            given[:, order] = back
+            back = given
         return out, back
 
     def gradients(self, ids: np.ndarray, fresh: np.ndarray, target: np.ndarray, state: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
         """Backpropagation that stops at the window's start; also the state to carry on, and the loss."""
         h, g = HIDDEN, {k: np.zeros_like(v) for k, v in self.w.items()}
         states, last, saved = self.run(ids, fresh, state, keep=True)
-        flat = states.transpose(0, 2, 1).reshape(-1, h)
-        logp, back = self.log_prob(flat, target.ravel(), g)
-        back = back.reshape(len(ids), -1, h).transpose(0, 2, 1)
+        wide = lambda x: x.transpose(1, 0, 2).reshape(x.shape[1], -1)
+        logp, back = self.log_prob(wide(states), target.ravel(), g)
+        back = back.reshape(h, len(ids), -1)
         d = np.zeros_like(state)
-        d_in, d_state = np.empty((len(ids), 3 * h, state.shape[1]), np.float32), np.empty((len(ids), 3 * h, state.shape[1]), np.float32)
+        z, r, c = saved["gates"][:, :h], saved["gates"][:, h:], saved["c"]
+        to_c, to_z, to_r = (1 - z) * (1 - c * c), (saved["state"] - c) * z * (1 - z), saved["given"] * r * (1 - r)
+        d_in, d_state = np.empty((3 * h, len(ids), state.shape[1]), np.float32), np.empty((3 * h, len(ids), state.shape[1]), np.float32)
+        back_w, some = np.ascontiguousarray(self.w["state"].T), fresh.any(axis=1)
+        d_g = np.empty((3 * h, state.shape[1]), np.float32)
         for t in range(len(ids) - 1, -1, -1):
-            d = d + back[t]
-            s, gates, z, r, c = saved[t]
-            pre_c, pre_z = d * (1 - z) * (1 - c * c), d * (s - c) * z * (1 - z)
-            pre_r = pre_c * gates[2 * h :] * r * (1 - r)
-            d_x, d_g = d_in[t], d_state[t]
-            d_x[:h], d_x[h : 2 * h], d_x[2 * h :] = pre_z, pre_r, pre_c
-            d_g[: 2 * h], d_g[2 * h :] = d_x[: 2 * h], pre_c * r
-            d = np.where(fresh[t], np.float32(0), d * z + self.w["state"].T @ d_g)
-        wide = lambda x: x.transpose(1, 0, 2).reshape(x.shape[1], -1)
-        d_x, order = wide(d_in), np.argsort(ids, axis=None, kind="stable")
-        g["state"] += wide(d_state) @ wide(np.stack([x[0] for x in saved])).T
+            d += back[:, t]
+            pre_c = d * to_c[t]
+            np.multiply(d, to_z[t], out=d_g[:h])
+            np.multiply(pre_c, to_r[t], out=d_g[h : 2 * h])
+            np.multiply(pre_c, r[t], out=d_g[2 * h :])
+            d_in[: 2 * h, t], d_in[2 * h :, t], d_state[:, t] = d_g[: 2 * h], pre_c, d_g
+            d *= z[t]
+            d += back_w @ d_g
+            if some[t]:
+                d *= ~fresh[t]
+        d_x, d_state, words = d_in.reshape(3 * h, -1), d_state.reshape(3 * h, -1), ids.ravel().astype(np.int16)
+        g["state"] += d_state @ wide(saved["state"]).T
         g["bias"] += d_x.sum(axis=1, keepdims=True)
-        lead = np.flatnonzero(np.diff(ids.ravel()[order], prepend=-1))
-        used, by_word = ids.ravel()[order][lead], np.add.reduceat(d_x.T[order], lead, axis=0)
+        order = np.argsort(words, kind="stable")
+        lead = np.flatnonzero(np.diff(words[order], prepend=-1))
+        used, by_word = words[order][lead], np.add.reduceat(np.ascontiguousarray(d_x.T)[order], lead, axis=0)
         g["in"] += by_word.T @ self.w["word"][used]
         g["word"][used] = by_word @ self.w["in"]
         return g, last, -float(logp.mean())
@@ -248,7 +264,7 @@ class Network:
                 at[: len(p), lane] = p
             real = at >= 0
             states, state, _ = self.run(np.where(real, given[at], END), real & new[at], state)
-            out[at[real]] = self.log_prob(states.transpose(0, 2, 1)[real], target[at[real]])[0]
+            out[at[real]] = self.log_prob(states.transpose(1, 0, 2)[:, real], target[at[real]])[0]
         return out
 
 
