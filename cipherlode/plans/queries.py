@@ -64,13 +64,8 @@ def node_calls(source: DataFrame) -> tuple[DataFrame, DataFrame]:
 # Names
 
 
-def _values(pairs: list[tuple[str, str | None]], out: str) -> str:
-    quote = lambda t: "NULL" if t is None else "'" + t.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join(f'({quote(a)}, {quote(b)})' for a, b in pairs)}) v(name, {out})"
-
-
 def _named(pairs: list[tuple[str, str | None]], of: Callable[[Column], Column], out: str) -> Query:
-    return lambda spark, _: spark.createDataFrame([(a,) for a, _ in pairs], "name string").select("name", aside(of(F.col("name"))).alias(out))
+    return lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", pick("p_partkey", [a for a, _ in pairs]).alias("name")).select("p_partkey", "name", aside(of(F.col("name"))).alias(out))
 
 
 _NAMES: dict[str, tuple[list[tuple[str, str | None]], Callable[[Column], Column], str]] = {
@@ -90,16 +85,18 @@ _NAMES: dict[str, tuple[list[tuple[str, str | None]], Callable[[Column], Column]
 }
 for _name, (_pairs, _of, _out) in _NAMES.items():
     QUERIES[_name] = _named(_pairs, _of, _out)
-    ORACLES[_name] = _values(_pairs, _out)
+    ORACLES[_name] = f"SELECT p_partkey, {pick_sql('p_partkey', [a for a, _ in _pairs])} AS name, {pick_sql('p_partkey', [b for _, b in _pairs])} AS {_out} FROM part"
 
 _LEVELS = [("AES", 128, None, "AES-128-GCM", "symmetric", "cipher", 128, 1, "ae"), ("AES", 256, None, "AES-256-CBC", "symmetric", "cipher", 256, 5, "block-cipher"), ("RSA", 2048, None, "RSA 2048-bit", "public-key", "public-key", 112, 0, "unknown"), ("ECDH", None, "P-384", "ECDH P-384", "public-key", "key-agreement", 192, 0, "key-agree"), ("ML-KEM", None, None, "ML-KEM-768", "post-quantum", "kem", 192, 3, "kem"), ("ML-DSA", None, None, "ML-DSA-44", "post-quantum", "pq-signature", 128, 2, "signature"), ("Hash", None, None, "SHA-256", "hash", "hash", 128, 2, "hash"), ("Hash", None, None, "MD5", "hash", "hash", None, 0, "hash"), ("Ed448", None, None, "Ed448", "public-key", "signature", 224, 0, "signature"), ("ChaCha20", None, None, "ChaCha20", "symmetric", "cipher", 256, 5, "stream-cipher")]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in (r[3], r[6], r[7], r[8])) + ")" for r in _LEVELS) + ") v(algorithm, classical_level, quantum_level, primitive)")
+@query(f"SELECT p_partkey, {pick_sql('p_partkey', [r[3] for r in _LEVELS])} AS algorithm, " + ", ".join(f"CAST({pick_sql('p_partkey', [None if r[i] is None else str(r[i]) for r in _LEVELS])} AS INTEGER) AS {name}" for i, name in ((6, "classical_level"), (7, "quantum_level"))) + f", {pick_sql('p_partkey', [r[8] for r in _LEVELS])} AS primitive FROM part")
 def security_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:6] for r in _LEVELS], "family string, key_size bigint, curve string, algorithm string, class string, kind string")
+    text = lambda i: pick("p_partkey", [None if r[i] is None else str(r[i]) for r in _LEVELS])
     c = F.col
-    return rows.select("algorithm", B.classical_level(c("class"), c("kind"), c("family"), c("algorithm"), c("key_size"), c("curve")).alias("classical_level"), B.quantum_level(c("class"), c("kind"), c("family"), c("algorithm"), c("key_size")).alias("quantum_level"), B.primitive(c("kind"), c("family"), c("algorithm")).alias("primitive"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", text(0).alias("family"), text(1).cast("bigint").alias("key_size"), text(2).cast("string").alias("curve"), text(3).alias("algorithm"), text(4).alias("class"), text(5).alias("kind"))
+    classical, quantum = B.classical_level(c("class"), c("kind"), c("family"), c("algorithm"), c("key_size"), c("curve")), B.quantum_level(c("class"), c("kind"), c("family"), c("algorithm"), c("key_size"))
+    return rows.select("p_partkey", "algorithm", classical.cast("int").alias("classical_level"), quantum.cast("int").alias("quantum_level"), B.primitive(c("kind"), c("family"), c("algorithm")).alias("primitive"))
 
 
 # Paths
@@ -185,6 +182,32 @@ def scoped_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.node_crypto(calls).select(F.regexp_extract("path", r"\d+", 0).cast("bigint").alias("o_orderkey"), aside(N.display_name(F.col("spec"))).alias("algorithm"))
 
 
+#: Other methods, and what a call of them is.
+_METHODS = [
+    ("createHmac('sha384', k)", "HMAC-SHA-384", "createHmac"), ("createHmac('whirl', k)", "HMAC-whirl", "createHmac"), ("generateKeySync('aes', { length: 192 })", "AES-192", "generateKeySync"), ("generateKeySync('hmac', { length: 512 })", "HMAC", "generateKeySync"),
+    ("createECDH('prime256v1')", "ECDH P-256", "createECDH"), ("createDiffieHellman(2048)", "DH 2048-bit", "createDiffieHellman"), ("getDiffieHellman('modp14')", "DH 2048-bit", "getDiffieHellman"), ("diffieHellman({ privateKey: k, publicKey: p })", "DH/ECDH", "diffieHellman"),
+    ("publicEncrypt(k, d)", "RSA-OAEP", "publicEncrypt"), ("publicEncrypt({ key: k, padding: c.constants.RSA_PKCS1_PADDING }, d)", "RSAES-PKCS1-v1_5", "publicEncrypt"), ("privateEncrypt(k, d)", "RSA raw signature", "privateEncrypt"),
+    ("createPublicKey({ key: { kty: 'OKP', crv: 'Ed25519', x }, format: 'jwk' })", "Ed25519", "createPublicKey"), ("createPrivateKey(pem)", "dynamic (key type set by the key material)", "createPrivateKey"), ("KeyObject.from(k)", "dynamic (key type set by the key)", "KeyObject.from"),
+    ("encapsulate(k)", "dynamic (key encapsulation: the algorithm is set by the key)", "encapsulate"), ("hkdfSync('sha256', k, s, i, 32)", "HKDF-SHA-256", "hkdfSync"),
+]
+
+
+@query(f"SELECT p_partkey, {pick_sql('p_partkey', [b for _, b, _ in _METHODS])} AS algorithm, {pick_sql('p_partkey', [m for _, _, m in _METHODS])} AS operation FROM part")
+def node_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("import c from 'node:crypto';\nexport const f = (k, d, p, s, i, x, pem) => c."), pick("p_partkey", [a for a, _, _ in _METHODS]), F.lit(";\n"))
+    calls, _ = node_calls(files(table(spark, sf_dir, "part"), F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".mjs")), text))
+    return detect.node_crypto(calls).select(F.regexp_extract("path", r"\d+", 0).cast("bigint").alias("p_partkey"), aside(N.display_name(F.col("spec"))).alias("algorithm"), "operation")
+
+
+_COUNTS = [("const PBKDF2_ITERATIONS = 1e5;", 100000), ("export const pbkdf2Rounds = 0x2710;", 10000), ("const ITERATIONS = 5;", None), ("let PBKDF2_ITERATIONS = 5;", None), ("function f() { const PBKDF2_ITERATIONS = 5; }", None), ("const kPbkdf2IterCount = 600_000;", 600000)]
+
+
+@query(f"SELECT * FROM (SELECT s_suppkey, CAST({pick_sql('s_suppkey', [None if b is None else str(b) for _, b in _COUNTS])} AS BIGINT) AS iterations FROM supplier) WHERE iterations IS NOT NULL")
+def declared_iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fact = lexical.facts(files(table(spark, sf_dir, "supplier"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".ts")), pick("s_suppkey", [a for a, _ in _COUNTS])))
+    return detect.parameters(fact).select(F.regexp_extract("path", r"\d+", 0).cast("bigint").alias("s_suppkey"), F.col("spec")["parameters"]["iterations"].cast("bigint").alias("iterations"))
+
+
 @query("SELECT CAST(0 AS BIGINT) AS n_findings, count(*) AS n_files FROM part")
 def traps_report_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     traps = ["// crypto.createHash('md5')\n", "/* crypto.createHash('md5')\n */\n", "const s = \"crypto.createHash('md5')\";\n", "const t = `crypto.createHash('md5')`;\n", "const r = /crypto.createHash('md5')/;\n", "class A { createHash(a) { return a; } }\n", "helper.createHash('md5');\n"]
@@ -214,6 +237,19 @@ def webcrypto_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _web(_subtle_files(spark, sf_dir)).select(aside(N.display_name(s)).alias("algorithm"), aside(N.class_of(s["family"])).alias("class")).groupBy("algorithm", "class").agg(F.count("*").alias("n_uses"))
 
 
+#: Ways to the interface, and what is called through them.
+_WAYS = [
+    ("let s;\ns = globalThis.crypto.subtle;\ns.digest('SHA-1', d);", "SHA-1"), ("function f(s = window.crypto.subtle) { return s.digest('SHA-256', d); }", "SHA-256"), ("const { subtle: s } = self.crypto; s.digest('SHA-384', d);", "SHA-384"),
+    ("crypto.getRandomValues(a);", "Random (CSPRNG)"), ("const id = window.crypto.randomUUID();", "Random (CSPRNG)"), ("const s = store.subtle2; s.digest('SHA-512', d);", None),
+]
+
+
+@query(f"SELECT * FROM (SELECT c_custkey, {pick_sql('c_custkey', [b for _, b in _WAYS])} AS algorithm FROM customer) WHERE algorithm IS NOT NULL")
+def webcrypto_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _web(files(table(spark, sf_dir, "customer"), F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".js")), pick("c_custkey", [a for a, _ in _WAYS])))
+    return found.select(F.regexp_extract("path", r"\d+", 0).cast("bigint").alias("c_custkey"), aside(N.display_name(F.col("spec"))).alias("algorithm"))
+
+
 @query("SELECT c_custkey, a.algorithm, CAST(2 AS BIGINT) AS line FROM customer, (VALUES ('RSA-OAEP'), ('AES-256-GCM')) a(algorithm)")
 def unwrap_two_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.lit("const s = window.crypto.subtle;\ns.unwrapKey('raw', w, k, { name: 'RSA-OAEP' }, { name: 'AES-GCM', length: 256 }, false, []);\n")
