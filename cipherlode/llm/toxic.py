@@ -221,14 +221,14 @@ def train(texts: list[bytes], labels: list[int]) -> Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Network:
-    """Trained on the bounded sample of labelled rows described above; without rows of both labels, untrained."""
+    """Trained on the bounded sample of labelled rows described above; of documents that share a key, the first text. Without rows of both labels, untrained."""
     spark = docs.sparkSession
     known = labels.where(learn & F.col(label).isin(*TRAIN_ROWS) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).distinct()
     ranked = known.withColumn("r", F.row_number().over(W.Window.partitionBy("label").orderBy(F.xxhash64("key"), "key")))
     chosen = ranked.where(F.col("r") <= F.when(F.col("label") == 1, TRAIN_ROWS[1]).otherwise(TRAIN_ROWS[0])).select("key", "label").collect()
     few = spark.createDataFrame([tuple(r) for r in chosen], f"key {dict(known.dtypes)['key']}, label int")  # TRAIN_ROWS at most
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(few), "key")
-    found = sorted(map(tuple, rows.dropDuplicates(["key", "label"]).select("key", "text", "label").collect()))
+    found = sorted(map(tuple, rows.groupBy("key", "label").agg(F.min("text").alias("text")).select("key", "text", "label").collect()))
     return train([t.encode("utf-8") for _, t, _ in found], [y for _, _, y in found])
 
 

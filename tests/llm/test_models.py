@@ -107,6 +107,16 @@ def test_toxicity_odd_texts(odd, empty):
     assert toxic.score(empty, net).count() == 0
 
 
+def test_toxicity_labels(spark):
+    """Documents that share an id, and labels that are missing or of one side only."""
+    docs = spark.createDataFrame([(i % 20, f"word{i % 3} " * (i % 7 + 1)) for i in range(40)], "doc_id long, text string")
+    some = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    nets = [toxic.fit(d, some, F.lit(True)).w for d in (docs, docs.orderBy(F.desc("text")).repartition(3))]
+    assert all(np.array_equal(nets[0][k], nets[1][k]) for k in nets[0])
+    for rows in (some.limit(0), some.where("toxic = 0")):
+        assert len(toxic.score(docs, toxic.fit(docs, rows, F.lit(True))).collect()) == 40
+
+
 def test_network_learns_from_all_of_long_texts(spark, tmp_path):
     """Words in a fixed order, of which only the rest of long texts tells."""
     early, late = ("".join(f"{c}{i} " for i in range(5)) for c in "xy")
