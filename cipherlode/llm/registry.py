@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cipherlode.llm import bpe, decontam, embed, jaccard, langid, lm, suffix, toxic, urls, warc
+from cipherlode.llm import bpe, chat, decontam, embed, jaccard, langid, lm, suffix, toxic, trie, urls, warc
 from cipherlode.llm.text import lean_workers
 
 
@@ -30,9 +30,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_fixity": warc.op8_warc_fixity,
         "op9_decontamination": decontam.op9_decontamination,
         "op10_lm_scoring": lm.op10_lm_scoring,
+        "op11_chat_format": chat.op11_chat_format,
+        "op12_prefix_trie": trie.op12_prefix_trie,
     }
     return {name: _lean(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": urls.oracle(), "op8_warc_fixity": warc.ORACLE}
+    return {"op4_url_filters": urls.oracle(), "op8_warc_fixity": warc.ORACLE, "op11_chat_format": chat.ORACLE, "op12_prefix_trie": trie.ORACLE}
