@@ -148,7 +148,7 @@ def _end_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for rows in batches:
         for k1, k2, base, some in zip(*(rows.column(i).to_pylist() for i in range(4)), strict=True):
-            if (k1, k2, base) != (node, family) and ids:
+            if ((k1, k2), base) != (node, family) and ids:
                 add()
                 ids = []
             if (k1, k2) != node:
