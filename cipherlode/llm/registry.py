@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cipherlode.llm import bpe, chat, decontam, embed, jaccard, langid, lm, suffix, toxic, trie, urls, warc
+from cipherlode.llm import bpe, chat, decontam, embed, jaccard, langid, lm, spelling, suffix, toxic, trie, urls, warc
 from cipherlode.llm.text import lean_workers
 
 
@@ -32,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_lm_scoring": lm.op10_lm_scoring,
         "op11_chat_format": chat.op11_chat_format,
         "op12_prefix_trie": trie.op12_prefix_trie,
+        "op13_spelling_variants": spelling.op13_spelling_variants,
     }
     return {name: _lean(query) for name, query in found.items()}
 
