@@ -38,4 +38,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": urls.oracle(), "op8_warc_fixity": warc.ORACLE, "op11_chat_format": chat.ORACLE, "op12_prefix_trie": trie.ORACLE}
+    return {"op4_url_filters": urls.oracle(), "op8_warc_fixity": warc.ORACLE, "op11_chat_format": chat.ORACLE, "op12_prefix_trie": trie.ORACLE, "op13_spelling_variants": spelling.ORACLE}

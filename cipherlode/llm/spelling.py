@@ -20,6 +20,8 @@ from cipherlode.llm.text import alone, mix, only, settle
 Q, CODES = 3, 92
 #: Shortest word, least occurrences, and how many times a word its form occurs.
 LEAST_LENGTH, LEAST_COUNT, TIMES = 5, 3, 2
+#: The query misspells one in so many of a document's different runs.
+MISSPELL = 97
 #: Words that meet at one entry of the index; at more the entry is split by one more gram, up to MOST_GRAMS of them.
 ENTRY, MOST_GRAMS = 128, 4
 #: Of a task's counts, words at once; of a text, bytes and runs at once.
@@ -290,7 +292,26 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
 
     def build() -> DataFrame:
-        vocabulary = settle(count_words(docs, misspell=97))
+        vocabulary = settle(count_words(docs, misspell=MISSPELL))
         return forms(vocabulary, near(vocabulary))
 
     return alone(spark, build)
+
+
+ORACLE = rf"""
+WITH RECURSIVE
+table_step(i, v, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, xor(v >> 1, 3988292384 * (v & 1)), k + 1 FROM table_step WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS crc FROM table_step WHERE k = 8),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS (SELECT doc, run, count(*) AS n FROM runs GROUP BY 1, 2),
+bytes AS (SELECT *, hex(encode(doc || ':' || run)) AS x FROM counted),
+hashed AS (SELECT run, n, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(len(x) // 2), lambda k: CAST('0x' || x[2 * k + 1:2 * k + 2] AS BIGINT))), lambda a, b: xor(a >> 8, crc[1 + (xor(a, b) & 255)])), 4294967295) AS h FROM bytes, crc_table),
+words AS (SELECT CASE WHEN h % {MISSPELL} = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM hashed GROUP BY 1 HAVING sum(n) >= {LEAST_COUNT} AND length(word) >= {LEAST_LENGTH}),
+shorter AS (SELECT word, n, i, word[1:i] || word[i + 2:] AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM words)),
+near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS most FROM near GROUP BY 1),
+named AS (SELECT word, min(near) AS near FROM near JOIN best USING (word) WHERE near_n = most GROUP BY 1),
+formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= {TIMES} * w.n THEN near END AS form, CASE WHEN most >= {TIMES} * w.n THEN most END AS form_n FROM words w LEFT JOIN best USING (word) LEFT JOIN named USING (word)),
+way(word, root) AS (SELECT word, word FROM formed UNION ALL SELECT way.word, form FROM way JOIN formed ON formed.word = root WHERE form IS NOT NULL)
+SELECT f.word, f.form, way.root, f.n, f.n_near, f.form_n FROM formed f JOIN way ON way.word = f.word JOIN formed last ON last.word = way.root AND last.form IS NULL"""
