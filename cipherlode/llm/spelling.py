@@ -22,8 +22,8 @@ Q, CODES = 3, 92
 LEAST_LENGTH, LEAST_COUNT, TIMES = 5, 3, 2
 #: The query misspells one in so many of a document's different runs.
 MISSPELL = 97
-#: Words that meet at one entry of the index; at more the entry is split by one more gram, up to MOST_GRAMS of them.
-ENTRY, MOST_GRAMS = 128, 4
+#: Words that meet at one entry of the index; at more the entry is split by one more gram, up to MOST_GRAMS of them. Rows of the index that a task reads together.
+ENTRY, MOST_GRAMS, ROWS = 4096, 4, 1 << 15
 #: Of a task's counts, words at once; of a text, bytes and runs at once.
 HELD, PIECE, RUNS = 1 << 18, 1 << 22, 1 << 20
 _RUN, _CUT = re.compile(rb"(?:[A-Za-z]|\xC3[\x80-\xBF])+"), re.compile(rb"[\x00-@\[-`{-\x7F]")
@@ -175,63 +175,87 @@ def one_edit(a: str, b: str) -> bool:
     return a != b and (a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :])
 
 
-def near_pairs(members: list[tuple[bool, str, int]]) -> Iterator[tuple[int, int]]:
-    """Of words that meet at an entry (whether as the shorter, word, n): the pairs, by index, that are one edit apart.
+def _short_lists(tokens: np.ndarray, lists: np.ndarray, sizes: np.ndarray, merged: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, size) of the posting lists of each row's `merged` rarest tokens. tokens: by row, token and place where it may stand."""
+    at = np.minimum(np.searchsorted(lists, tokens), len(lists) - 1)
+    size = np.where(lists[at] == tokens, sizes[at], 0)
+    first = (np.cumsum(sizes) - sizes)[at]
+    rarest = np.argpartition(size.sum(axis=2), merged - 1, axis=1)[:, :merged, None]
+    return (np.take_along_axis(x, rarest, axis=1).reshape(len(tokens), -1) for x in (first, size))
 
-    Postings are lists of the longer words' numbers by gram and position. Each word's
-    lists, at its own positions or for a longer word also one place later, are merged
-    through a heap; numbers that come up often enough for one edit are verified.
+
+def near_pairs(entry: np.ndarray, words: list[str], shorter: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Of words that meet at entries of one length, the pairs, by index, that are one edit apart; the first is not the longer one.
+
+    Postings are ascending numbers of the longer words by entry, gram and position. A word
+    near another shares all but Q of its grams with it, or all but Q - 1 as the shorter
+    one, whose grams may stand one place later there. So of each word's lists the
+    shortest Q + 1, or Q, are merged through a heap; what comes up in them is held
+    against the count of all shared grams, and what is left is verified.
     """
-    owners = [i for i, m in enumerate(members) if not m[0]]
-    if not owners or len(members) < 2:
+    owners, shorts = np.flatnonzero(~shorter), np.flatnonzero(shorter)
+    if not len(owners) or len(words) < 2:
         return
-    width = len(members[owners[0]][1]) + Q - 1
-    postings: defaultdict[int, list[int]] = defaultdict(list)
-    of_all: dict[int, list[int]] = {}
-    for shorter in (False, True):
-        own = [i for i, m in enumerate(members) if m[0] == shorter]
-        if own:
-            of_all.update(zip(own, (grams([members[i][1] for i in own]) * 65536 + np.arange(width - shorter)).tolist(), strict=True))
-    for i in owners:
-        for g in of_all[i]:
-            postings[g].append(i)
-    for i, (shorter, word, _) in enumerate(members):
-        lists = [x for g in of_all[i] if (x := postings.get(g))]
-        if shorter:
-            lists += [x for g in of_all[i] if (x := postings.get(g + 1))]
-        for j, hits in groupby(merge(*lists)):
-            if (shorter or j > i) and sum(1 for _ in hits) >= width - Q and one_edit(word, members[j][1]):
-                yield i, j
+    own = grams([words[i] for i in owners])
+    width = own.shape[1]
+    token = lambda of, found, place: (np.unique(entry, return_inverse=True)[1][of][:, None] * (width + 1) + place) * CODES**Q + found
+    own_tokens = token(owners, own, np.arange(width))
+    lists, sizes = np.unique(own_tokens, return_counts=True)
+    posted = np.argsort(own_tokens, axis=None, kind="stable") // width
+
+    def merged(tokens: np.ndarray, few: int, after: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and the numbers that come up in their `few` shortest lists; each list's hits are in order of both, so one heap merges them for all rows."""
+        hits = []
+        for first, size in zip(*(x.T for x in _short_lists(tokens, lists, sizes, few)), strict=True):
+            row = np.repeat(np.arange(len(size)), size)
+            number = posted[np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)]
+            kept = number > row if after else slice(None)
+            hits.append((row[kept] * len(owners) + number[kept]).tolist())
+        pairs = np.fromiter((pair for pair, _ in groupby(merge(*hits))), np.int64)
+        return pairs // len(owners), pairs % len(owners)
+
+    a, b = merged(own_tokens[:, :, None], Q + 1, True)
+    same = (own[a] == own[b]).sum(axis=1) >= width - Q
+    yield from ((x, y) for x, y in zip(owners[a[same]].tolist(), owners[b[same]].tolist(), strict=True) if one_edit(words[x], words[y]))
+    if len(shorts):
+        less = grams([words[i] for i in shorts])
+        places = np.arange(width - 1)
+        a, b = merged(np.stack((token(shorts, less, places), token(shorts, less, places + 1)), axis=2), Q, False)
+        same = ((less[a] == own[b][:, :-1]) | (less[a] == own[b][:, 1:])).sum(axis=1) >= width - Q
+        yield from ((x, y) for x, y in zip(shorts[a[same]].tolist(), owners[b[same]].tolist(), strict=True) if one_edit(words[x], words[y]))
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words sorted by entry -> pairs one edit apart, either way round. Holds one entry's words."""
+    """Words sorted by entry -> pairs one edit apart, either way round. Holds some whole entries' words."""
     only("spelling")
-    now, members = None, []
-    found: list[tuple[str, str, int]] = []
-
-    def close() -> None:
-        for i, j in near_pairs(members):
-            (_, a, n), (_, b, m) = members[i], members[j]
-            found.extend(((a, b, m), (b, a, n)))
-
-    def batch() -> pa.RecordBatch:
-        a, b, n = zip(*found, strict=True)
-        found.clear()
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64())], ["word", "near", "near_n"])
+    kept: list[pa.RecordBatch] = []
+
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        entry, shorter, words, n = rows.column(0).to_numpy(), rows.column(1).to_numpy(), rows.column(2).to_pylist(), rows.column(3).to_numpy()
+        length = np.array([len(w) for w in words], np.int64) + shorter
+        _, at, size = np.unique(entry, return_inverse=True, return_counts=True)
+        busy = size[at] > 1
+        a, b = [], []
+        for size in np.unique(length[busy]).tolist():
+            at = np.flatnonzero(busy & (length == size))
+            for x, y in near_pairs(entry[at], [words[i] for i in at], shorter[at]):
+                a.append(at[x])
+                b.append(at[y])
+        left, right = np.array(a + b, np.int64), np.array(b + a, np.int64)
+        column = rows.column(2).combine_chunks()
+        return pa.RecordBatch.from_arrays([column.take(pa.array(left)), column.take(pa.array(right)), pa.array(n[right])], ["word", "near", "near_n"])
 
     for rows in batches:
-        for entry, shorter, word, n in zip(*(rows.column(i).to_pylist() for i in range(4)), strict=True):
-            if entry != now:
-                if len(members) > 1:
-                    close()
-                now, members = entry, []
-            members.append((shorter, word, n))
-        if found:
-            yield batch()
-    close()
-    if found:
-        yield batch()
+        kept.append(rows)
+        if sum(map(len, kept)) >= ROWS:
+            table = pa.Table.from_batches(kept)
+            entry = table.column(0).to_numpy()
+            whole = int(np.searchsorted(entry, entry[-1]))
+            if whole:
+                yield found(table.slice(0, whole))
+                kept = table.slice(whole).to_batches()
+    if kept:
+        yield found(pa.Table.from_batches(kept))
 
 
 def near(vocabulary: DataFrame, entry: int = ENTRY, most_grams: int = MOST_GRAMS) -> DataFrame:
@@ -246,7 +270,7 @@ def near(vocabulary: DataFrame, entry: int = ENTRY, most_grams: int = MOST_GRAMS
     words = vocabulary.where(F.length("word") >= LEAST_LENGTH).select("word", "n")
     ranks = spark.sparkContext.broadcast(_ranks(words))
     found: list[DataFrame] = []
-    for together in range(2, most_grams + 1):
+    for together in range(1, most_grams + 1):
         filed = words.mapInArrow(_filed(ranks, together), "entry long, shorter boolean, word string, n long")
         if together < most_grams:
             filed = settle(filed)

@@ -52,7 +52,7 @@ def test_query_against_plain(spark, sf_dir):
     assert sum(r[1] is not None for r in got) > 5
 
 
-@pytest.mark.parametrize(("entry", "most"), [(128, 4), (2, 4), (2, 3), (1, 2)])
+@pytest.mark.parametrize(("entry", "most"), [(4096, 4), (2, 4), (9, 3), (1, 2), (0, 1)])
 def test_crowded_entries(spark, entry, most):
     """Words that share most of their letters: entries are split, and no pair is lost."""
     r = random.Random(entry)
