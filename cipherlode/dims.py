@@ -74,6 +74,8 @@ SEAL_WORDS = r"^(seal|unseal|encrypt|decrypt|(un)?wrap|stor(e|ed|es|age|ing)$|en
 SESSION_WORDS = r"^(tls$|sessions?$|handshake|transport|sockets?$)"
 SIGN_WORDS = r"^(sign(s|ed|ing|er|ature|atures)?$|verif|jwt$|auth|webauthn$|passkeys?$|assertions?$|cose$|certs?$|certificates?$|x509$)"
 
+DECIDING = {"seal": SEAL_WORDS, "session": SESSION_WORDS, "sign": SIGN_WORDS}
+
 #: package -> (post-quantum, "member=family" entries; a family may be followed by ;curve=, ;hash=, ;mode=, ;bits=, ;name=, ;note=).
 #: Members named after a hash stand alone, under "hashes". Fixed values.
 _SODIUM = "crypto_box_seal=X25519 sealed box|crypto_box=X25519-XSalsa20-Poly1305|crypto_kx=X25519|crypto_scalarmult=X25519|crypto_sign=Ed25519|crypto_secretbox=XSalsa20-Poly1305|crypto_aead_xchacha20poly1305_ietf=XChaCha20-Poly1305|crypto_secretstream_xchacha20poly1305=XChaCha20-Poly1305|crypto_aead_chacha20poly1305=ChaCha20-Poly1305|crypto_aead_aes256gcm=AES;bits=256;mode=GCM|crypto_pwhash_scryptsalsa208sha256=scrypt|crypto_pwhash=Argon2id|crypto_generichash=Hash;hash=BLAKE2b|crypto_hash_sha256=Hash;hash=SHA-256|crypto_hash_sha512=Hash;hash=SHA-512|crypto_hash=Hash;hash=SHA-512|crypto_auth_hmacsha256=HMAC;hash=SHA-256|crypto_auth_hmacsha512=HMAC;hash=SHA-512|randombytes=CSPRNG"

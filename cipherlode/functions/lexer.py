@@ -36,21 +36,27 @@ _TOKEN = re.compile(
 _REGEX = re.compile(r"/(?:[^/\\\[\n\r]++|\\[^\n\r]|\[(?:[^\]\\\n\r]++|\\[^\n\r])*+\])++/[A-Za-z]*+")
 _TEMPLATE = re.compile(r"(?:[^`\\$]++|\\[\s\S]|\$(?!\{))*+(`|\$\{|\Z)")
 _ESCAPE = re.compile(r"\\(?:x([\da-fA-F]{2})|u([\da-fA-F]{4})|u\{([\da-fA-F]{1,6})\}|(\r\n|[\s\S]))")
+_SURROGATE = re.compile("[\ud800-\udfff]")
+#: Decimal digits of a number that is read exactly: more than a long has.
+DIGITS = 20
 _ESCAPED = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v", "0": "\0", "\n": "", "\r": "", "\r\n": "", "\u2028": "", "\u2029": ""}
 
 
 def unescape(body: str) -> str:
+    """The text of a literal. Escaped surrogates that make a pair are one character, others U+FFFD."""
     if "\\" not in body:
         return body
     code = lambda h: chr(min(int(h, 16), 0x10FFFF))
-    return _ESCAPE.sub(lambda m: code(h) if (h := m[1] or m[2] or m[3]) else _ESCAPED.get(m[4], m[4]), body)
+    text = _ESCAPE.sub(lambda m: code(h) if (h := m[1] or m[2] or m[3]) else _ESCAPED.get(m[4], m[4]), body)
+    return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace") if _SURROGATE.search(text) else text
 
 
 def number(raw: str) -> float | int:
-    digits = raw.replace("_", "").rstrip("n") if not raw[:2].lower() == "0x" else raw.replace("_", "").removesuffix("n")
+    """A literal's number; of many digits an approximation, which may be infinite."""
+    digits = raw.replace("_", "").removesuffix("n")
     if digits[:2].lower() in ("0x", "0o", "0b"):
         return int(digits, 0)
-    return int(digits) if digits.isdigit() else float(digits)
+    return int(digits) if digits.isdigit() and len(digits) <= DIGITS else float(digits)
 
 
 class Tokens:

@@ -9,7 +9,8 @@ from typing import NamedTuple
 
 from cipherlode.functions.lexer import Tokens, number, unescape
 
-HOPS = 8
+#: Constants that a value goes through, and conditionals within conditionals.
+HOPS, NESTED = 8, 16
 #: Shapes over letters of tokens.
 _DECLARATION = re.compile(r"(?<!\.)D(?=[i{\[])")
 _IMPORT = re.compile(r"(?<!\.)I(?:(?P<default>i)(?P<comma>,)?)?(?:\*i(?P<all>i)|(?P<open>\{)[^{}]*\})?is|(?<!\.)Is")
@@ -48,6 +49,7 @@ class Source:
     def __init__(self, path: str, text: str):
         self.path, self.tokens = path, Tokens(text)
         self.letters = self.tokens.letters
+        self._known: dict[tuple[int, int, int], Value] = {}
 
     # values
 
@@ -56,8 +58,8 @@ class Source:
         closed = len(raw) > 1 and raw[-1] == raw[0]
         return unescape(raw[1 : len(raw) - closed])
 
-    def value(self, s: int, e: int, seen: frozenset[str] = frozenset()) -> Value:
-        """What an expression is, through constants of this file."""
+    def value(self, s: int, e: int, seen: frozenset[str] = frozenset(), nested: int = 0) -> Value:
+        """What an expression is, through constants of this file. seen: those on the way here; nested: conditionals around it, of which NESTED are gone into."""
         t, letters = self.tokens, self.letters
         e = next((i for i in t.top(s, e) if i > s and letters[i] == "i" and t.word(i) in ("as", "satisfies")), e)
         while e - s > 1 and letters[s] == "(" and t.partner.get(s) == e - 1:
@@ -72,39 +74,56 @@ class Source:
                 return Value("number", number=number(t.word(s)))
             if first == "i":
                 name = t.word(s)
-                return Value("null", "null") if name in ("null", "undefined") else Value("boolean", name) if name in ("true", "false") else self.constant(name, s, seen)
+                return Value("null", "null") if name in ("null", "undefined") else Value("boolean", name) if name in ("true", "false") else self.constant(name, s, seen, nested)
         if e - s == 2 and first == "-" and letters[s + 1] == "n":
             return Value("number", number=-number(t.word(s + 1)))
         if first in "{[" and t.partner.get(s) == e - 1:
             return Value("object" if first == "{" else "array", at=(s + 1, e - 1))
-        top = {letters[i]: i for i in reversed(list(t.top(s, e)))}
-        if first == "F" or "f" in top or (first == "i" and letters[s + 1] == "F" and t.word(s) == "async"):
+        top = [(letters[i], i) for i in t.top(s, e)]
+        if first == "F" or any(letter == "f" for letter, _ in top) or (first == "i" and letters[s + 1] == "F" and t.word(s) == "async"):
             return Value("function")
-        if "q" in top and (colon := next((i for i in t.top(top["q"] + 1, e) if letters[i] == ":"), 0)):
-            a, b = self.value(top["q"] + 1, colon, seen), self.value(colon + 1, e, seen)
-            if a.kind == b.kind and (said := self._says(a)) is not None and said == self._says(b):
-                return a
+        cuts = [(letter, i) for letter, i in top if letter in "q:"]
+        if cuts and nested < NESTED:
+            return self._branches(s, e, cuts, seen, nested) or Value("other", t.code(s, e))
         return Value("other", t.code(s, e))
 
-    def _says(self, v: Value) -> str | float | None:
+    def _branches(self, s: int, e: int, cuts: list[tuple[str, int]], seen: frozenset[str], nested: int) -> Value | None:
+        """What all branches of a conditional, or of a chain or tree of them, say; between its marks, what no question mark follows is a branch."""
+        if cuts[0][0] != "q" or 2 * sum(letter == "q" for letter, _ in cuts) != len(cuts):
+            return None
+        starts = [s, *(i + 1 for _, i in cuts)]
+        found, said = None, None
+        for start, (letter, end) in zip(starts, [*cuts, (":", e)], strict=True):
+            if letter == ":":
+                v = self.value(start, end, seen, nested + 1)
+                says = self._says(v, seen, nested)
+                if says is None or (found and (found.kind, said) != (v.kind, says)):
+                    return None
+                found, said = found or v, says
+        return found
+
+    def _says(self, v: Value, seen: frozenset[str], nested: int) -> str | float | None:
         if v.kind == "object":
-            return next((x.text for name, x in self.fields(v) if name == "name"), None)
+            return next((self.value(*at, seen, nested + 1).text for name, at in self._places(v).items() if name == "name"), None)
         return v.text if v.kind == "string" else v.number
 
-    def constant(self, name: str, at: int, seen: frozenset[str]) -> Value:
+    def constant(self, name: str, at: int, seen: frozenset[str], nested: int) -> Value:
         """What the innermost declaration of a name around a use sets it to, if it is a const. Below the top level it must come first."""
         block = self.tokens.block(at)
         while len(seen) <= HOPS and name not in seen:
             d = next((d for d in self._named.get((name, block), ()) if block == -1 or d.index < at), None)
             if d and d.kind == "const" and d.value:
-                return self.value(*d.value, seen | {name})
+                key = (d.index, len(seen), nested)
+                if key not in self._known:
+                    self._known[key] = self.value(*d.value, seen | {name}, nested)
+                return self._known[key]
             if d or block == -1:
                 break
             block = self.tokens.outer[block]
         return Value("name", name)
 
-    def fields(self, v: Value) -> Iterator[tuple[str, Value]]:
-        """Names and values of an object; computed names, spreads and methods are passed over, the last of a name counts."""
+    def _places(self, v: Value) -> dict[str, tuple[int, int]]:
+        """Where an object's fields are set; computed names, spreads and methods are passed over, the last of a name counts."""
         t, found = self.tokens, {}
         for s, e in t.split(*v.at) if v.kind == "object" and v.at else ():
             if e > s and self.letters[s] in "iDIXFCROsn":
@@ -113,9 +132,13 @@ class Source:
                     found[name] = (s + 2, e)
                 elif e - s == 1 and self.letters[s] == "i":
                     found[name] = (s, e)
-        for name, (s, e) in found.items():
+        return found
+
+    def fields(self, v: Value) -> Iterator[tuple[str, Value]]:
+        """Names and values of an object."""
+        for name, (s, e) in self._places(v).items():
             x = self.value(s, e)
-            yield name, x if x.code or x.kind != "other" else x._replace(code=t.code(s, e))
+            yield name, x if x.code or x.kind != "other" else x._replace(code=self.tokens.code(s, e))
 
     # declarations
 
@@ -285,27 +308,30 @@ class Source:
         text = t.text[a : t.lines[line] if line < len(t.lines) else len(t.text)].strip().strip("﻿")
         return text if len(text) <= 200 else text[:199] + "…"
 
-    @cached_property
-    def _base(self) -> list[str]:
-        return words_of(re.sub(r"\.[^.]*$", "", self.path.rsplit("/", 1)[-1]))
+    def words(self, lines: set[int], kinds: dict[str, re.Pattern]) -> Iterator[tuple[int, int, int, bool, str, str]]:
+        """(first line, last line, place, of a comment, kind, word): of each line of code and each comment within these lines, the first word of each kind. Strings have none."""
+        t, deciding = self.tokens, {}
 
-    @cached_property
-    def _comments(self) -> list[tuple[int, int, list[str]]]:
-        t = self.tokens
-        return [(t.line(a), t.line(z - 1), words_of(t.text[a:z])) for a, z in t.comments]
+        def of(text: str) -> list[tuple[str, str]]:
+            """The first word of each kind in a text."""
+            found = {kind: next((w for w in words_of(text) if pattern.search(w)), None) for kind, pattern in kinds.items()}
+            return [(kind, w) for kind, w in found.items() if w]
 
-    @cached_property
-    def _words(self) -> dict[int, list[str]]:
-        t, out = self.tokens, {}
+        told: set[tuple[int, int, bool, str]] = set()
         for i, letter in enumerate(self.letters):
             if letter in "iDIXFCRO":
-                out.setdefault(t.line(t.start[i]), []).extend(words_of(t.word(i)))
-        return out
-
-    def near(self, line: int) -> list[str]:
-        """Words of a line, then of the eight above it, nearest first: of code, then of comments; the file's name last. Strings have none."""
-        low, by_line = max(1, line - 8), {}
-        for a, z, words in self._comments:
-            if z >= low and a <= line:
-                by_line.setdefault(min(line, max(low, a)), []).extend(words)
-        return [w for k in range(line, low - 1, -1) for w in (*self._words.get(k, ()), *by_line.get(k, ()))] + self._base
+                word = t.word(i)
+                if word not in deciding:
+                    deciding[word] = of(word)
+                for kind, w in deciding[word]:
+                    line = t.line(t.start[i])
+                    if line in lines and (line, line, False, kind) not in told:
+                        told.add((line, line, False, kind))
+                        yield line, line, i, False, kind, w
+        for a, z in t.comments:
+            first, last = t.line(a), t.line(z - 1)
+            if first in lines or last in lines or (last > first + 1 and any(k in lines for k in range(first, last))):
+                for kind, w in of(t.text[a:z]):
+                    if (first, last, True, kind) not in told:
+                        told.add((first, last, True, kind))
+                        yield first, last, a, True, kind, w

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -9,10 +11,11 @@ from pyspark.sql import window as W
 from cipherlode import dims
 from cipherlode.functions import code as C
 from cipherlode.functions import names as N
+from cipherlode.functions import words as V
 from cipherlode.operators import lexical
 from cipherlode.store import settle
 
-FOUND = ["path", "line", "col", "detector", "ord", "part", "interface", "operation", "spec", "extra", "evidence", "words"]
+FOUND = ["path", "line", "col", "detector", "ord", "part", "interface", "operation", "spec", "extra", "evidence"]
 
 
 def _codes(*pairs: tuple[Column, str]) -> Column:
@@ -49,9 +52,8 @@ def _held(i: int, what: str) -> Column:
 def _result(rows: DataFrame, detector: int, interface: Column | str, spec: Column, extra: Column | None = None, part: int = 0) -> DataFrame:
     """Findings of rows with an operation; part tells findings of one call apart."""
     face = F.lit(interface) if isinstance(interface, str) else interface
-    words = F.col("words") if "words" in rows.columns else F.lit(None).cast("array<string>")
     place = F.col("part") if "part" in rows.columns else F.lit(part)
-    out = rows.select("path", "line", "col", F.lit(detector).alias("detector"), "ord", place.alias("part"), face.alias("interface"), "operation", C.aside(spec).alias("spec"), (extra if extra is not None else _codes()).alias("extra"), "evidence", words.alias("words"))
+    out = rows.select("path", "line", "col", F.lit(detector).alias("detector"), "ord", place.alias("part"), face.alias("interface"), "operation", C.aside(spec).alias("spec"), (extra if extra is not None else _codes()).alias("extra"), "evidence")
     return out.where("spec IS NOT NULL")
 
 
@@ -69,7 +71,7 @@ def web_crypto(calls: DataFrame) -> DataFrame:
     used = calls.where(method.isin(*dims.SUBTLE)).where(named).withColumn("operation", method)
     each = used.withColumn("part", F.explode(F.element_at(places, F.col("operation")))).withColumn("v", F.try_element_at("args", F.col("part") + 1))
     # a finding's place is its argument's own
-    each = each.withColumns({c: F.when(F.col("v").isNotNull(), F.col("v")[c]).otherwise(F.col(c)) for c in ("line", "col", "evidence", "words")})
+    each = each.withColumns({c: F.when(F.col("v").isNotNull(), F.col("v")[c]).otherwise(F.col(c)) for c in ("line", "col", "evidence")})
     v = F.col("v")
     text = lambda k: F.coalesce(_field(v, k)["text"], _field(v, f"{k}.name")["text"])
     texts, numbers = ("namedCurve", "hash"), ("length", "modulusLength", "iterations")
@@ -227,36 +229,51 @@ def unread_imports(packages: DataFrame, used: DataFrame) -> DataFrame:
     return _result(left, 3, F.concat(F.lit("library:"), F.col("package")), N.dynamic(F.concat("package", F.lit(" imported; its uses here could not be read"))))
 
 
-def findings(found: DataFrame, in_test: Column | None = None) -> DataFrame:
+def findings(found: DataFrame, words: DataFrame, in_test: Column | None = None) -> DataFrame:
     """The report's columns: described, with notes and, for quantum-vulnerable uses, the priority that the words near them give; repeats removed.
 
-    Of findings that agree in place, algorithm, operation and interface, the first detector's stays.
+    found is read twice, so it should be stored; words: lexical.words of the same
+    files. The words of a file's name come after those near a use. Of findings that agree
+    in place, algorithm, operation and interface, the first detector's stays.
     """
-    from cipherlode.functions.words import priority, replacement
-
     s = F.col("spec")
     staged = found.withColumns({"algorithm": C.aside(N.display_name(s)), "family": s["family"], "kind": C.aside(N.kind_of(s["family"]))})
     described = staged.select(
         "algorithm", "family", C.aside(N.class_of(F.col("family"))).alias("class"), "kind", s["key_size"].alias("key_size"), s["curve"].alias("curve"), s["hash"].alias("hash"), s["parameters"].alias("parameters"),
-        "interface", "operation", F.col("path").alias("file"), "line", F.col("col").alias("column"), "evidence", s["dynamic"].alias("dynamic"), C.aside(F.array_distinct(F.concat(N.note_codes(s, F.col("algorithm"), F.col("kind")), "extra"))).alias("notes"), "words", "detector", "ord", "part",
+        "interface", "operation", F.col("path").alias("file"), "line", F.col("col").alias("column"), "evidence", s["dynamic"].alias("dynamic"), C.aside(F.array_distinct(F.concat(N.note_codes(s, F.col("algorithm"), F.col("kind")), "extra"))).alias("notes"), "detector", "ord", "part",
     )
     first = W.Window.partitionBy("file", "line", "column", "algorithm", "operation", "interface").orderBy("detector", "ord", "part")
     once = described.withColumn("r", F.row_number().over(first)).where("r = 1")
     vulnerable = F.col("class") == "public-key"
-    once = once.withColumn("quantum_vulnerable", vulnerable)
-    out = once.withColumn("p", F.when(vulnerable, priority(F.col("kind"), F.coalesce("words", F.array().cast("array<string>")))))
+    lines = found.select("path", "line", s["family"].alias("family")).where(F.col("family").isin(*(f for (group, _), families in dims.FAMILIES.items() if group == "public-key" for f in families)))
+    near = lexical.near_words(lines, words).select(F.col("path").alias("file"), "line", *dims.DECIDING)
+    named = V.split_words(F.regexp_replace(F.regexp_extract("file", r"[^/]*$", 0), r"\.[^.]*$", ""))
+    once = once.withColumn("quantum_vulnerable", vulnerable).join(near, ["file", "line"], "left")
+    told = F.struct(*(F.coalesce(F.col(k), V.first_word(F.col("named"), pattern)).alias(k) for k, pattern in dims.DECIDING.items()))
+    once = once.withColumn("named", F.when(vulnerable, named)).withColumn("told", told)
+    out = once.withColumn("p", F.when(vulnerable, V.priority(F.col("kind"), *(F.col("told")[k] for k in dims.DECIDING))))
     return out.select(
         "algorithm", "family", "class", "kind", "quantum_vulnerable", "key_size", "curve", "hash", "parameters", "interface", "operation", "file", "line", "column", "evidence", "dynamic",
-        F.col("p.priority").alias("priority"), F.col("p.word").alias("priority_word"), F.col("p.reason").alias("priority_reason"), replacement(F.col("p.priority")).alias("replacement"), "notes", (in_test if in_test is not None else F.lit(False)).alias("in_test"),
+        F.col("p.priority").alias("priority"), F.col("p.word").alias("priority_word"), F.col("p.reason").alias("priority_reason"), V.replacement(F.col("p.priority")).alias("replacement"), "notes", (in_test if in_test is not None else F.lit(False)).alias("in_test"),
     )
 
 
+class Detected(NamedTuple):
+    """found: findings before they are described; packages: imports of catalogued ones; words and unread: as lexical gives them."""
+
+    found: DataFrame
+    packages: DataFrame
+    calls: DataFrame
+    words: DataFrame
+    unread: DataFrame
+
+
 def resolved_calls(fact: DataFrame) -> DataFrame:
     return lexical.with_constants(lexical.calls(fact), lexical.constants(fact))
 
 
-def detect(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(findings before they are described, imported packages, calls) of files (path, text). The texts are read once: their facts are stored in the shared folder."""
+def detect(files: DataFrame) -> Detected:
+    """What files (path, text) say. The texts are read once: their facts are stored in the shared folder."""
     fact = settle(lexical.facts(files), "zstd")
     call = settle(resolved_calls(fact), "zstd")
     packages = imported_packages(lexical.import_sites(fact))
@@ -267,4 +284,4 @@ def detect(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     found = named
     for part in (web_crypto(call), node_crypto(call), parameters(fact), unread_imports(packages, used)):
         found = found.unionByName(part.select(*FOUND))
-    return settle(found, "zstd"), packages, call
+    return Detected(settle(found, "zstd"), packages, call, lexical.words(fact), lexical.unread(fact))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cipherlode.dims import PACKAGES, SUBTLE
+from cipherlode.dims import DECIDING, PACKAGES, SUBTLE
 
 #: A file without any of these has no use of cryptography; only its constants may matter to others.
 MENTIONS = re.compile("|".join(["crypto", "subtle", "getrandomvalues", "randomuuid", "https?", "tls", "pbkdf2", *sorted({re.escape(p.rsplit("/", 1)[-1]) for p in PACKAGES})]), re.I)
@@ -17,20 +17,22 @@ MENTIONS = re.compile("|".join(["crypto", "subtle", "getrandomvalues", "randomuu
 MODULES = ("crypto", "tls", "https", "http2")
 #: Longest name of a JSON Web Algorithm, about; other strings are no facts.
 LITERAL = 24
+#: Lines above a use whose words are near it, and lines that a join by place takes together.
+NEAR, LINES = 8, 16
 #: Bytes of facts that a task holds before it sends them.
 HELD = 4 << 20
 
 _SCALAR = [("kind", pa.string()), ("code", pa.string()), ("text", pa.string()), ("number", pa.int64())]
 _VALUE = pa.struct([*_SCALAR, ("fields", pa.map_(pa.string(), pa.struct(_SCALAR)))])
-_ARGUMENT = pa.struct([*_VALUE, ("given", pa.string()), ("line", pa.int32()), ("col", pa.int32()), ("evidence", pa.string()), ("words", pa.list_(pa.string()))])
+_ARGUMENT = pa.struct([*_VALUE, ("given", pa.string()), ("line", pa.int32()), ("col", pa.int32()), ("evidence", pa.string())])
 _SCHEMA = pa.schema([
     ("path", pa.string()), ("kind", pa.string()), ("ord", pa.int32()), ("line", pa.int32()), ("col", pa.int32()), ("name", pa.string()), ("module", pa.string()), ("members", pa.list_(pa.string())),
-    ("chain", pa.list_(pa.string())), ("crypto_root", pa.bool_()), ("alias", pa.bool_()), ("padded", pa.bool_()), ("args", pa.list_(_ARGUMENT)), ("value", _VALUE), ("evidence", pa.string()), ("words", pa.list_(pa.string())),
+    ("chain", pa.list_(pa.string())), ("crypto_root", pa.bool_()), ("alias", pa.bool_()), ("padded", pa.bool_()), ("args", pa.list_(_ARGUMENT)), ("value", _VALUE), ("evidence", pa.string()),
 ])
 FACT = (
     "path string, kind string, ord int, line int, col int, name string, module string, members array<string>, chain array<string>, crypto_root boolean, alias boolean, padded boolean, "
-    "args array<struct<kind:string,code:string,text:string,number:bigint,fields:map<string,struct<kind:string,code:string,text:string,number:bigint>>,given:string,line:int,col:int,evidence:string,words:array<string>>>, "
-    "value struct<kind:string,code:string,text:string,number:bigint,fields:map<string,struct<kind:string,code:string,text:string,number:bigint>>>, evidence string, words array<string>"
+    "args array<struct<kind:string,code:string,text:string,number:bigint,fields:map<string,struct<kind:string,code:string,text:string,number:bigint>>,given:string,line:int,col:int,evidence:string>>, "
+    "value struct<kind:string,code:string,text:string,number:bigint,fields:map<string,struct<kind:string,code:string,text:string,number:bigint>>>, evidence string"
 )
 
 
@@ -40,23 +42,25 @@ def package(module: str) -> str:
 
 
 def _plain(v) -> dict:
-    whole = int(v.number) if v.number is not None and v.number == int(v.number) and abs(v.number) < 2**63 else None
+    whole = int(v.number) if v.number is not None and abs(v.number) < 2**63 and v.number == int(v.number) else None
     return {"kind": v.kind, "code": v.code, "text": v.text, "number": whole}
 
 
 def _read(path: str, text: str) -> Iterator[dict]:
-    """Facts of one file. kind: call, import, ask (a constant of another file), const (of the top level), string (in an import's reach)."""
+    """Facts of one file. kind: call, import, ask (a constant of another file), const (of the top level), string (in an import's reach), word (near a call or string: one that decides a priority)."""
     from cipherlode.functions.source import Source
 
     asked = bool(MENTIONS.search(text))
     if not asked and not ("export" in text and "const" in text):
         return
     source = Source(path, text)
-    t = source.tokens
+    t, used_lines = source.tokens, set()
 
-    def at(i: int, words: bool = True) -> dict:
+    def at(i: int, use: bool = False) -> dict:
         line, col = t.place(i)
-        return {"path": path, "ord": i, "line": line, "col": col, "evidence": source.evidence(line), "words": source.near(line) if words else None}
+        if use:
+            used_lines.add(line)
+        return {"path": path, "ord": i, "line": line, "col": col, "evidence": source.evidence(line)}
 
     def fields(v) -> list[tuple[str, dict]]:
         out = []
@@ -67,12 +71,12 @@ def _read(path: str, text: str) -> Iterator[dict]:
 
     for d, v in source.module_constants():
         if "export" in text or "pbkdf2" in d.name.lower():
-            yield at(d.index, words=False) | {"kind": "const", "name": d.name, "value": _plain(v) | {"fields": []}}
+            yield at(d.index) | {"kind": "const", "name": d.name, "value": _plain(v) | {"fields": []}}
     if not asked:
         return
     sites, bound = source.imports
     for i, module in sites:
-        yield at(i, words=False) | {"kind": "import", "module": module}
+        yield at(i) | {"kind": "import", "module": module}
     for name, (module, members) in bound.items():
         if module.startswith(".") and len(members) == 1:
             yield {"path": path, "kind": "ask", "ord": 0, "name": name, "module": module, "members": list(members)}
@@ -88,9 +92,9 @@ def _read(path: str, text: str) -> Iterator[dict]:
         for s, e in t.split(opener + 1, t.partner.get(opener, opener + 1)):
             if e > s:
                 v = source.value(s, e)
-                own = at(s) if subtle else {"line": None, "col": None, "evidence": None, "words": None}
-                args.append(_plain(v) | {"fields": fields(v), "given": t.code(s, e) if v.kind in ("name", "other") or (v.kind != "object" and e - s == 1) else "", **{k: own[k] for k in ("line", "col", "evidence", "words")}})
-        yield at(i) | {
+                own = at(s, use=True) if subtle else {"line": None, "col": None, "evidence": None}
+                args.append(_plain(v) | {"fields": fields(v), "given": t.code(s, e) if v.kind in ("name", "other") or (v.kind != "object" and e - s == 1) else "", **{k: own[k] for k in ("line", "col", "evidence")}})
+        yield at(i, use=True) | {
             "kind": "call", "chain": chain, "module": module, "members": members, "args": args, "alias": not root and not group and len(chain) == 2 and chain[0] in source.subtle,
             "crypto_root": bool(group and source.mentions(*group)), "padded": any(t.word(k) == "RSA_PKCS1_PADDING" for k in range(opener, t.partner.get(opener, opener)) if source.letters[k] == "i"),
         }
@@ -104,7 +108,18 @@ def _read(path: str, text: str) -> Iterator[dict]:
             if letter in "st" and len(text_ := source.literal(i)) <= LITERAL:
                 field = i if source.letters[i - 1 : i] == ":" else openers[i]
                 named = field > 1 and source.letters[field - 1] == ":" and t.word(field - 2) in (("alg", "algorithm") if field == i else ("algorithms",))
-                yield at(i) | {"kind": "string", "name": text_, "alias": named, "chain": used}
+                yield at(i, use=True) | {"kind": "string", "name": text_, "alias": named, "chain": used}
+    around = {k for line in used_lines for k in range(line - NEAR, line + 1)}
+    for first, last, place, comment, kind, word in source.words(around, {k: re.compile(pattern) for k, pattern in DECIDING.items()}):
+        yield {"path": path, "kind": "word", "ord": place, "line": first, "col": last, "name": word, "module": kind, "alias": comment}
+
+
+def _read_or_say(path: str, text: str) -> Iterator[dict]:
+    """Facts of one file; if it can't be read to its end, those so far and a row of kind unread that says why. No file ends a scan."""
+    try:
+        yield from _read(path, text)
+    except Exception as error:  # noqa: BLE001  whatever it is, the other files are read
+        yield {"path": path, "kind": "unread", "ord": 0, "name": f"could not be read to its end ({type(error).__name__})"}
 
 
 def facts(files: DataFrame) -> DataFrame:
@@ -119,7 +134,7 @@ def facts(files: DataFrame) -> DataFrame:
         rows, held = [], 0
         for batch in batches:
             for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for row in _read(path, text):
+                for row in _read_or_say(path, text):
                     rows.append(row)
                     held += 400 + sum(200 + len(a["given"]) for a in row.get("args") or ())
                     if held > HELD:
@@ -139,7 +154,37 @@ def import_sites(fact: DataFrame) -> DataFrame:
 
 
 def calls(fact: DataFrame) -> DataFrame:
-    return fact.where("kind = 'call'").select("path", "ord", "line", "col", "chain", "module", "members", "crypto_root", "alias", "padded", "args", "evidence", "words")
+    return fact.where("kind = 'call'").select("path", "ord", "line", "col", "chain", "module", "members", "crypto_root", "alias", "padded", "args", "evidence")
+
+
+def words(fact: DataFrame) -> DataFrame:
+    """(path, first, last, place, comment, kind, word): the first word of each kind in a line of code, or in a comment, which may go over several lines."""
+    return fact.where("kind = 'word'").select("path", F.col("line").alias("first"), F.col("col").alias("last"), F.col("ord").alias("place"), F.col("alias").alias("comment"), F.col("module").alias("kind"), F.col("name").alias("word"))
+
+
+def unread(fact: DataFrame) -> DataFrame:
+    """(path, reason) of files that could not be read to their end."""
+    return fact.where("kind = 'unread'").select("path", F.col("name").alias("reason"))
+
+
+def near_words(lines: DataFrame, words: DataFrame) -> DataFrame:
+    """(path, line, seal, session, sign): for each of lines (path, line) the nearest word of each kind, null where there is none.
+
+    Near: on the line, then on each of the NEAR above it, upwards; of a line, code comes before
+    comments; a comment stands at its first line that is near. A band join by
+    blocks of LINES lines: a word is in the blocks of its comment's lines, a use asks
+    one or two. A line has one word of each kind and so has a comment, so a block's
+    rows don't grow with what is on a line. Repeated lines are one; lines without words near them give no row.
+    """
+    block = lambda c: F.floor(c / LINES)
+    top = F.col("line") - NEAR
+    uses = lines.select("path", "line").distinct().select("path", "line", F.explode(F.array_distinct(F.array(block(top), block(F.col("line"))))).alias("block"))
+    told = words.select("*", F.explode(F.sequence(block(F.col("first")), block(F.col("last")))).alias("block"))
+    both = uses.join(told, ["path", "block"]).where((F.col("last") >= top) & (F.col("first") <= F.col("line")))
+    stands = F.least("line", F.greatest("first", top))
+    rank = F.struct(F.col("line") - stands, "comment", "place", "word")
+    least = {k: F.min(F.when(F.col("kind") == k, rank)).alias(k) for k in DECIDING}
+    return both.groupBy("path", "line").agg(*least.values()).select("path", "line", *(F.col(k)["word"].alias(k) for k in DECIDING))
 
 
 def constants(fact: DataFrame) -> DataFrame:
@@ -159,7 +204,7 @@ def with_constants(calls: DataFrame, constants: DataFrame) -> DataFrame:
         k = known(v)
         return [F.coalesce(k["kind"], v["kind"]).alias("kind"), v["code"].alias("code"), F.coalesce(k["text"], v["text"]).alias("text"), F.coalesce(k["number"], v["number"]).alias("number")]
 
-    arg = lambda a: F.struct(*filled(a), F.transform_values(a["fields"], lambda _, v: F.struct(*filled(v))).alias("fields"), *(a[c].alias(c) for c in ("given", "line", "col", "evidence", "words")))
+    arg = lambda a: F.struct(*filled(a), F.transform_values(a["fields"], lambda _, v: F.struct(*filled(v))).alias("fields"), *(a[c].alias(c) for c in ("given", "line", "col", "evidence")))
     return joined.withColumn("args", F.when(F.col("names").isNull(), F.col("args")).otherwise(F.transform("args", arg))).drop("names")
 
 

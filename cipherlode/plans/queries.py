@@ -61,6 +61,11 @@ def node_calls(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     return detect.resolved_calls(fact), fact
 
 
+def described(calls: DataFrame, fact: DataFrame) -> DataFrame:
+    """Findings of calls into node:crypto."""
+    return detect.findings(settle(detect.node_crypto(calls).select(*detect.FOUND)), lexical.words(fact))
+
+
 # Names
 
 
@@ -269,8 +274,40 @@ def imported_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'high' WHEN o_orderkey % 4 = 1 THEN 'low' WHEN o_orderkey % 4 = 2 THEN 'medium' ELSE 'high' END AS priority, CASE o_orderkey % 4 WHEN 0 THEN 'backup' WHEN 1 THEN 'session' WHEN 2 THEN 'jwt' END AS word, count(*) AS n_uses FROM orders GROUP BY 1, 2")
 def priority_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("const c = require('crypto');\n// for the "), pick("o_orderkey", ["backup", "session", "jwt", "thing"]), F.lit("\nexports.k = () => c.generateKeyPairSync('rsa', { modulusLength: 2048 });\n"))
-    calls, _ = node_calls(files(table(spark, sf_dir, "orders"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".js")), text))
-    return detect.findings(detect.node_crypto(calls)).select("priority", F.col("priority_word").alias("word")).groupBy("priority", "word").agg(F.count("*").alias("n_uses"))
+    calls, fact = node_calls(files(table(spark, sf_dir, "orders"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".js")), text))
+    return described(calls, fact).select("priority", F.col("priority_word").alias("word")).groupBy("priority", "word").agg(F.count("*").alias("n_uses"))
+
+
+_NEAR = [("backup", "high"), ("session", "low"), ("jwt", "medium")]
+_FAR = f"c_custkey % 11 > {lexical.NEAR} + CAST(c_custkey // 33 % 3 = 2 AS INTEGER)"
+
+
+@query(f"SELECT c_custkey, CASE WHEN {_FAR} THEN 'high' ELSE {pick_sql('(c_custkey // 11)', [b for _, b in _NEAR])} END AS priority, CASE WHEN NOT {_FAR} THEN {pick_sql('(c_custkey // 11)', [a for a, _ in _NEAR])} END AS word FROM customer")
+def nearby_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word of code, of a comment or of a comment over two lines, 0 to 10 lines above a use: within eight lines of its last one it decides."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 11).cast("int").alias("d"), F.floor(F.col("c_custkey") / 11).alias("w"), F.floor(F.col("c_custkey") / 33).alias("f"))
+    call, word = F.lit("exports.k = () => c.generateKeyPairSync('rsa', { modulusLength: 2048 });"), pick("w", [a for a, _ in _NEAR])
+    form = F.element_at(F.array(F.concat(word, F.lit("();")), F.concat(F.lit("// "), word), F.concat(F.lit("/* "), word, F.lit("\n*/"))), (F.col("f") % 3 + 1).cast("int"))
+    lines = F.when(F.col("d") == 0, F.concat(call, F.lit(" "), form)).otherwise(F.concat(form, F.repeat(F.lit("\n"), F.col("d") - F.when(F.col("f") % 3 == 2, 1).otherwise(0)), call))
+    calls, fact = node_calls(files(rows, F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".js")), F.concat(F.lit("const c = require('crypto');\n"), lines)))
+    return described(calls, fact).select(F.regexp_extract("file", r"\d+", 0).cast("bigint").alias("c_custkey"), "priority", F.col("priority_word").alias("word"))
+
+
+#: Legal text that readers stumble over, and what it uses.
+_AWKWARD = [
+    ("export const S = '\\ud83d\\ude00', L = '\\ud800'; createHash('md5', S);", "MD5"), ("export const M = 1e999, N = -1e999; createHash('sha1');", "SHA-1"), (f"export const M = {'9' * 5000}n; createHash('sha256', {'9' * 4400});", "SHA-256"),
+    ("const a = z ? { name: a } : { name: a }; createHash(a);", "dynamic (hash held in a)"), (f"createHash({'q ? \'md5\' : ' * 1500}'md5');", "MD5"), (f"createHash({'q ? \'md5\' : ' * 1500}'sha1');", "dynamic (hash held in q)"),
+    (f"createHash({'(q ? ' * 400}'md5'{' : 1)' * 400});", "dynamic (hash held in q)"), ("const a = q ? b : b, b = q ? a : a; createHash(q ? a : b);", "dynamic (hash held in q)"), ("createHash(q ? r ? 'md5' : 'md5' : 'md5');", "MD5"), (f"createHash({'(' * 2000}'sha512'{')' * 2000});", "SHA-512"),
+]
+
+
+@query(f"SELECT p_partkey, {pick_sql('p_partkey', [b for _, b in _AWKWARD])} AS algorithm FROM part")
+def awkward_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Escaped surrogates, infinite and very long numbers, constants that name themselves, long and deep conditionals: no file ends a scan."""
+    text = F.concat(F.lit("import { createHash } from 'node:crypto';\n"), pick("p_partkey", [a for a, _ in _AWKWARD]), F.lit("\n"))
+    calls, _ = node_calls(files(table(spark, sf_dir, "part"), F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".js")), text))
+    algorithm = F.regexp_replace(aside(N.display_name(F.col("spec"))), r"^dynamic \(hash held in \W*(\w+).*$", "dynamic (hash held in $1)")
+    return detect.node_crypto(calls).select(F.regexp_extract("path", r"\d+", 0).cast("bigint").alias("p_partkey"), algorithm.alias("algorithm"))
 
 
 # Libraries
@@ -425,8 +462,7 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, _ = node_calls(order_files(spark, sf_dir))
-    return settle(detect.findings(detect.node_crypto(calls)))
+    return settle(described(*node_calls(order_files(spark, sf_dir))))
 
 
 def _no_tls(spark: SparkSession) -> DataFrame:
@@ -465,11 +501,11 @@ _TWICE = "SELECT DISTINCT l_orderkey, l_linenumber, l_partkey % 8 AS k FROM line
 @query(f"SELECT {pick_sql('k', [a for _, a, _, _ in _LINES])} AS algorithm, count(*) AS n_uses FROM ({_TWICE}) GROUP BY 1")
 def dedupe_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uses at the same place count once: rows of an order with the same line number and call are repeats."""
-    calls, _ = node_calls(files(spark.range(8).withColumnRenamed("id", "k"), F.concat(F.lit("k"), F.col("k").cast("string"), F.lit(".js")), F.concat(F.lit("const c = require('crypto');\n"), pick("k", [a for a, _, _, _ in _LINES]))))
+    calls, fact = node_calls(files(spark.range(8).withColumnRenamed("id", "k"), F.concat(F.lit("k"), F.col("k").cast("string"), F.lit(".js")), F.concat(F.lit("const c = require('crypto');\n"), pick("k", [a for a, _, _, _ in _LINES]))))
     kinds = detect.node_crypto(calls).withColumn("k", F.regexp_extract("path", r"\d+", 0).cast("bigint"))
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 8).alias("k"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string"), F.lit(".js")).alias("file_"), "l_linenumber")
     found = rows.join(F.broadcast(kinds), "k").withColumn("path", F.col("file_")).withColumn("line", F.col("l_linenumber")).drop("k", "file_", "l_linenumber")  # eight kinds
-    return detect.findings(found.select(*detect.FOUND)).groupBy("algorithm").agg(F.count("*").alias("n_uses"))
+    return detect.findings(settle(found.select(*detect.FOUND)), lexical.words(fact)).groupBy("algorithm").agg(F.count("*").alias("n_uses"))
 
 
 _REVIEW = f"""{_USES}, g AS (SELECT algorithm, priority, note, count(*) AS uses, count(DISTINCT l_orderkey) AS files FROM u WHERE priority IS NOT NULL OR note IS NOT NULL GROUP BY 1, 2, 3),

@@ -98,6 +98,21 @@ def test_calls_and_definitions():
 def test_subtle_names():
     s = Source("a.js", "const { subtle, x: y } = globalThis.crypto; let s = window.crypto.subtle; t = (a || b.webcrypto).subtle; function f(u = crypto.subtle) {} const v = theme.subtle; w.z = crypto.subtle")
     assert s.subtle == {"subtle", "s", "t", "u"}
-    s = Source("dir/sealBox.test.js", "// line one\nconst a = keepSafe;\n/* two\nlines */ b('string');\n" + "\n" * 9 + "c()")
-    assert s.near(4) == ["b", "two", "lines", "const", "a", "keep", "safe", "line", "one", "seal", "box", "test"]
+
+
+def test_awkward_text():
+    from cipherlode.functions.lexer import unescape
+
+    assert unescape(r"\ud83d\ude00 \ud800 \udc00\ud800") == "😀 \ufffd \ufffd\ufffd"
+    assert number("1e999") == float("inf") and number("9" * 5000 + "n") == float("inf") and number("0x" + "f" * 5000 + "n") > 2**64
+    assert value("a", "const a = z ? { name: a } : { name: a }").kind == "other"
+    assert value("z ? 'md5' : " * 1500 + "'md5'").text == "md5" and value("z ? 'md5' : " * 1500 + "'sha1'").kind == "other"
+    assert value("p ? q ? 'x' : 'x' : r ? 'x' : 'x'").text == "x" and value("p ? q ? 'x' : 'y' : 'x'").text is None
+    assert value("z ? { name: 'A', n: 1 } : { name: 'A' }").kind == "object" and value("(z ? " * 3000 + "'a'" + " : 'a')" * 3000).text is None
+    wide = ", ".join(f"c{i} = " + " : ".join(f"z ? c{i + 1}" for _ in range(50)) + f" : c{i + 1}" for i in range(9))
+    assert value("c0", f"const {wide}, c9 = 'deep'").text is None and value("c1", f"const {wide}, c9 = 'deep'").text == "deep"
+
+
+def test_evidence():
+    s = Source("a.js", "// line one\nconst a = keepSafe;\n/* two\nlines */ b('string');\n" + "\n" * 9 + "c()")
     assert s.evidence(4) == "lines */ b('string');"
