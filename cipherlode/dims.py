@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cipherlode import catalogue
+
 CLASSES = ["public-key", "post-quantum", "symmetric", "hash", "kdf", "random", "unknown"]
 
 #: class and kind -> families. Fixed values.
@@ -76,62 +78,8 @@ SIGN_WORDS = r"^(sign(s|ed|ing|er|ature|atures)?$|verif|jwt$|auth|webauthn$|pass
 
 DECIDING = {"seal": SEAL_WORDS, "session": SESSION_WORDS, "sign": SIGN_WORDS}
 
-#: package -> (post-quantum, "member=family" entries; a family may be followed by ;curve=, ;hash=, ;mode=, ;bits=, ;name=, ;note=).
-#: Members named after a hash stand alone, under "hashes". Fixed values.
-_SODIUM = "crypto_box_seal=X25519 sealed box|crypto_box=X25519-XSalsa20-Poly1305|crypto_kx=X25519|crypto_scalarmult=X25519|crypto_sign=Ed25519|crypto_secretbox=XSalsa20-Poly1305|crypto_aead_xchacha20poly1305_ietf=XChaCha20-Poly1305|crypto_secretstream_xchacha20poly1305=XChaCha20-Poly1305|crypto_aead_chacha20poly1305=ChaCha20-Poly1305|crypto_aead_aes256gcm=AES;bits=256;mode=GCM|crypto_pwhash_scryptsalsa208sha256=scrypt|crypto_pwhash=Argon2id|crypto_generichash=Hash;hash=BLAKE2b|crypto_hash_sha256=Hash;hash=SHA-256|crypto_hash_sha512=Hash;hash=SHA-512|crypto_hash=Hash;hash=SHA-512|crypto_auth_hmacsha256=HMAC;hash=SHA-256|crypto_auth_hmacsha512=HMAC;hash=SHA-512|randombytes=CSPRNG"
-_BCRYPT = "hash=bcrypt|hashSync=bcrypt|genSalt=bcrypt|genSaltSync=bcrypt|compare=bcrypt|compareSync=bcrypt"
-_SAML = "=Signature;name=SAML signature;note=key-decides"
-_KEM = "MlKem512=ML-KEM;name=ML-KEM-512|MlKem768=ML-KEM;name=ML-KEM-768|MlKem1024=ML-KEM;name=ML-KEM-1024"
-_PUSH = "ECDH;curve=P-256;also=ECDSA"
-PACKAGES = {
-    "tweetnacl": ("no", "box=X25519-XSalsa20-Poly1305|scalarMult=X25519|sign=Ed25519|secretbox=XSalsa20-Poly1305|hash=Hash;hash=SHA-512|randomBytes=CSPRNG"),
-    "libsodium-wrappers": ("no", _SODIUM), "libsodium-wrappers-sumo": ("no", _SODIUM), "sodium-native": ("no", _SODIUM),
-    "@noble/curves": ("no", "ed25519=Ed25519|ed25519ph=Ed25519|ed25519ctx=Ed25519|ed448=Ed448|x25519=X25519|x448=X448|schnorr=Schnorr;curve=secp256k1|bls12_381=BLS"),
-    "@noble/ed25519": ("no", "*=Ed25519"),
-    "@noble/secp256k1": ("no", "*=EC;curve=secp256k1|sign=ECDSA;curve=secp256k1|signAsync=ECDSA;curve=secp256k1|verify=ECDSA;curve=secp256k1|getSharedSecret=ECDH;curve=secp256k1"),
-    "@noble/hashes": ("n/a", "hmac=HMAC|hkdf=HKDF|pbkdf2=PBKDF2|pbkdf2Async=PBKDF2|scrypt=scrypt|scryptAsync=scrypt|argon2id=Argon2id|argon2i=Argon2i|argon2d=Argon2d"),
-    "@noble/ciphers": ("n/a", "gcm=AES;mode=GCM|siv=AES;mode=GCM-SIV|gcmsiv=AES;mode=GCM-SIV|cbc=AES;mode=CBC|ctr=AES;mode=CTR|ecb=AES;mode=ECB|aeskw=AES;mode=KW|chacha20poly1305=ChaCha20-Poly1305|xchacha20poly1305=XChaCha20-Poly1305|xsalsa20poly1305=XSalsa20-Poly1305|chacha20=ChaCha20|salsa20=Salsa20"),
-    "@noble/post-quantum": ("yes", "ml_kem512=ML-KEM;name=ML-KEM-512|ml_kem768=ML-KEM;name=ML-KEM-768|ml_kem1024=ML-KEM;name=ML-KEM-1024|ml_dsa44=ML-DSA;name=ML-DSA-44|ml_dsa65=ML-DSA;name=ML-DSA-65|ml_dsa87=ML-DSA;name=ML-DSA-87|slh_dsa=SLH-DSA|ml_kem768_x25519=Hybrid KEM;name=MLKEM768-X25519|xwing=Hybrid KEM;name=X-Wing|XWing=Hybrid KEM;name=X-Wing|ml_kem768_p256=Hybrid KEM;name=SecP256r1MLKEM768|ml_kem1024_p384=Hybrid KEM;name=SecP384r1MLKEM1024"),
-    "node-forge": ("no", "pki.rsa=RSA;size=0.bits|pki.ed25519=Ed25519|ed25519=Ed25519|cipher.createCipher=AES;cipher=0|cipher.createDecipher=AES;cipher=0|pkcs5.pbkdf2=PBKDF2;iterations=2|random=CSPRNG"),
-    "elliptic": ("no", "ec=EC;curve_at=0|eddsa=Ed25519"),
-    "jsonwebtoken": ("no", ""), "jose": ("check", ""), "jws": ("no", ""), "jwa": ("no", ""), "fast-jwt": ("no", ""), "express-jwt": ("no", ""), "passport-jwt": ("no", ""), "jwks-rsa": ("no", ""), "openid-client": ("check", ""),
-    "jsrsasign": ("no", "KEYUTIL.generateKeypair=RSA;key_type=0"),
-    "bcrypt": ("n/a", _BCRYPT), "bcryptjs": ("n/a", _BCRYPT),
-    "argon2": ("n/a", "hash=Argon2|verify=Argon2"), "scrypt-js": ("n/a", "scrypt=scrypt|syncScrypt=scrypt"),
-    "hash-wasm": ("n/a", "argon2id=Argon2id|bcrypt=bcrypt|scrypt=scrypt|pbkdf2=PBKDF2"),
-    "crypto-js": ("n/a", "AES=AES|DES=DES|TripleDES=3DES|RC4=RC4|RC4Drop=RC4|Rabbit=Rabbit|SHA3=Hash;hash=SHA-3|HmacMD5=HMAC;hash=MD5|HmacSHA1=HMAC;hash=SHA-1|HmacSHA256=HMAC;hash=SHA-256|HmacSHA512=HMAC;hash=SHA-512|PBKDF2=PBKDF2;iterations=2.iterations"),
-    "openpgp": ("check", "encrypt=OpenPGP;note=key-decides|decrypt=OpenPGP;note=key-decides|sign=OpenPGP signature;note=key-decides|verify=OpenPGP signature;note=key-decides"),
-    "ssh2": ("check", ""), "@peculiar/webcrypto": ("no", ""), "@peculiar/x509": ("no", ""), "mlkem": ("yes", _KEM), "@hpke/ml-kem": ("yes", _KEM),
-    "crystals-kyber-js": ("yes", "Kyber512=Kyber;name=Kyber512|Kyber768=Kyber;name=Kyber768|Kyber1024=Kyber;name=Kyber1024"), "pqc-kyber": ("yes", "*=Kyber"),
-    "eth-crypto": ("no", "encryptWithPublicKey=ECIES;curve=secp256k1|decryptWithPrivateKey=ECIES;curve=secp256k1|sign=ECDSA;curve=secp256k1|recover=ECDSA;curve=secp256k1|recoverPublicKey=ECDSA;curve=secp256k1|createIdentity=EC;curve=secp256k1"),
-    "secp256k1": ("no", "ecdsaSign=ECDSA;curve=secp256k1|ecdsaVerify=ECDSA;curve=secp256k1|ecdh=ECDH;curve=secp256k1|*=EC;curve=secp256k1"),
-    "web-push": ("no", f"sendNotification={_PUSH}|generateRequestDetails={_PUSH}|encrypt=ECDH;curve=P-256|generateVAPIDKeys=ECDSA;curve=P-256|setVapidDetails=ECDSA;curve=P-256|getVapidHeaders=ECDSA;curve=P-256"),
-    "http_ece": ("no", "encrypt=AES;bits=128;mode=GCM|decrypt=AES;bits=128;mode=GCM"), "node-rsa": ("no", "()=RSA;size=0.b"),
-    "@simplewebauthn/server": ("no", "verifyRegistrationResponse=Signature;note=key-decides|verifyAuthenticationResponse=Signature;note=key-decides"),
-    "otplib": ("n/a", "authenticator=HMAC|totp=HMAC|hotp=HMAC"), "speakeasy": ("n/a", "totp=HMAC|hotp=HMAC"),
-    "cookie-signature": ("n/a", "sign=HMAC;hash=SHA-256|unsign=HMAC;hash=SHA-256"), "keygrip": ("n/a", "()=HMAC"), "express-session": ("n/a", ""), "cookie-session": ("n/a", ""),
-    "@hpke/core": ("no", "DhkemX25519HkdfSha256=HPKE DHKEM;curve=X25519;name=HPKE DHKEM(X25519)|DhkemP256HkdfSha256=HPKE DHKEM;curve=P-256;name=HPKE DHKEM(P-256)|DhkemP384HkdfSha384=HPKE DHKEM;curve=P-384;name=HPKE DHKEM(P-384)|DhkemP521HkdfSha512=HPKE DHKEM;curve=P-521;name=HPKE DHKEM(P-521)|HkdfSha256=HKDF;hash=SHA-256|HkdfSha384=HKDF;hash=SHA-384|HkdfSha512=HKDF;hash=SHA-512|Aes128Gcm=AES;bits=128;mode=GCM|Aes256Gcm=AES;bits=256;mode=GCM"),
-    "@hpke/hybridkem-x-wing": ("yes", "XWing=Hybrid KEM;name=X-Wing"),
-    "passport-saml": ("no", f"Strategy{_SAML}"), "@node-saml/passport-saml": ("no", f"Strategy{_SAML}"), "@node-saml/node-saml": ("no", f"SAML{_SAML}"),
-    "xml-crypto": ("no", "SignedXml=Signature;name=XML signature;note=key-decides"), "xml-encryption": ("no", "encrypt=RSA;name=RSA key transport (XML encryption)|decrypt=RSA;name=RSA key transport (XML encryption)"),
-    "node-2fa": ("n/a", "generateToken=HMAC;hash=SHA-1|verifyToken=HMAC;hash=SHA-1"),
-}
-
-#: Members that are hashes under their own names, by package. Fixed values.
-HASH_MEMBERS = {
-    "@noble/hashes": "sha1 md5 ripemd160 sha224 sha256 sha384 sha512 sha512_256 sha3_256 sha3_512 keccak_256 blake2b blake2s blake3",
-    "hash-wasm": "md5 sha1 sha256 sha512 blake3", "crypto-js": "MD5 SHA1 SHA224 SHA256 SHA384 SHA512 RIPEMD160", "node-forge": "md.sha1 md.md5 md.sha256 md.sha384 md.sha512",
-}
-
-#: Curve objects of one package, each with sign, verify and getSharedSecret. Fixed values.
-CURVE_MEMBERS = {"@noble/curves": "secp256k1 p256 secp256r1 p384 secp384r1 p521 secp521r1"}
-
-#: Packages that take JSON Web Algorithm names; members that do no cryptography. Fixed values.
-JOSE = ["jsonwebtoken", "jose", "jws", "jwa", "fast-jwt", "express-jwt", "passport-jwt", "jsrsasign", "jwks-rsa", "openid-client"]
-PLAIN = {"jsonwebtoken": ["decode"], "jose": ["decodeJwt", "decodeProtectedHeader", "base64url", "errors"], "jws": ["decode"], "fast-jwt": ["createDecoder"], "passport-jwt": ["ExtractJwt"]}
-
-#: Paths below a package whose export is the algorithm itself. Fixed values.
-SUBPATHS = {"crypto-js": "aes=AES|des=DES|tripledes=3DES|rc4=RC4|md5=Hash;hash=MD5|sha1=Hash;hash=SHA-1|sha256=Hash;hash=SHA-256|sha512=Hash;hash=SHA-512|hmac-sha256=HMAC;hash=SHA-256|hmac-sha1=HMAC;hash=SHA-1|pbkdf2=PBKDF2;iterations=2.iterations"}
+#: Catalogued packages, and whether they do post-quantum cryptography.
+PACKAGES = {p: pq for pq, names in catalogue.POST_QUANTUM.items() for p in names}
 
 #: Node calls that configure TLS: servers always count, clients where they write a TLS field. Fixed values.
 TLS_SERVERS = ["tls.createServer", "tls.createSecureContext", "https.createServer", "http2.createSecureServer"]
@@ -146,13 +94,6 @@ def notes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(NOTES.items()), "code string, text string")
 
 
-def _entry(package: str, text: str, subpath: bool) -> tuple:
-    member, _, rest = text.partition("=")
-    family, *options = rest.split(";")
-    o = dict(x.split("=", 1) for x in options)
-    return (package, member, subpath, family, o.get("curve"), o.get("hash"), o.get("mode"), int(o["bits"]) if "bits" in o else None, o.get("name"), o.get("note"), o.get("also"), o.get("size"), o.get("iterations"), o.get("cipher"), o.get("key_type"), o.get("curve_at"))
-
-
 LIBRARY_CALL = "package string, member string, is_subpath boolean, family string, curve string, hash string, mode string, bits long, name string, note string, also string, size_at string, iterations_at string, cipher_at string, key_type_at string, curve_at string"
 
 
@@ -160,24 +101,24 @@ def library_calls(spark: SparkSession) -> DataFrame:
     """A row for each catalogued member; hash and curve members come from their names."""
     from cipherlode.functions.names import curve_name, hash_name_of
 
-    rows = [_entry(p, e, False) for p, (_, calls) in PACKAGES.items() for e in calls.split("|") if e]
-    rows += [_entry(p, e, True) for p, calls in SUBPATHS.items() for e in calls.split("|")]
-    rows += [_entry(p, f"{m}=Hash;hash={hash_name_of(m.rpartition('.')[2])}", False) for p, names in HASH_MEMBERS.items() for m in names.split()]
-    for p, names in CURVE_MEMBERS.items():
+    rows = [{"package": p, "is_subpath": below, **c} for below, table in ((False, catalogue.CALLS), (True, catalogue.SUBPATHS)) for p, calls in table.items() for c in calls]
+    rows += [{"package": p, "is_subpath": False, **catalogue.call(m, "Hash", hash=hash_name_of(m.rpartition(".")[2]))} for p, names in catalogue.HASH_MEMBERS.items() for m in names.split()]
+    for p, names in catalogue.CURVE_MEMBERS.items():
         for m in names.split():
             uses = {"": "EC", ".sign": "ECDSA", ".verify": "ECDSA", ".getSharedSecret": "ECDH"}
-            rows += [_entry(p, f"{m}{end}={family};curve={curve_name(m)}", False) for end, family in uses.items()]
-    return spark.createDataFrame(rows, LIBRARY_CALL)
+            rows += [{"package": p, "is_subpath": False, **catalogue.call(m + end, family, curve=curve_name(m))} for end, family in uses.items()]
+    return spark.createDataFrame([tuple(r.get(c.split()[0]) for c in LIBRARY_CALL.split(", ")) for r in rows], LIBRARY_CALL)
 
 
 def libraries(spark: SparkSession) -> DataFrame:
     """(package, post_quantum, jose, has_calls, provides); provides lists the families of the calls."""
     rows = []
-    for p, (pq, calls) in PACKAGES.items():
-        families = {e.partition("=")[2].split(";")[0] for e in calls.split("|") if e} | ({"Hash"} if p in HASH_MEMBERS else set()) | ({"EC", "ECDH", "ECDSA"} if p in CURVE_MEMBERS else set()) | ({"JSON Web Algorithms"} if p in JOSE else set())
-        rows.append((p, pq, p in JOSE, bool(calls) or p in HASH_MEMBERS, ", ".join(sorted(families))))
+    for p, pq in PACKAGES.items():
+        calls, more = catalogue.CALLS.get(p, []), {"Hash": catalogue.HASH_MEMBERS, "EC, ECDH, ECDSA": catalogue.CURVE_MEMBERS, "JSON Web Algorithms": catalogue.JOSE}
+        families = {c["family"] for c in calls} | {f for names, held in more.items() if p in held for f in names.split(", ")}
+        rows.append((p, pq, p in catalogue.JOSE, bool(calls) or p in catalogue.HASH_MEMBERS, ", ".join(sorted(families))))
     return spark.createDataFrame(rows, "package string, post_quantum string, jose boolean, has_calls boolean, provides string")
 
 
 def plain_members(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p, m) for p, names in PLAIN.items() for m in names], "package string, member string")
+    return spark.createDataFrame([(p, m) for p, names in catalogue.PLAIN.items() for m in names], "package string, member string")

@@ -74,7 +74,7 @@ def _named(pairs: list[tuple[str, str | None]], of: Callable[[Column], Column],
 
 
 _NAMES: dict[str, tuple[list[tuple[str, str | None]], Callable[[Column], Column], str]] = {
-    "hash_names": ([("sha256", "SHA-256"), ("SHA-1", "SHA-1"), ("md5", "MD5"), ("sha512-256", "SHA-512/256"), ("SHA3-384", "SHA3-384"), ("shake128", "SHAKE128"), ("RIPEMD160", "RIPEMD-160"), ("rmd160", "RIPEMD-160"), ("blake2b512", "BLAKE2b-512"), ("blake2s", "BLAKE2s"), ("sm3", "SM3"), ("keccak256", "Keccak-256"), ("crc32", None), ("sha_224", "SHA-224")], N.normalise_hash, "hash"),
+    "hash_names": ([("sha256", "SHA-256"), ("SHA-1", "SHA-1"), ("md5", "MD5"), ("sha512-256", "SHA-512/256"), ("SHA3-384", "SHA3-384"), ("shake128", "SHAKE128"), ("RIPEMD160", "RIPEMD-160"), ("rmd160", "RIPEMD-160"), ("blake2b512", "BLAKE2b-512"), ("blake2s", "BLAKE2s"), ("sm3", "SM3"), ("keccak256", "Keccak-256"), ("crc32", None), ("sha_224", "SHA-224"), ("sha/256", None), ("s-h-a-256", None), ("sha51-2/256", None), ("SHA-512/224", "SHA-512/224"), ("blake2b-264", "BLAKE2b-264"), ("sha3 512", "SHA3-512"), ("sha512256", None)], N.normalise_hash, "hash"),
     "curve_names": ([("prime256v1", "P-256"), ("secp256r1", "P-256"), ("P-384", "P-384"), ("p521", "P-521"), ("secp256k1", "secp256k1"), ("curve25519", "X25519"), ("brainpoolP256r1", "brainpoolP256r1"), ("Ed448", "Ed448")], N.normalise_curve, "curve"),
     "cipher_names": ([("aes-128-cbc", "AES-128-CBC"), ("aes256", "AES-256-CBC"), ("AES-256-GCM", "AES-256-GCM"), ("id-aes192-gcm", "AES-192-GCM"), ("aes-gcm", "AES-GCM"), ("des-ede3-cbc", "3DES-CBC"), ("des-cbc", "DES-CBC"), ("rc4", "RC4"), ("chacha20-poly1305", "ChaCha20-Poly1305"), ("bf-cbc", "Blowfish"), ("camellia-128", "camellia-128")], lambda c: N.display_name(N.cipher(c)), "algorithm"),
     "jose_names": ([("HS256", "HMAC"), ("RS512", "RSASSA-PKCS1-v1_5"), ("PS384", "RSA-PSS"), ("ES256", "ECDSA"), ("ES256K", "ECDSA"), ("EdDSA", "EdDSA"), ("RSA-OAEP-256", "RSA-OAEP"), ("RSA1_5", "RSAES-PKCS1-v1_5"), ("ECDH-ES+A128KW", "ECDH"), ("A256GCM", "AES"), ("A128CBC-HS256", "AES"), ("PBES2-HS256+A128KW", "PBKDF2"), ("ML-DSA-65", "ML-DSA"), ("es256", None), ("none", None)], lambda c: N.jose(c)["family"], "family"),
