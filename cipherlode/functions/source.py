@@ -1,4 +1,4 @@
-"""What one source file says: its constants, imports, calls and values. Nothing is followed beyond a file."""
+"""What one source file says as written: its declarations, imports, calls and values. Which declaration a name means is for a join to find."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from typing import NamedTuple
 
 from cipherlode.functions.lexer import Tokens, number, unescape
 
-#: Constants that a value goes through, and conditionals within conditionals.
-HOPS, NESTED = 8, 16
+#: Conditionals within conditionals that are gone into.
+NESTED = 16
 #: Shapes over letters of tokens.
 _DECLARATION = re.compile(r"(?<!\.)D(?=[i{\[])")
 _IMPORT = re.compile(r"(?<!\.)I(?:(?P<default>i)(?P<comma>,)?)?(?:\*i(?P<all>i)|(?P<open>\{)[^{}]*\})?is|(?<!\.)Is")
@@ -29,13 +29,18 @@ def words_of(text: str) -> list[str]:
 
 
 class Value(NamedTuple):
-    """kind: string, number, null, boolean, object, array, function, name (not set by a constant here) or other. at: an object's tokens."""
+    """What an expression is as written. kind: string, number, null, boolean, object, array, function, name, choice (branches that may say the same) or other.
+
+    at: an object's tokens; place: the token of a name; an object among branches has the text, or the code and place, of what its name is set to.
+    """
 
     kind: str
     code: str = ""
     text: str | None = None
     number: float | int | None = None
     at: tuple[int, int] | None = None
+    place: int | None = None
+    branches: tuple[Value, ...] = ()
 
 
 class Declared(NamedTuple):
@@ -43,13 +48,13 @@ class Declared(NamedTuple):
     kind: str
     index: int  # of the name, or of a pattern's opener
     value: tuple[int, int] | None
+    block: int
 
 
 class Source:
     def __init__(self, path: str, text: str):
         self.path, self.tokens = path, Tokens(text)
         self.letters = self.tokens.letters
-        self._known: dict[tuple[int, int, int], Value] = {}
 
     # values
 
@@ -58,8 +63,8 @@ class Source:
         closed = len(raw) > 1 and raw[-1] == raw[0]
         return unescape(raw[1 : len(raw) - closed])
 
-    def value(self, s: int, e: int, seen: frozenset[str] = frozenset(), nested: int = 0) -> Value:
-        """What an expression is, through constants of this file. seen: those on the way here; nested: conditionals around it, of which NESTED are gone into."""
+    def value(self, s: int, e: int, nested: int = 0) -> Value:
+        """What an expression is. nested: conditionals around it, of which NESTED are gone into."""
         t, letters = self.tokens, self.letters
         e = next((i for i in t.top(s, e) if i > s and letters[i] == "i" and t.word(i) in ("as", "satisfies")), e)
         while e - s > 1 and letters[s] == "(" and t.partner.get(s) == e - 1:
@@ -74,7 +79,7 @@ class Source:
                 return Value("number", number=number(t.word(s)))
             if first == "i":
                 name = t.word(s)
-                return Value("null", "null") if name in ("null", "undefined") else Value("boolean", name) if name in ("true", "false") else self.constant(name, s, seen, nested)
+                return Value("null", "null") if name in ("null", "undefined") else Value("boolean", name) if name in ("true", "false") else Value("name", name, place=s)
         if e - s == 2 and first == "-" and letters[s + 1] == "n":
             return Value("number", number=-number(t.word(s + 1)))
         if first in "{[" and t.partner.get(s) == e - 1:
@@ -84,43 +89,29 @@ class Source:
             return Value("function")
         cuts = [(letter, i) for letter, i in top if letter in "q:"]
         if cuts and nested < NESTED:
-            return self._branches(s, e, cuts, seen, nested) or Value("other", t.code(s, e))
+            return self._choice(s, e, cuts, nested) or Value("other", t.code(s, e))
         return Value("other", t.code(s, e))
 
-    def _branches(self, s: int, e: int, cuts: list[tuple[str, int]], seen: frozenset[str], nested: int) -> Value | None:
-        """What all branches of a conditional, or of a chain or tree of them, say; between its marks, what no question mark follows is a branch."""
+    def _choice(self, s: int, e: int, cuts: list[tuple[str, int]], nested: int) -> Value | None:
+        """A conditional, or a chain or tree of them: between its marks, what no question mark follows is a branch. Literals that all say the same are one."""
         if cuts[0][0] != "q" or 2 * sum(letter == "q" for letter, _ in cuts) != len(cuts):
             return None
-        starts = [s, *(i + 1 for _, i in cuts)]
-        found, said = None, None
+        starts, found = [s, *(i + 1 for _, i in cuts)], []
         for start, (letter, end) in zip(starts, [*cuts, (":", e)], strict=True):
             if letter == ":":
-                v = self.value(start, end, seen, nested + 1)
-                says = self._says(v, seen, nested)
-                if says is None or (found and (found.kind, said) != (v.kind, says)):
+                v = self.value(start, end, nested + 1)
+                if v.kind == "object":
+                    named = next((self.value(*at, nested + 1) for name, at in self._places(v).items() if name == "name"), Value("other"))
+                    v = v._replace(code=named.code, text=named.text, place=named.place)
+                if v.kind not in ("string", "number", "name", "object", "choice") or (v.kind == "object" and v.text is None and v.place is None):
                     return None
-                found, said = found or v, says
-        return found
-
-    def _says(self, v: Value, seen: frozenset[str], nested: int) -> str | float | None:
-        if v.kind == "object":
-            return next((self.value(*at, seen, nested + 1).text for name, at in self._places(v).items() if name == "name"), None)
-        return v.text if v.kind == "string" else v.number
-
-    def constant(self, name: str, at: int, seen: frozenset[str], nested: int) -> Value:
-        """What the innermost declaration of a name around a use sets it to, if it is a const. Below the top level it must come first."""
-        block = self.tokens.block(at)
-        while len(seen) <= HOPS and name not in seen:
-            d = next((d for d in self._named.get((name, block), ()) if block == -1 or d.index < at), None)
-            if d and d.kind == "const" and d.value:
-                key = (d.index, len(seen), nested)
-                if key not in self._known:
-                    self._known[key] = self.value(*d.value, seen | {name}, nested)
-                return self._known[key]
-            if d or block == -1:
-                break
-            block = self.tokens.outer[block]
-        return Value("name", name)
+                found += v.branches or [v]
+        said = {(v.kind, v.text, v.number) for v in found if v.place is None}
+        if len(said) > 1:
+            return None
+        if all(v.place is None for v in found):
+            return found[0]
+        return Value("choice", self.tokens.code(s, e), branches=tuple(dict.fromkeys(found)))
 
     def _places(self, v: Value) -> dict[str, tuple[int, int]]:
         """Where an object's fields are set; computed names, spreads and methods are passed over, the last of a name counts."""
@@ -157,7 +148,7 @@ class Source:
                 if letters[k : k + 1] == "=":
                     end = t.expression(k + 1)
                     value = (k + 1, end)
-                out.append(Declared(t.word(j) if letters[j] == "i" else None, kind, j, value))
+                out.append(Declared(t.word(j) if letters[j] == "i" else None, kind, j, value, t.block(j)))
                 if letters[end : end + 1] != ",":
                     break
                 j = end + 1
@@ -174,18 +165,17 @@ class Source:
         return len(self.letters)
 
     @cached_property
-    def _named(self) -> dict[tuple[str, int], list[Declared]]:
-        out: dict[tuple[str, int], list[Declared]] = {}
+    def scoped(self) -> list[Declared]:
+        """Names that are declared, each once in a block."""
+        seen: dict[tuple[str, int], Declared] = {}
         for d in self.declared:
             if d.name:
-                out.setdefault((d.name, self.tokens.block(d.index)), []).append(d)
-        return out
+                seen.setdefault((d.name, d.block), d)
+        return list(seen.values())
 
-    def module_constants(self) -> Iterator[tuple[Declared, Value]]:
-        """Constants of the top level that are a string or a number."""
-        for d in self.declared:
-            if d.name and d.kind == "const" and d.value and self.tokens.block(d.index) == -1 and (v := self.value(*d.value)).kind in ("string", "number"):
-                yield d, v
+    def scope(self, d: Declared) -> tuple[int, int]:
+        """The tokens between which a declaration holds: from itself to its block's end; everywhere at the top level."""
+        return (-1, len(self.letters)) if d.block == -1 else (d.index, self.tokens.partner.get(d.block, len(self.letters)))
 
     # imports
 

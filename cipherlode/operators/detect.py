@@ -12,7 +12,7 @@ from cipherlode import dims
 from cipherlode.functions import code as C
 from cipherlode.functions import names as N
 from cipherlode.functions import words as V
-from cipherlode.operators import lexical
+from cipherlode.operators import lexical, scopes
 from cipherlode.store import settle
 
 FOUND = ["path", "line", "col", "detector", "ord", "part", "interface", "operation", "spec", "extra", "evidence"]
@@ -128,9 +128,9 @@ def node_crypto(calls: DataFrame) -> DataFrame:
     return _result(used, 1, "node:crypto", spec, extra)
 
 
-def parameters(fact: DataFrame) -> DataFrame:
-    """Module constants that by their name are a PBKDF2 iteration count."""
-    named = fact.where((F.col("kind") == "const") & F.col("name").rlike("(?i)pbkdf2") & F.col("name").rlike("(?i)iter|rounds") & F.col("value.number").isNotNull())
+def parameters(constants: DataFrame) -> DataFrame:
+    """Constants of the top level (scopes.Resolved) that by their name are a PBKDF2 iteration count."""
+    named = constants.where(F.col("name").rlike("(?i)pbkdf2") & F.col("name").rlike("(?i)iter|rounds") & F.col("value.number").isNotNull())
     return _result(named.withColumn("operation", F.lit("iteration count")), 2, "constant", N.spec("PBKDF2", parameters=F.create_map(F.lit("iterations"), F.col("value.number").cast("string")), notes=["declared-here"]))
 
 
@@ -268,20 +268,24 @@ class Detected(NamedTuple):
     unread: DataFrame
 
 
-def resolved_calls(fact: DataFrame) -> DataFrame:
-    return lexical.with_constants(lexical.calls(fact), lexical.constants(fact))
+def resolved(fact: DataFrame) -> scopes.Resolved:
+    """Calls whose arguments are what constants of their file, or of one that it imports, set them to; and the constants. Both are stored: detectors ask a call's arguments many times."""
+    own = scopes.resolve(fact, lexical.calls(fact))
+    constants = settle(own.constants)
+    return scopes.Resolved(settle(lexical.with_imported(own.calls, lexical.imported(fact, constants)), "zstd"), constants)
 
 
 def detect(files: DataFrame) -> Detected:
     """What files (path, text) say. The texts are read once: their facts are stored in the shared folder."""
     fact = settle(lexical.facts(files), "zstd")
-    call = settle(resolved_calls(fact), "zstd")
+    seen = resolved(fact)
+    call = seen.calls
     packages = imported_packages(lexical.import_sites(fact))
     named = library_calls(call).unionByName(jwt_default(call)).unionByName(jose_literals(fact))
     named = settle(named.select(*FOUND))  # stored, since unread_imports asks for it too
     each = named.select("path", F.explode(F.split(F.substring(F.col("interface"), 9, 1000), " or ")).alias("package"))
     used = each.union(plain_uses(call))
     found = named
-    for part in (web_crypto(call), node_crypto(call), parameters(fact), unread_imports(packages, used)):
+    for part in (web_crypto(call), node_crypto(call), parameters(seen.constants), unread_imports(packages, used)):
         found = found.unionByName(part.select(*FOUND))
     return Detected(settle(found, "zstd"), packages, call, lexical.words(fact), lexical.unread(fact))

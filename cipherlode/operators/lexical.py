@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from cipherlode.dims import DECIDING, PACKAGES, SUBTLE
 
@@ -22,18 +23,16 @@ NEAR, LINES = 8, 16
 #: Bytes of facts that a task holds before it sends them.
 HELD = 4 << 20
 
-_SCALAR = [("kind", pa.string()), ("code", pa.string()), ("text", pa.string()), ("number", pa.int64())]
-_VALUE = pa.struct([*_SCALAR, ("fields", pa.map_(pa.string(), pa.struct(_SCALAR)))])
-_ARGUMENT = pa.struct([*_VALUE, ("given", pa.string()), ("line", pa.int32()), ("col", pa.int32()), ("evidence", pa.string())])
+_SCALAR = [("kind", pa.string()), ("code", pa.string()), ("text", pa.string()), ("number", pa.int64()), ("place", pa.int32())]
+_VALUE = [*_SCALAR, ("fields", pa.map_(pa.string(), pa.struct(_SCALAR))), ("branches", pa.list_(pa.struct(_SCALAR)))]
+_ARGUMENT = [*_VALUE, ("given", pa.string()), ("line", pa.int32()), ("col", pa.int32()), ("evidence", pa.string())]
 _SCHEMA = pa.schema([
-    ("path", pa.string()), ("kind", pa.string()), ("ord", pa.int32()), ("line", pa.int32()), ("col", pa.int32()), ("name", pa.string()), ("module", pa.string()), ("members", pa.list_(pa.string())),
-    ("chain", pa.list_(pa.string())), ("crypto_root", pa.bool_()), ("alias", pa.bool_()), ("padded", pa.bool_()), ("args", pa.list_(_ARGUMENT)), ("value", _VALUE), ("evidence", pa.string()),
+    ("path", pa.string()), ("kind", pa.string()), ("ord", pa.int32()), ("line", pa.int32()), ("col", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("name", pa.string()), ("module", pa.string()), ("members", pa.list_(pa.string())),
+    ("chain", pa.list_(pa.string())), ("crypto_root", pa.bool_()), ("alias", pa.bool_()), ("padded", pa.bool_()), ("args", pa.list_(pa.struct(_ARGUMENT))), ("value", pa.struct(_VALUE)), ("evidence", pa.string()),
 ])
-FACT = (
-    "path string, kind string, ord int, line int, col int, name string, module string, members array<string>, chain array<string>, crypto_root boolean, alias boolean, padded boolean, "
-    "args array<struct<kind:string,code:string,text:string,number:bigint,fields:map<string,struct<kind:string,code:string,text:string,number:bigint>>,given:string,line:int,col:int,evidence:string>>, "
-    "value struct<kind:string,code:string,text:string,number:bigint,fields:map<string,struct<kind:string,code:string,text:string,number:bigint>>>, evidence string"
-)
+FACT = from_arrow_schema(_SCHEMA)
+#: What facts say of a value that is known: alone, and with an object's fields.
+SCALAR = ["kind", "code", "text", "number"]
 
 
 def package(module: str) -> str:
@@ -43,18 +42,24 @@ def package(module: str) -> str:
 
 def _plain(v) -> dict:
     whole = int(v.number) if v.number is not None and abs(v.number) < 2**63 and v.number == int(v.number) else None
-    return {"kind": v.kind, "code": v.code, "text": v.text, "number": whole}
+    return {"kind": v.kind, "code": v.code, "text": v.text, "number": whole, "place": v.place}
 
 
 def _read(path: str, text: str) -> Iterator[dict]:
-    """Facts of one file. kind: call, import, ask (a constant of another file), const (of the top level), string (in an import's reach), word (near a call or string: one that decides a priority)."""
-    from cipherlode.functions.source import Source
+    """Facts of one file, by kind.
+
+    call; import; ask (a constant of another file); declared (a name that a value may
+    mean, with the tokens between which it holds, whether it is a constant, and its
+    value; those of the top level have a place); string (in an import's reach); word (near a
+    call or string: one that decides a priority).
+    """
+    from cipherlode.functions.source import Declared, Source, Value
 
     asked = bool(MENTIONS.search(text))
     if not asked and not ("export" in text and "const" in text):
         return
     source = Source(path, text)
-    t, used_lines = source.tokens, set()
+    t, used_lines, names = source.tokens, set(), set()
 
     def at(i: int, use: bool = False) -> dict:
         line, col = t.place(i)
@@ -62,17 +67,32 @@ def _read(path: str, text: str) -> Iterator[dict]:
             used_lines.add(line)
         return {"path": path, "ord": i, "line": line, "col": col, "evidence": source.evidence(line)}
 
-    def fields(v) -> list[tuple[str, dict]]:
-        out = []
+    def told(v: Value) -> dict:
+        """A value with its fields and branches; the names in it are asked for."""
+        fields = []
         for name, x in source.fields(v):
-            out.append((name, _plain(x)))
-            out += [(f"{name}.{k}", _plain(y)) for k, y in source.fields(x)]
-        return out
-
-    for d, v in source.module_constants():
-        if "export" in text or "pbkdf2" in d.name.lower():
-            yield at(d.index) | {"kind": "const", "name": d.name, "value": _plain(v) | {"fields": []}}
+            fields.append((name, x))
+            fields += [(f"{name}.{k}", y) for k, y in source.fields(x)]
+        names.update(x.code for x in (v, *v.branches, *(x for _, x in fields)) if x.place is not None)
+        return _plain(v) | {"fields": [(k, _plain(x)) for k, x in fields], "branches": [_plain(x) for x in v.branches]}
+
+    def declared(d: Declared) -> dict:
+        low, high = source.scope(d)
+        fact = {"path": path, "ord": d.index, "kind": "declared", "name": d.name, "low": low, "high": high, "alias": d.kind == "const" and d.value is not None}
+        return fact | (at(d.index) if low == -1 else {}) | {"value": told(source.value(*d.value)) if fact["alias"] else None}
+
+    def asked_for(wanted: Callable[[Declared], bool]) -> Iterator[dict]:
+        """The declarations wanted, and those of the names in their values, and so on."""
+        left = list(source.scoped)
+        while left:
+            now, left = [d for d in left if d.name in names or wanted(d)], [d for d in left if not (d.name in names or wanted(d))]
+            if not now:
+                break
+            yield from map(declared, now)
+
+    exported = lambda d: d.block == -1 and d.kind == "const" and ("export" in text or "pbkdf2" in d.name.lower())
     if not asked:
+        yield from (d for d in asked_for(exported) if d["value"] is None or d["value"]["kind"] in ("string", "number", "name", "choice"))
         return
     sites, bound = source.imports
     for i, module in sites:
@@ -93,7 +113,7 @@ def _read(path: str, text: str) -> Iterator[dict]:
             if e > s:
                 v = source.value(s, e)
                 own = at(s, use=True) if subtle else {"line": None, "col": None, "evidence": None}
-                args.append(_plain(v) | {"fields": fields(v), "given": t.code(s, e) if v.kind in ("name", "other") or (v.kind != "object" and e - s == 1) else "", **{k: own[k] for k in ("line", "col", "evidence")}})
+                args.append(told(v) | {"given": t.code(s, e) if v.kind in ("name", "choice", "other") or (v.kind != "object" and e - s == 1) else "", **{k: own[k] for k in ("line", "col", "evidence")}})
         yield at(i, use=True) | {
             "kind": "call", "chain": chain, "module": module, "members": members, "args": args, "alias": not root and not group and len(chain) == 2 and chain[0] in source.subtle,
             "crypto_root": bool(group and source.mentions(*group)), "padded": any(t.word(k) == "RSA_PKCS1_PADDING" for k in range(opener, t.partner.get(opener, opener)) if source.letters[k] == "i"),
@@ -109,9 +129,10 @@ def _read(path: str, text: str) -> Iterator[dict]:
                 field = i if source.letters[i - 1 : i] == ":" else openers[i]
                 named = field > 1 and source.letters[field - 1] == ":" and t.word(field - 2) in (("alg", "algorithm") if field == i else ("algorithms",))
                 yield at(i, use=True) | {"kind": "string", "name": text_, "alias": named, "chain": used}
+    yield from asked_for(exported)
     around = {k for line in used_lines for k in range(line - NEAR, line + 1)}
     for first, last, place, comment, kind, word in source.words(around, {k: re.compile(pattern) for k, pattern in DECIDING.items()}):
-        yield {"path": path, "kind": "word", "ord": place, "line": first, "col": last, "name": word, "module": kind, "alias": comment}
+        yield {"path": path, "kind": "word", "ord": place, "low": first, "high": last, "name": word, "module": kind, "alias": comment}
 
 
 def _read_or_say(path: str, text: str) -> Iterator[dict]:
@@ -159,7 +180,7 @@ def calls(fact: DataFrame) -> DataFrame:
 
 def words(fact: DataFrame) -> DataFrame:
     """(path, first, last, place, comment, kind, word): the first word of each kind in a line of code, or in a comment, which may go over several lines."""
-    return fact.where("kind = 'word'").select("path", F.col("line").alias("first"), F.col("col").alias("last"), F.col("ord").alias("place"), F.col("alias").alias("comment"), F.col("module").alias("kind"), F.col("name").alias("word"))
+    return fact.where("kind = 'word'").select("path", F.col("low").alias("first"), F.col("high").alias("last"), F.col("ord").alias("place"), F.col("alias").alias("comment"), F.col("module").alias("kind"), F.col("name").alias("word"))
 
 
 def unread(fact: DataFrame) -> DataFrame:
@@ -187,17 +208,17 @@ def near_words(lines: DataFrame, words: DataFrame) -> DataFrame:
     return both.groupBy("path", "line").agg(*least.values()).select("path", "line", *(F.col(k)["word"].alias(k) for k in DECIDING))
 
 
-def constants(fact: DataFrame) -> DataFrame:
-    """(path, names): what a file imports, by relative path, that is a constant of the other file's top level: one step."""
-    exported = fact.where("kind = 'const'").select(F.col("path").alias("from_path"), F.col("name").alias("from_name"), F.struct(F.col("value.kind").alias("kind"), F.col("value.text").alias("text"), F.col("value.number").alias("number")).alias("value"))
+def imported(fact: DataFrame, constant: DataFrame) -> DataFrame:
+    """(path, names): what a file imports, by relative path, that is a constant (scopes.constants) of the other file's top level: one step."""
+    exported = constant.select(F.col("path").alias("from_path"), F.col("name").alias("from_name"), F.struct(F.col("value.kind").alias("kind"), F.col("value.text").alias("text"), F.col("value.number").alias("number")).alias("value"))
     asked = fact.where("kind = 'ask'").select("path", "name", F.element_at("members", 1).alias("from_name"), F.posexplode(candidates(F.col("path"), F.col("module"))).alias("rank", "from_path"))
     found = asked.join(exported.dropDuplicates(["from_path", "from_name"]), ["from_path", "from_name"]).groupBy("path", "name").agg(F.min_by("value", "rank").alias("value"))
     return found.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("names"))
 
 
-def with_constants(calls: DataFrame, constants: DataFrame) -> DataFrame:
+def with_imported(calls: DataFrame, names: DataFrame) -> DataFrame:
     """calls whose arguments and fields that are names are what their file imports under them."""
-    joined = calls.join(constants, "path", "left")
+    joined = calls.join(names, "path", "left")
     known = lambda v: F.try_element_at("names", F.when(v["kind"] == "name", v["code"]))
 
     def filled(v: Column) -> list[Column]:

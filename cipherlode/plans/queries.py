@@ -58,7 +58,7 @@ def files(rows: DataFrame, path: Column, text: Column) -> DataFrame:
 def node_calls(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, facts) of files."""
     fact = settle(lexical.facts(source))
-    return detect.resolved_calls(fact), fact
+    return detect.resolved(fact).calls, fact
 
 
 def described(calls: DataFrame, fact: DataFrame) -> DataFrame:
@@ -209,8 +209,8 @@ _COUNTS = [("const PBKDF2_ITERATIONS = 1e5;", 100000), ("export const pbkdf2Roun
 
 @query(f"SELECT * FROM (SELECT s_suppkey, CAST({pick_sql('s_suppkey', [None if b is None else str(b) for _, b in _COUNTS])} AS BIGINT) AS iterations FROM supplier) WHERE iterations IS NOT NULL")
 def declared_iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fact = lexical.facts(files(table(spark, sf_dir, "supplier"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".ts")), pick("s_suppkey", [a for a, _ in _COUNTS])))
-    return detect.parameters(fact).select(F.regexp_extract("path", r"\d+", 0).cast("bigint").alias("s_suppkey"), F.col("spec")["parameters"]["iterations"].cast("bigint").alias("iterations"))
+    fact = settle(lexical.facts(files(table(spark, sf_dir, "supplier"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".ts")), pick("s_suppkey", [a for a, _ in _COUNTS]))))
+    return detect.parameters(detect.resolved(fact).constants).select(F.regexp_extract("path", r"\d+", 0).cast("bigint").alias("s_suppkey"), F.col("spec")["parameters"]["iterations"].cast("bigint").alias("iterations"))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS n_findings, count(*) AS n_files FROM part")

@@ -52,32 +52,18 @@ def value(code, before=""):
     return s.value(*s.tokens.split(opener + 1, s.tokens.partner[opener])[0])
 
 
-@pytest.mark.parametrize(
-    ("code", "before", "expected"),
-    [
-        ("'a\\x2db\\n'", "", "a-b\n"), ("`x`", "", "x"), ("'a' as const", "", "a"), ("x", "const x = 'a'", "a"), ("x", "let x = 'a'", None), ("x", "const a='q',b=a,c=b,d=c,e=d,x=e", "q"), ("x", "const x = y, y = x", None),
-        ("x", "function f() { const x = 'a' }", None), ("x", "const x = 'a'; { const x = 'b' }", "a"), ("z ? 'a' : 'a'", "", "a"), ("z ? 'a' : 'b'", "", None), ("x", "const x: Map<string, number> = 'a'", "a"), ("x", "const x\n = 'a'\nfoo()", "a"), ("-5", "", -5), ("1e5", "", 100000),
-        ("x", "use(x); const x = 'late'", "late"),
-    ],
-)
-def test_values(code, before, expected):
-    v = value(code, before)
+@pytest.mark.parametrize(("code", "expected"), [("'a\\x2db\\n'", "a-b\n"), ("`x`", "x"), ("'a' as const", "a"), ("z ? 'a' : 'a'", "a"), ("z ? 'a' : 'b'", None), ("-5", -5), ("1e5", 100000)])
+def test_values(code, expected):
+    v = value(code)
     assert (v.text if v.text is not None else v.number) == expected
 
 
-def test_inner_declarations_hide_outer_ones():
-    for inner, expected in (("const x = 'b'; use(x)", "b"), ("let x = 'b'; use(x)", None), ("use(x); const x = 'b'", "a"), ("if (y) { const x = 'b' } use(x)", "a")):
-        s = Source("a.js", f"const x = 'a'; function f() {{ {inner} }}")
-        (opener,) = (c[1] for c in s.calls() if c[2] == ["use"])
-        assert s.value(opener + 1, s.tokens.partner[opener]).text == expected, inner
-
-
 def test_fields():
     v = "{ name: 'A', 'b c': 1, hash: { name: 'H' }, short, [k]: 1, ...rest, m() {}, d: other.x }"
     s = Source("a.js", f"const short = 7; use({v})")
     (opener,) = (c[1] for c in s.calls() if c[2] == ["use"])
     got = dict(s.fields(s.value(opener + 1, s.tokens.partner[opener])))
-    assert {k: x.text or x.number or x.kind for k, x in got.items()} == {"name": "A", "b c": 1, "hash": "object", "short": 7, "d": "other"}
+    assert {k: x.text or x.number or x.kind for k, x in got.items()} == {"name": "A", "b c": 1, "hash": "object", "short": "name", "d": "other"}
     assert got["d"].code == "other.x" and dict(s.fields(got["hash"]))["name"].text == "H"
 
 
@@ -105,12 +91,10 @@ def test_awkward_text():
 
     assert unescape(r"\ud83d\ude00 \ud800 \udc00\ud800") == "😀 \ufffd \ufffd\ufffd"
     assert number("1e999") == float("inf") and number("9" * 5000 + "n") == float("inf") and number("0x" + "f" * 5000 + "n") > 2**64
-    assert value("a", "const a = z ? { name: a } : { name: a }").kind == "other"
     assert value("z ? 'md5' : " * 1500 + "'md5'").text == "md5" and value("z ? 'md5' : " * 1500 + "'sha1'").kind == "other"
     assert value("p ? q ? 'x' : 'x' : r ? 'x' : 'x'").text == "x" and value("p ? q ? 'x' : 'y' : 'x'").text is None
     assert value("z ? { name: 'A', n: 1 } : { name: 'A' }").kind == "object" and value("(z ? " * 3000 + "'a'" + " : 'a')" * 3000).text is None
-    wide = ", ".join(f"c{i} = " + " : ".join(f"z ? c{i + 1}" for _ in range(50)) + f" : c{i + 1}" for i in range(9))
-    assert value("c0", f"const {wide}, c9 = 'deep'").text is None and value("c1", f"const {wide}, c9 = 'deep'").text == "deep"
+    assert [b.code for b in value("z ? a : y ? b : 'c'").branches] == ["a", "b", ""] and value("z ? a : [1]").kind == "other"
 
 
 def test_evidence():
