@@ -129,7 +129,7 @@ def node_crypto(calls: DataFrame) -> DataFrame:
 
 
 def parameters(constants: DataFrame) -> DataFrame:
-    """Constants of the top level (scopes.Resolved) that by their name are a PBKDF2 iteration count."""
+    """Constants of the top level (as resolved gives them) that by their name are a PBKDF2 iteration count."""
     named = constants.where(F.col("name").rlike("(?i)pbkdf2") & F.col("name").rlike("(?i)iter|rounds") & F.col("value.number").isNotNull())
     return _result(named.withColumn("operation", F.lit("iteration count")), 2, "constant", N.spec("PBKDF2", parameters=F.create_map(F.lit("iterations"), F.col("value.number").cast("string")), notes=["declared-here"]))
 
@@ -268,24 +268,28 @@ class Detected(NamedTuple):
     unread: DataFrame
 
 
-def resolved(fact: DataFrame) -> scopes.Resolved:
-    """Calls whose arguments are what constants of their file, or of one that it imports, set them to; and the constants. Both are stored: detectors ask a call's arguments many times."""
+def resolved(fact: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(calls, constants): calls whose arguments are what constants of their file, or of one that it imports, set them to, and constants of the top level.
+
+    fact is stored, so calls without names in their arguments are read from it; the
+    others are stored anew, since detectors ask a call's arguments many times.
+    """
     own = scopes.resolve(fact, lexical.calls(fact))
     constants = settle(own.constants)
-    return scopes.Resolved(settle(lexical.with_imported(own.calls, lexical.imported(fact, constants)), "zstd"), constants)
+    named = settle(lexical.with_imported(own.named, lexical.imported(fact, constants)), "zstd")
+    return own.plain.unionByName(named), constants
 
 
 def detect(files: DataFrame) -> Detected:
     """What files (path, text) say. The texts are read once: their facts are stored in the shared folder."""
     fact = settle(lexical.facts(files), "zstd")
-    seen = resolved(fact)
-    call = seen.calls
+    call, constants = resolved(fact)
     packages = imported_packages(lexical.import_sites(fact))
     named = library_calls(call).unionByName(jwt_default(call)).unionByName(jose_literals(fact))
     named = settle(named.select(*FOUND))  # stored, since unread_imports asks for it too
     each = named.select("path", F.explode(F.split(F.substring(F.col("interface"), 9, 1000), " or ")).alias("package"))
     used = each.union(plain_uses(call))
     found = named
-    for part in (web_crypto(call), node_crypto(call), parameters(seen.constants), unread_imports(packages, used)):
+    for part in (web_crypto(call), node_crypto(call), parameters(constants), unread_imports(packages, used)):
         found = found.unionByName(part.select(*FOUND))
     return Detected(settle(found, "zstd"), packages, call, lexical.words(fact), lexical.unread(fact))

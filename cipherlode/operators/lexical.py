@@ -40,15 +40,16 @@ def package(module: str) -> str:
     return "/".join(module.split("/")[: 2 if module.startswith("@") else 1])
 
 
-def _plain(v) -> dict:
+def _plain(v, known: set[str]) -> dict:
+    """A value as a fact; the places of names that nothing in the file declares or imports are not asked for."""
     whole = int(v.number) if v.number is not None and abs(v.number) < 2**63 and v.number == int(v.number) else None
-    return {"kind": v.kind, "code": v.code, "text": v.text, "number": whole, "place": v.place}
+    return {"kind": v.kind, "code": v.code, "text": v.text, "number": whole, "place": v.place if v.code in known else None}
 
 
 def _read(path: str, text: str) -> Iterator[dict]:
     """Facts of one file, by kind.
 
-    call; import; ask (a constant of another file); declared (a name that a value may
+    call (low: how many names its arguments have); import; ask (a constant of another file); declared (a name that a value may
     mean, with the tokens between which it holds, whether it is a constant, and its
     value; those of the top level have a place); string (in an import's reach); word (near a
     call or string: one that decides a priority).
@@ -59,7 +60,8 @@ def _read(path: str, text: str) -> Iterator[dict]:
     if not asked and not ("export" in text and "const" in text):
         return
     source = Source(path, text)
-    t, used_lines, names = source.tokens, set(), set()
+    t, used_lines, names, asks = source.tokens, set(), set(), []
+    known = {d.name for d in source.scoped}
 
     def at(i: int, use: bool = False) -> dict:
         line, col = t.place(i)
@@ -68,13 +70,18 @@ def _read(path: str, text: str) -> Iterator[dict]:
         return {"path": path, "ord": i, "line": line, "col": col, "evidence": source.evidence(line)}
 
     def told(v: Value) -> dict:
-        """A value with its fields and branches; the names in it are asked for."""
+        """A value with its fields and branches; the names in it are asked for. A choice that can't be decided is an expression like others."""
         fields = []
+        if v.kind == "choice" and not any(b.place is not None and b.code in known for b in v.branches):
+            v = v._replace(kind="other", branches=())
         for name, x in source.fields(v):
             fields.append((name, x))
             fields += [(f"{name}.{k}", y) for k, y in source.fields(x)]
-        names.update(x.code for x in (v, *v.branches, *(x for _, x in fields)) if x.place is not None)
-        return _plain(v) | {"fields": [(k, _plain(x)) for k, x in fields], "branches": [_plain(x) for x in v.branches]}
+        found = [x for x in (v, *v.branches, *(x for _, x in fields)) if x.place is not None and x.code in known]
+        asks.extend(x.place for x in found)
+        names.update(x.code for x in found)
+        fields = [(k, x._replace(kind="other") if x.kind == "choice" else x) for k, x in fields]
+        return _plain(v, known) | {"fields": [(k, _plain(x, known)) for k, x in fields], "branches": [_plain(x, known) for x in v.branches]}
 
     def declared(d: Declared) -> dict:
         low, high = source.scope(d)
@@ -95,6 +102,7 @@ def _read(path: str, text: str) -> Iterator[dict]:
         yield from (d for d in asked_for(exported) if d["value"] is None or d["value"]["kind"] in ("string", "number", "name", "choice"))
         return
     sites, bound = source.imports
+    known |= {name for name, (module, members) in bound.items() if module.startswith(".") and len(members) == 1}
     for i, module in sites:
         yield at(i) | {"kind": "import", "module": module}
     for name, (module, members) in bound.items():
@@ -108,14 +116,14 @@ def _read(path: str, text: str) -> Iterator[dict]:
         subtle = chain[-1] in SUBTLE
         if not (subtle or chain[-1] in ("getRandomValues", "randomUUID") or (module and (module in MODULES or package(module) in PACKAGES))):
             continue
-        args = []
+        args, before = [], len(asks)
         for s, e in t.split(opener + 1, t.partner.get(opener, opener + 1)):
             if e > s:
                 v = source.value(s, e)
                 own = at(s, use=True) if subtle else {"line": None, "col": None, "evidence": None}
                 args.append(told(v) | {"given": t.code(s, e) if v.kind in ("name", "choice", "other") or (v.kind != "object" and e - s == 1) else "", **{k: own[k] for k in ("line", "col", "evidence")}})
         yield at(i, use=True) | {
-            "kind": "call", "chain": chain, "module": module, "members": members, "args": args, "alias": not root and not group and len(chain) == 2 and chain[0] in source.subtle,
+            "kind": "call", "low": len(asks) - before, "chain": chain, "module": module, "members": members, "args": args, "alias": not root and not group and len(chain) == 2 and chain[0] in source.subtle,
             "crypto_root": bool(group and source.mentions(*group)), "padded": any(t.word(k) == "RSA_PKCS1_PADDING" for k in range(opener, t.partner.get(opener, opener)) if source.letters[k] == "i"),
         }
     used = sorted({package(m) for _, m in sites} & PACKAGES.keys())
@@ -175,7 +183,8 @@ def import_sites(fact: DataFrame) -> DataFrame:
 
 
 def calls(fact: DataFrame) -> DataFrame:
-    return fact.where("kind = 'call'").select("path", "ord", "line", "col", "chain", "module", "members", "crypto_root", "alias", "padded", "args", "evidence")
+    """Calls; asks: how many names their arguments have."""
+    return fact.where("kind = 'call'").select(F.col("low").alias("asks"), "path", "ord", "line", "col", "chain", "module", "members", "crypto_root", "alias", "padded", "args", "evidence")
 
 
 def words(fact: DataFrame) -> DataFrame:
@@ -221,11 +230,11 @@ def with_imported(calls: DataFrame, names: DataFrame) -> DataFrame:
     joined = calls.join(names, "path", "left")
     known = lambda v: F.try_element_at("names", F.when(v["kind"] == "name", v["code"]))
 
-    def filled(v: Column) -> list[Column]:
+    def filled(v: Column) -> Column:
         k = known(v)
-        return [F.coalesce(k["kind"], v["kind"]).alias("kind"), v["code"].alias("code"), F.coalesce(k["text"], v["text"]).alias("text"), F.coalesce(k["number"], v["number"]).alias("number")]
+        return v.withField("kind", F.coalesce(k["kind"], v["kind"])).withField("text", F.coalesce(k["text"], v["text"])).withField("number", F.coalesce(k["number"], v["number"]))
 
-    arg = lambda a: F.struct(*filled(a), F.transform_values(a["fields"], lambda _, v: F.struct(*filled(v))).alias("fields"), *(a[c].alias(c) for c in ("given", "line", "col", "evidence")))
+    arg = lambda a: filled(a).withField("fields", F.transform_values(a["fields"], lambda _, v: filled(v)))
     return joined.withColumn("args", F.when(F.col("names").isNull(), F.col("args")).otherwise(F.transform("args", arg))).drop("names")
 
 

@@ -13,13 +13,14 @@ from cipherlode.store import settle
 
 #: How often the way from constant to constant is doubled: eight steps.
 DOUBLINGS = 3
-_FIELDS = "map<string,struct<kind:string,code:string,text:string,number:bigint>>"
+_FIELDS = "map<string,struct<kind:string,code:string,text:string,number:bigint,place:int>>"
 
 
 class Resolved(NamedTuple):
-    """calls: lexical.calls with names in their arguments replaced by what they are set to; constants: strings and numbers of the top level, at their places."""
+    """named: those of lexical.calls that have names in their arguments, replaced by what they are set to; plain: the others, as they are; constants: strings and numbers of the top level, at their places."""
 
-    calls: DataFrame
+    named: DataFrame
+    plain: DataFrame
     constants: DataFrame
 
 
@@ -80,12 +81,12 @@ def _whole(v: str, known: str) -> str:
     A branch says its kind, text and number; an object, what its name is set to.
     """
     found = lambda x: f"try_element_at({known}, {x}.place)"
-    bare = lambda x: _struct(**{c: f"{x}.{c}" for c in SCALAR})
+    bare = lambda x: _struct(**{c: f"{x}.{c}" for c in SCALAR}, place="cast(NULL AS int)")
     none = f"cast(map() as {_FIELDS})"
     own = f"transform_values({v}.fields, (f, x) -> {_let(found('x'), 'k', f"if(k IS NULL, {bare('x')}, {bare('k')})")})"
     named = _struct(kind="if(x.kind = 'object', x.kind, y.kind)", text="y.text", number="if(x.kind = 'object', NULL, y.number)")
     says = f"if(x.place IS NULL, {_struct(kind='x.kind', text='x.text', number='x.number')}, {_let(found('x'), 'y', named)})"
-    of_object = f"cast(map('name', {_struct(kind="'string'", code="''", text='s.text', number='cast(NULL as bigint)')}) as {_FIELDS})"
+    of_object = f"cast(map('name', {_struct(kind="'string'", code="''", text='s.text', number='cast(NULL AS bigint)', place='cast(NULL AS int)')}) as {_FIELDS})"
     agreed = _struct(kind="s.kind", code="''", text="if(s.kind = 'object', NULL, s.text)", number="s.number", fields=f"if(s.kind = 'object', {of_object}, {none})")
     said = f"array_distinct(transform({v}.branches, x -> {says}))"
     choice = _let(said, "a", _let("try_element_at(a, 1)", "s", f"if(size(a) = 1 AND s.kind IN ('string', 'number', 'object') AND (s.text IS NOT NULL OR s.number IS NOT NULL), {agreed}, NULL)"))
@@ -109,8 +110,7 @@ def resolve(fact: DataFrame, calls: DataFrame) -> Resolved:
     between constants that are choices themselves is not read. Names that go round in a circle stay names.
     """
     declared = fact.where("kind = 'declared'").select("path", "name", "low", "high", "ord", "alias", "value")
-    named = calls.withColumn("names", F.expr(f"array_distinct(flatten(transform(args, v -> {_names('v')})))"))
-    asking = named.where(F.size("names") > 0)
+    asking = calls.where("asks > 0").withColumn("names", F.expr(f"array_distinct(flatten(transform(args, v -> {_names('v')})))"))
     of_values = declared.where("alias").withColumn("names", F.expr(f"array_distinct({_names('value')})"))
     uses = _uses(asking).union(_uses(of_values)).dropDuplicates(["path", "place"])  # files may share a path
     bound = settle(bind(uses, declared))
@@ -128,11 +128,9 @@ def resolve(fact: DataFrame, calls: DataFrame) -> Resolved:
     rich = scalar.where("ord IS NOT NULL").join(held.select("path", "ord", "value"), ["path", "ord"]).select("path", "place", "value.*")
     full = scalar.where("ord IS NULL").select("path", "place", *SCALAR, F.lit(None).cast(_FIELDS).alias("fields")).union(rich)
 
-    arg = _let(_whole("v", "known"), "w", _struct(**{c: f"w.{c}" for c in (*SCALAR, "fields")}, **{c: f"v.{c}" for c in ("given", "line", "col", "evidence")}))
-    found = asking.join(_gathered(asking, "ord", full), ["path", "ord"], "left")
-    alone = named.where("size(names) <= 0 OR names IS NULL").withColumn("known", F.lit(None).cast(dict(found.dtypes)["known"]))
-    done = found.unionByName(alone).withColumn("args", F.expr(f"transform(args, v -> {arg})")).select(*calls.columns)
+    arg = _let(_whole("v", "known"), "w", _struct(**{c: f"w.{c}" for c in SCALAR}, place="cast(NULL AS int)", fields="w.fields", branches="array()", **{c: f"v.{c}" for c in ("given", "line", "col", "evidence")}))
+    found = asking.join(_gathered(asking, "ord", full), ["path", "ord"], "left").withColumn("args", F.expr(f"transform(args, v -> {arg})").cast(calls.schema["args"].dataType)).select(*calls.columns)
 
     top = fact.where("kind = 'declared' AND alias AND low = -1").select("path", "ord", "name", "line", "col", "evidence")
     constants = top.join(held.select("path", "ord", "value"), ["path", "ord"]).where("value.kind IN ('string', 'number')")
-    return Resolved(done, constants.select("path", "ord", "name", "line", "col", "evidence", F.struct(F.col("value.kind").alias("kind"), F.col("value.text").alias("text"), F.col("value.number").alias("number")).alias("value")))
+    return Resolved(found, calls.where("asks <= 0"), constants.select("path", "ord", "name", "line", "col", "evidence", F.struct(F.col("value.kind").alias("kind"), F.col("value.text").alias("text"), F.col("value.number").alias("number")).alias("value")))

@@ -58,7 +58,7 @@ def files(rows: DataFrame, path: Column, text: Column) -> DataFrame:
 def node_calls(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, facts) of files."""
     fact = settle(lexical.facts(source))
-    return detect.resolved(fact).calls, fact
+    return detect.resolved(fact)[0], fact
 
 
 def described(calls: DataFrame, fact: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ _COUNTS = [("const PBKDF2_ITERATIONS = 1e5;", 100000), ("export const pbkdf2Roun
 @query(f"SELECT * FROM (SELECT s_suppkey, CAST({pick_sql('s_suppkey', [None if b is None else str(b) for _, b in _COUNTS])} AS BIGINT) AS iterations FROM supplier) WHERE iterations IS NOT NULL")
 def declared_iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
     fact = settle(lexical.facts(files(table(spark, sf_dir, "supplier"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".ts")), pick("s_suppkey", [a for a, _ in _COUNTS]))))
-    return detect.parameters(detect.resolved(fact).constants).select(F.regexp_extract("path", r"\d+", 0).cast("bigint").alias("s_suppkey"), F.col("spec")["parameters"]["iterations"].cast("bigint").alias("iterations"))
+    return detect.parameters(detect.resolved(fact)[1]).select(F.regexp_extract("path", r"\d+", 0).cast("bigint").alias("s_suppkey"), F.col("spec")["parameters"]["iterations"].cast("bigint").alias("iterations"))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS n_findings, count(*) AS n_files FROM part")
@@ -417,6 +417,15 @@ def npm_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.lock_packages(locks).select(_key(), "package", "version", "dev")
 
 
+@query("SELECT s_suppkey, 'p' || i AS package, '1.' || (s_suppkey % 90) || '.' || i AS version, i % 3 = 0 AS dev FROM supplier, range(1, 41) t(i)")
+def npm_nested_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lockfiles of the first version, forty levels deep: each package has the next one among its own."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey")
+    text = F.expr("""aggregate(sequence(40, 1, -1), '', (below, i) -> concat('"dependencies": {"p', i, '": {"version": "1.', s_suppkey % 90, '.', i, '", "requires": {"x": "1"}', if(i % 3 = 0, ', "dev": true', ''), if(below = '', '', ', '), below, '}}'))""")
+    locks = files(rows, F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("/package-lock.json")), F.concat(F.lit('{"lockfileVersion": 1, '), text, F.lit("}")))
+    return packages.lock_packages(locks).select(_key().alias("s_suppkey"), "package", "version", "dev")
+
+
 @query(f"SELECT s_suppkey, p.package, CASE p.package WHEN '@noble/hashes' THEN '1.4.' ELSE '6.5.' END || ({_NUMBER}) AS version FROM supplier, (VALUES ('@noble/hashes'), ('elliptic')) p(package)")
 def yarn_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit('# yarn\n\n__metadata:\n  version: 6\n\n"@noble/hashes@^1.0.0", "@noble/hashes@npm:^1.1.0":\n  version "1.4.'), _version(), F.lit('"\n  resolved "x"\n\nelliptic@^6.0.0:\n  version: 6.5.'), _version(), F.lit("\n"))

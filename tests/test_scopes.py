@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cipherlode.operators import detect, lexical, scopes
+from cipherlode.store import settle
 
 #: An argument, what comes before the call, and the text or number that it has.
 VALUES = [
@@ -19,22 +20,27 @@ INNER = [("const x = 'b'; use(x)", "b"), ("let x = 'b'; use(x)", None), ("use(x)
 
 
 def resolved(spark, texts):
-    fact = lexical.facts(spark.createDataFrame(list(texts.items()), "path string, text string"))
-    return scopes.resolve(fact, lexical.calls(fact))
+    return detect.resolved(settle(lexical.facts(spark.createDataFrame(list(texts.items()), "path string, text string"))))[0]
 
 
 def test_values_through_constants(spark):
     texts = {f"v{i}": f"import {{ createHash as use }} from 'crypto'; {before}; use({code})" for i, (code, before, _) in enumerate(VALUES)}
     texts |= {f"i{i}": f"import {{ createHash as use }} from 'crypto'; const x = 'a'; function f() {{ {inner} }}" for i, (inner, _) in enumerate(INNER)}
     expected = {f"v{i}": e for i, (_, _, e) in enumerate(VALUES)} | {f"i{i}": e for i, (_, e) in enumerate(INNER)}
-    rows = resolved(spark, texts).calls.orderBy("path", "ord").collect()
+    rows = resolved(spark, texts).orderBy("path", "ord").collect()
     got = {r.path: r.args[0].text if r.args[0].text is not None else r.args[0].number for r in rows}
     assert {k: (texts[k], got[k], e) for k, e in expected.items() if got[k] != e} == {}
 
 
+def test_undecided_choices_are_expressions(spark):
+    texts = {"a": "import { createHash } from 'crypto'; createHash(z ? y : 'a'); crypto.subtle.digest({ name: z ? y : 'A' }, d)", "b": "import { createHash } from 'crypto'; let y; createHash(z ? y : 'a')"}
+    rows = resolved(spark, texts).orderBy("path", "ord").collect()
+    assert [(r.args[0].kind, r.args[0].code) for r in rows] == [("other", "z?y:'a'"), ("object", ""), ("other", "z?y:'a'")] and rows[1].args[0].fields["name"].kind == "other"
+
+
 def test_fields_through_constants(spark):
     text = "const n = 'AES-GCM', len = 256, h = { name: H }, H = 'SHA-1', alg = { name: n, length: len, hash: h, iv, deep: { name: H } }; crypto.subtle.encrypt(alg, k, d); crypto.subtle.encrypt(z ? { name: n, iv } : { name: 'AES-GCM' }, k); crypto.subtle.encrypt({ name: z ? n : n }, k)"
-    a, b, c = (r.args[0] for r in resolved(spark, {"a.js": text}).calls.orderBy("ord").collect())
+    a, b, c = (r.args[0] for r in resolved(spark, {"a.js": text}).orderBy("ord").collect())
     assert {k: v.text or v.number or v.kind for k, v in a.fields.items()} == {"name": "AES-GCM", "length": 256, "hash": "object", "iv": "name", "deep": "object", "deep.name": "SHA-1"}
     assert (b.kind, b.fields["name"].text) == ("object", "AES-GCM") and c.kind == "object"
 
@@ -42,8 +48,8 @@ def test_fields_through_constants(spark):
 def test_repeated_and_clashing_files(spark):
     """Files that share a path, text and all or in part, end no scan."""
     texts = [("a.js", "import { createHash as use } from 'crypto'; const x = 'md5'; use(x); use(x, x)")] * 3 + [("a.js", "import { createHash as use } from 'crypto'; const y = 'md4'; use(y); use(y, z)"), ("b.js", ""), ("c.js", None)]
-    found = detect.resolved(lexical.facts(spark.createDataFrame(texts, "path string, text string")))
-    assert found.calls.count() == 8 and found.constants.count() >= 0
+    calls, constants = detect.resolved(settle(lexical.facts(spark.createDataFrame(texts, "path string, text string"))))
+    assert calls.count() == 8 and {r.name for r in constants.collect()} == {"x", "y"}
 
 
 def plain(uses, declared):
@@ -86,5 +92,5 @@ def test_sweep_against_plain(spark, seed):
 def test_a_name_declared_everywhere(spark):
     """A name that 5,000 functions declare and use: each use means its own."""
     text = "import { createHash } from 'crypto'; " + "".join(f"function f{i}(){{const e='md{i}';createHash(e)}}" for i in range(5000))
-    found = resolved(spark, {"a.js": text}).calls
+    found = resolved(spark, {"a.js": text})
     assert found.where(F.col("args")[0]["text"].startswith("md")).select(F.col("args")[0]["text"]).distinct().count() == 5000
