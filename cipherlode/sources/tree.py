@@ -5,42 +5,73 @@ from __future__ import annotations
 import errno
 import json
 import os
-from collections.abc import Iterator
-from dataclasses import dataclass
+import zlib
+from collections import deque
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith,
+)
 
 from cipherlode.functions import paths as P
 
 SCHEMA = "path string, kind string, size bigint, text string, reason string"
-#: Bytes of files that one partition reads, about.
-PART_BYTES = 32 << 20
+#: Bytes of files that one partition reads, about; folders that are listed before there are tasks; files of one folder that a task lists; tasks for folders.
+PART_BYTES, LISTED, CROWDED, PARTS = 32 << 20, 500, 20_000, 10_000
+#: What is known of a file before it is opened, by its place in _entries.
+BEFORE = {"path": 0, "kind": 1, "size": 2}
 
 
 @dataclass
 class Part(InputPartition):
-    """Files (path, kind, size) to read, and rows that are known already."""
+    """Files (path, kind, size) to read, rows that are known already, folders to list with all that is below them, and slices of crowded folders: one of so many."""
 
-    files: list[tuple[str, str, int]]
-    known: list[tuple[str, str | None, int | None, None, str]]
+    files: list[tuple[str, str, int]] = field(default_factory=list)
+    known: list[tuple[str, str | None, int | None, None, str]] = field(default_factory=list)
+    folders: list[str] = field(default_factory=list)
+    crowded: list[tuple[str, int, int]] = field(default_factory=list)
 
 
 def _code(error: OSError) -> str:
     return errno.errorcode.get(error.errno or 0, "error")
 
 
+def _test(f: Filter) -> Callable[[tuple], bool] | None:
+    """A filter as a test of (path, kind, size); null fails, as in SQL. None where it asks for something else."""
+    if isinstance(f, Not):
+        inner = f.child
+        test = _test(inner)
+        at = BEFORE.get(getattr(inner, "attribute", ("",))[0])
+        return None if test is None or at is None or isinstance(inner, (IsNull, IsNotNull, EqualNullSafe)) else lambda e: e[at] is not None and not test(e)
+    at, value = BEFORE.get(f.attribute[0]) if len(f.attribute) == 1 else None, getattr(f, "value", None)
+    tests = {
+        EqualTo: lambda x: x == value, In: lambda x: x in value, GreaterThan: lambda x: x > value, GreaterThanOrEqual: lambda x: x >= value, LessThan: lambda x: x < value, LessThanOrEqual: lambda x: x <= value,
+        StringStartsWith: lambda x: x.startswith(value), StringEndsWith: lambda x: x.endswith(value), StringContains: lambda x: value in x,
+    }
+    if at is None or (at == BEFORE["path"] and isinstance(f, (GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual))):  # strings are in another order in Python
+        return None
+    if isinstance(f, (IsNull, IsNotNull)):
+        return lambda e: (e[at] is None) == isinstance(f, IsNull)
+    test = tests.get(type(f))
+    return test and (lambda e: e[at] is not None and test(e[at]))
+
+
 class TreeReader(DataSourceReader):
-    def __init__(self, root: str, exclude: list[str], part_bytes: int):
-        self.root, self.exclude, self.part_bytes = root, P.excludes(exclude), part_bytes
+    """The first LISTED folders are listed before there are tasks, breadth first; what lies below is listed by the tasks that read it, so the driver never holds a large tree's files."""
 
-    def _walk(self, path: str) -> Iterator[tuple]:
-        """(path, kind, size, reason) below a folder; names and sizes only, nothing is opened."""
+    def __init__(self, root: str, exclude: list[str], part_bytes: int, listed: int = LISTED, crowded: int = CROWDED):
+        self.root, self.exclude, self.part_bytes, self.listed, self.crowded = root, P.excludes(exclude), part_bytes, listed, crowded
+        self.tests: list[Callable[[tuple], bool]] = []
+
+    def _entries(self, path: str) -> Iterator[tuple]:
+        """(path, kind, size, reason, whether a folder) in a folder, in order; names and sizes only, nothing is opened."""
         try:
             entries = sorted(os.scandir(os.path.join(self.root, path)), key=lambda e: e.name.encode("utf-16-be", "surrogatepass"))
         except OSError as error:
-            yield path or ".", None, None, f"unreadable ({_code(error)})"
+            yield path or ".", None, None, f"unreadable ({_code(error)})", False
             return
         for e in entries:
             at = f"{path}/{e.name}" if path else e.name
@@ -48,37 +79,79 @@ class TreeReader(DataSourceReader):
             if folder and e.name in P.NEVER or any(x in (e.name, at) or at.startswith(f"{x}/") for x in self.exclude):
                 continue
             if e.is_symlink():
-                yield at, None, None, "symbolic link, not followed"
+                yield at, None, None, "symbolic link, not followed", False
             elif folder:
-                yield from self._walk(at)
+                yield at, None, None, None, True
             elif e.is_file() and (kind := P.kind_of_name(e.name)):
                 size = e.stat(follow_symlinks=False).st_size
-                yield at, kind, size, "larger than 16 MB" if size > P.LARGEST else None
+                yield at, kind, size, "larger than 16 MB" if size > P.LARGEST else None, False
+
+    def _walk(self, path: str) -> Iterator[tuple]:
+        """What is in a folder and below it, without the folders."""
+        for e in self._entries(path):
+            if e[4]:
+                yield from self._walk(e[0])
+            else:
+                yield e
+
+    def _wanted(self, entry: tuple) -> bool:
+        return all(test(entry) for test in self.tests)
 
     def partitions(self) -> list[Part]:
-        parts, held = [Part([], [])], 0
-        for path, kind, size, reason in self._walk(""):
-            if reason:
-                parts[0].known.append((path, kind, size, None, reason))
+        parts, held, left, listed = [Part()], 0, deque([""]), 0
+        while left and listed < self.listed:
+            folder = left.popleft()
+            listed += 1
+            entries = list(self._entries(folder))
+            left += (e[0] for e in entries if e[4])
+            files = [e for e in entries if not e[4] and self._wanted(e)]
+            if len(files) > self.crowded:
+                n = -(-len(files) // self.crowded)
+                parts += (Part(crowded=[(folder, k, n)]) for k in range(n))
                 continue
-            if held and held + size > self.part_bytes:
-                parts.append(Part([], []))
-                held = 0
-            parts[-1].files.append((path, kind, size))
-            held += size
-        return parts
+            for path, kind, size, reason, _ in files:
+                if reason:
+                    parts[0].known.append((path, kind, size, None, reason))
+                    continue
+                if held and held + size > self.part_bytes:
+                    parts.insert(0, Part())
+                    held = 0
+                parts[0].files.append((path, kind, size))
+                held += size
+        below = list(left)
+        return parts + [Part(folders=below[k::PARTS]) for k in range(min(PARTS, len(below)))]
 
     def read(self, partition: Part) -> Iterator[tuple]:
         yield from partition.known
         for path, kind, size in partition.files:
-            try:
-                with open(os.path.join(self.root, path), "rb") as f:
-                    text = f.read().decode("utf-8", "replace")
-            except OSError as error:
-                yield path, kind, size, None, f"unreadable ({_code(error)})"
-                continue
-            binary = "\0" in text[: P.SNIFFED]
-            yield path, kind, size, None if binary else text, "binary" if binary else None
+            yield self._row(path, kind, size)
+        for folder in partition.folders:
+            yield from (self._row(*e[:4]) for e in self._walk(folder) if self._wanted(e))
+        for folder, k, n in partition.crowded:
+            yield from (self._row(*e[:4]) for e in self._entries(folder) if not e[4] and self._wanted(e) and zlib.crc32(e[0].encode("utf-8", "surrogatepass")) % n == k)
+
+    def _row(self, path: str, kind: str | None, size: int | None, reason: str | None = None) -> tuple:
+        """One file as a row; it is opened here."""
+        if reason:
+            return path, kind, size, None, reason
+        try:
+            with open(os.path.join(self.root, path), "rb") as f:
+                text = f.read().decode("utf-8", "replace")
+        except OSError as error:
+            return path, kind, size, None, f"unreadable ({_code(error)})"
+        binary = "\0" in text[: P.SNIFFED]
+        return path, kind, size, None if binary else text, "binary" if binary else None
+
+
+class FilteringTreeReader(TreeReader):
+    """The same where the session pushes filters down: files that a filter on path, kind or size leaves out are never opened."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if (test := _test(f)) is None:
+                yield f
+            else:
+                self.tests.append(test)
 
 
 class TreeSource(DataSource):
@@ -95,13 +168,19 @@ class TreeSource(DataSource):
         root = os.path.abspath(self.options["path"])
         if not os.path.isdir(root):
             raise ValueError(f"not a directory: {self.options['path']}")
-        return TreeReader(root, json.loads(self.options.get("exclude", "[]")), int(self.options.get("partbytes", PART_BYTES)))
+        kind = FilteringTreeReader if self.options.get("pushdown", "false") == "true" else TreeReader
+        return kind(root, json.loads(self.options.get("exclude", "[]")), *(int(self.options.get(k, v)) for k, v in (("partbytes", PART_BYTES), ("listed", LISTED), ("crowded", CROWDED))))
 
 
 def read_tree(spark: SparkSession, folder: str, exclude: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """(path, kind, size, text, reason) of a folder: files that are read have a text, skipped ones a reason."""
+    """(path, kind, size, text, reason) of a folder: files that are read have a text, skipped ones a reason.
+
+    Turns pushing filters into Python data sources on in the session: a plan that asks
+    for one kind of files opens no others.
+    """
     spark.dataSource.register(TreeSource)
-    return spark.read.format("source_tree").option("exclude", json.dumps(list(exclude))).load(folder)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("source_tree").option("exclude", json.dumps(list(exclude))).option("pushdown", "true").load(folder)
 
 
 def read_table(files: DataFrame, path: str = "path", text: str = "text", exclude: list[str] | tuple[str, ...] = ()) -> DataFrame:
