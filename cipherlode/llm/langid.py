@@ -17,6 +17,8 @@ from cipherlode.llm.text import chunks, only
 SAMPLE_CHARS, SAMPLE_DOCS = 24_000, 24
 #: A text is parsed in blocks of so many characters, side by side; what that changes at a block's start is put right after.
 BLOCK = 1024
+#: Rounds in which all blocks are put right together, and steps that a walk after them knows by heart.
+ROUNDS, REMEMBERED = 2, 1 << 18
 UNKNOWN = "und"
 
 
@@ -126,7 +128,8 @@ class Parser:
         Blocks are parsed side by side, each as if a phrase started with it. Then every block is
         parsed again from the state in which the one before it ended, until both parses end a phrase
         at the same character: from there on they are the same. A block where that never
-        happens passes its new last state on to the next one. So the result is that of whole texts.
+        happens passes its new last state on to the next one, which after ROUNDS such rounds
+        one walk does. So the result is that of whole texts.
         """
         plain = [_plain(t) for t in texts]
         owner = np.repeat(np.arange(len(plain)), [-(-len(p) // BLOCK) for p in plain])
@@ -154,7 +157,9 @@ class Parser:
         last[:, order] = state
         total = ended.sum(axis=0, dtype=np.int64)
         lang, block = (x.ravel() for x in np.meshgrid(np.arange(n_langs), np.flatnonzero(nth > 0), indexing="ij"))
-        while len(block):
+        for _ in range(ROUNDS):
+            if not len(block):
+                break
             now, changed = last[lang, block - 1], []
             for k in range(len(codes)):
                 full = size[block] == k
@@ -180,11 +185,55 @@ class Parser:
             lang, block = lang[within], block[within]
             within = nth[block] > 0
             lang, block = lang[within], block[within]
+        self._settle(set(zip(lang.tolist(), block.tolist(), strict=True)), codes, size, nth, last, ended, total)
         np.add.at(out, owner, total.T)
         out[owner[lead]] += 1  # the first phrase
         return out * self.bits / np.maximum(1, [len(p) for p in plain])[:, None]
 
 
+    def _settle(self, open_: set[tuple[int, int]], codes: np.ndarray, size: np.ndarray, nth: np.ndarray, last: np.ndarray, ended: np.ndarray, total: np.ndarray) -> None:
+        """Parse what blocks are still open (language, block), and those after them that change, once each from left to right.
+
+        Such texts repeat themselves, since their phrases end at other places than those of
+        the parse before, time after time: a block that was read from a state before has its outcome by heart.
+        """
+        reached: dict[int, int] = {}
+        outcomes: dict[tuple[int, int, bytes], tuple[int, int]] = {}
+        steps: dict[tuple[int, int], tuple[int, bool]] = {}
+        for lang, block in sorted(open_):
+            if block <= reached.get(lang, -1):
+                continue
+            while True:
+                state, content = int(last[lang, block - 1]), codes[: size[block], block]
+                known = (lang, state, content.tobytes())
+                if known not in outcomes:
+                    outcomes[known] = self._walk(lang, state, content.tolist(), ended[:, lang, block], int(last[lang, block]), steps)
+                new, total[lang, block] = outcomes[known]
+                same, last[lang, block] = new == last[lang, block], new
+                reached[lang] = block
+                block += 1
+                if block == len(size) or nth[block] == 0 or (same and (lang, block) not in open_):
+                    break
+
+    def _walk(self, lang: int, state: int, symbols: list[int], before: np.ndarray, end: int, steps: dict[tuple[int, int], tuple[int, bool]]) -> tuple[int, int]:
+        """(last state, phrases ended) of one block; where a phrase ends as in the parse before, the rest is that parse's."""
+        was, count = before.tolist(), 0
+        for k, symbol in enumerate(symbols):
+            key = state * self.width + symbol
+            if (found := steps.get((lang, key))) is None:
+                slot, mask = ((key * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> int(self.shift), self.mask
+                while (there := int(self.keys[slot])) not in (key, -1):
+                    slot = (slot + 1) & mask
+                found = steps[lang, key] = (int(self.targets[slot]), False) if there == key else (int(self.first[lang, symbol]), True)
+                if len(steps) > REMEMBERED:
+                    steps.clear()
+            state, over = found
+            count += over
+            if over and was[k]:
+                return end, count + sum(was[k + 1 : len(symbols)])
+        return state, count
+
+
 @functools.lru_cache(1)
 def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(samples)

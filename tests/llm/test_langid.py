@@ -26,7 +26,7 @@ def test_automaton_reads_exactly_the_substrings():
 def test_phrases_against_plain_parse():
     samples = (("a", "the cat sat on the mat and the rat"), ("b", "el gato come la rata en la casa"))
     parser = langid.Parser(samples)
-    texts = ["the gato sat", "zzz", "", "la casa the mat 99 el", "x" * 2500, "the rat sat on the casa " * 200, "the cat sat on the mat and the rat" * 150, "el" * 3000, "a" * 1024, "mat" * 400]
+    texts = ["the gato sat", "zzz", "", "la casa the mat 99 el", "x" * 2500, "the rat sat on the casa " * 200, "the cat sat on the mat and the rat" * 150, "el" * 3000, "a" * 1024, "mat" * 400, "the cat " * 700, "catmat" * 999 + "the rat sat" * 300 + "z" * 2000]
     got = parser.phrases(texts)
     for k, text in enumerate(texts):
         plain = "".join(map(chr, langid._plain(text)))
@@ -46,6 +46,21 @@ def test_blocks_that_never_meet_pass_their_state_on(monkeypatch):
     test_phrases_against_plain_parse()
 
 
+def test_periodic_text_costs_no_more_than_twice_as_much():
+    import time
+
+    r = np.random.default_rng(1)
+    words = ["".join(r.choice(list("etaoinshrd"), r.integers(2, 9))) for _ in range(3000)]
+    sample = lambda n: " ".join(r.choice(words, n))
+    parser = langid.Parser((("a", sample(3000)), ("b", "aaa " * 20 + sample(3000)), ("c", "a" * 700 + sample(1000))))
+    took = []
+    for text in (sample(170_000), "a" * 1_000_000, "ta" * 500_000, "sed " * 250_000):
+        began = time.process_time()
+        parser.phrases([text])
+        took.append(time.process_time() - began)
+    assert max(took[1:]) < 2 * took[0] + 1
+
+
 def test_many_languages_with_large_alphabets_stay_small():
     r = np.random.default_rng(2)
     samples = tuple((str(k), "".join(map(chr, r.integers(0x4E00, 0x4E00 + 3000, 3000) + 3000 * (k % 5)))) for k in range(20))
