@@ -3,26 +3,23 @@
 from __future__ import annotations
 
 import errno
+import functools
 import json
 import os
 import zlib
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith,
-)
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from cipherlode.functions import paths as P
 
 SCHEMA = "path string, kind string, size bigint, text string, reason string"
 #: Bytes of files that one partition reads, about; folders that are listed before there are tasks; files of one folder that a task lists; tasks for folders.
 PART_BYTES, LISTED, CROWDED, PARTS = 32 << 20, 500, 20_000, 10_000
-#: What is known of a file before it is opened, by its place in _entries.
-BEFORE = {"path": 0, "kind": 1, "size": 2}
 
 
 @dataclass
@@ -39,32 +36,11 @@ def _code(error: OSError) -> str:
     return errno.errorcode.get(error.errno or 0, "error")
 
 
-def _test(f: Filter) -> Callable[[tuple], bool] | None:
-    """A filter as a test of (path, kind, size); null fails, as in SQL. None where it asks for something else."""
-    if isinstance(f, Not):
-        inner = f.child
-        test = _test(inner)
-        at = BEFORE.get(getattr(inner, "attribute", ("",))[0])
-        return None if test is None or at is None or isinstance(inner, (IsNull, IsNotNull, EqualNullSafe)) else lambda e: e[at] is not None and not test(e)
-    at, value = BEFORE.get(f.attribute[0]) if len(f.attribute) == 1 else None, getattr(f, "value", None)
-    tests = {
-        EqualTo: lambda x: x == value, In: lambda x: x in value, GreaterThan: lambda x: x > value, GreaterThanOrEqual: lambda x: x >= value, LessThan: lambda x: x < value, LessThanOrEqual: lambda x: x <= value,
-        StringStartsWith: lambda x: x.startswith(value), StringEndsWith: lambda x: x.endswith(value), StringContains: lambda x: value in x,
-    }
-    if at is None or (at == BEFORE["path"] and isinstance(f, (GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual))):  # strings are in another order in Python
-        return None
-    if isinstance(f, (IsNull, IsNotNull)):
-        return lambda e: (e[at] is None) == isinstance(f, IsNull)
-    test = tests.get(type(f))
-    return test and (lambda e: e[at] is not None and test(e[at]))
-
-
 class TreeReader(DataSourceReader):
     """The first LISTED folders are listed before there are tasks, breadth first; what lies below is listed by the tasks that read it, so the driver never holds a large tree's files."""
 
-    def __init__(self, root: str, exclude: list[str], part_bytes: int, listed: int = LISTED, crowded: int = CROWDED):
-        self.root, self.exclude, self.part_bytes, self.listed, self.crowded = root, P.excludes(exclude), part_bytes, listed, crowded
-        self.tests: list[Callable[[tuple], bool]] = []
+    def __init__(self, root: str, exclude: list[str], part_bytes: int, listed: int = LISTED, crowded: int = CROWDED, kinds: list[str | None] | None = None):
+        self.root, self.exclude, self.part_bytes, self.listed, self.crowded, self.kinds = root, P.excludes(exclude), part_bytes, listed, crowded, kinds
 
     def _entries(self, path: str) -> Iterator[tuple]:
         """(path, kind, size, reason, whether a folder) in a folder, in order; names and sizes only, nothing is opened."""
@@ -95,7 +71,8 @@ class TreeReader(DataSourceReader):
                 yield e
 
     def _wanted(self, entry: tuple) -> bool:
-        return all(test(entry) for test in self.tests)
+        """Whether a file is of the kinds asked for; others are not opened."""
+        return self.kinds is None or entry[1] in self.kinds
 
     def partitions(self) -> list[Part]:
         parts, held, left, listed = [Part()], 0, deque([""]), 0
@@ -143,17 +120,6 @@ class TreeReader(DataSourceReader):
         return path, kind, size, None if binary else text, "binary" if binary else None
 
 
-class FilteringTreeReader(TreeReader):
-    """The same where the session pushes filters down: files that a filter on path, kind or size leaves out are never opened."""
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if (test := _test(f)) is None:
-                yield f
-            else:
-                self.tests.append(test)
-
-
 class TreeSource(DataSource):
     """spark.read.format("source_tree").option("exclude", json list).load(folder); every executor must see the folder."""
 
@@ -168,19 +134,22 @@ class TreeSource(DataSource):
         root = os.path.abspath(self.options["path"])
         if not os.path.isdir(root):
             raise ValueError(f"not a directory: {self.options['path']}")
-        kind = FilteringTreeReader if self.options.get("pushdown", "false") == "true" else TreeReader
-        return kind(root, json.loads(self.options.get("exclude", "[]")), *(int(self.options.get(k, v)) for k, v in (("partbytes", PART_BYTES), ("listed", LISTED), ("crowded", CROWDED))))
+        return TreeReader(root, json.loads(self.options.get("exclude", "[]")), *(int(self.options.get(k, v)) for k, v in (("partbytes", PART_BYTES), ("listed", LISTED), ("crowded", CROWDED))), json.loads(self.options.get("kinds", "null")))
 
 
 def read_tree(spark: SparkSession, folder: str, exclude: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """(path, kind, size, text, reason) of a folder: files that are read have a text, skipped ones a reason.
 
-    Turns pushing filters into Python data sources on in the session: a plan that asks
-    for one kind of files opens no others.
+    A part for each kind, whose kind is a constant: a plan that asks for one kind
+    leaves the other parts out, so their files are never opened. (Filters that are pushed
+    into a Python source are of no use here, since all scans of one source share what one of them asks.)
     """
     spark.dataSource.register(TreeSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("source_tree").option("exclude", json.dumps(list(exclude))).option("pushdown", "true").load(folder)
+    parts = [
+        spark.read.format("source_tree").option("exclude", json.dumps(list(exclude))).option("kinds", json.dumps([kind])).load(folder).withColumn("kind", F.lit(kind).cast("string"))
+        for kind in (*P.KINDS, None)
+    ]
+    return functools.reduce(DataFrame.union, parts)
 
 
 def read_table(files: DataFrame, path: str = "path", text: str = "text", exclude: list[str] | tuple[str, ...] = ()) -> DataFrame:
