@@ -75,6 +75,7 @@ def main(argv: list[str] | None = None) -> int:
             Path(args.cbom).write_text(as_json(cbom.document(found, root, now)), encoding="utf-8")
         if args.write:
             scan.write(found, args.write)
+            cbom.write(found, root, now, f"{args.write}/bom")
         if args.md:
             with open(args.md, "w", encoding="utf-8") as f:
                 f.writelines(row["line"] + "\n" for row in markdown.toLocalIterator())

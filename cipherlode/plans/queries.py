@@ -440,16 +440,24 @@ def pnpm_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.lock_packages(locks).select(_key(), "package", "version", "dev")
 
 
-def _dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _named_packages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What a manifest and a lockfile of each supplier declare and lock, what each line of an order imports, and the suppliers' own names."""
     manifests = _supplier_files(spark, sf_dir, "package.json", F.concat(F.lit('{"name": "'), pick("s_suppkey", ["app", "jose"]), F.lit('", "dependencies": {"bcrypt": "^5.'), (F.col("s_suppkey") % 3).cast("string"), F.lit('.0", "jose": "^5.0.0", "left-pad": "1"}, "devDependencies": {"elliptic": "^6.0.0"}}')))
     locks = _supplier_files(spark, sf_dir, "yarn.lock", F.concat(F.lit("elliptic@^6.0.0:\n  version: 6.5."), (F.col("s_suppkey") % 2).cast("string"), F.lit("\n")))
-    sites = spark.createDataFrame([], "package string, path string, line int")
-    return dependencies.roll_up(packages.manifest_packages(manifests), packages.lock_packages(locks), sites, packages.manifest_names(manifests))
+    sites = table(spark, sf_dir, "lineitem").select(pick("l_partkey", ["bcrypt", "elliptic", "elliptic", "left-pad"]).alias("package"), F.concat(F.lit("src/o"), F.col("l_orderkey").cast("string"), F.lit(".js")).alias("path"), F.col("l_linenumber").alias("line"))
+    return packages.manifest_packages(manifests), packages.lock_packages(locks), sites, packages.manifest_names(manifests)
 
 
 @query("SELECT 'bcrypt' AS package, (SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT '^5.' || (s_suppkey % 3) || '.0 (declared)' AS v FROM supplier)) AS versions, true AS direct, false AS dev, (SELECT count(*) FROM supplier) AS n_declared, CAST(0 AS BIGINT) AS n_lockfiles UNION ALL SELECT 'elliptic', (SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT '6.5.' || (s_suppkey % 2) AS v FROM supplier)), true, true, (SELECT count(*) FROM supplier), (SELECT count(*) FROM supplier)")
 def dependency_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dependencies(spark, sf_dir).select("package", F.array_join("versions", ", ").alias("versions"), "direct", "dev", F.size("declared_in").cast("bigint").alias("n_declared"), F.size("lockfiles").cast("bigint").alias("n_lockfiles"))
+    return dependencies.roll_up(*_named_packages(spark, sf_dir)).select("package", F.array_join("versions", ", ").alias("versions"), "direct", "dev", F.col("n_declared_in").alias("n_declared"), "n_lockfiles")
+
+
+@query(f"""SELECT 'bcrypt' AS package, 'declared_in' AS what, count(*) AS n_places, CAST(NULL AS BIGINT) AS last_line FROM supplier UNION ALL SELECT 'elliptic', 'declared_in', count(*), NULL FROM supplier UNION ALL SELECT 'elliptic', 'lockfiles', count(*), NULL FROM supplier
+UNION ALL SELECT package, 'imported_at', count(DISTINCT (l_orderkey, l_linenumber)), CAST(max(l_linenumber) AS BIGINT) FROM (SELECT {pick_sql("l_partkey % 4", ["bcrypt", "elliptic", "elliptic", "left-pad"])} AS package, l_orderkey, l_linenumber FROM lineitem) WHERE package <> 'left-pad' GROUP BY package""")
+def dependency_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages that every order imports: places are rows, each once."""
+    return dependencies.places(*_named_packages(spark, sf_dir)).groupBy("package", "what").agg(F.count("*").alias("n_places"), F.max("line").alias("last_line"))
 
 
 # Reports: one file an order, one call a line
@@ -493,7 +501,7 @@ def summary_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings = order_findings(spark, sf_dir)
     none = spark.createDataFrame([], "priority string, key_exchange string")
-    one = report.summary(Scan(findings, spark.createDataFrame([], "package string"), none, spark.createDataFrame([], "path string, reason string"), spark.createDataFrame([(0,)], "files_scanned long")))
+    one = report.summary(Scan(findings, spark.createDataFrame([], "package string"), none, spark.createDataFrame([], "path string, reason string"), spark.createDataFrame([(0,)], "files_scanned long"), spark.createDataFrame([], "package string")))
     return one.select("files_with_findings", "findings", F.col("quantum_vulnerable.uses").alias("vulnerable_uses"), F.col("quantum_vulnerable.files").alias("vulnerable_files"), "verdict")
 
 
@@ -539,6 +547,17 @@ def cbom_provides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cbom.provides(used, cbom.assets(used)).groupBy("provider").agg(F.count("*").alias("n_assets"))
 
 
+@query(f"{_USES} SELECT 'src/o' || l_orderkey || '.js' AS file, CAST(line AS BIGINT) AS line, 'node:crypto:' || {pick_sql('k', ['createHash', 'createHash', 'createCipheriv', 'createECDH', 'generateKeyPairSync', 'randomBytes', 'pbkdf2Sync', 'createSign'])} AS symbol FROM u")
+def cbom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bill of materials of all orders and suppliers, written as lines; read back: the occurrences of algorithms in the orders."""
+    judged = tls.judge(tls.file_configurations(_tls_files(spark, sf_dir))).withColumn("in_test", F.lit(False))
+    named = _named_packages(spark, sf_dir)
+    whole = Scan(order_findings(spark, sf_dir), dependencies.roll_up(*named), judged, spark.createDataFrame([], "path string, reason string"), spark.createDataFrame([(0,)], "files_scanned long"), dependencies.places(*named))
+    one = F.from_json(F.regexp_replace("line", "^,", ""), "location string, line long, symbol string")
+    read = cbom.lines(whole, "orders", "2026-01-01T00:00:00.000Z").select(one.alias("o")).where("o.location LIKE 'src/o%' AND o.symbol IS NOT NULL")
+    return read.select(F.col("o.location").alias("file"), "o.line", "o.symbol")
+
+
 def _empty_tls(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "file string, line int, server string, groups array<string>, priority string, replacement string, evidence string")
 

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from cipherlode import registry
 
 #: Queries that run the lexer over generated files: one for each detector is enough here.
-SLOW = {"summary_by_priority", "report_summary", "note_index", "agent_summary_places", "cbom_provides", "node_pbkdf2", "unwrap_two_findings", "library_unread_anti", "traps_report_nothing"}
+SLOW = {"summary_by_priority", "report_summary", "note_index", "agent_summary_places", "cbom_provides", "cbom_lines", "node_pbkdf2", "unwrap_two_findings", "library_unread_anti", "traps_report_nothing"}
 NAMES = sorted(n for n in registry.oracle_sql() if n not in SLOW or os.environ.get("TEST_ALL"))
 
 
