@@ -335,6 +335,29 @@ def library_unread_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_extract("path", r"\d+", 0).cast("bigint").alias("c_custkey"), F.col("line").cast("bigint").alias("line"))
 
 
+_BELOW = ["import md5 from 'crypto-js/md5';\nmd5(x);\n", "import mac from 'crypto-js/hmac-sha256';\nmac(x, k);\n", "import md5 from 'crypto-js/md5';\nmd5.other(x);\n"]
+
+
+@query("SELECT CASE c_custkey % 3 WHEN 0 THEN 'MD5' ELSE 'HMAC-SHA-256' END AS algorithm, count(*) AS n_uses FROM customer WHERE c_custkey % 3 < 2 GROUP BY 1")
+def library_subpaths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A module below a package is an algorithm by itself when it is called, and not when a member of it is."""
+    calls, _ = node_calls(_library_files(spark, sf_dir, _BELOW))
+    return detect.library_calls(calls).select(aside(N.display_name(F.col("spec"))).alias("algorithm")).groupBy("algorithm").agg(F.count("*").alias("n_uses"))
+
+
+_DECODED = ["import jwt from 'jsonwebtoken';\njwt.decode(x);\n", "import jwt from 'jsonwebtoken';\nlet y = jwt;\n", "import { errors } from 'jose';\nerrors.make(x);\n", "import { errorsOf } from 'jose';\nerrorsOf(x);\n"]
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 < 2 THEN 'jsonwebtoken' ELSE 'jose' END AS package, c_custkey % 2 = 0 AS plain FROM customer")
+def library_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members that do no cryptography count as read and report nothing; a package of which nothing was read is reported."""
+    calls, fact = node_calls(_library_files(spark, sf_dir, _DECODED))
+    plain = settle(detect.plain_uses(calls))
+    unread = detect.unread_imports(detect.imported_packages(lexical.import_sites(fact)), plain)
+    rows = plain.select("path", "package", F.lit(True).alias("plain")).union(unread.select("path", F.regexp_replace("interface", "^library:", ""), F.lit(False)))
+    return rows.select(F.regexp_extract("path", r"\d+", 0).cast("bigint").alias("c_custkey"), "package", "plain")
+
+
 @query("SELECT CASE o_orderkey % 3 WHEN 0 THEN 'ES256' WHEN 1 THEN 'JWT alg \"none\"' END AS algorithm, count(*) AS n_uses FROM orders WHERE o_orderkey % 3 < 2 GROUP BY 1")
 def jose_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("import { SignJWT } from 'jose';\nconst o = "), pick("o_orderkey", ["{ alg: 'ES256' }", "{ algorithms: ['none'] }", "{ display: 'none' }"]), F.lit(";\n"))
@@ -417,6 +440,13 @@ def npm_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.lock_packages(locks).select(_key(), "package", "version", "dev")
 
 
+@query(f"SELECT s_suppkey, p.package, CASE p.package WHEN 'jose' THEN '5.' || ({_NUMBER}) || '.0' ELSE 'unknown' END AS version, p.package = 'jws' AS dev FROM supplier, (VALUES ('jose'), ('jws')) p(package)")
+def npm_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A link of a workspace has the version of what it resolves to, or none that is known."""
+    text = F.concat(F.lit('{"lockfileVersion": 3, "packages": {"": {"name": "x"}, "node_modules/jose": {"resolved": "packages/jose", "link": true}, "packages/jose": {"version": "5.'), _version(), F.lit('.0"}, "node_modules/jws": {"resolved": "gone", "link": true, "dev": true}}}'))
+    return packages.lock_packages(_supplier_files(spark, sf_dir, "package-lock.json", text)).select(_key(), "package", "version", "dev")
+
+
 @query("SELECT s_suppkey, 'p' || i AS package, '1.' || (s_suppkey % 90) || '.' || i AS version, i % 3 = 0 AS dev FROM supplier, range(1, 41) t(i)")
 def npm_nested_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lockfiles of the first version, forty levels deep: each package has the next one among its own."""
