@@ -4,7 +4,9 @@ import builtins
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from cipherlode.functions import paths as P
 from cipherlode.sources import tree
 
 
@@ -59,3 +61,12 @@ def test_through_spark(spark, root):
     assert {tuple(r) for r in both.collect()} == {r[:1] for r in whole if r[1] in ("lockfile", "manifest")}
     scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("source_tree")
     assert (scans(files), scans(locks), scans(both), scans(files.where("kind IS NULL"))) == (5, 1, 2, 1)
+
+
+def test_files_over_the_limit_are_skipped(spark, tmp_path):
+    for name, size in (("at.js", P.LARGEST), ("over.js", P.LARGEST + 1)):
+        (tmp_path / name).write_text("/" * size)
+    read = {r.path: (r.reason, r.n) for r in tree.read_tree(spark, str(tmp_path)).select("path", "reason", F.length("text").alias("n")).collect()}
+    assert read == {"at.js": (None, P.LARGEST), "over.js": ("larger than 16 MB", None)}
+    rows = spark.createDataFrame([("at.js", P.LARGEST), ("over.js", P.LARGEST + 1)], "path string, n int").select("path", F.repeat(F.lit("/"), F.col("n")).alias("text"))
+    assert {r.path: r.reason for r in tree.read_table(rows).select("path", "reason").collect()} == {"at.js": None, "over.js": "larger than 16 MB"}
