@@ -98,14 +98,15 @@ def _inspect(n_buckets: int, width: int, percent: int):
 
     def flush(batch: pa.RecordBatch, uids: np.ndarray, start: int, done: int, sizes: list, prints: list, held: list) -> Iterator[pa.RecordBatch]:
         n = done - start
-        place = np.repeat(np.arange(n), [len(h) for h in held])
+        rank = np.argsort(np.argsort(uids[start:done]))  # _total has the batch by uid, while a task that reads several files need not
+        place = np.repeat(rank, [len(h) for h in held])
         hashes = np.concatenate(held) >> np.uint64(16)
         order = np.argsort(hashes, kind="stable")
         hashes, place = hashes[order], place[order]
         lead = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, np.int64)
         run = np.diff(np.append(lead, len(hashes)))
         several = np.repeat(run > 1, run)
-        local = np.bincount(place[several], minlength=n)
+        local = np.bincount(place[several], minlength=n)[rank]
         code, who = hashes[lead], np.where(run > 1, SEVERAL, place[lead]).astype(np.uint16)
         bucket = (code % np.uint64(n_buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")

@@ -75,5 +75,21 @@ def test_chains_of_edits(spark, tmp_path, monkeypatch, seed):
     check(spark, rows, f"file://{tmp_path}/d")
 
 
+def test_row_numbers_in_any_order(spark):
+    """Stored parts of unlike sizes are read largest first, several by one task, so that row numbers don't ascend in a batch."""
+    r = random.Random(5)
+    rows = []
+    for _ in range(300):
+        base = [f"w{r.randrange(300)}" for _ in range(r.choice((3, 8, 40, 90, 300, 1500)))]
+        for _ in range(r.choice((1, 1, 2, 3, 5))):
+            text = list(base)
+            for _ in range(r.randrange(4)):
+                text[r.randrange(len(text))] = f"z{r.randrange(40)}"
+            rows.append((len(rows), " ".join(text)))
+    r.shuffle(rows)
+    got = jaccard.clusters(spark.createDataFrame(rows, "doc_id long, text string").repartition(40)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+
+
 def test_empty(empty):
     assert jaccard.clusters(empty).count() == 0
