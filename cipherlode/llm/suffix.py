@@ -1,19 +1,21 @@
-"""Suffix-array dedup: repeated byte strings by column-wise construction of collection suffix arrays."""
+"""Suffix-array dedup: repeated strings of bytes, or of words, by column-wise construction of collection suffix arrays."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherlode.llm.text import alone, chunks, mix, only, prefix_hash, settle, span_hash, with_uid
+from cipherlode.llm.text import alone, chunks, mix, only, prefix_hash, settle, span_hash, with_uid, words
 
 #: Bytes of a string that counts when it occurs twice; bytes of the anchor that each such string holds.
 LENGTH, ANCHOR = 400, 100
+#: Words of a passage that counts when it occurs twice: over 50. Its anchors are a quarter as long.
+PASSAGE = 51
 #: Places of an anchor in a string that go into one collection: what such strings have in common is one symbol there.
 BLOCK = 25
 #: Strings of a collection, about; a group of more than BIG is cut again, so that its strings share a longer symbol.
@@ -22,10 +24,23 @@ COLLECTION, BIG = 2000, 4096
 FINER = (5, 1)
 #: Strings that are worked on together when anchors are chosen, so that a place takes 20 bits.
 SEGMENT = 1 << 19
+#: Texts to symbols: those of all texts, and how many each has.
+Symbols = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+
+
+def _bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols of all texts, how many each has), a symbol being a byte."""
+    return np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64)
+
+
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same, a symbol being the hash of a word as written."""
+    found = words(texts, lower=False)
+    return found.hashes, np.diff(found.first)
 
 
 def collection_repeats(strings: list[np.ndarray], length: int) -> list[np.ndarray]:
-    """For each string (uint16 symbols), which of its suffixes share their first length symbols with another suffix.
+    """For each string (unsigned symbols), which of its suffixes share their first length symbols with another suffix.
 
     The collection's suffixes are sorted column by column: a round puts one more symbol
     in front of every string. With the Burrows-Wheeler transform so far (the symbol before each
@@ -33,7 +48,7 @@ def collection_repeats(strings: list[np.ndarray], length: int) -> list[np.ndarra
     least one between the two suffixes that it extends. Each round is a sequential
     pass from one set of arrays to the next; a string's end is unlike any other's.
     """
-    m, size = len(strings), np.array([len(s) for s in strings])
+    m, size = len(strings), np.array([len(s) for s in strings], np.int64)
     offset = np.cumsum(size) - size
     flat = np.concatenate(strings) if m else np.zeros(0, np.uint16)
     owner, tail, common = np.arange(m), np.zeros(m, np.int64), np.zeros(m, np.uint8)
@@ -91,17 +106,16 @@ def anchors(data: np.ndarray, prefix: np.ndarray, start: int, end: int, length:
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _find(length: int, anchor: int):
-    """(h, f, uid, place, first, last) of every anchor; f is the hash of all bytes of its strings."""
+def _find(length: int, anchor: int, symbols: Symbols):
+    """(h, f, uid, place, first, last) of every anchor; f is the hash of all symbols of its strings."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("suffix")
         for batch in batches:
             uids = np.asarray(batch.column(0))
             for first_row, texts in chunks(batch.column(1)):
-                size = np.array([len(t) for t in texts])
+                data, size = symbols(texts)
                 start = np.cumsum(size) - size
-                data = np.frombuffer(b"".join(texts), np.uint8)
                 prefix = prefix_hash(data)
                 found = [(k, *anchors(data, prefix, s, s + n, length, anchor)) for k, (s, n) in enumerate(zip(start.tolist(), size.tolist(), strict=True)) if n >= length]
                 if not found:
@@ -115,23 +129,23 @@ def _find(length: int, anchor: int):
     return find
 
 
-def _cut(length: int):
-    """Pieces of anchors' strings: for each block of places, the common part's hash as key and the bytes to its left and right."""
+def _cut(length: int, symbols: Symbols):
+    """Pieces of anchors' strings: for each block of places, the common part's hash as key and the symbols to its left and right."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[int, int, int, int, bytes, bytes]] = []
+            rows: list[tuple[int, int, int, bytes, bytes]] = []
             for uid, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                prefix = prefix_hash(np.frombuffer(raw, np.uint8))
+                data, _ = symbols([text.encode("utf-8", "surrogatepass")])
+                prefix = prefix_hash(data)
                 for w in wanted:
                     place, first, last = w["place"], w["first"], w["last"]
                     for low in range((place - last) // BLOCK * BLOCK, place - first + 1, BLOCK):
                         high = low + BLOCK - 1
                         a, z = place - low, place - high + length
                         core = int(mix(span_hash(prefix, np.array([a]), np.array([z])) + np.array([w["h"]]).astype(np.uint64) * np.uint64(2 * low + 1 & 2**64 - 1))[0].astype(np.int64))
-                        left = raw[max(first, place - high) : a]
-                        rows.append((core, uid, a - len(left), len(left), left, raw[z : min(a, last) + length]))
+                        start = max(first, place - high)
+                        rows.append((core, uid, start, data[start:a].tobytes(), data[z : min(a, last) + length].tobytes()))
                 if len(rows) > 20_000:
                     yield pieces(rows)
                     rows = []
@@ -139,45 +153,48 @@ def _cut(length: int):
 
     def pieces(rows: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        columns = list(zip(*[(r[0], r[1], r[2], r[4], r[5]) for r in rows], strict=True)) or [()] * 5
+        columns = list(zip(*rows, strict=True)) or [()] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["core", "uid", "start", "l", "r"])
 
     return cut
 
 
-def finer(pieces: DataFrame, block: int, places: int) -> DataFrame:
-    """Pieces of block places cut again into pieces of fewer places: what the strings of one share joins its symbol."""
+def finer(pieces: DataFrame, block: int, places: int, width: int) -> DataFrame:
+    """Pieces of block places cut again into pieces of fewer places: what the strings of one share joins its symbol. A symbol has width bytes."""
     left = F.col("a") * places
     right = F.lit(block - places) - left
-    n = F.octet_length("l")
-    part = lambda c, a, z: F.substring(c, a + 1, F.greatest(z - a, F.lit(0)))
+    n = (F.octet_length("l") / width).cast("int")
+    part = lambda c, a, z: F.substring(c, a * width + 1, F.greatest(z - a, F.lit(0)) * width)
     low = F.greatest(n - left - (places - 1), F.lit(0))
     core = F.xxhash64("core", "a", part(F.col("l"), n - left, n), part(F.col("r"), F.lit(0), right))
-    cut = pieces.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(block // places - 1)))).where((n >= left) & (F.octet_length("r") >= right))
+    cut = pieces.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(block // places - 1)))).where((n >= left) & (F.octet_length("r") >= right * width))
     return cut.select(core.alias("core"), "uid", (F.col("start") + low).cast("int").alias("start"), part(F.col("l"), low, n - left).alias("l"), part(F.col("r"), right, right + places - 1).alias("r"))
 
 
-def repeats(pieces: DataFrame, length: int, block: int = BLOCK, then: tuple[int, ...] = FINER) -> DataFrame:
+def repeats(pieces: DataFrame, length: int, kind: type[np.unsignedinteger], block: int = BLOCK, then: tuple[int, ...] = FINER) -> DataFrame:
     """(uid, a, z): spans of strings that two pieces hold, for stored pieces of block places."""
     if block == 1:
         twice = pieces.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
         return pieces.join(twice, "core").select("uid", F.col("start").alias("a"), (F.col("start") + length).cast("int").alias("z"))
     big = settle(pieces.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > BIG).select("core"))
-    found = pieces.join(big, "core", "left_anti").repartition("core").sortWithinPartitions("core").mapInArrow(_collect(length, block), "uid long, a int, z int")
+    found = pieces.join(big, "core", "left_anti").repartition("core").sortWithinPartitions("core").mapInArrow(_collect(length, block, kind), "uid long, a int, z int")
     if big.isEmpty():
         return found
-    return found.union(repeats(settle(finer(pieces.join(big, "core", "left_semi"), block, then[0])), length, then[0], then[1:]))
+    return found.union(repeats(settle(finer(pieces.join(big, "core", "left_semi"), block, then[0], np.dtype(kind).itemsize)), length, kind, then[0], then[1:]))
 
 
-def _collect(length: int, block: int):
+def _collect(length: int, block: int, kind: type[np.unsignedinteger]):
     """Pieces come by core: whole groups go into collections, and repeated strings come out as spans."""
 
     def spans(groups: list[list[tuple[int, int, bytes, bytes]]]) -> pa.RecordBatch:
-        strings, owner = [], []
-        for k, group in enumerate(groups):
-            for uid, start, left, right in group:
-                strings.append(np.concatenate((np.frombuffer(left, np.uint8), np.array([256 + k], np.uint16), np.frombuffer(right, np.uint8))).astype(np.uint16))
-                owner.append((uid, start, len(left)))
+        sides = [np.frombuffer(side, kind) for group in groups for piece in group for side in piece[2:]]
+        core, most = [k for k, group in enumerate(groups) for _ in group], 256
+        if kind != np.uint8 and sides:
+            known, code = np.unique(np.concatenate(sides), return_inverse=True)
+            sides, most = np.split(code, np.cumsum([len(s) for s in sides])[:-1]), len(known)
+        short = np.uint16 if most + len(groups) <= 1 << 16 else np.uint32
+        strings = [np.concatenate((left, np.array([most + k], short), right)).astype(short) for k, left, right in zip(core, sides[::2], sides[1::2], strict=True)]
+        owner = [(uid, start, len(left)) for (uid, start, *_), left in zip((piece for group in groups for piece in group), sides[::2], strict=True)]
         out = []
         for (uid, start, n_left), twice in zip(owner, collection_repeats(strings, block), strict=True):
             at = np.flatnonzero(twice[: n_left + 1])
@@ -206,16 +223,21 @@ def _collect(length: int, block: int):
     return collect
 
 
-def _rest(length: int, with_text: bool):
-    """Digests of what stays of each text; spans may overlap and come in any order."""
+def _rest(with_text: bool):
+    """Digests of what stays of each text; spans of bytes, and of words if there are such, may overlap and come in any order. With a word goes the blank after it."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            passages = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
+            for text, found, passage in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), passages, strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 kept, at, removed, n = [], 0, 0, 0
-                for s in sorted((s["a"], s["z"]) for s in found or []):
+                spans = [(s["a"], s["z"]) for s in found or []]
+                if passage:
+                    edge = np.append(words([raw]).start, len(raw)).tolist()
+                    spans += [(edge[s["a"]], edge[s["z"]]) for s in passage]
+                for s in sorted(spans):
                     if n == 0 or s[0] > at:
                         kept.append(raw[at : s[0]])
                         n += 1
@@ -232,9 +254,11 @@ def _rest(length: int, with_text: bool):
     return cut
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = True, passage: int = 0) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row: texts without the bytes of any length-byte string that starts anywhere else too.
 
+    With passage, the same goes for passages of so many words (BLOCK at least; runs other than blanks, as
+    written), however long, whatever blanks are between them. Both are judged on the input.
     Strings are bytes of the UTF-8 text as given; matches don't cross documents but may
     lie in the same one and overlap. Null texts are empty, short ones stay. A row
     that is there twice is two documents, so both lose what they share. Null
@@ -254,22 +278,25 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     """
     kind = dict(docs.dtypes)[key]
     rows = with_uid(docs, key, text)
-    spans = alone(docs.sparkSession, lambda: _spans(rows.select("uid", "text"), length, anchor))
-    out = rows.join(spans, "uid", "left").select("key", "text", "spans").mapInArrow(_rest(length, with_text), f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+    spans = alone(docs.sparkSession, lambda: _spans(rows.select("uid", "text"), length, anchor, _bytes, np.uint8))
+    if passage:
+        more = alone(docs.sparkSession, lambda: _spans(rows.select("uid", "text"), passage, max(1, passage // 4), _words, np.uint64))
+        spans = spans.join(more.withColumnRenamed("spans", "passages"), "uid", "full")
+    out = rows.join(spans, "uid", "left").select("key", "text", "spans", *["passages"] * bool(passage)).mapInArrow(_rest(with_text), f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
     return out.withColumnRenamed("key", key)
 
 
-def _spans(texts: DataFrame, length: int, anchor: int) -> DataFrame:
-    """(uid, spans) of texts that share strings."""
-    found = settle(texts.mapInArrow(_find(length, anchor), "h long, f long, uid long, place int, first int, last int"))
+def _spans(texts: DataFrame, length: int, anchor: int, symbols: Symbols, kind: type[np.unsignedinteger]) -> DataFrame:
+    """(uid, spans) of texts that share strings of length symbols."""
+    found = settle(texts.mapInArrow(_find(length, anchor, symbols), "h long, f long, uid long, place int, first int, last int"))
     same = found.groupBy("h", "f").agg(F.count("*").alias("c"), F.min(F.struct("uid", "place", "first", "last")).alias("one"))
     kinds = same.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("c").alias("n")).where("n > 1")
     many = settle(same.join(kinds, "h").select("h", "f", "c", "kinds", "one"))
     whole = found.join(many.where("c > 1").select("h", "f"), ["h", "f"]).select("uid", F.col("first").alias("a"), (F.col("last") + length).alias("z"))
 
     wanted = many.where("kinds > 1").select("one.uid", F.struct("h", "one.place", "one.first", "one.last").alias("w")).groupBy("uid").agg(F.collect_list("w").alias("w"))
-    pieces = settle(texts.join(wanted, "uid").select("uid", "text", "w").mapInArrow(_cut(length), "core long, uid long, start int, l binary, r binary"))
-    return whole.union(repeats(pieces, length)).distinct().groupBy("uid").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
+    pieces = settle(texts.join(wanted, "uid").select("uid", "text", "w").mapInArrow(_cut(length, symbols), "core long, uid long, start int, l binary, r binary"))
+    return whole.union(repeats(pieces, length, kind)).distinct().groupBy("uid").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

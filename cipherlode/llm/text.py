@@ -77,9 +77,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hash of bytes: entry i covers data[:i]."""
+    """Running polynomial hash of bytes, or of words by their own hashes: entry i covers data[:i]."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(len(data))[0], out=out[1:])
+    np.cumsum((_BYTE[data] if data.dtype == np.uint8 else data) * powers(len(data))[0], out=out[1:])
     return out
 
 
@@ -104,16 +104,17 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, li
 class Words(NamedTuple):
     """Words of some texts; those of text i are hashes[first[i]:first[i + 1]]."""
 
-    data: np.ndarray  # all texts, A-Z lower-cased, each ended by a line feed
+    data: np.ndarray  # all texts, A-Z lower-cased if asked, each ended by a line feed
     start: np.ndarray
     end: np.ndarray
     hashes: np.ndarray
     first: np.ndarray
 
 
-def words(texts: list[bytes], trim: int = 0) -> Words:
+def words(texts: list[bytes], trim: int = 0, lower: bool = True) -> Words:
     """Runs of bytes other than blanks (0x20, 0x09-0x0D), less up to trim marks of ASCII punctuation at each end."""
-    data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    data = _LOWER[data] if lower else data
     blank = _SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], blank))))
     start, end = edge[::2], edge[1::2]

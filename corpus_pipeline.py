@@ -31,8 +31,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings that occur elsewhere too; documents of which nothing is left go. Rows without an id are rows as others."""
-    rest = suffix.dedup(docs.select(F.struct("doc_id", "lang", "source", "n_chars", F.col("text").isNull().alias("no_text")).alias("row"), "text"), key="row")
+    """Texts without the strings, and the passages of over 50 words, that occur elsewhere too; documents of which nothing is left go. Rows without an id are rows as others."""
+    rest = suffix.dedup(docs.select(F.struct("doc_id", "lang", "source", "n_chars", F.col("text").isNull().alias("no_text")).alias("row"), "text"), key="row", passage=suffix.PASSAGE)
     kept = rest.where((F.col("n_removed") == 0) | (F.length(F.trim("kept")) > 0))
     text = F.when(~F.col("row.no_text"), F.col("kept"))
     n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))

@@ -46,3 +46,17 @@ def test_stages(spark, folder):
     assert set(cut) - set(clean) == {103, None}
     assert set(encoded) == set(clean)
     assert all(r["decoded_sha256"] == hashlib.sha256(clean[i]["text"].encode()).hexdigest() and r["n_tokens"] == len(r["ids"]) for i, r in encoded.items())
+
+
+def test_passages_of_over_50_words(spark, tmp_path):
+    """They are cut where they repeat, though shorter than the 400 bytes of op2's contract; what is a word shorter stays."""
+    r = random.Random(3)
+    say = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 6))) for _ in range(n))
+    passages = {n: say(n) for n in (50, 51, 55, 59)}
+    rows = [(2 * i + k, f"{say(80)} {p} {say(90)}") for i, p in enumerate(passages.values()) for k in (0, 1)] + [(100 + i, say(150)) for i in range(20)]
+    assert all(len(p) < 400 for p in passages.values())
+    spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/d")
+    cut = {x.doc_id: x for x in pipeline.repeats(spark, spark.read.parquet(f"file://{tmp_path}/d"), "").collect()}
+    for i, t in rows:
+        p = [*passages.values()][i // 2] if 2 <= i < 100 else ""
+        assert cut[i].text == (t.replace(f"{p} ", "") if p else t) and cut[i].n_chars == len(cut[i].text)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -86,3 +87,42 @@ def test_empty_and_kept_text(spark, empty, tmp_path):
     spark.createDataFrame([(1, "é" * 100 + "q" * 50), (2, "x" + "é" * 100)], "doc_id long, text string").write.parquet(f"file://{tmp_path}/k")
     got = {r.doc_id: r for r in suffix.dedup(spark.read.parquet(f"file://{tmp_path}/k"), length=60, anchor=20).collect()}
     assert got[1].kept == "q" * 50 and got[2].kept == "x" and got[1].n_removed == 200
+
+
+def brute_passages(texts, n, length):
+    """What is left without strings of length bytes and passages of n words that start anywhere else too; a word takes the blanks after it along."""
+    raws, words = [(t or "").encode() for t in texts], [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    gone = [np.zeros(len(r), bool) for r in raws]
+    places = {}
+    for k, raw in enumerate(raws):
+        start = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)] + [len(raw)]
+        for i in range(len(words[k]) - n + 1):
+            places.setdefault(tuple(words[k][i : i + n]), []).append((k, start[i], start[i + n]))
+        for i in range(len(raw) - length + 1):
+            places.setdefault(raw[i : i + length], []).append((k, i, i + length))
+    for found in places.values():
+        for k, a, z in found if len(found) > 1 else []:
+            gone[k][a:z] = True
+    return [np.frombuffer(r, np.uint8)[~g].tobytes().decode("utf-8", "ignore") for r, g in zip(raws, gone, strict=True)]
+
+
+@pytest.mark.parametrize(("big", "then"), [(4096, (5, 1)), (3, (5, 1)), (3, (1,))])
+def test_passages_of_words(spark, tmp_path, monkeypatch, big, then):
+    """Passages of over 50 words that are shorter than 400 bytes, longer ones, and strings of 400 bytes that are a few words."""
+    monkeypatch.setattr(suffix, "BIG", big)
+    monkeypatch.setattr(suffix.repeats, "__defaults__", (suffix.BLOCK, then))
+    monkeypatch.setattr(suffix, "COLLECTION", 40)
+    monkeypatch.setattr(suffix, "SEGMENT", 700)
+    r = random.Random(big)
+    say = lambda n: r.choice((" ", "\n", "  ")).join(r.choice(("a", "to", "élan", "The", "the", "of")) for _ in range(n))
+    shared = [say(n) for n in (49, 50, 51, 52, 60, 90, 200)] + ["é" * 260, "it " * 70]
+    rows = [(i, " ".join(r.choice(shared) if r.random() < 0.4 else say(r.randint(1, 70)) for _ in range(r.randint(1, 6)))) for i in range(80)]
+    edited = shared[6].split()
+    for i in range(20):
+        edited[r.randrange(len(edited))] = r.choice(("x", "y", "THE"))
+        rows.append((100 + i, "\t".join(edited)))
+    rows += [(200, None), (201, ""), (202, " \n"), (203, shared[2] + " \n"), (204, f" {shared[2]}"), (205, say(51)), (206, "é" * 150 + say(40)), (207, rows[0][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(3).write.parquet(f"file://{tmp_path}/p")
+    got = {x.doc_id: x.kept for x in suffix.dedup(spark.read.parquet(f"file://{tmp_path}/p"), passage=suffix.PASSAGE).collect()}
+    expected = {i: t for (i, _), t in zip(rows, brute_passages([t for _, t in rows], 51, 400), strict=True)}
+    assert got == expected and 50 < sum(t != (texts or "") for (_, texts), t in zip(rows, expected.values(), strict=True)) < len(rows)
