@@ -51,6 +51,11 @@ def test_collection_repeats():
         assert twice.tolist() == [i + 5 <= len(s) and windows[s[i : i + 5].tobytes()] > 1 for i in range(len(s))]
 
 
+def test_no_collection():
+    """A task may have no two pieces that share a symbol."""
+    assert suffix.collection_repeats([], 5) == []
+
+
 def test_table(spark, sf_dir, tmp_path):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert check(spark, rows, suffix.LENGTH, suffix.ANCHOR, f"file://{tmp_path}/d") > 100
