@@ -25,12 +25,16 @@ ROUNDS = 4
 TASK_LANES, TASK_TOKENS, TASK_RATE, PIECES = 256, 1 << 19, 0.003, 16
 #: Lanes and window of truncated backpropagation, and steps of training.
 LANES, WINDOW, STEPS, RATE = 64, 32, 500, 0.01
-#: States whose probabilities are worked out at once.
-COLUMNS = 1024
+#: States whose probabilities are worked out at once; inputs gathered at once. These and PLAIN leave results as they are, but for rounding.
+COLUMNS, GATHERED = 512, 2048
+#: Logarithms that are surely within it are raised as they are, larger ones less their greatest.
+PLAIN = 60
 #: Steps of a scoring window; the state goes on from one window to the next.
 SCORED = 256
 #: Documents of one batch, and bytes of text for one bucket of word hashes.
 BATCH_ROWS, BUCKET_BYTES = 4096, 16 << 20
+#: Bytes of text that are hashed at once, so that a core's cache holds them.
+HASHED = 1 << 17
 END_HASH = mix(np.array([0xE0D], np.uint64))[0]
 
 RESULT = "key {}, learned boolean, n_tokens long, n_known long, base_score double, score double"
@@ -48,7 +52,7 @@ class Counts(NamedTuple):
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): each text's words and one end."""
     parts, sizes = [], [np.zeros(1, np.int64)]
-    for _, some in chunks(pa.array(texts, pa.large_binary())):
+    for _, some in chunks(pa.array(texts, pa.large_binary()), HASHED):
         found = words(some)
         first = found.first + np.arange(len(some) + 1)
         hashes = np.full(first[-1], END_HASH, np.uint64)
@@ -79,6 +83,13 @@ class Adam:
             self.w[k] = (self.w[k] - rate * (self.first[k] / (1 - 0.9**self.n)) / (np.sqrt(self.second[k] / (1 - 0.99**self.n)) + 1e-8)).astype(np.float32)
 
 
+def _rows(states: np.ndarray) -> np.ndarray:
+    """(steps, HIDDEN, lanes) as a row for each step and lane, ended by a one for the bias."""
+    out = np.ones((len(states), states.shape[2], HIDDEN + 1), np.float32)
+    out[:, :, :HIDDEN] = states.transpose(0, 2, 1)
+    return out.reshape(-1, HIDDEN + 1)
+
+
 class Network:
     """A recurrent unit over word inputs; classes of words, then words of a class."""
 
@@ -92,99 +103,118 @@ class Network:
 
     def run(self, ids: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
         """States after each step of (steps, lanes) inputs, the last one, and what the way back needs."""
-        h, steps = HIDDEN, len(ids)
-        table = np.ascontiguousarray((self.w["in"] @ self.w["word"].T + self.w["bias"]).T)
-        states = np.empty((steps, h, state.shape[1]), np.float32)
-        saved = {k: np.empty((steps, n, state.shape[1]), np.float32) for k, n in (("state", h), ("gates", 2 * h), ("given", h), ("c", h))} if keep else {}
-        some = fresh.any(axis=1)
-        for t in range(steps):
-            if some[t]:
-                state = state * ~fresh[t]
-            x, g = np.ascontiguousarray(table.take(ids[t], axis=0).T), self.w["state"] @ state
-            zr = x[: 2 * h] + g[: 2 * h]
-            np.negative(zr, out=zr)
-            np.exp(zr, out=zr)
-            zr += 1
-            np.reciprocal(zr, out=zr)
-            c = zr[h:] * g[2 * h :]
-            c += x[2 * h :]
-            np.tanh(c, out=c)
-            if keep:
-                saved["state"][t], saved["gates"][t], saved["given"][t], saved["c"][t] = state, zr, g[2 * h :], c
-            state = states[t] = c + zr[:h] * (state - c)
-        return states, state, saved
-
-    def log_prob(self, flat: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probability of each target after its state (columns of flat); with grad, adds gradients of the negative mean and returns the states'."""
+        h, (steps, lanes) = HIDDEN, ids.shape
+        turned = np.repeat(np.float32([-1, 1]), (2 * h, h))[:, None]  # the two gates' inputs are negated once, in the weights
+        table = np.ascontiguousarray((turned * (self.w["in"] @ self.w["word"].T + self.w["bias"])).T)
+        weights, g = turned * self.w["state"], np.empty((3 * h, lanes), np.float32)
+        g_gates, g_c = g[: 2 * h], g[2 * h :]
+        n = steps if keep else 1
+        before, gates, given, cs = (np.empty((n, k, lanes), np.float32) for k in (h, 2 * h, h, h))
+        states, some, alive = np.empty((steps, h, lanes), np.float32), fresh.any(axis=1).tolist(), (~fresh).astype(np.float32)
+        block = max(1, GATHERED // lanes)
+        for first in range(0, steps, block):
+            given_x = np.ascontiguousarray(table.take(ids[first : first + block], axis=0).transpose(0, 2, 1))
+            for t, x_gates, x_c, out in zip(range(first, steps), given_x[:, : 2 * h], given_x[:, 2 * h :], states[first:], strict=False):
+                k = t if keep else 0
+                zr, c = gates[k], cs[k]
+                if keep or some[t]:
+                    state = np.multiply(state, alive[t], out=before[k])
+                np.matmul(weights, state, out=g)
+                np.add(x_gates, g_gates, out=zr)
+                np.exp(zr, out=zr)
+                np.add(zr, 1, out=zr)
+                np.reciprocal(zr, out=zr)
+                np.multiply(zr[h:], g_c, out=c)
+                np.add(c, x_c, out=c)
+                np.tanh(c, out=c)
+                np.subtract(state, c, out=out)
+                np.multiply(out, zr[:h], out=out)
+                state = np.add(out, c, out=out)
+                if keep:
+                    given[k] = g_c
+        return states, state.copy(), {"state": before, "gates": gates, "given": given, "c": cs} if keep else {}
+
+    def log_prob(self, rows: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log-probability of each target after its state (a row, ended by a one); with grad, adds gradients of the negative mean and returns the states'."""
         scale, group = np.float32(1 / max(1, len(target))), (target // CLASS).astype(np.uint8)
         order = np.argsort(group, kind="stable")
-        x, target, group = flat.take(order, axis=1), target[order], group[order]
-        cuts = np.searchsorted(group, np.arange(VOCABULARY // CLASS + 1))
-        log_p, back = np.zeros(len(target)), np.zeros_like(x) if grad is not None else None
-
-        def choose(kind: str, part: slice, here: slice, chosen: np.ndarray) -> None:
-            """Adds the log-probability of one of the rows of some weights, at the columns here."""
-            own, w = x[:, here], self.w[kind][part]
-            p = w @ own
-            p += self.w[f"{kind}_bias"][part][:, None]
-            p -= p.max(axis=0)
-            picked, k = p[chosen, np.arange(len(chosen))], np.arange(len(chosen))
+        x, target, group = rows.take(order, axis=0), target[order], group[order]
+        cuts = np.searchsorted(group, np.arange(VOCABULARY // CLASS + 1)).tolist()
+        log_p, back = np.zeros(len(target)), np.zeros((len(target), HIDDEN), np.float32) if grad is not None else None
+        weights, safe = {}, {}
+        for kind, n in (("class", VOCABULARY // CLASS), ("out", CLASS)):
+            w, bias = self.w[kind], self.w[f"{kind}_bias"]
+            weights[kind] = np.ascontiguousarray(np.column_stack((w, bias)).reshape(-1, n, HIDDEN + 1).transpose(0, 2, 1))
+            safe[kind] = float((np.abs(bias) + np.abs(w).sum(axis=1)).max()) < PLAIN  # a state's entries lie between -1 and 1
+
+        def choose(kind: str, k: int, a: int, z: int, chosen: np.ndarray) -> None:
+            """Adds the log-probability of one of the rows of the k-th part of some weights, at the states a to z."""
+            own, n = x[a:z], weights[kind].shape[2]
+            p = own @ weights[kind][k]
+            if not safe[kind]:
+                p -= p.max(axis=1, keepdims=True)
+            flat, at = p.ravel(), np.arange(0, p.size, n) + chosen
+            picked = flat.take(at)
             np.exp(p, out=p)
-            total = p.sum(axis=0)
-            log_p[here] += picked - np.log(total)
+            total = p @ np.ones(n, np.float32)
+            log_p[a:z] += picked - np.log(total)
             if grad is not None:
-                p *= scale / total
-                p[chosen, k] -= scale
-                grad[kind][part] += p @ own.T
-                grad[f"{kind}_bias"][part] += p.sum(axis=1)
-                back[:, here] += w.T @ p
+                part = slice(k * n, (k + 1) * n)
+                p *= (scale / total)[:, None]
+                flat[at] -= scale
+                slope = p.T @ own
+                grad[kind][part] += slope[:, :HIDDEN]
+                grad[f"{kind}_bias"][part] += slope[:, HIDDEN]
+                back[a:z] += p @ self.w[kind][part]
 
         for a in range(0, len(target), COLUMNS):
-            choose("class", slice(None), slice(a, a + COLUMNS), group[a : a + COLUMNS])
-        for c in np.flatnonzero(np.diff(cuts)):
+            choose("class", 0, a, min(a + COLUMNS, len(target)), group[a : a + COLUMNS])
+        for c in range(VOCABULARY // CLASS):
             for a in range(cuts[c], cuts[c + 1], COLUMNS):
                 z = min(a + COLUMNS, cuts[c + 1])
-                choose("out", slice(c * CLASS, (c + 1) * CLASS), slice(a, z), target[a:z] - c * CLASS)
+                choose("out", c, a, z, target[a:z] - c * CLASS)
         out = np.empty_like(log_p)
         out[order] = log_p
         if back is not None:
             given = np.empty_like(back)
-            given[:, order] = back
+            given[order] = back
             back = given
         return out, back
 
     def gradients(self, ids: np.ndarray, fresh: np.ndarray, target: np.ndarray, state: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
         """Backpropagation that stops at the window's start; also the state to carry on, and the loss."""
-        h, g = HIDDEN, {k: np.zeros_like(v) for k, v in self.w.items()}
+        h, (steps, lanes), g = HIDDEN, ids.shape, {k: np.zeros_like(v) for k, v in self.w.items()}
         states, last, saved = self.run(ids, fresh, state, keep=True)
-        wide = lambda x: x.transpose(1, 0, 2).reshape(x.shape[1], -1)
-        logp, back = self.log_prob(wide(states), target.ravel(), g)
-        back = back.reshape(h, len(ids), -1)
-        d = np.zeros_like(state)
+        logp, back = self.log_prob(_rows(states), target.ravel(), g)
+        back = np.ascontiguousarray(back.reshape(steps, lanes, h).transpose(0, 2, 1))
         z, r, c = saved["gates"][:, :h], saved["gates"][:, h:], saved["c"]
-        to_c, to_z, to_r = (1 - z) * (1 - c * c), (saved["state"] - c) * z * (1 - z), saved["given"] * r * (1 - r)
-        d_in, d_state = np.empty((3 * h, len(ids), state.shape[1]), np.float32), np.empty((3 * h, len(ids), state.shape[1]), np.float32)
-        back_w, some = np.ascontiguousarray(self.w["state"].T), fresh.any(axis=1)
-        d_g = np.empty((3 * h, state.shape[1]), np.float32)
-        for t in range(len(ids) - 1, -1, -1):
-            d += back[:, t]
-            pre_c = d * to_c[t]
-            np.multiply(d, to_z[t], out=d_g[:h])
-            np.multiply(pre_c, to_r[t], out=d_g[h : 2 * h])
-            np.multiply(pre_c, r[t], out=d_g[2 * h :])
-            d_in[: 2 * h, t], d_in[2 * h :, t], d_state[:, t] = d_g[: 2 * h], pre_c, d_g
+        # slopes of a step, by blocks of rows: c, z, r, and c through r
+        ahead, after, d_all = (np.empty((steps, n, h, lanes), np.float32) for n in (2, 2, 4))
+        ahead[:, 0], ahead[:, 1] = (1 - z) * (1 - c * c), (saved["state"] - c) * z * (1 - z)
+        after[:, 0], after[:, 1] = saved["given"] * r * (1 - r), r
+        flat = d_all.reshape(steps, 4 * h, lanes)
+        d_in, d_state = flat[:, : 3 * h], flat[:, h:]
+        back_w, some, alive = np.ascontiguousarray(self.w["state"].T), fresh.any(axis=1).tolist(), (~fresh).astype(np.float32)
+        d, through = np.zeros_like(state), np.empty_like(state)
+        for t in range(steps - 1, -1, -1):
+            d += back[t]
+            own = d_all[t]
+            np.multiply(ahead[t], d, out=own[:2])
+            np.multiply(after[t], own[0], out=own[2:])
             d *= z[t]
-            d += back_w @ d_g
+            d += np.matmul(back_w, d_state[t], out=through)
             if some[t]:
-                d *= ~fresh[t]
-        d_x, d_state, words = d_in.reshape(3 * h, -1), d_state.reshape(3 * h, -1), ids.ravel().astype(np.int16)
-        g["state"] += d_state @ wide(saved["state"]).T
-        g["bias"] += d_x.sum(axis=1, keepdims=True)
+                d *= alive[t]
+        g["state"] += np.matmul(d_state, saved["state"].transpose(0, 2, 1)).sum(axis=0)
+        turned = np.r_[h : 3 * h, :h]  # rows c, z, r as z, r, c
+        g["bias"] += d_in.sum(axis=(0, 2))[turned, None]
+        g["in"] += np.matmul(d_in, self.w["word"].take(ids, axis=0)).sum(axis=0)[turned]
+        by_place = np.matmul(d_in.transpose(0, 2, 1), self.w["in"][np.r_[2 * h : 3 * h, : 2 * h]]).reshape(-1, INPUT)
+        words = ids.ravel().astype(np.int16)
         order = np.argsort(words, kind="stable")
-        lead = np.flatnonzero(np.diff(words[order], prepend=-1))
-        used, by_word = words[order][lead], np.add.reduceat(np.ascontiguousarray(d_x.T)[order], lead, axis=0)
-        g["in"] += by_word.T @ self.w["word"][used]
-        g["word"][used] = by_word @ self.w["in"]
+        words = words[order]
+        lead = np.flatnonzero(np.diff(words, prepend=-1))
+        g["word"][words[lead]] = np.add.reduceat(by_place[order], lead, axis=0)
         return g, last, -float(logp.mean())
 
     def train(self, streams: list[np.ndarray], frequency: np.ndarray) -> None:
@@ -264,7 +294,7 @@ class Network:
                 at[: len(p), lane] = p
             real = at >= 0
             states, state, _ = self.run(np.where(real, given[at], END), real & new[at], state)
-            out[at[real]] = self.log_prob(states.transpose(1, 0, 2)[:, real], target[at[real]])[0]
+            out[at[real]] = self.log_prob(_rows(states)[real.ravel()], target[at[real]])[0]
         return out
 
 
