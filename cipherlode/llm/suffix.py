@@ -24,6 +24,8 @@ COLLECTION, BIG = 2000, 4096
 FINER = (5, 1)
 #: Strings that are worked on together when anchors are chosen, so that a place takes 20 bits.
 SEGMENT = 1 << 19
+#: Bytes of text that are hashed at once, so that a core's cache holds them.
+HASHED = 1 << 17
 #: Texts to symbols: those of all texts, and how many each has.
 Symbols = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
@@ -113,7 +115,7 @@ def _find(length: int, anchor: int, symbols: Symbols):
         only("suffix")
         for batch in batches:
             uids = np.asarray(batch.column(0))
-            for first_row, texts in chunks(batch.column(1)):
+            for first_row, texts in chunks(batch.column(1), HASHED):
                 data, size = symbols(texts)
                 start = np.cumsum(size) - size
                 prefix = prefix_hash(data)
@@ -134,27 +136,26 @@ def _cut(length: int, symbols: Symbols):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[int, int, int, bytes, bytes]] = []
-            for uid, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data, _ = symbols([text.encode("utf-8", "surrogatepass")])
-                prefix = prefix_hash(data)
-                for w in wanted:
-                    place, first, last = w["place"], w["first"], w["last"]
-                    for low in range((place - last) // BLOCK * BLOCK, place - first + 1, BLOCK):
-                        high = low + BLOCK - 1
-                        a, z = place - low, place - high + length
-                        core = int(mix(span_hash(prefix, np.array([a]), np.array([z])) + np.array([w["h"]]).astype(np.uint64) * np.uint64(2 * low + 1 & 2**64 - 1))[0].astype(np.int64))
-                        start = max(first, place - high)
-                        rows.append((core, uid, start, data[start:a].tobytes(), data[z : min(a, last) + length].tobytes()))
-                if len(rows) > 20_000:
-                    yield pieces(rows)
-                    rows = []
-            yield pieces(rows)
-
-    def pieces(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["core", "uid", "start", "l", "r"])
+            uids, wanted, ends = np.asarray(batch.column(0)), batch.column(2).flatten(), np.cumsum(np.append(0, np.asarray(batch.column(2).value_lengths())))
+            h, place, first, last = (np.asarray(wanted.field(k)).astype(np.int64) for k in range(4))
+            for first_row, texts in chunks(batch.column(1), HASHED):
+                data, size = symbols(texts)
+                prefix, raw, width = prefix_hash(data), data.tobytes(), data.itemsize
+                row = np.repeat(np.arange(len(texts)), np.diff(ends[first_row : first_row + len(texts) + 1]))
+                mine = slice(ends[first_row], ends[first_row + len(texts)])
+                lowest = (place[mine] - last[mine]) // BLOCK * BLOCK
+                n = (place[mine] - first[mine] - lowest) // BLOCK + 1
+                at = np.repeat(np.arange(len(n)), n)
+                low = lowest[at] + BLOCK * (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n))
+                base = (np.cumsum(size) - size)[row[at]]
+                h_at, place_at, first_at, last_at = h[mine][at], place[mine][at] + base, first[mine][at] + base, last[mine][at] + base
+                a, z, start = place_at - low, place_at - low - BLOCK + 1 + length, np.maximum(first_at, place_at - low - BLOCK + 1)
+                core = mix(span_hash(prefix, a, z) + h_at.astype(np.uint64) * (2 * low + 1).astype(np.uint64)).astype(np.int64)
+                left = [raw[x:y] for x, y in zip((start * width).tolist(), (a * width).tolist(), strict=True)]
+                right = [raw[x:y] for x, y in zip((z * width).tolist(), ((np.minimum(a, last_at) + length) * width).tolist(), strict=True)]
+                for k in range(0, len(at), 20_000):
+                    part = slice(k, k + 20_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(core[part]), pa.array(uids[first_row + row[at[part]]]), pa.array((start - base)[part].astype(np.int32)), pa.array(left[part], pa.binary()), pa.array(right[part], pa.binary())], ["core", "uid", "start", "l", "r"])
 
     return cut
 
@@ -223,8 +224,25 @@ def _collect(length: int, block: int, kind: type[np.unsignedinteger]):
     return collect
 
 
-def _rest(with_text: bool):
-    """Digests of what stays of each text; spans of bytes, and of words if there are such, may overlap and come in any order. With a word goes the blank after it."""
+def _without(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
+    """(what is left, bytes removed, runs removed); spans may overlap and come in any order."""
+    kept, at, removed, n = [], 0, 0, 0
+    for a, z in sorted(spans):
+        if n == 0 or a > at:
+            kept.append(raw[at:a])
+            n += 1
+            at = a
+        if z > at:
+            removed += z - at
+            at = z
+    kept.append(raw[at:])
+    return b"".join(kept), removed, n
+
+
+def _rest(with_text: bool, apart: bool):
+    """Digests of what stays of each text, without spans of bytes, and of words if there are such; apart: the latter are cut from a second kept text alone. With a word goes the blank after it."""
+
+    texts = with_text + (with_text and apart)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,33 +250,26 @@ def _rest(with_text: bool):
             passages = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
             for text, found, passage in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), passages, strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                kept, at, removed, n = [], 0, 0, 0
                 spans = [(s["a"], s["z"]) for s in found or []]
+                every = spans
                 if passage:
                     edge = np.append(words([raw]).start, len(raw)).tolist()
-                    spans += [(edge[s["a"]], edge[s["z"]]) for s in passage]
-                for s in sorted(spans):
-                    if n == 0 or s[0] > at:
-                        kept.append(raw[at : s[0]])
-                        n += 1
-                        at = s[0]
-                    if s[1] > at:
-                        removed += s[1] - at
-                        at = s[1]
-                kept.append(raw[at:])
-                rest = b"".join(kept)
-                out.append((len(raw), removed, n, hashlib.sha256(rest).hexdigest(), *((rest.decode("utf-8", "ignore"),) if with_text else ())))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * (4 + with_text), kinds, strict=False))], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
+                    every = spans + [(edge[s["a"]], edge[s["z"]]) for s in passage]
+                rest, removed, n = _without(raw, spans if apart else every)
+                left = _without(raw, every)[0] if apart and passage else rest
+                out.append((len(raw), removed, n, hashlib.sha256(rest).hexdigest(), *[x.decode("utf-8", "ignore") for x in (rest, left)[:texts]]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * (4 + texts), kinds, strict=False))], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_apart"][: 5 + texts])
 
     return cut
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = True, passage: int = 0) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = True, passage: int = 0, apart: bool = False) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row: texts without the bytes of any length-byte string that starts anywhere else too.
 
     With passage, the same goes for passages of so many words (BLOCK at least; runs other than blanks, as
-    written), however long, whatever blanks are between them. Both are judged on the input.
+    written), however long, whatever blanks are between them. Both are judged on the input. apart: the
+    columns are of strings of bytes alone, and one more, kept_apart, is the text without both.
     Strings are bytes of the UTF-8 text as given; matches don't cross documents but may
     lie in the same one and overlap. Null texts are empty, short ones stay. A row
     that is there twice is two documents, so both lose what they share. Null
@@ -282,7 +293,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     if passage:
         more = alone(docs.sparkSession, lambda: _spans(rows.select("uid", "text"), passage, max(1, passage // 4), _words, np.uint64))
         spans = spans.join(more.withColumnRenamed("spans", "passages"), "uid", "full")
-    out = rows.join(spans, "uid", "left").select("key", "text", "spans", *["passages"] * bool(passage)).mapInArrow(_rest(with_text), f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+    out = rows.join(spans, "uid", "left").select("key", "text", "spans", *["passages"] * bool(passage)).mapInArrow(_rest(with_text, apart), f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text + ", kept_apart string" * (with_text and apart))
     return out.withColumnRenamed("key", key)
 
 
@@ -300,5 +311,6 @@ def _spans(texts: DataFrame, length: int, anchor: int, symbols: Symbols, kind: t
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's columns, then what is left of each text and its characters."""
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long"))
+    """The contract's columns, then what is left of each text and its characters, and the same without passages of over 50 words too."""
+    out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), passage=PASSAGE, apart=True).withColumnsRenamed({"kept": "text", "kept_apart": "passage_free_text"})
+    return out.withColumns({"n_chars": F.length("text").cast("long"), "passage_free_chars": F.length("passage_free_text").cast("long")})

@@ -131,3 +131,20 @@ def test_passages_of_words(spark, tmp_path, monkeypatch, big, then):
     got = {x.doc_id: x.kept for x in suffix.dedup(spark.read.parquet(f"file://{tmp_path}/p"), passage=suffix.PASSAGE).collect()}
     expected = {i: t for (i, _), t in zip(rows, brute_passages([t for _, t in rows], 51, 400), strict=True)}
     assert got == expected and 50 < sum(t != (texts or "") for (_, texts), t in zip(rows, expected.values(), strict=True)) < len(rows)
+
+
+def test_query_beside_passages(spark, tmp_path):
+    """A passage of over 50 words, of under 400 bytes or with other blanks, goes from the last columns; those of the contract stay with strings of bytes."""
+    r = random.Random(9)
+    say = lambda n, blank=" ": blank.join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6))) for _ in range(n))
+    short, long, bytes_only = say(55), say(90), "é" * 260
+    rows = [(1, f"{say(30)} {short} {say(30)}"), (2, f"{say(9)} {short}"), (3, f"{long} {say(20)}"), (4, f"{say(20)}\n{long.replace(' ', '  ')}"), (5, f"{say(60)} {bytes_only}"), (6, f"{bytes_only} {say(60)}"), (7, say(200)), (8, None), (9, f"{say(8)} {say(50)}")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in suffix.op2_suffix_dedup(spark, f"file://{tmp_path}").collect()}
+    texts = [t for _, t in rows]
+    for (i, _), contract, left in zip(rows, brute(texts, 400), brute_passages(texts, 51, 400), strict=True):
+        x = got[i]
+        assert (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == contract and hashlib.sha256(x.text.encode()).hexdigest() == contract[3]
+        assert x.n_chars == len(x.text) and x.passage_free_text == left and x.passage_free_chars == len(left)
+    assert [got[i].n_removed > 0 for i in range(1, 10)] == [False] * 4 + [True] * 2 + [False] * 3
+    assert [got[i].passage_free_chars < got[i].n_chars for i in range(1, 10)] == [True] * 4 + [False] * 5
