@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from cipherlode.llm.text import Words, alone, chunks, mix, settle, with_uid, words
+from cipherlode.llm.text import WORDS_BYTES, Words, alone, chunks, mix, settle, with_uid, words
 
 #: Scores of a word; an alignment counts from this share of the item's own score.
 MATCH, MISMATCH, GAP, THRESHOLD = 2, -1, -1, 0.5
@@ -67,7 +67,7 @@ def _prepare(threshold: float):
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in chunks(batch.column(1)):
+            for first, texts in chunks(batch.column(1), WORDS_BYTES):
                 found = words(texts)
                 size = np.diff(found.first)
                 needed, dropped, slack, single = bounds(size, threshold)
@@ -127,7 +127,7 @@ def _count(known: Filter, single: bool):
             return pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(total)], ["hash", "n"])
 
         for batch in batches:
-            for _, texts in chunks(batch.column(0)):
+            for _, texts in chunks(batch.column(0), WORDS_BYTES):
                 hashes, _ = _asked(words(texts), single)
                 distinct, times = np.unique(hashes[known.passes(hashes)], return_counts=True)
                 held.append(distinct)
@@ -143,7 +143,7 @@ def _find(known: Filter, single: bool):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uids = np.asarray(batch.column(0))
-            for first, texts in chunks(batch.column(1)):
+            for first, texts in chunks(batch.column(1), WORDS_BYTES):
                 found = words(texts)
                 hashes, at = _asked(found, single)
                 some = known.passes(hashes)
@@ -188,7 +188,7 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of the words of each stretch."""
     for batch in batches:
         asked = batch.column(2).to_pylist()
-        for first, texts in chunks(batch.column(1)):
+        for first, texts in chunks(batch.column(1), WORDS_BYTES):
             found, out = words(texts), []
             for k in range(len(texts)):
                 own = found.hashes[found.first[k] : found.first[k + 1]]
@@ -285,7 +285,8 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, key: str, text: str, it
     windows = settle(lines.mapInArrow(_windows, "uid long, iid long, low int, high int"))
     asked_of = windows.groupBy("uid").agg(F.collect_list(F.struct("iid", "low", "high")).alias("w"))
     few = F.broadcast(asked_of) if windows.count() * 64 <= BROADCAST_BYTES else asked_of
-    passages = rows.join(few, "uid").select("key", "text", "w").mapInArrow(_passages, f"key {kind}, iid long, low int, passage binary")
+    # stored, since a task with two Python steps has two Python workers, which stay with the executor
+    passages = settle(rows.join(few, "uid").select("key", "text", "w").mapInArrow(_passages, f"key {kind}, iid long, low int, passage binary"))
     scored = passages.join(known.select("iid", "words"), "iid").select("key", "iid", "low", "passage", "words").mapInArrow(_score(threshold), f"key {kind}, iid long, score double, n_matched int, start_word int, end_word int")
     named = scored.join(items.select(F.col("uid").alias("iid"), F.col("key").alias("item")), "iid")
     best = named.groupBy("key", "item").agg(F.max(F.struct("score", "n_matched", (-F.col("start_word")).alias("s"), (-F.col("end_word")).alias("e"))).alias("b"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from cipherlode.llm.graph import components
-from cipherlode.llm.text import alone, chunks, mix, only, settle, shingles, stored_by, with_uid, words
+from cipherlode.llm.text import WORDS_BYTES, alone, chunks, mix, only, settle, shingles, stored_by, with_uid, words
 
 #: Words of a shingle; percent of the union that linked sets share.
 WIDTH, PERCENT = 5, 75
@@ -81,7 +81,7 @@ def _inspect(n_buckets: int, width: int, percent: int):
         for batch in batches:
             uids, start, sizes, prints, held = np.asarray(batch.column(0)), 0, [], [], []
             done = 0
-            for first, texts in chunks(batch.column(2)):
+            for first, texts in chunks(batch.column(2), WORDS_BYTES):
                 hashes, at = shingles(words(texts), width)
                 for a, z in zip(at, at[1:], strict=False):
                     own = np.unique(hashes[a:z])
@@ -344,7 +344,7 @@ def _recur(at: DataFrame, chosen: DataFrame, sets: DataFrame, percent: int) -> D
 def _sets(width: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in chunks(batch.column(2)):
+            for first, texts in chunks(batch.column(2), WORDS_BYTES):
                 hashes, at = shingles(words(texts), width)
                 own = [np.unique(hashes[a:z]) for a, z in zip(at, at[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(first, len(texts)) for c in batch.columns[:2]), pa.array([len(o) for o in own], pa.int64()), pa.array([pack(o) for o in own], pa.binary())], ["uid", "weight", "n", "elements"])

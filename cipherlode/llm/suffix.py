@@ -26,6 +26,8 @@ FINER = (5, 1)
 SEGMENT = 1 << 19
 #: Bytes of text that are hashed at once, so that a core's cache holds them.
 HASHED = 1 << 17
+#: Rows of texts that go back to Spark at once.
+ROWS = 1000
 #: Texts to symbols: those of all texts, and how many each has.
 Symbols = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
@@ -245,7 +247,7 @@ def _rest(with_text: bool, apart: bool):
     texts = with_text + (with_text and apart)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             out = []
             passages = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
             for text, found, passage in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), passages, strict=True):

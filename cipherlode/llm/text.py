@@ -9,6 +9,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from cipherlode.store import alone, new_path, settle, shared_dir  # noqa: F401
 
 #: Bytes of text that one numpy step works on, so that a task's memory does not follow its input.
 CHUNK_BYTES = 1 << 21
+#: The same where a step makes several numbers of each byte.
+WORDS_BYTES = 1 << 19
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -89,16 +92,17 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts as bytes) of slices of a column; a null text is empty. A text over the limit has a slice of its own."""
-    texts = [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
+    """(first row, texts as bytes) of slices of a column; a null text is empty. A text over the limit has a slice of its own. One slice at a time is copied out of the column."""
+    raw = column.cast(pa.large_binary())
+    texts = lambda a, z: [t or b"" for t in raw.slice(a, z - a).to_pylist()]
     first, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > first and size + len(t) > limit:
-            yield first, texts[first:i]
+    for i, n in enumerate(pc.binary_length(raw).fill_null(0).to_pylist()):
+        if i > first and size + n > limit:
+            yield first, texts(first, i)
             first, size = i, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, texts[first:]
+        size += n
+    if first < len(raw):
+        yield first, texts(first, len(raw))
 
 
 class Words(NamedTuple):
