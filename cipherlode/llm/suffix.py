@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherlode.llm.text import alone, chunks, mix, only, prefix_hash, settle, span_hash, with_uid, words
+from cipherlode.llm.text import alone, chunks, mix, only, powers, prefix_hash, settle, span_hash, with_uid, word_starts, words
 
 #: Bytes of a string that counts when it occurs twice; bytes of the anchor that each such string holds.
 LENGTH, ANCHOR = 400, 100
@@ -22,8 +24,8 @@ BLOCK = 25
 COLLECTION, BIG = 2000, 4096
 #: Places of the pieces of such groups; at one place a string is one symbol.
 FINER = (5, 1)
-#: Strings that are worked on together when anchors are chosen, so that a place takes 20 bits.
-SEGMENT = 1 << 19
+#: Strings that are worked on together when anchors are chosen, so that a core's cache holds them; a place takes 20 bits.
+SEGMENT = 1 << 14
 #: Bytes of text that are hashed at once, so that a core's cache holds them.
 HASHED = 1 << 17
 #: Rows of texts that go back to Spark at once.
@@ -44,70 +46,66 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def collection_repeats(strings: list[np.ndarray], length: int) -> list[np.ndarray]:
-    """For each string (unsigned symbols), which of its suffixes share their first length symbols with another suffix.
+    """For each string (unsigned symbols), which of its suffixes share their first length symbols with another suffix."""
+    size = np.array([len(s) for s in strings], np.int64)
+    return np.split(repeated(np.concatenate(strings), size, length), np.cumsum(size)[:-1]) if strings else []
+
+
+def repeated(flat: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """The same for strings of these sizes, one after another in flat.
 
     The collection's suffixes are sorted column by column: a round puts one more symbol
     in front of every string. With the Burrows-Wheeler transform so far (the symbol before each
-    sorted suffix), a stable sort by that symbol is the next order, and a common prefix is one more than the
-    least one between the two suffixes that it extends. Each round is a sequential
-    pass from one set of arrays to the next; a string's end is unlike any other's.
+    sorted suffix), a stable sort by that symbol is the next order. Each round is a sequential
+    pass from one set of arrays to the next; a string's end, 0 here, is unlike any other's. Common
+    prefixes are counted once all suffixes stand in order, between neighbours, up to length.
     """
-    m, size = len(strings), np.array([len(s) for s in strings], np.int64)
-    offset = np.cumsum(size) - size
-    flat = np.concatenate(strings) if m else np.zeros(0, np.uint16)
-    owner, tail, common = np.arange(m), np.zeros(m, np.int64), np.zeros(m, np.uint8)
+    symbol = np.arange(len(flat)) + np.repeat(np.arange(len(size)), size) + 1
+    data = np.zeros(len(flat) + len(size) + 1, np.uint16 if int(flat.max(initial=0)) < (1 << 16) - 1 else np.uint32)
+    data[symbol] = flat.astype(data.dtype) + data.dtype.type(1)
+    ends = (np.cumsum(size) + np.arange(len(size)) + 1).astype(np.int32)
+    suffixes = ends
     for _ in range(int(size.max(initial=0))):
-        grows = tail < size[owner]
-        before = flat[np.where(grows, offset[owner] + size[owner] - tail - 1, 0)]
-        at = np.flatnonzero(grows)
-        at = at[np.argsort(before[at], kind="stable")]
-        symbol = before[at]
-        same = np.concatenate(([False], symbol[1:] == symbol[:-1]))
-        new = np.zeros(len(at), np.uint8)
-        new[same] = np.minimum(_range_min(common, at[np.flatnonzero(same) - 1] + 1, at[same]), 254) + 1
-        owner, tail, common = np.concatenate((np.arange(m), owner[at])), np.concatenate((np.zeros(m, np.int64), tail[at] + 1)), np.concatenate((np.zeros(m, np.uint8), new))
-    long = common >= length
-    twice = long | np.append(long[1:], False)
-    out = [np.zeros(n, bool) for n in size]
-    flags = np.zeros(len(flat), bool)
-    mine = tail > 0
-    flags[offset[owner[mine]] + size[owner[mine]] - tail[mine]] = twice[mine]
-    return np.split(flags, np.cumsum(size)[:-1]) if m else out
-
-
-def _range_min(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Least of values[first..last], both included, for many ranges."""
-    out = np.empty(len(first), values.dtype)
-    bits = np.frexp((last - first + 1).astype(np.float64))[1] - 1
-    level, k = values, 0
-    while len(first):
-        now = bits == k
-        if now.any():
-            out[now] = np.minimum(level[first[now]], level[last[now] - (1 << k) + 1])
-        if k >= bits.max():
-            break
-        level, k = np.minimum(level[: -(1 << k) or None], level[1 << k :]), k + 1
-    return out
-
-
-def anchors(data: np.ndarray, prefix: np.ndarray, start: int, end: int, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, first, last) for data[start:end]: strings that start at first..last all have their lowest-hashed gram, the leftmost of equals, at place."""
-    w, n = length - anchor + 1, end - start - length + 1
+        before = data[suffixes - 1]
+        at = np.flatnonzero(before)
+        suffixes = np.concatenate((ends, suffixes[at[np.argsort(before[at], kind="stable")]] - np.int32(1)))
+    suffixes = suffixes[len(ends) :]
+    same = np.arange(max(len(suffixes) - 1, 0))
+    left, right = suffixes[:-1], suffixes[1:]
+    for _ in range(length):
+        here = data[left]
+        go = np.flatnonzero((here == data[right]) & (here != 0))
+        same, left, right = same[go], left[go] + np.int32(1), right[go] + np.int32(1)
+    flags = np.zeros(len(data), bool)
+    flags[suffixes[same]] = flags[suffixes[same + 1]] = True
+    return flags[symbol]
+
+
+def anchors(prefix: np.ndarray, size: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place, first, last) for texts of these sizes, one after another: strings that start at first..last, all of one text, have their lowest-hashed gram, the leftmost of equals, at place."""
+    w, n = length - anchor + 1, int(size.sum()) - length + 1
+    starts = np.maximum(size - length + 1, 0)
+    within = np.repeat(np.tile([True, False], len(size)), np.stack((starts, size - starts), 1).ravel())
     out = []
-    for a in range(start, start + n, SEGMENT):
-        z = min(a + SEGMENT, start + n)
-        at = np.arange(a, z + w - 1)
-        hashes = span_hash(prefix, at, at + anchor)
-        key = (hashes >> np.uint64(20)) << np.uint64(20) | np.arange(len(at), dtype=np.uint64)
+    for a in range(0, n, SEGMENT):
+        z = min(a + SEGMENT, n)
+        grams = z + w - 1
+        hashes = mix((prefix[a + anchor : grams + anchor] - prefix[a:grams]) * powers(len(prefix))[1][a:grams] + np.uint64(anchor))
+        key = (hashes >> np.uint64(20)) << np.uint64(20) | np.arange(len(hashes), dtype=np.uint64)
         padded = np.full(-(-len(key) // w) * w, np.uint64(2**64 - 1))
         padded[: len(key)] = key
         blocks = padded.reshape(-1, w)
         upto, after = np.minimum.accumulate(blocks, axis=1).ravel(), np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         best = (np.minimum(after[: z - a], upto[w - 1 : w - 1 + z - a]) & np.uint64(0xFFFFF)).astype(np.int64)
+        best[~within[a:z]] = -1
         lead = np.flatnonzero(np.diff(best, prepend=-1))
         last = np.append(lead[1:], z - a) - 1
+        mine = best[lead] >= 0
+        lead, last = lead[mine], last[mine]
         out.append((hashes[best[lead]], a + best[lead], a + lead, a + last))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    h, place, first, last = (np.concatenate(c) for c in zip(*out, strict=True))
+    lead = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (first[1:] != last[:-1] + 1)))
+    return h[lead], place[lead], first[lead], last[np.append(lead[1:], len(last)) - 1]
 
 
 def _find(length: int, anchor: int, symbols: Symbols):
@@ -119,16 +117,17 @@ def _find(length: int, anchor: int, symbols: Symbols):
             uids = np.asarray(batch.column(0))
             for first_row, texts in chunks(batch.column(1), HASHED):
                 data, size = symbols(texts)
-                start = np.cumsum(size) - size
-                prefix = prefix_hash(data)
-                found = [(k, *anchors(data, prefix, s, s + n, length, anchor)) for k, (s, n) in enumerate(zip(start.tolist(), size.tolist(), strict=True)) if n >= length]
-                if not found:
+                rows = np.flatnonzero(size >= length)
+                if not len(rows):
                     continue
-                row = np.repeat([x[0] for x in found], [len(x[1]) for x in found])
-                h, place, first, last = (np.concatenate([x[i] for x in found]) for i in (1, 2, 3, 4))
+                data, size = data[np.repeat(size >= length, size)], size[rows]
+                prefix = prefix_hash(data)
+                h, place, first, last = anchors(prefix, size, length, anchor)
                 f = mix(span_hash(prefix, first, last + length) + (place - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                base = start[row]
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(f.astype(np.int64)), pa.array(uids[first_row + row]), *(pa.array((x - base).astype(np.int32)) for x in (place, first, last))], ["h", "f", "uid", "place", "first", "last"])
+                end = np.cumsum(size)
+                k = np.searchsorted(end, first, "right")
+                base = (end - size)[k]
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(f.astype(np.int64)), pa.array(uids[first_row + rows[k]]), *(pa.array((x - base).astype(np.int32)) for x in (place, first, last))], ["h", "f", "uid", "place", "first", "last"])
 
     return find
 
@@ -189,45 +188,80 @@ def repeats(pieces: DataFrame, length: int, kind: type[np.unsignedinteger], bloc
 def _collect(length: int, block: int, kind: type[np.unsignedinteger]):
     """Pieces come by core: whole groups go into collections, and repeated strings come out as spans."""
 
-    def spans(groups: list[list[tuple[int, int, bytes, bytes]]]) -> pa.RecordBatch:
-        sides = [np.frombuffer(side, kind) for group in groups for piece in group for side in piece[2:]]
-        core, most = [k for k, group in enumerate(groups) for _ in group], 256
-        if kind != np.uint8 and sides:
-            known, code = np.unique(np.concatenate(sides), return_inverse=True)
-            sides, most = np.split(code, np.cumsum([len(s) for s in sides])[:-1]), len(known)
-        short = np.uint16 if most + len(groups) <= 1 << 16 else np.uint32
-        strings = [np.concatenate((left, np.array([most + k], short), right)).astype(short) for k, left, right in zip(core, sides[::2], sides[1::2], strict=True)]
-        owner = [(uid, start, len(left)) for (uid, start, *_), left in zip((piece for group in groups for piece in group), sides[::2], strict=True)]
-        out = []
-        for (uid, start, n_left), twice in zip(owner, collection_repeats(strings, block), strict=True):
-            at = np.flatnonzero(twice[: n_left + 1])
-            if len(at):
-                lead = np.flatnonzero(np.diff(at, prepend=-2) > 1)
-                out += [(uid, start + int(at[a]), start + int(at[z - 1]) + length) for a, z in zip(lead, [*lead[1:], len(at)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 3, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["uid", "a", "z"])
+    def side(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols of a column of strings, how many each has)."""
+        return np.frombuffer(b"".join(column.to_pylist()), kind), np.asarray(pc.binary_length(column)).astype(np.int64) // np.dtype(kind).itemsize
+
+    def spans(pieces: pa.Table) -> pa.RecordBatch:
+        core, uid, start = (np.asarray(pieces.column(k)) for k in range(3))
+        (left, n_left), (right, n_right) = (side(pieces.column(k).combine_chunks()) for k in (3, 4))
+        most = 256
+        if kind != np.uint8:
+            known, code = np.unique(np.concatenate((left, right)), return_inverse=True)
+            left, right, most = code[: len(left)], code[len(left) :], len(known)
+        size = n_left + 1 + n_right
+        first = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), np.uint32)
+        flat[first + n_left] = most + np.cumsum(np.diff(core, prepend=core[:1]) != 0)
+        flat[np.arange(len(left)) + np.repeat(first - (np.cumsum(n_left) - n_left), n_left)] = left
+        flat[np.arange(len(right)) + np.repeat(first + n_left + 1 - (np.cumsum(n_right) - n_right), n_right)] = right
+        at = np.flatnonzero(repeated(flat, size, block))
+        owner = np.searchsorted(first, at, "right") - 1
+        ahead = at - first[owner] <= n_left[owner]
+        at, owner = at[ahead], owner[ahead]
+        lead = np.flatnonzero((np.diff(at, prepend=-2) > 1) | (np.diff(owner, prepend=-1) != 0))
+        last = np.append(lead[1:], len(at))[: len(lead)] - 1
+        a, z = (start[owner[x]] + at[x] - first[owner[x]] for x in (lead, last))
+        return pa.RecordBatch.from_arrays([pa.array(uid[owner[lead]], pa.int64()), pa.array(a.astype(np.int32)), pa.array((z + length).astype(np.int32))], ["uid", "a", "z"])
+
+    def groups(pieces: pa.Table) -> np.ndarray:
+        """Where the pieces of another core begin."""
+        core = np.asarray(pieces.column(0))
+        return np.append(0, np.flatnonzero(core[1:] != core[:-1]) + 1)
+
+    def several(pieces: pa.Table) -> pa.Table:
+        """Pieces of groups of at least two."""
+        size = np.diff(np.append(groups(pieces), len(pieces)))
+        return pieces.filter(pa.array(np.repeat(size > 1, size)))
+
+    def collections(pieces: pa.Table) -> Iterator[pa.RecordBatch]:
+        begin = groups(pieces)
+        cut = begin[np.flatnonzero(np.diff(begin // COLLECTION, prepend=-1))]
+        for a, z in zip(cut, [*cut[1:], len(pieces)], strict=True):
+            yield spans(pieces.slice(a, z - a))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, held, core = [], 0, None
-        for batch in batches:
-            for c, *piece in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if c != core:
-                    if groups and len(groups[-1]) < 2:
-                        groups.pop()
-                        held -= 1
-                    if held >= COLLECTION:
-                        yield spans(groups)
-                        groups, held = [], 0
-                    groups.append([])
-                    core = c
-                groups[-1].append(tuple(piece))
-                held += 1
-        yield spans([g for g in groups if len(g) > 1])
+        held, n, open_group = [], 0, None
+        for batch in (b for b in batches if b.num_rows):
+            pieces = pa.Table.from_batches([batch])
+            pieces = pa.concat_tables([open_group, pieces]) if open_group else pieces
+            last = int(groups(pieces)[-1])
+            open_group, whole = pieces.slice(last), pieces.slice(0, last)
+            if last and len(whole := several(whole)):
+                held.append(whole)
+                n += len(whole)
+            if n >= COLLECTION:
+                yield from collections(pa.concat_tables(held))
+                held, n = [], 0
+        if open_group and len(open_group) > 1:
+            held.append(open_group)
+        if held:
+            yield from collections(pa.concat_tables(held))
 
     return collect
 
 
+def _lists(column: pa.ListArray) -> Iterator[list[tuple[int, int]]]:
+    """The (a, z) of each row; none for null."""
+    a, z = (k.to_pylist() for k in column.flatten().flatten())
+    ends = np.cumsum(np.asarray(pc.list_value_length(column).fill_null(0))).tolist()
+    return (list(zip(a[x:y], z[x:y], strict=True)) for x, y in zip([0, *ends], ends, strict=False))
+
+
 def _without(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """(what is left, bytes removed, runs removed); spans may overlap and come in any order."""
+    if not spans:
+        return raw, 0, 0
     kept, at, removed, n = [], 0, 0, 0
     for a, z in sorted(spans):
         if n == 0 or a > at:
@@ -249,14 +283,13 @@ def _rest(with_text: bool, apart: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             out = []
-            passages = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
-            for text, found, passage in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), passages, strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                spans = [(s["a"], s["z"]) for s in found or []]
+            passages = _lists(batch.column(3)) if batch.num_columns > 3 else repeat([])
+            for text, spans, passage in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), _lists(batch.column(2)), passages):
+                raw = text or b""
                 every = spans
                 if passage:
-                    edge = np.append(words([raw]).start, len(raw)).tolist()
-                    every = spans + [(edge[s["a"]], edge[s["z"]]) for s in passage]
+                    edge = word_starts(raw)
+                    every = spans + [(edge[a], edge[z]) for a, z in passage]
                 rest, removed, n = _without(raw, spans if apart else every)
                 left = _without(raw, every)[0] if apart and passage else rest
                 out.append((len(raw), removed, n, hashlib.sha256(rest).hexdigest(), *[x.decode("utf-8", "ignore") for x in (rest, left)[:texts]]))
@@ -302,14 +335,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 def _spans(texts: DataFrame, length: int, anchor: int, symbols: Symbols, kind: type[np.unsignedinteger]) -> DataFrame:
     """(uid, spans) of texts that share strings of length symbols."""
     found = settle(texts.mapInArrow(_find(length, anchor, symbols), "h long, f long, uid long, place int, first int, last int"))
-    same = found.groupBy("h", "f").agg(F.count("*").alias("c"), F.min(F.struct("uid", "place", "first", "last")).alias("one"))
-    kinds = same.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("c").alias("n")).where("n > 1")
-    many = settle(same.join(kinds, "h").select("h", "f", "c", "kinds", "one"))
+    # one occurrence of each: equal strings lie alike around their anchor
+    same = found.groupBy("h", "f").agg(F.count("*").alias("c"), F.min("uid").alias("uid"), F.min_by("place", "uid").alias("place"), F.min(F.col("place") - F.col("first")).alias("before"), F.max(F.col("last") - F.col("place")).alias("after"))
+    kinds = found.groupBy("h").agg(F.count("*").alias("n"), (F.min("f") < F.max("f")).alias("several")).where("n > 1").select("h", "several")
+    many = settle(same.join(kinds, "h"))
     whole = found.join(many.where("c > 1").select("h", "f"), ["h", "f"]).select("uid", F.col("first").alias("a"), (F.col("last") + length).alias("z"))
 
-    wanted = many.where("kinds > 1").select("one.uid", F.struct("h", "one.place", "one.first", "one.last").alias("w")).groupBy("uid").agg(F.collect_list("w").alias("w"))
+    wanted = many.where("several").select("uid", F.struct("h", "place", (F.col("place") - F.col("before")).alias("first"), (F.col("place") + F.col("after")).alias("last")).alias("w")).groupBy("uid").agg(F.collect_list("w").alias("w"))
     pieces = settle(texts.join(wanted, "uid").select("uid", "text", "w").mapInArrow(_cut(length, symbols), "core long, uid long, start int, l binary, r binary"))
-    return whole.union(repeats(pieces, length, kind)).distinct().groupBy("uid").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
+    return whole.union(repeats(pieces, length, kind)).groupBy("uid").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,13 @@ def words(texts: list[bytes], trim: int = 0, lower: bool = True) -> Words:
     return Words(data, start, end, span_hash(prefix_hash(data), start, end), first)
 
 
+def word_starts(text: bytes) -> list[int]:
+    """Where words() has its words begin, then the text's length."""
+    word = ~_SPACE[np.frombuffer(text, np.uint8)]
+    word[1:] &= ~word[:-1]
+    return [*np.flatnonzero(word).tolist(), len(text)]
+
+
 def shingles(found: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): of every run of width words; a text with fewer words has one shingle, all of them, and one without words none."""
     n = len(found.hashes)

@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cipherlode.llm import suffix
@@ -56,6 +58,76 @@ def test_no_collection():
     assert suffix.collection_repeats([], 5) == []
 
 
+def pieces(n, kind, seed=5):
+    """Sorted pieces, a third of which are alone, and which are copies with an edit of one another else; 25 places around the core."""
+    r, rows = np.random.default_rng(seed), []
+    while len(rows) < n:
+        line, core = r.integers(97, 123, 48).astype(kind), int(r.integers(-(2**63), 2**63 - 1))
+        for _ in range(r.integers(1, 7)):
+            text = line.copy()
+            text[r.integers(0, 48)] = r.integers(97, 123)
+            a, z = r.integers(0, 25), r.integers(24, 49)
+            rows.append((core, len(rows) // 3, int(r.integers(0, 1000)), text[a:24].tobytes(), text[24:z].tobytes()))
+    rows.sort(key=lambda x: x[0])
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["core", "uid", "start", "l", "r"])
+
+
+def starts(rows, kind):
+    """(uid, start) of every string of 25 places that a piece of the same core has too, by a dictionary."""
+    places, width = {}, np.dtype(kind).itemsize
+    for core, uid, start, left, right in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+        n = len(left) // width
+        for i in range(n + 1):
+            if i + 25 <= n + 1 + len(right) // width:
+                places.setdefault((core, left[i * width :], right[: (i + 24 - n) * width]), []).append((uid, start + i))
+    return sorted(x for found in places.values() if len(found) > 1 for x in found)
+
+
+@pytest.mark.parametrize("kind", [np.uint8, np.uint64])
+@pytest.mark.parametrize("batch", [1, 7, 500])
+def test_groups_in_any_batches(monkeypatch, kind, batch):
+    """Groups that go over batches' ends, tasks with one group and with none of two pieces, and collections of a few strings."""
+    monkeypatch.setattr(suffix, "COLLECTION", 40)
+    rows = pieces(700, kind)
+    for part in (rows, rows.slice(0, 1), rows.slice(0, 0), pieces(1, kind)):
+        out = list(suffix._collect(30, 25, kind)(iter(part.to_batches(batch))))
+        assert sorted((u, i) for b in out for u, a, z in zip(*(c.to_pylist() for c in b.columns), strict=True) for i in range(a, z - 29)) == starts(part, kind)
+
+
+@pytest.mark.parametrize("kind", [np.uint8, np.uint64])
+def test_collections_take_little_time(kind):
+    """Columns of many strings at once: at most a few times the CPU time of a dictionary of all their strings."""
+    rows = pieces(12_000, kind)
+    cpu = []
+    for work in (lambda: starts(rows, kind), lambda: list(suffix._collect(30, 25, kind)(iter(rows.to_batches(10_000))))):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            work()
+            took.append(time.process_time() - began)
+        cpu.append(min(took))
+    assert cpu[1] < 4 * cpu[0]
+
+
+def test_anchors_do_not_depend_on_segments_or_neighbours(monkeypatch):
+    r = random.Random(3)
+    texts = ["".join(r.choice("abc") for _ in range(r.choice((0, 10, 59, 60, 61, 300, 900)))) for _ in range(40)]
+    find = lambda rows: [x for b in suffix._find(60, 20, suffix._bytes)(iter([pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([t for _, t in rows])], ["uid", "text"])])) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    whole = find(list(enumerate(texts)))
+    assert [x for k, t in enumerate(texts) for x in find([(k, t)])] == whole and len(whole) > 100
+    monkeypatch.setattr(suffix, "SEGMENT", 70)
+    assert find(list(enumerate(texts))) == whole
+
+
+def test_no_rows_are_sorted_to_be_counted(spark, sf_dir, monkeypatch):
+    """Anchors are counted by hash: what is kept of equal ones are numbers, which Spark can aggregate in place."""
+    plans = []
+    settle = suffix.settle
+    monkeypatch.setattr(suffix, "settle", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settle(df))
+    suffix.op2_suffix_dedup(spark, sf_dir).count()
+    assert len(plans) >= 6 and "HashAggregate" in "".join(plans) and "SortAggregate" not in "".join(plans)
+
+
 def test_table(spark, sf_dir, tmp_path):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert check(spark, rows, suffix.LENGTH, suffix.ANCHOR, f"file://{tmp_path}/d") > 100
