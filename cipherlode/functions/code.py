@@ -18,5 +18,10 @@ def aside(value: Column) -> Column:
     return let(F.lit(True), lambda _: value)
 
 
+def once(value: Column) -> Column:
+    """value, worked out once for a row: what filters or asks for parts of it reads the result, where the optimizer would put a copy of the expression into each."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def trim(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s\x{FEFF}\x{A0}]+|[\s\x{FEFF}\x{A0}]+$", "")

@@ -53,7 +53,7 @@ def _result(rows: DataFrame, detector: int, interface: Column | str, spec: Colum
     """Findings of rows with an operation; part tells findings of one call apart."""
     face = F.lit(interface) if isinstance(interface, str) else interface
     place = F.col("part") if "part" in rows.columns else F.lit(part)
-    out = rows.select("path", "line", "col", F.lit(detector).alias("detector"), "ord", place.alias("part"), face.alias("interface"), "operation", C.aside(spec).alias("spec"), (extra if extra is not None else _codes()).alias("extra"), "evidence")
+    out = rows.select("path", "line", "col", F.lit(detector).alias("detector"), "ord", place.alias("part"), face.alias("interface"), "operation", C.once(C.aside(spec)).alias("spec"), (extra if extra is not None else _codes()).alias("extra"), "evidence")
     return out.where("spec IS NOT NULL")
 
 
