@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ MODULES = ("crypto", "tls", "https", "http2")
 LITERAL = 24
 #: Lines above a use whose words are near it, and lines that a join by place takes together.
 NEAR, LINES = 8, 16
-#: Bytes of facts that a task holds before it sends them.
-HELD = 4 << 20
+#: Bytes of facts that a task holds before it sends them, about, and of texts and their facts that it keeps for copies to come.
+HELD, KEPT = 4 << 20, 48 << 20
 
 _SCALAR = [("kind", pa.string()), ("code", pa.string()), ("text", pa.string()), ("number", pa.int64()), ("place", pa.int32())]
 _VALUE = [*_SCALAR, ("fields", pa.map_(pa.string(), pa.struct(_SCALAR))), ("branches", pa.list_(pa.struct(_SCALAR)))]
@@ -151,6 +152,68 @@ def _read_or_say(path: str, text: str) -> Iterator[dict]:
         yield {"path": path, "kind": "unread", "ord": 0, "name": f"could not be read to its end ({type(error).__name__})"}
 
 
+def _weight(row: dict) -> int:
+    """Bytes of a fact, about."""
+    values = [*(row.get("args") or ()), *filter(None, (row.get("value"),))]
+    return 400 + sum(200 + len(v.get("given") or "") + sum(len(x[c] or "") for x in (v, *(f for _, f in v["fields"]), *v["branches"]) for c in ("code", "text")) for v in values)
+
+
+class _Copies:
+    """Facts of files, in batches. A text is read once as long as its facts are kept: copies of a file say the same at another path."""
+
+    def __init__(self) -> None:
+        self._forget()
+        self.paths, self.ranges, self.held = [], [], 0
+
+    def _forget(self) -> None:
+        self.known, self.size = {}, 0
+        self.table, self.fresh = pa.RecordBatch.from_pylist([], _SCHEMA), []
+
+    def add(self, path: str, text: str) -> Iterator[pa.RecordBatch]:
+        found = self.known.get(text)
+        if found is None:
+            rows, weight, facts_ = [], 0, _read_or_say(path, text)
+            for row in facts_:
+                rows.append(row)
+                weight += _weight(row)
+                if weight > HELD:
+                    break
+            if weight > HELD:  # sent as it is read, and not kept
+                yield from self.flush()
+                while rows:
+                    yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+                    rows, weight = [], 0
+                    for row in facts_:
+                        rows.append(row)
+                        weight += _weight(row)
+                        if weight > HELD:
+                            break
+                return
+            found = self.known[text] = (self.table.num_rows + len(self.fresh), len(rows), weight)
+            self.fresh += rows
+            self.size += len(text) + 200
+        self.paths.append(path)
+        self.ranges.append(found[:2])
+        self.held += found[2] + 50
+        if self.held > HELD or self.size > KEPT:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        """What is held, sent; what is kept goes when it is too much."""
+        if self.fresh:
+            self.table = pa.concat_batches([self.table, pa.RecordBatch.from_pylist(self.fresh, _SCHEMA)])
+            self.fresh = []
+        if self.ranges:
+            first, n = np.array(self.ranges, dtype=np.int64).T
+            ends = np.cumsum(n)
+            at = np.arange(ends[-1]) + np.repeat(first - ends + n, n)
+            whose = pa.array(self.paths, pa.string()).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            yield self.table.take(pa.array(at)).set_column(0, _SCHEMA.field("path"), whose)
+        self.paths, self.ranges, self.held = [], [], 0
+        if self.size + self.table.nbytes > KEPT:
+            self._forget()
+
+
 def facts(files: DataFrame) -> DataFrame:
     """FACT rows of files (path, text): a narrow map of the scan, whatever a file's size or nesting.
 
@@ -160,16 +223,11 @@ def facts(files: DataFrame) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
+        copies = _Copies()
         for batch in batches:
             for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for row in _read_or_say(path, text):
-                    rows.append(row)
-                    held += 400 + sum(200 + len(a["given"]) for a in row.get("args") or ())
-                    if held > HELD:
-                        yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
-                        rows, held = [], 0
-        yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+                yield from copies.add(path, text)
+        yield from copies.flush()
 
     rows, cores = files.select("path", "text").where("text IS NOT NULL"), files.sparkSession.sparkContext.defaultParallelism
     if rows.rdd.getNumPartitions() < cores:  # a small table in few parts: reading takes longer than dealing it out

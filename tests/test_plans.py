@@ -1,7 +1,12 @@
 """What large tables need of a plan: that it stays small, and that nothing in it grows with the rows."""
 
+import time
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
+from cipherlode.functions.lexer import Tokens
 from cipherlode.operators import detect, lexical
 from cipherlode.store import settle
 
@@ -13,3 +18,41 @@ def test_a_use_is_described_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("createDecipheriv") == 1 and len(plan) < 100_000
     assert [tuple(r) for r in found.collect()] == [("createHash", "MD5")]
+
+
+def test_a_text_is_read_once(monkeypatch):
+    """Files of one text, however many, take one reading in a task, and each has the facts that it has alone; what is kept is bounded."""
+    texts = [f"import {{ createHash }} from 'crypto';\nconst a{i} = 'md5'; // seal\ncreateHash(a{i});\n" for i in range(30)] + ["", "let a"]
+    files = [(f"src/f{i}.js", texts[i * i % len(texts)]) for i in range(3000)]
+    alone = [row for path, text in files for row in lexical._read_or_say(path, text)]
+    one, n = lexical._read_or_say, []
+    monkeypatch.setattr(lexical, "_read_or_say", lambda path, text: n.append(path) or one(path, text))
+
+    def told():
+        copies = lexical._Copies()
+        batches = [b for path, text in files for b in copies.add(path, text)] + list(copies.flush())
+        return pa.Table.from_batches(batches).combine_chunks(), max(b.nbytes for b in batches), copies
+
+    expected = pa.Table.from_pylist(alone, lexical._SCHEMA)
+    found, most, _ = told()
+    assert found.equals(expected) and most < lexical.HELD
+    assert len(n) == len({text for _, text in files}) < 40
+    monkeypatch.setattr(lexical, "KEPT", 20_000)
+    found, _, copies = told()
+    assert found.equals(expected) and copies.size + copies.table.nbytes < 30_000
+
+
+def test_a_large_file_is_sent_as_it_is_read():
+    """A text with more facts than a task holds is not kept."""
+    text = "import { createHash } from 'crypto'; " + "createHash('md5');\n" * 20_000
+    copies = lexical._Copies()
+    batches = [b for path in ("a.js", "b.js") for b in copies.add(path, text)] + list(copies.flush())
+    assert len(batches) > 4 and not copies.known and max(b.nbytes for b in batches) < lexical.HELD
+    assert [sum(b.filter(pc.equal(b["path"], p)).num_rows for b in batches) for p in ("a.js", "b.js")] == [20_001, 20_001]
+
+
+def test_brackets_in_brackets_take_time_in_proportion():
+    """Blocks are found without a walk over the brackets that are open."""
+    began = time.process_time()
+    Tokens("(" * 40_000 + ")" * 40_000)
+    assert time.process_time() - began < 3
