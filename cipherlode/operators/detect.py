@@ -13,7 +13,7 @@ from cipherlode.functions import code as C
 from cipherlode.functions import names as N
 from cipherlode.functions import words as V
 from cipherlode.operators import lexical, scopes
-from cipherlode.store import settle
+from cipherlode.store import large, settle
 
 FOUND = ["path", "line", "col", "detector", "ord", "part", "interface", "operation", "spec", "extra", "evidence"]
 
@@ -225,7 +225,7 @@ def unread_imports(packages: DataFrame, used: DataFrame) -> DataFrame:
     helper = F.col("subpath").rlike(r"^(utils?|util/.*|utils/.*|types?)$")
     maps = F.broadcast(dims.libraries(packages.sparkSession).where("has_calls OR jose").select("package"))
     first = packages.join(maps, "package", "left_semi").groupBy("path", "package").agg(F.min_by(F.struct("line", "col", "ord", "evidence"), "ord").alias("s"), F.bool_and(helper).alias("helpers")).where("NOT helpers")
-    left = first.join(used.select("path", "package").distinct(), ["path", "package"], "left_anti").select("path", "package", "s.*", F.lit("import").alias("operation"))
+    left = first.join(large(used.select("path", "package").distinct()), ["path", "package"], "left_anti").select("path", "package", "s.*", F.lit("import").alias("operation"))
     return _result(left, 3, F.concat(F.lit("library:"), F.col("package")), N.dynamic(F.concat("package", F.lit(" imported; its uses here could not be read"))))
 
 
@@ -248,7 +248,7 @@ def findings(found: DataFrame, words: DataFrame, in_test: Column | None = None)
     lines = found.select("path", "line", s["family"].alias("family")).where(F.col("family").isin(*(f for (group, _), families in dims.FAMILIES.items() if group == "public-key" for f in families)))
     near = lexical.near_words(lines, words).select(F.col("path").alias("file"), "line", *dims.DECIDING)
     named = V.split_words(F.regexp_replace(F.regexp_extract("file", r"[^/]*$", 0), r"\.[^.]*$", ""))
-    once = once.withColumn("quantum_vulnerable", vulnerable).join(near, ["file", "line"], "left")
+    once = once.withColumn("quantum_vulnerable", vulnerable).join(large(near), ["file", "line"], "left")
     told = F.struct(*(F.coalesce(F.col(k), V.first_word(F.col("named"), pattern)).alias(k) for k, pattern in dims.DECIDING.items()))
     once = once.withColumn("named", F.when(vulnerable, named)).withColumn("told", told)
     out = once.withColumn("p", F.when(vulnerable, V.priority(F.col("kind"), *(F.col("told")[k] for k in dims.DECIDING))))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from cipherlode.dims import DECIDING, PACKAGES, SUBTLE
+from cipherlode.store import large
 
 #: A file without any of these has no use of cryptography; only its constants may matter to others.
 MENTIONS = re.compile("|".join(["crypto", "subtle", "getrandomvalues", "randomuuid", "https?", "tls", "pbkdf2", *sorted({re.escape(p.rsplit("/", 1)[-1]) for p in PACKAGES})]), re.I)
@@ -268,7 +269,7 @@ def near_words(lines: DataFrame, words: DataFrame) -> DataFrame:
     top = F.col("line") - NEAR
     uses = lines.select("path", "line").distinct().select("path", "line", F.explode(F.array_distinct(F.array(block(top), block(F.col("line"))))).alias("block"))
     told = words.select("*", F.explode(F.sequence(block(F.col("first")), block(F.col("last")))).alias("block"))
-    both = uses.join(told, ["path", "block"]).where((F.col("last") >= top) & (F.col("first") <= F.col("line")))
+    both = uses.join(large(told), ["path", "block"]).where((F.col("last") >= top) & (F.col("first") <= F.col("line")))
     stands = F.least("line", F.greatest("first", top))
     rank = F.struct(F.col("line") - stands, "comment", "place", "word")
     least = {k: F.min(F.when(F.col("kind") == k, rank)).alias(k) for k in DECIDING}
@@ -279,13 +280,13 @@ def imported(fact: DataFrame, constant: DataFrame) -> DataFrame:
     """(path, names): what a file imports, by relative path, that is a constant (scopes.constants) of the other file's top level: one step."""
     exported = constant.select(F.col("path").alias("from_path"), F.col("name").alias("from_name"), F.struct(F.col("value.kind").alias("kind"), F.col("value.text").alias("text"), F.col("value.number").alias("number")).alias("value"))
     asked = fact.where("kind = 'ask'").select("path", "name", F.element_at("members", 1).alias("from_name"), F.posexplode(candidates(F.col("path"), F.col("module"))).alias("rank", "from_path"))
-    found = asked.join(exported.dropDuplicates(["from_path", "from_name"]), ["from_path", "from_name"]).groupBy("path", "name").agg(F.min_by("value", "rank").alias("value"))
+    found = asked.join(large(exported.dropDuplicates(["from_path", "from_name"])), ["from_path", "from_name"]).groupBy("path", "name").agg(F.min_by("value", "rank").alias("value"))
     return found.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("names"))
 
 
 def with_imported(calls: DataFrame, names: DataFrame) -> DataFrame:
     """calls whose arguments and fields that are names are what their file imports under them."""
-    joined = calls.join(names, "path", "left")
+    joined = calls.join(large(names), "path", "left")
     known = lambda v: F.try_element_at("names", F.when(v["kind"] == "name", v["code"]))
 
     def filled(v: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from cipherlode.operators.lexical import SCALAR
-from cipherlode.store import settle
+from cipherlode.store import large, settle
 
 #: How often the way from constant to constant is doubled: eight steps.
 DOUBLINGS = 3
@@ -67,7 +67,7 @@ def _ends(bound: DataFrame) -> DataFrame:
         return links
     for _ in range(DOUBLINGS):
         ahead = links.select("path", F.col("place").alias("end"), F.col("end").alias("further"))
-        links = settle(links.join(ahead, ["path", "end"], "left").select("path", "place", F.coalesce("further", "end").alias("end")))
+        links = settle(links.join(large(ahead), ["path", "end"], "left").select("path", "place", F.coalesce("further", "end").alias("end")))
     return links
 
 
@@ -99,7 +99,7 @@ def _gathered(places: DataFrame, key: str, known: DataFrame) -> DataFrame:
     """(path, key, known): a map of what is known by place, for rows (path, key, names)."""
     each = places.select("path", key, F.explode("names").alias("n")).select("path", key, F.col("n.place").alias("place")).distinct()
     value = F.struct(*(c for c in known.columns if c not in ("path", "place")))
-    return each.join(known, ["path", "place"]).groupBy("path", key).agg(F.map_from_entries(F.collect_list(F.struct("place", value.alias("value")))).alias("known"))
+    return each.join(large(known), ["path", "place"]).groupBy("path", key).agg(F.map_from_entries(F.collect_list(F.struct("place", value.alias("value")))).alias("known"))
 
 
 def resolve(fact: DataFrame, calls: DataFrame) -> Resolved:
@@ -116,21 +116,21 @@ def resolve(fact: DataFrame, calls: DataFrame) -> Resolved:
     bound = settle(bind(uses, declared))
 
     ends = _ends(bound)
-    final = bound.join(ends, ["path", "place"], "left").select("path", "place", F.coalesce("end", "place").alias("end"))
+    final = bound.join(large(ends), ["path", "place"], "left").select("path", "place", F.coalesce("end", "place").alias("end"))
     target = bound.select("path", F.col("place").alias("end"), F.col("name"), "ord", F.when(F.col("alias") & (F.col("value.kind") != "name"), F.col("value")).alias("value"))
-    known = final.join(target, ["path", "end"])
+    known = final.join(large(target), ["path", "end"])
     scalar = known.select("path", "place", *(F.when(F.col("value").isNull(), F.lit(plain).cast(kind) if plain != "code" else F.col("name")).otherwise(F.col(f"value.{c}")).alias(c) for c, plain, kind in (("kind", "name", "string"), ("code", "code", "string"), ("text", None, "string"), ("number", None, "bigint"))), F.when(F.col("value.kind").isin("object", "choice"), F.col("ord")).alias("ord"))
     scalar = settle(scalar)
 
     # Constants that are objects or choices, with their own names replaced.
     plain = scalar.where("kind <> 'choice'").select("path", "place", *SCALAR, F.lit(None).cast(_FIELDS).alias("fields"))
-    held = of_values.join(_gathered(of_values, "ord", plain), ["path", "ord"], "left").select("path", "ord", F.expr(_whole("value", "known")).alias("value"))
-    rich = scalar.where("ord IS NOT NULL").join(held.select("path", "ord", "value"), ["path", "ord"]).select("path", "place", "value.*")
+    held = of_values.join(large(_gathered(of_values, "ord", plain)), ["path", "ord"], "left").select("path", "ord", F.expr(_whole("value", "known")).alias("value"))
+    rich = scalar.where("ord IS NOT NULL").join(large(held.select("path", "ord", "value")), ["path", "ord"]).select("path", "place", "value.*")
     full = scalar.where("ord IS NULL").select("path", "place", *SCALAR, F.lit(None).cast(_FIELDS).alias("fields")).union(rich)
 
     arg = _let(_whole("v", "known"), "w", _struct(**{c: f"w.{c}" for c in SCALAR}, place="cast(NULL AS int)", fields="w.fields", branches="array()", **{c: f"v.{c}" for c in ("given", "line", "col", "evidence")}))
-    found = asking.join(_gathered(asking, "ord", full), ["path", "ord"], "left").withColumn("args", F.expr(f"transform(args, v -> {arg})").cast(calls.schema["args"].dataType)).select(*calls.columns)
+    found = asking.join(large(_gathered(asking, "ord", full)), ["path", "ord"], "left").withColumn("args", F.expr(f"transform(args, v -> {arg})").cast(calls.schema["args"].dataType)).select(*calls.columns)
 
     top = fact.where("kind = 'declared' AND alias AND low = -1").select("path", "ord", "name", "line", "col", "evidence")
-    constants = top.join(held.select("path", "ord", "value"), ["path", "ord"]).where("value.kind IN ('string', 'number')")
+    constants = top.join(large(held.select("path", "ord", "value")), ["path", "ord"]).where("value.kind IN ('string', 'number')")
     return Resolved(found, calls.where("asks <= 0"), constants.select("path", "ord", "name", "line", "col", "evidence", F.struct(F.col("value.kind").alias("kind"), F.col("value.text").alias("text"), F.col("value.number").alias("number")).alias("value")))

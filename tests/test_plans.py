@@ -7,7 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from cipherlode.functions.lexer import Tokens
-from cipherlode.operators import detect, lexical
+from cipherlode.operators import detect, lexical, scopes
 from cipherlode.store import settle
 
 
@@ -56,3 +56,17 @@ def test_brackets_in_brackets_take_time_in_proportion():
     began = time.process_time()
     Tokens("(" * 40_000 + ")" * 40_000)
     assert time.process_time() - began < 3
+
+
+USES = "import c from 'crypto';\nconst a = 'md5', b = a;\n// seal\nc.createHash(b);\nc.createHash(b);\nc.createECDH('prime256v1');\n"
+
+
+def test_no_table_that_grows_is_broadcast(spark):
+    """Small as the tables are here, words and findings are merged: a broadcast of them goes through the driver's memory at any size that Spark's estimate lets pass."""
+    fact = settle(lexical.facts(spark.createDataFrame([("a.js", USES)], "path string, text string")))
+    call, _ = detect.resolved(fact)
+    out = detect.findings(settle(detect.node_crypto(call).select(*detect.FOUND)), lexical.words(fact))
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.line, r.algorithm, r.priority_word) for r in out.collect()) == [(4, "MD5", None), (5, "MD5", None), (6, "ECDH P-256", "seal")]
+    wanted = scopes.resolve(fact, lexical.calls(fact)).named
+    assert "BroadcastHashJoin" not in wanted._jdf.queryExecution().executedPlan().toString() and wanted.count() == 2
