@@ -4,6 +4,7 @@ import time
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from cipherlode.functions.lexer import Tokens
@@ -70,3 +71,15 @@ def test_no_table_that_grows_is_broadcast(spark):
     assert sorted((r.line, r.algorithm, r.priority_word) for r in out.collect()) == [(4, "MD5", None), (5, "MD5", None), (6, "ECDH P-256", "seal")]
     wanted = scopes.resolve(fact, lexical.calls(fact)).named
     assert "BroadcastHashJoin" not in wanted._jdf.queryExecution().executedPlan().toString() and wanted.count() == 2
+
+
+def test_calls_with_names_are_found_by_the_tables_parts(spark):
+    """How many names a call asks for is a column of its own: a part of a table where none asks says so by its greatest value, and isn't read for them. Repeats are not looked for ahead of the exchange, which is one."""
+    folder = settle(lexical.facts(spark.createDataFrame([("a.js", USES.replace("(b)", "('md5')"))], "path string, text string")))
+    most = [m for f in folder.inputFiles() if (g := pq.ParquetFile(f.removeprefix("file:"))).metadata.num_row_groups for i in range(g.metadata.num_columns) if (m := g.metadata.row_group(0).column(i)).path_in_schema == "asks" and m.statistics.has_min_max]
+    assert [m.statistics.max for m in most] == [0] and "GreaterThan(asks,0)" in lexical.calls(folder).where("asks > 0")._jdf.queryExecution().executedPlan().toString()
+    found = detect.node_crypto(lexical.calls(folder).drop("asks")).select(*detect.FOUND)
+    out = detect.findings(settle(found.union(found)), lexical.words(folder))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" not in plan and plan.count("Exchange hashpartitioning(file") == 1
+    assert out.count() == 3
